@@ -125,13 +125,13 @@ def delete_thoughts(thoughts: DataFrame, ids: DataFrame) -> DataFrame:
 def next_tasks(tasks: DataFrame, events: DataFrame, as_of) -> DataFrame:
     """The open copies that completions ``(event_id, id)`` spawn.
 
-    One per event, deduplicated by event id, of tasks with a non-zero recurrence
+    One per event, however often the event is delivered, of tasks with a non-zero recurrence
     and a due date. The copy is due the recurrence after the old due date and
     keeps tags and embedding.
     """
     recurring = tasks.filter(
         (F.col("recurrence_days") != 0) & F.col("due_date").isNotNull())
-    once = events.select("event_id", "id").dropDuplicates(["event_id"])
+    once = events.select("event_id", "id").distinct()
     spawned = recurring.join(once, "id")
     values = {
         "id": stable_uuid("event_id", "id", F.lit("next")),
@@ -176,15 +176,16 @@ def log_interactions(contacts: DataFrame, events: DataFrame,
     """Contacts after interactions ``(event_id, contact_id, ts, note)``.
 
     Each becomes a line of the notes in order of time, after a blank line unless
-    the notes were empty; the latest is the last contact. Lines are joined per
-    hour first, so a contact with very many events is spread over tasks.
+    the notes were empty; the latest is the last contact. An event delivered again
+    counts once. Lines are joined per hour first, so a contact with very many
+    events is spread over tasks.
     """
-    lines = events.dropDuplicates(["event_id"]).select(
+    lines = events.select(
         F.col("contact_id").alias("id"), "ts", "event_id",
         labels.interaction_line("ts", "note").alias("_lines"))
     logged = ordered_concat(
         lines, "id", F.date_trunc("HOUR", F.col("ts").cast("timestamp")), ["ts", "event_id"],
-        "_lines", "\n\n", _last=(F.max, "ts"))
+        "_lines", "\n\n", repeats=False, _last=(F.max, "ts"))
     joined = contacts.join(logged, "id", "left")
     hit = F.col("_last").isNotNull()
     notes = F.when(hit, F.concat_ws(
@@ -204,3 +205,15 @@ def last_contacts(events: DataFrame) -> DataFrame:
     """Latest interaction and number of them per contact, from event rows alone."""
     return events.groupBy("contact_id").agg(
         F.max("ts").alias("last_contact_at"), F.count("*").alias("interactions"))
+
+
+def apply_last_contacts(contacts: DataFrame, last: DataFrame) -> DataFrame:
+    """Contacts with the later of their own and the given last contact; ``last``
+    is :func:`last_contacts` of a table or the state a stream keeps."""
+    newer = last.select(F.col("contact_id").alias("id"), F.col("last_contact_at").alias("_last"))
+    kind = contacts.schema["last_contact_at"].dataType
+    joined = contacts.join(newer, "id", "left")
+    return joined.withColumns({
+        "last_contact_at": F.greatest(F.col("last_contact_at"), F.col("_last").cast(kind)),
+        "updated_at": F.greatest(F.col("updated_at"), F.col("_last").cast(kind)),
+    }).select(*contacts.columns)

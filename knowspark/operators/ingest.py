@@ -116,17 +116,19 @@ def chunk_arrays(df: DataFrame, content: str = "content",
     return staged.drop("_paragraphs", "_words")
 
 
-def _rest(df: DataFrame) -> list:
-    return [c for c in df.columns if c not in ("chunk_index", "total_chunks", "text")]
+def _exploded(arrays: DataFrame, df: DataFrame) -> DataFrame:
+    """``chunks`` as rows. The array is never empty; the outer form keeps Catalyst
+    from testing its size below, which would cut every text twice."""
+    rest = [c for c in df.columns if c not in ("chunk_index", "total_chunks", "text")]
+    return arrays.select(
+        *rest, F.size("chunks").alias("total_chunks"),
+        F.posexplode_outer("chunks").alias("chunk_index", "text"))
 
 
 def chunk(df: DataFrame, content: str = "content",
           content_type: str = "content_type") -> DataFrame:
     """One row per piece: ``chunk_index``, ``total_chunks``, ``text``."""
-    arrays = chunk_arrays(df, content, content_type)
-    return arrays.select(
-        *_rest(df), F.size("chunks").alias("total_chunks"),
-        F.posexplode("chunks").alias("chunk_index", "text"))
+    return _exploded(chunk_arrays(df, content, content_type), df)
 
 
 def chunk_sliding(df: DataFrame, content: str = "content", size: int = text.WINDOW_WORDS,
@@ -136,9 +138,7 @@ def chunk_sliding(df: DataFrame, content: str = "content", size: int = text.WIND
     staged = staged.withColumn(
         "chunks", F.when(F.size("_words") > 0, text.word_windows("_words", size, overlap))
         .otherwise(F.array(F.col(content))))
-    return staged.select(
-        *_rest(df), F.size("chunks").alias("total_chunks"),
-        F.posexplode("chunks").alias("chunk_index", "text"))
+    return _exploded(staged, df)
 
 
 # Embedding ------------------------------------------------------------------

@@ -62,6 +62,12 @@ def items_by_type(items: DataFrame) -> DataFrame:
     )
 
 
+def get_rows(table: DataFrame, ids: list, key: str = "id") -> DataFrame:
+    """Rows of a few known ids. The list reaches the scan, where the Bloom
+    filters that the store writes skip files without them."""
+    return table.filter(F.col(key).isin(list(ids)))
+
+
 def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Rows of a table whose id occurs in ``ids``; AQE broadcasts a small side."""
     return table.join(ids.select(F.col(ids.columns[0]).alias(key)), key, "left_semi")

@@ -227,8 +227,10 @@ def _mask_tagged(batch, scores, block) -> None:
     scores[rows[known], cols[known]] = np.nan
 
 
-def suggest_all(store: Store, k: int = 8, block_size: int = BLOCK_QUERIES) -> DataFrame:
-    """:func:`suggested_connections` of every tag: ``(tag, id, similarity, rank)``."""
+def suggest_all(store: Store, k: int = 8, tags: DataFrame = None,
+                block_size: int = BLOCK_QUERIES) -> DataFrame:
+    """:func:`suggested_connections` of every tag, or of the tags in the first
+    column of ``tags``: ``(tag, id, similarity, rank)``."""
     items = (
         unified_items(store, embedding=True)
         .filter(F.col("embedding").isNotNull() & F.col("tags").isNotNull())
@@ -236,7 +238,11 @@ def suggest_all(store: Store, k: int = 8, block_size: int = BLOCK_QUERIES) -> Da
         .filter(~F.exists("tags", lambda t: t.isNull()))
         .select("id", "tags", "embedding")
     )
-    blocks = _blocks(tag_centroids(store), "tag", "centroid", block_size)
+    centroids = tag_centroids(store)
+    if tags is not None:
+        centroids = centroids.join(
+            tags.select(F.col(tags.columns[0]).alias("tag")), "tag", "left_semi")
+    blocks = _blocks(centroids, "tag", "centroid", block_size)
     return _search_blocks(items, blocks, k, _mask_tagged).withColumnRenamed("query_id", "tag")
 
 
@@ -253,20 +259,24 @@ class VectorIndex:
         return spark.read.parquet(f"{self.path}/cells")
 
 
-def build_index(store: Store, path: str, cells: int = 64, seed: int = 7) -> VectorIndex:
+def build_index(store: Store, path: str, cells: int = 64, seed: int = 7,
+                train_rows: int = 1_000_000) -> VectorIndex:
     """Cluster the embedded items and write them partitioned by cell.
 
-    Clustering is MLlib k-means on unit vectors. A cell that holds very many
-    items, copies of one text say, is simply a folder with more files.
+    MLlib k-means on unit vectors finds the cell centers, from about
+    ``train_rows`` of the vectors; every item is then assigned and written. Rows
+    are range-partitioned by cell and id: a task writes few cells, and a cell
+    that holds very many items, copies of one text say, is split over tasks.
     """
-    items = unified_items(store, embedding=True).filter(F.col("embedding").isNotNull())
-    vectors = (
-        items.select("id", "embedding", array_to_vector("embedding").alias("features"))
-        .filter(F.exists("embedding", lambda v: v != 0))
-    )
+    items = unified_items(store, embedding=True).filter(
+        F.col("embedding").isNotNull() & F.exists("embedding", lambda v: v != 0))
+    vectors = items.select("id", "embedding", array_to_vector("embedding").alias("features"))
+    total = items.count()
+    training = vectors if total <= train_rows else vectors.sample(train_rows / total, seed=seed)
     model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine",
-                   featuresCol="features", predictionCol="cell").fit(vectors)
+                   featuresCol="features", predictionCol="cell").fit(training)
     model.transform(vectors).select("id", "embedding", "cell") \
+        .repartitionByRange("cell", "id").sortWithinPartitions("cell") \
         .write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/cells")
     model.write().save(f"{path}/model")
     return VectorIndex(path, np.asarray(model.clusterCenters()))

@@ -52,7 +52,7 @@ def tag_pairs(store: Store) -> DataFrame:
     """
     return (
         tag_sets(store)
-        .select(F.explode(F.array_distinct("tags")).alias("tag"), "tags")
+        .select(F.explode_outer(F.array_distinct("tags")).alias("tag"), "tags")
         .filter(F.col("tag").isNotNull())
         .select("tag", F.explode("tags").alias("related"))
         .filter(F.col("tag") != F.col("related"))
@@ -82,7 +82,7 @@ def tag_centroids(store: Store) -> DataFrame:
     """
     return (
         tag_sets(store, "embedding").filter(F.col("embedding").isNotNull())
-        .select(F.explode(F.array_distinct("tags")).alias("tag"), "embedding")
+        .select(F.explode_outer(F.array_distinct("tags")).alias("tag"), "embedding")
         .filter(F.col("tag").isNotNull())
         .select("tag", array_to_vector("embedding").alias("_vector"))
         .groupBy("tag").agg(F.count("*").alias("n"), _mean_vector())

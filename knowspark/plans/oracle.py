@@ -4,6 +4,8 @@ Written from the meaning of each query, not from its Spark form: parent rows,
 pairs and windows are joins and window functions here.
 """
 
+import re
+
 _VIEWS = {
     "thoughts": r"""
 SELECT 'd'||doc_id AS id, replace(text, chr(10), chr(10)||chr(10)) AS content, e.embedding,
@@ -92,7 +94,9 @@ SELECT id, place, regexp_extract(part, {re}, 1, 's') AS date,
        - 1 AS seq
 FROM note_parts WHERE hit""",
     "task_changes": r"""
-SELECT 't'||l_orderkey AS id, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS version,
+SELECT 't'||l_orderkey AS id,
+       {shipped} * 100000000000000 + l_partkey * 10000000 + l_suppkey * 10 + l_linenumber
+       AS version,
        CASE WHEN l_returnflag = 'R' THEN 'Returned '||l_partkey END AS title,
        CASE WHEN l_linestatus = 'F' THEN l_returnflag||' '||l_partkey END AS notes,
        CASE WHEN l_linestatus = 'F' THEN 'done' END AS status,
@@ -154,7 +158,6 @@ SELECT tag, max(n) AS n, list(mean ORDER BY dim) AS centroid, dims FROM (
   GROUP BY tag, dim) GROUP BY tag, dims""",
 }
 
-_PY = "''.join"  # replaced below by literal character lists
 _CODES_PY = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CODES_JS = [c for c in _CODES_PY if c not in (28, 29, 30, 31, 0x85)] + [0xFEFF]
@@ -176,7 +179,8 @@ _NEWS = ", ".join(
     f"arg_max({c}, version) FILTER ({c} IS NOT NULL) AS {c}"
     for c in ("title", "notes", "status", "priority", "due_date", "tags"))
 
-_FILL = {"{js}": _chars(_CODES_JS), "{py}": _chars(_CODES_PY), "{re}": _RE, "{ws}": _WS,
+_SHIPPED = "CAST(date_diff('day', TIMESTAMP '1995-01-01', l_shipdate) AS BIGINT)"
+_FILL = {"{shipped}": _SHIPPED, "{js}": _chars(_CODES_JS), "{py}": _chars(_CODES_PY), "{re}": _RE, "{ws}": _WS,
          "{jsws}": _JS_WS, "{news}": _NEWS, "{uuid}": _uuid()}
 
 
@@ -187,30 +191,17 @@ def _fill(sql: str) -> str:
 
 
 def _with(body: str, **extra: str) -> str:
-    """Puts the views a query needs, in order, before it."""
+    """Puts the views a query needs before it, each after those it reads."""
     views = {**_VIEWS, **extra}
-    needed, todo = [], [body]
-    import re
-    while todo:
-        words = set(re.findall(r"[a-z_]+", todo.pop()))
-        for name in words & set(views):
-            if name in needed:
-                needed.remove(name)
-            needed.insert(0, name)
-            todo.append(views[name])
-    order = [n for n in [*extra, *_VIEWS] if n in needed]
-    placed, done = [], set()
-
-    def place(name):
-        if name in done:
-            return
-        done.add(name)
-        for other in set(re.findall(r"[a-z_]+", views[name])) & set(views) - {name}:
-            place(other)
-        placed.append(name)
-
-    for name in order:
-        place(name)
+    placed = []
+
+    def place(sql, own=None):
+        for name in views:
+            if name != own and name not in placed and re.search(rf"\b{name}\b", sql):
+                place(views[name], name)
+                placed.append(name)
+
+    place(body)
     ctes = ",\n".join(f"{n} AS ({views[n]})" for n in placed)
     return _fill(f"WITH {ctes}\n{body}" if ctes else body)
 
@@ -317,6 +308,20 @@ FROM (SELECT date_trunc('day', created_at) - to_days(CAST(s AS INTEGER)) AS w, f
 GROUP BY w, facet, value"""
 
 
+#: Columns that Spark counts in 32 bits.
+_INTEGERS = {
+    **dict.fromkeys(("recent", "recent_events", "by_any_tag", "by_date_range", "related_tags",
+                     "related_all", "review_top_tags", "search_items", "search_tasks",
+                     "search_thoughts", "search_pct", "suggested", "search_batch", "suggest_all"),
+                    ("rank",)),
+    **dict.fromkeys(("chunk_all", "chunk_notes", "chunk_sliding", "chunk_windows"),
+                    ("chunk_index", "total_chunks")),
+    **dict.fromkeys(("ingest_rows", "stream_ingest"), ("chunk_index",)),
+    "ingest_summary": ("chunks_created",),
+    "validate_entries": ("n",),
+}
+
+
 def _build() -> dict:
     q = {}
     counts = "SELECT tag, count(*) AS count FROM item_tags GROUP BY tag"
@@ -588,7 +593,7 @@ def _build() -> dict:
                  arg_max('phone-'||o_orderkey, o_orderkey) FILTER (o_orderstatus = 'P') AS phone,
                  arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F') AS company
           FROM orders GROUP BY o_custkey) n USING (id)""")
-    version = "(l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey"
+    version = "({shipped} * 100000000 + l_orderkey) * 100000 + l_suppkey * 10 + l_linenumber"
     q["update_home"] = _with(f"""
         SELECT id, name, coalesce(n.notes, h.notes) AS notes,
                coalesce(n.interval_days, h.interval_days) AS interval_days,
@@ -620,9 +625,8 @@ def _build() -> dict:
         UNION ALL SELECT {_STATE}, {as_of} FROM spawned""")
     q["next_tasks"] = _with(
         f"SELECT {_TASK.replace(iso('created_at'), as_of + ' AS created_at')} FROM spawned")
-    done = _HOME.replace("interval_days", "interval_days")
     q["complete_home"] = _with(f"""
-        SELECT {done} FROM (
+        SELECT {_HOME} FROM (
           SELECT id, name, notes, interval_days, tags, created_at,
                  coalesce(ts, last_done_at) AS last_done_at,
                  CASE WHEN ts IS NOT NULL AND interval_days IS NOT NULL
@@ -662,6 +666,10 @@ def _build() -> dict:
     q["activity_daily"] = _with(_activity(1, 1, ""))
     q["stream_activity"] = _with(_activity(
         1, 7, "WHERE w + INTERVAL 7 DAY <= (SELECT max(created_at) FROM thoughts) - INTERVAL 1 DAY"))
+    for name, sql in q.items():
+        for column in _INTEGERS.get(name, ()):
+            sql = f"SELECT * REPLACE (CAST({column} AS INTEGER) AS {column}) FROM ({sql})"
+        q[name] = sql
     return q
 
 

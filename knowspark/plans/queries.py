@@ -36,6 +36,14 @@ def on_store(function):
     return function
 
 
+def on_texts(function):
+    """For work that is heavy per text."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(tables.thoughts(spark, sf_dir, spread=True))
+    QUERIES[function.__name__] = run
+    return function
+
+
 def iso(column: str):
     return times.to_iso(column).alias(column)
 
@@ -160,14 +168,14 @@ def _chunks(df):
     return df.select("id", "chunk_index", "total_chunks", "text")
 
 
-@on_store
-def chunk_all(store):
-    return _chunks(ingest.chunk(store.thoughts))
+@on_texts
+def chunk_all(thoughts):
+    return _chunks(ingest.chunk(thoughts))
 
 
-@on_store
-def chunk_notes(store):
-    return _chunks(ingest.chunk(store.thoughts.withColumn("content_type", F.lit("note"))))
+@on_texts
+def chunk_notes(thoughts):
+    return _chunks(ingest.chunk(thoughts.withColumn("content_type", F.lit("note"))))
 
 
 @query
@@ -206,11 +214,11 @@ def ingest_totals(spark, sf_dir):
     return ingest.ingest_totals(valid)
 
 
-@on_store
-def hash_embed(store):
+@on_texts
+def hash_embed(thoughts):
     """Bucket weights of every thought's embedding."""
-    embedded = ingest.embed(store.thoughts.select("id", "content"), "content")
-    return embedded.select("id", F.posexplode("embedding").alias("bucket", "w")) \
+    embedded = ingest.embed(thoughts.select("id", "content"), "content")
+    return embedded.select("id", F.posexplode_outer("embedding").alias("bucket", "w")) \
         .filter(F.col("w") != 0) \
         .select("id", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
@@ -418,7 +426,7 @@ def related_all(store):
 
 
 def _centroid_rows(df):
-    return df.select("tag", "n", F.posexplode("centroid").alias("dim", "v")) \
+    return df.select("tag", "n", F.posexplode_outer("centroid").alias("dim", "v")) \
         .select("tag", "n", "dim", F.round("v", 6).alias("mean"))
 
 
@@ -538,14 +546,14 @@ def normalize_tag(spark, sf_dir):
 @query
 def clean_tags(spark, sf_dir):
     """Every document's words as raw tags: the form keeps twenty."""
-    docs = tables.read_table(spark, sf_dir, "documents")
+    docs = tables.read_table(spark, sf_dir, "documents", spread=True)
     return docs.select(
         "doc_id", F.array_join(text.clean_tags(text.words("text")), "|").alias("tags"))
 
 
-@on_store
-def detect_type(store):
-    return store.thoughts.select("id", text.detect_type("content").alias("detected"))
+@on_texts
+def detect_type(thoughts):
+    return thoughts.select("id", text.detect_type("content").alias("detected"))
 
 
 @on_store
@@ -592,14 +600,19 @@ def contact_details(store):
 
 
 def _lines(spark, sf_dir):
-    return tables.read_table(spark, sf_dir, "lineitem")
+    return tables.read_table(spark, sf_dir, "lineitem", spread=True)
+
+
+#: Day of shipping; later lines change the task later.
+SHIPPED = "CAST(datediff(l_shipdate, DATE '1995-01-01') AS BIGINT)"
 
 
 def task_changes(spark, sf_dir):
     """Each order line as a change of the order's task."""
     return _lines(spark, sf_dir).selectExpr(
         "concat('t', l_orderkey) AS id",
-        "l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS version",
+        f"{SHIPPED} * 100000000000000 + l_partkey * 10000000 + l_suppkey * 10 + l_linenumber "
+        "AS version",
         "CASE WHEN l_returnflag = 'R' THEN concat('Returned ', l_partkey) END AS title",
         "CASE WHEN l_linestatus = 'F' THEN concat(l_returnflag, ' ', l_partkey) END AS notes",
         "CASE WHEN l_linestatus = 'F' THEN 'done' END AS status",
@@ -639,7 +652,8 @@ def update_contacts(spark, sf_dir):
 def update_home(spark, sf_dir):
     given = _lines(spark, sf_dir).selectExpr(
         "concat('h', l_partkey) AS id",
-        "(l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS version",
+        f"({SHIPPED} * 100000000 + l_orderkey) * 100000 + l_suppkey * 10 + l_linenumber "
+        "AS version",
         "CASE WHEN l_returnflag = 'R' THEN l_linenumber END AS interval_days",
         "CASE WHEN l_linestatus = 'O' THEN concat('order ', l_orderkey) END AS notes")
     return changes.apply_updates(
@@ -732,9 +746,9 @@ def _hits(df):
 @query
 def cosine(spark, sf_dir):
     stored = tables.read_table(spark, sf_dir, "embeddings")
-    zero = stored.filter("vec_id = 0").select("embedding")
+    zero = F.array(*[F.lit(v) for v in tables.query_vector(spark, sf_dir)])
     return stored.select("vec_id", F.round(
-        vectors.cosine_similarity("embedding", zero.scalar()), 6).alias("similarity"))
+        vectors.cosine_similarity("embedding", zero), 6).alias("similarity"))
 
 
 @query

@@ -20,10 +20,22 @@ RECOMMENDED_CONF = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings above to an existing session."""
+#: Bytes a shuffle partition should hold before AQE merges small ones.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def configure(spark: SparkSession, input_bytes: int = None) -> SparkSession:
+    """Apply the run-time settings above to an existing session.
+
+    With the size of the data, shuffles start with enough partitions to hold
+    ``PARTITION_BYTES`` each (100 TB: about 800,000); AQE merges the small ones.
+    """
     for key, value in RECOMMENDED_CONF.items():
         spark.conf.set(key, value)
+    if input_bytes is not None:
+        parts = max(spark.sparkContext.defaultParallelism, -(-input_bytes // PARTITION_BYTES))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     return spark
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knowspark import schema
 from knowspark.functions import text
@@ -33,7 +34,8 @@ def read_entries_json(spark: SparkSession, path: str) -> DataFrame:
     ``metadata`` may be any JSON object; it is kept as JSON text. Entries
     without ``entry_id`` get one from their file and position.
     """
-    struct = schema.ENTRIES.add("_corrupt_record", "string")
+    corrupt = T.StructField("_corrupt_record", T.StringType())
+    struct = T.StructType([*schema.ENTRIES.fields, corrupt])
     raw = spark.read.schema(struct).option("mode", "PERMISSIVE").json(path)
     place = F.md5(F.concat_ws(
         ":", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")))

@@ -95,7 +95,8 @@ def write_store(df: DataFrame, root: str, table: str, append: bool = False) -> i
     number = max((e["number"] for e in _manifest(spark, root)), default=0) + 1
     folder = f"v{number}-{uuid.uuid4().hex}"
     conform(df, table).sortWithinPartitions(SORT_COLUMN[table]) \
-        .write.mode("errorifexists").parquet(f"{root}/{table}/{folder}")
+        .write.mode("errorifexists").option("parquet.bloom.filter.enabled#id", "true") \
+        .parquet(f"{root}/{table}/{folder}")
     row = spark.createDataFrame([(table, number, folder, append)], _MANIFEST)
     row.coalesce(1).write.mode("append").json(f"{root}/_manifest")
     return number

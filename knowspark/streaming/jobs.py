@@ -81,7 +81,7 @@ def activity(thoughts: DataFrame, time: str, length: str, slide: str = None) ->
                     lambda t: F.struct(F.lit("tag").alias("facet"), t.alias("value"))))
     window = F.window(time, length, slide) if slide else F.window(time, length)
     return (
-        thoughts.select(time, F.explode(facets).alias("f"))
+        thoughts.select(time, F.explode_outer(facets).alias("f"))
         .groupBy(window.alias("window"), "f.facet", "f.value").agg(F.count("*").alias("n"))
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"),
                 "facet", "value", "n")
