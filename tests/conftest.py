@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from knowspark.session import RECOMMENDED_CONF  # noqa: E402
+from knowspark.session import RECOMMENDED_CONF, ship_package  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,6 +24,8 @@ def spark(tmp_path_factory):
         builder = builder.config(key, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
+    session.sparkContext.addPyFile(os.path.join(os.path.dirname(__file__), "backends.py"))
     yield session
     session.stop()
 
