@@ -57,11 +57,11 @@ def days_since(column, as_of) -> Column:
 
 def to_iso(column) -> Column:
     """ISO text of an instant in UTC; the fraction appears only when non-zero."""
-    ts = F.col(column) if isinstance(column, str) else column
-    fraction = F.date_format(ts, ".SSSSSS")
+    shown = (F.col(column) if isinstance(column, str) else column).cast("string")
+    fraction = F.substring(shown, 20, 7)
     return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(fraction == ".000000", "").otherwise(fraction),
+        F.translate(F.substring(shown, 1, 19), " ", "T"),
+        F.when(fraction == "", "").otherwise(F.rpad(fraction, 7, "0")),
         F.lit("+00:00"),
     )
 

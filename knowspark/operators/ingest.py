@@ -1,8 +1,8 @@
 """Ingest: validate, default, chunk, embed, refine."""
 
 from collections import Counter
-from functools import lru_cache
 from hashlib import md5
+from itertools import chain
 from typing import Callable, Iterator, Protocol
 
 import numpy as np
@@ -144,6 +144,10 @@ def chunk_sliding(df: DataFrame, content: str = "content", size: int = text.WIND
 # Embedding ------------------------------------------------------------------
 
 
+#: Texts a model gets at once, whatever the size of an Arrow batch.
+MODEL_BATCH = 512
+
+
 class Embedder(Protocol):
     """A text embedding model; built once per Python worker."""
 
@@ -152,24 +156,31 @@ class Embedder(Protocol):
     def embed_batch(self, texts: list) -> list: ...
 
 
-@lru_cache(maxsize=1 << 20)
-def _token_number(token: str) -> int:
-    return int(md5(token.encode()).hexdigest()[:8], 16)
-
-
 class HashEmbedder:
     """Deterministic embedding without a model: lower-cased words are counted in
     md5 buckets and the counts scaled to length one."""
 
+    KNOWN_TOKENS = 1_000_000
+
     def __init__(self, dimensions: int = schema.EMBEDDING_DIMS):
         self.dimensions = dimensions
+        self._buckets = {}
+
+    def _bucket(self, token: str) -> int:
+        found = self._buckets.get(token)
+        if found is None:
+            if len(self._buckets) >= self.KNOWN_TOKENS:
+                self._buckets.clear()
+            found = int(md5(token.encode()).hexdigest()[:8], 16) % self.dimensions
+            self._buckets[token] = found
+        return found
 
     def embed_batch(self, texts: list) -> list:
         out = []
         for value in texts:
             counts = np.zeros(self.dimensions)
             for token, n in Counter(value.lower().split()).items():
-                counts[_token_number(token) % self.dimensions] += n
+                counts[self._bucket(token)] += n
             length = np.sqrt((counts * counts).sum())
             out.append((counts / length if length else counts).astype(np.float32))
         return out
@@ -187,7 +198,9 @@ def embedding_of(column, make_embedder: Callable[[], Embedder] = HashEmbedder) -
         model = make_embedder()
         for texts in batches:
             present = texts.drop_null().to_pylist()
-            vectors = iter(model.embed_batch(present) if present else [])
+            vectors = chain.from_iterable(
+                model.embed_batch(present[i:i + MODEL_BATCH])
+                for i in range(0, len(present), MODEL_BATCH))
             rows = [next(vectors) if known else None for known in texts.is_valid().to_pylist()]
             if any(v is not None and len(v) != model.dimensions for v in rows):
                 raise ValueError(f"the model must return {model.dimensions} dimensions")

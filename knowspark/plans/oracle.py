@@ -311,7 +311,7 @@ GROUP BY w, facet, value"""
 #: Columns that Spark counts in 32 bits.
 _INTEGERS = {
     **dict.fromkeys(("recent", "recent_events", "by_any_tag", "by_date_range", "related_tags",
-                     "related_all", "review_top_tags", "search_items", "search_tasks",
+                     "related_all", "review_top_tags", "search", "search_tasks",
                      "search_thoughts", "search_pct", "suggested", "search_batch", "suggest_all"),
                     ("rank",)),
     **dict.fromkeys(("chunk_all", "chunk_notes", "chunk_sliding", "chunk_windows"),
@@ -580,7 +580,7 @@ def _build() -> dict:
 
     state = f"SELECT {_STATE}, {bumped('touched')} FROM updated"
     q["update_tasks"] = _with(state)
-    q["latest_task_rows"] = _with(state)
+    q["latest_rows"] = _with(state)
     q["updated_tasks"] = _with(state + " WHERE touched")
     q["needs_reembed"] = _with(
         "SELECT id, concat_ws(chr(10), nullif(title, ''), nullif(notes, '')) AS text FROM updated "
@@ -640,7 +640,7 @@ def _build() -> dict:
     q["cosine"] = _with(
         "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS "
         "similarity FROM embeddings, query_vectors WHERE query_id = 0")
-    q["search_items"] = _with(_nearest("items", 0, hit, 10))
+    q["search"] = _with(_nearest("items", 0, hit, 10))
     q["search_tasks"] = _with(_nearest("items", 0, hit, 10, "content_type = 'task'"))
     q["search_thoughts"] = _with(
         _nearest("thoughts", 0, "rank, id, source, round(similarity, 6) AS similarity", 10))

@@ -4,6 +4,8 @@ Results are flat: arrays become text, instants ISO text, similarities are
 rounded for comparison. Only reports that are limited by nature have a limit.
 """
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -600,7 +602,7 @@ def contact_details(store):
 
 
 def _lines(spark, sf_dir):
-    return tables.read_table(spark, sf_dir, "lineitem", spread=True)
+    return tables.read_table(spark, sf_dir, "lineitem")
 
 
 #: Day of shipping; later lines change the task later.
@@ -671,7 +673,7 @@ def update_thoughts(spark, sf_dir):
         "CASE WHEN toxic = 1 THEN array('flagged') END AS tags")
     done = changes.update_thoughts(
         tables.thoughts(spark, sf_dir), given, THOUGHTS_AS_OF,
-        make_embedder=lambda: ingest.HashEmbedder(64))
+        make_embedder=partial(ingest.HashEmbedder, 64))
     return done.select(
         "id", "content", "title", tag_text(), iso("updated_at"),
         F.round(F.array_max("embedding").cast("double"), 6).alias("top_weight"))
@@ -725,7 +727,6 @@ def complete_home(spark, sf_dir):
     return _home_rows(changes.complete_home(tables.home_items(spark, sf_dir), events))
 
 
-@query
 def latest_task_rows(spark, sf_dir):
     """Tasks as an append-only table: the rows as loaded and the changed rows."""
     base = tables.tasks(spark, sf_dir)
@@ -735,6 +736,9 @@ def latest_task_rows(spark, sf_dir):
     return _task_state(latest_rows(versions))
 
 
+QUERIES["latest_rows"] = latest_task_rows
+
+
 # Vector search -----------------------------------------------------------------
 
 
@@ -751,12 +755,14 @@ def cosine(spark, sf_dir):
         vectors.cosine_similarity("embedding", zero), 6).alias("similarity"))
 
 
-@query
 def search_items(spark, sf_dir):
     return _hits(search.search(
         tables.load(spark, sf_dir), tables.query_vector(spark, sf_dir), 10))
 
 
+QUERIES["search"] = search_items
+
+
 @query
 def search_tasks(spark, sf_dir):
     return _hits(search.search(
@@ -825,7 +831,7 @@ def stream_ingest(spark, sf_dir):
     root = new_work_path(spark, "stream-ingest")
     entries = tables.entry_columns(_stream(spark, sf_dir, "documents"))
     _finish(jobs.stream_ingest(entries, f"{root}/out", f"{root}/checkpoint", available_now=True,
-                               make_embedder=lambda: ingest.HashEmbedder(64)))
+                               make_embedder=partial(ingest.HashEmbedder, 64)))
     return _ingested(spark.read.parquet(f"{root}/out"), F.size("embedding").alias("dims"))
 
 

@@ -1,9 +1,7 @@
 """Session settings the operators are designed for, and the shared work folder."""
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -64,24 +62,3 @@ def work_dir(spark: SparkSession) -> str:
 def new_work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the work folder; never reused between runs."""
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application.
-
-    The functions that run in workers import it there; a cluster may instead be
-    started with the package in ``--py-files``.
-    """
-    context = spark.sparkContext
-    if getattr(context, "_knowspark_shipped", False):
-        return
-    package = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="knowspark-"), "knowspark.zip")
-    with zipfile.ZipFile(path, "w") as archive:
-        for folder, _, files in os.walk(package):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
-    context.addPyFile(path)
-    context._knowspark_shipped = True
