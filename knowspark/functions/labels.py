@@ -3,10 +3,12 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from knowspark.functions.times import DAY_MICROS, age_micros, days_since, instant, instant_lit
+from knowspark.functions.times import DAY_MICROS, age_micros, days_since, instant
 
+# --- Fixed values: day limits of the pages ---
 STALE_DAYS = 14
 DUE_SOON_DAYS = 7
+# --- end of fixed values ---
 
 
 def _c(column) -> Column:

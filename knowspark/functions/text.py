@@ -11,12 +11,15 @@ PY_SPACE_RUN = r"[\s\x1c-\x1f\x85\p{Z}]+"
 JS_SPACE = "".join(c for c in PY_SPACE if c not in "\x1c\x1d\x1e\x1f\x85") + "﻿"
 JS_SPACE_RUN = r"[\s\p{Z}﻿]+"
 
+# --- Fixed values: chunk and tag rules ---
 MIN_PARAGRAPH = 50
 WINDOW_WORDS = 500
 WINDOW_OVERLAP = 50
+NOT_IN_TAG = "[^a-z0-9_-]"
 MAX_TAG = 40
 MAX_TAGS_FORM = 20
 MAX_TAGS_REFINE = 5
+# --- end of fixed values ---
 
 
 def _c(column) -> Column:
@@ -51,7 +54,7 @@ def word_windows(word_array, size: int = WINDOW_WORDS, overlap: int = WINDOW_OVE
 
 def normalize_tag(column) -> Column:
     """Lower case, only ``a-z 0-9 _ -``, at most 40 characters."""
-    return F.substring(F.regexp_replace(F.lower(_c(column)), "[^a-z0-9_-]", ""), 1, MAX_TAG)
+    return F.substring(F.regexp_replace(F.lower(_c(column)), NOT_IN_TAG, ""), 1, MAX_TAG)
 
 
 def clean_tags(tags, cap: int = MAX_TAGS_FORM) -> Column:

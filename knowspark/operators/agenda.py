@@ -13,8 +13,10 @@ from knowspark.functions import labels
 from knowspark.functions.times import days_since, instant, instant_for, to_iso
 from knowspark.sources.store import Store
 
+# --- Fixed values: day windows of the dashboard ---
 DUE_SOON_DAYS = 7
 REACH_OUT_DAYS = 14
+# --- end of fixed values ---
 
 
 def _plus(as_of, days):
@@ -35,7 +37,8 @@ def list_tasks(
     if category is not None:
         df = df.filter(F.col("category") == category)
     if due_soon_days is not None:
-        df = df.filter(F.col("due_date") <= instant_for(df, "due_date", _plus(as_of, due_soon_days)))
+        limit = instant_for(df, "due_date", _plus(as_of, due_soon_days))
+        df = df.filter(F.col("due_date") <= limit)
     return df.orderBy(
         labels.priority_rank("priority"), F.asc_nulls_last("due_date"), F.desc("created_at"), "id")
 

@@ -74,10 +74,8 @@ def review_by_type(store: Store, as_of, days: int = 7) -> DataFrame:
 def review_top_tags(store: Store, as_of, days: int = 7, k: int = 10) -> DataFrame:
     """Most frequent tags; equal counts keep the order in which the tags first
     appear when the entries are read newest first."""
-    seen = (
-        review_rows(store, as_of, days)
-        .select((-micros("created_at")).alias("age"), "id", F.posexplode("tags").alias("pos", "tag"))
-    )
+    seen = review_rows(store, as_of, days).select(
+        (-micros("created_at")).alias("age"), "id", F.posexplode("tags").alias("pos", "tag"))
     counted = seen.groupBy("tag").agg(
         F.count("*").alias("count"), F.min(F.struct("age", "id", "pos")).alias("first_seen"))
     return top(counted, k, F.desc("count"), "first_seen")

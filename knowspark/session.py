@@ -15,8 +15,9 @@ RECOMMENDED_CONF = {
     # Tag centroids keep one mean vector per tag and task (about 6 KB at 384
     # dimensions); the default of 128 keys would make them sort instead of hash.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
-    # Arrow batches that hold vectors: 4,096 x 384 floats is about 6 MB.
+    # Arrow batches: 4,096 vectors of 384 floats are about 6 MB, texts may be larger.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 
