@@ -106,18 +106,24 @@ def update_thoughts(thoughts: DataFrame, changes: DataFrame, as_of, version: str
     """
     if rechunk and "content" in changes.columns:
         given = changes.filter(F.col("content").isNotNull()).select(
-            F.col("id").alias("parent_id"))
-        thoughts = thoughts.join(given, "parent_id", "left_anti").select(*thoughts.columns)
+            F.col("id").alias("parent_id")).distinct()
+        # Only chunk rows take part in the join: the NULL parent ids of all other
+        # rows would meet in one task.
+        heads = thoughts.filter(F.col("parent_id").isNull())
+        tails = thoughts.filter(F.col("parent_id").isNotNull())
+        thoughts = heads.unionByName(tails.join(given, "parent_id", "left_anti"))
     return apply_updates(thoughts, changes, "thoughts", as_of, version, make_embedder)
 
 
 def delete_rows(table: DataFrame, ids: DataFrame) -> DataFrame:
-    return table.join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_anti")
+    """The table without the ids in the first column of ``ids``, repeats allowed."""
+    gone = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+    return table.join(gone, "id", "left_anti")
 
 
 def delete_thoughts(thoughts: DataFrame, ids: DataFrame) -> DataFrame:
     """Deletes parents with all their chunks; the id of a chunk deletes nothing."""
-    gone = ids.select(F.col(ids.columns[0]).alias("_root"))
+    gone = ids.select(F.col(ids.columns[0]).alias("_root")).distinct()
     keyed = thoughts.withColumn("_root", F.coalesce("parent_id", "id"))
     return keyed.join(gone, "_root", "left_anti").select(*thoughts.columns)
 

@@ -69,8 +69,13 @@ def get_rows(table: DataFrame, ids: list, key: str = "id") -> DataFrame:
 
 
 def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of a table whose id occurs in ``ids``; AQE broadcasts a small side."""
-    return table.join(ids.select(F.col(ids.columns[0]).alias(key)), key, "left_semi")
+    """Rows of a table whose id occurs in the first column of ``ids``.
+
+    Repeats of an id are combined before the shuffle; a sort-merge join reuses
+    that shuffle, and AQE broadcasts a small side.
+    """
+    asked = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
+    return table.join(asked, key, "left_semi")
 
 
 def write_tag_index(store: Store, path: str) -> None:

@@ -78,7 +78,7 @@ def _first_place(column: str) -> Column:
 # Interactions in notes ------------------------------------------------------
 
 # --- Fixed value: how a logged interaction starts ---
-INTERACTION = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}(?::\d{2})? UTC): (.*)$"
+INTERACTION = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}(?::\d{2})? UTC): "
 # --- end of fixed value ---
 
 
@@ -93,19 +93,19 @@ def parse_notes(contacts: DataFrame) -> DataFrame:
     Parts are blank-line separated, so a logged note that has a blank line loses
     its later paragraphs to the profile.
     """
-    staged = contacts.withColumn("_parts", _note_parts(F.col("notes")))
-    found = F.filter(
-        F.transform("_parts", lambda p, i: F.struct(
+    dated = contacts.withColumn("_parts", F.transform(
+        _note_parts(F.col("notes")), lambda p, i: F.struct(
             F.regexp_extract(p, INTERACTION, 1).alias("date"), (-i).alias("place"),
-            text.strip(F.regexp_extract(p, INTERACTION, 2), text.JS_SPACE).alias("content"))),
-        lambda r: r["date"] != "")
-    profile = F.array_join(F.filter("_parts", lambda p: ~p.rlike(INTERACTION)), "\n\n")
-    newest = F.transform(
-        F.sort_array(found, asc=False),
-        lambda r: F.struct(r["date"].alias("date"), r["content"].alias("content")))
+            p.alias("part"))))
+    logged = F.sort_array(F.filter("_parts", lambda r: r["date"] != ""), asc=False)
+    newest = F.transform(logged, lambda r: F.struct(
+        r["date"].alias("date"),
+        text.strip(F.substr(r["part"], F.length(r["date"]) + 3), text.JS_SPACE)
+        .alias("content")))
+    other = F.transform(F.filter("_parts", lambda r: r["date"] == ""), lambda r: r["part"])
     empty = F.array().cast("array<struct<date:string,content:string>>")
-    return staged.withColumns({
-        "profile": F.coalesce(profile, F.lit("")),
+    return dated.withColumns({
+        "profile": F.coalesce(F.array_join(other, "\n\n"), F.lit("")),
         "interactions": F.coalesce(newest, empty)}).drop("_parts")
 
 

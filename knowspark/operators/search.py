@@ -194,16 +194,21 @@ def _search_blocks(items: DataFrame, blocks, k: int, mask=None) -> DataFrame:
 
 def search_batch(
         store: Store, queries: DataFrame, k: int = 10, key: str = "query_id",
-        vector: str = "vector", block_size: int = BLOCK_QUERIES) -> DataFrame:
+        vector: str = "vector", content_type: str = None,
+        block_size: int = BLOCK_QUERIES) -> DataFrame:
     """Exact nearest items of every query vector: ``(query_id, id, similarity, rank)``.
 
+    Query ids are unique; queries without a vector find nothing.
+
     The query matrix goes to the tasks in blocks of ``block_size``, each
     task multiplies it with its items and passes on k rows per query. Nothing is
     joined pairwise, and the shuffle carries only those rows.
     """
     queries = queries.select(F.col(key).cast("string").alias("query_id"), F.col(vector))
-    items = unified_items(store, embedding=True).filter(F.col("embedding").isNotNull()) \
-        .select("id", "embedding")
+    items = unified_items(store, embedding=True).filter(F.col("embedding").isNotNull())
+    if content_type is not None:
+        items = items.filter(F.col("content_type") == content_type)
+    items = items.select("id", "embedding")
     return _search_blocks(items, _blocks(queries, "query_id", vector, block_size), k)
 
 

@@ -312,7 +312,8 @@ GROUP BY w, facet, value"""
 _INTEGERS = {
     **dict.fromkeys(("recent", "recent_events", "by_any_tag", "by_date_range", "related_tags",
                      "related_all", "review_top_tags", "search", "search_tasks",
-                     "search_thoughts", "search_pct", "suggested", "search_batch", "suggest_all"),
+                     "search_thoughts", "search_pct", "suggested", "search_batch", "search_batch_items",
+                     "suggest_all"),
                     ("rank",)),
     **dict.fromkeys(("chunk_all", "chunk_notes", "chunk_sliding", "chunk_windows"),
                     ("chunk_index", "total_chunks")),
@@ -656,6 +657,12 @@ def _build() -> dict:
         "FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS "
         "rank FROM (SELECT query_id, id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS "
         "similarity FROM items, query_vectors WHERE embedding IS NOT NULL)) WHERE rank <= 10")
+    q["search_batch_items"] = _with(
+        f"SELECT CAST(query_id AS VARCHAR) AS query_id, rank, id, content, title, content_type, "
+        f"{tag_text()}, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (SELECT i.*, query_id, "
+        f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS similarity FROM items i, "
+        f"query_vectors WHERE embedding IS NOT NULL AND content_type = 'contact')) WHERE rank <= 5")
     q["suggest_all"] = _with(
         f"SELECT tag, rank, id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER "
         f"(PARTITION BY tag ORDER BY similarity DESC, id) AS rank FROM (SELECT c.tag, i.id, {scored} "

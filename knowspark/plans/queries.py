@@ -801,6 +801,15 @@ def search_batch(spark, sf_dir):
     return hits.select("query_id", "rank", "id", sim())
 
 
+@query
+def search_batch_items(spark, sf_dir):
+    """Hits of every stored vector among the contacts, with their attributes."""
+    store = tables.load(spark, sf_dir)
+    hits = search.search_batch(store, all_queries(spark, sf_dir), 5, content_type="contact")
+    return search.with_items(hits, store).select(
+        "query_id", "rank", "id", "content", "title", "content_type", tag_text(), sim())
+
+
 @on_store
 def suggest_all(store):
     return search.suggest_all(store).select("tag", "rank", "id", sim())

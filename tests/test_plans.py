@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 QUERIES = entry.queries()
 #: Queries that run a model or multiply vectors in Python workers.
 PYTHON = {"hash_embed", "refine_identity", "search", "search_tasks", "search_thoughts",
-          "search_pct", "suggested", "search_batch", "suggest_all", "search_approx",
+          "search_pct", "suggested", "search_batch", "search_batch_items", "suggest_all", "search_approx",
           "update_thoughts"}
 #: Small limited reports, numbered after their limit.
 RANKED = {"recent", "recent_events", "by_any_tag", "by_date_range", "related_tags",
