@@ -51,20 +51,19 @@ def check(df: DataFrame, kind: str, update: bool = False) -> DataFrame:
     """Adds ``reject_reasons``, empty for a valid row.
 
     A NULL in a closed-set column is valid, the default fills it. With ``update``
-    NULL means "keep", also where a new row must have a value. Columns an update
-    does not carry are not checked.
+    NULL means "keep", also where a new row must have a value. An absent column
+    counts as NULL.
     """
     have = set(df.columns)
-    required = {"entries": "content", "tasks": "title", "contacts": "name",
-                "home_items": "name", "interactions": "note"}[kind]
-    full = df
-    if update:
-        for column in ("content", "content_type", "title", "status", "priority", "category",
-                       "name"):
-            if column not in have:
-                full = full.withColumn(column, F.lit(None).cast("string"))
-    elif required not in have:
+    required, closed = {
+        "entries": ("content", ("content_type",)),
+        "tasks": ("title", ("status", "priority", "category")),
+        "contacts": ("name", ()), "home_items": ("name", ()), "interactions": ("note", ()),
+    }[kind]
+    if required not in have and not update:
         raise ValueError(f"{kind} need a column {required!r}")
+    absent = [c for c in (required, *closed) if c not in have]
+    full = df.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else df
     reasons = [F.when(bad, F.lit(why)) for bad, why in _rules(kind, not update)]
     if "_corrupt_record" in have:
         reasons.append(F.when(F.col("_corrupt_record").isNotNull(), "not valid JSON"))

@@ -21,8 +21,6 @@ from knowspark.sources.store import Store
 BLOCK_QUERIES = 8192
 #: Scores a task holds at once.
 SCORE_CELLS = 2_000_000
-#: Hits joined back as a broadcast; beyond this many the join shuffles.
-BROADCAST_HITS = 200_000
 
 
 # One query vector -----------------------------------------------------------
@@ -212,14 +210,16 @@ def search_batch(
     return _search_blocks(items, _blocks(queries, "query_id", vector, block_size), k)
 
 
-def with_items(hits: DataFrame, store: Store, n_hits: int = None) -> DataFrame:
+def with_items(hits: DataFrame, store: Store) -> DataFrame:
     """Hits with the attributes of their items.
 
-    With a known number of hits (queries x k) of at most ``BROADCAST_HITS`` the
-    hits are broadcast and the items only scanned; otherwise AQE decides.
+    The hits are written to the work folder first. Their true size then decides
+    the join: a broadcast that only scans the items, or a shuffle of both.
     """
-    small = hits if n_hits is None or n_hits > BROADCAST_HITS else F.broadcast(hits)
-    return unified_items(store).join(small, "id")
+    spark = hits.sparkSession
+    path = new_work_path(spark, "hits")
+    hits.write.parquet(path)
+    return unified_items(store).join(spark.read.schema(hits.schema).parquet(path), "id")
 
 
 def _mask_tagged(batch, scores, block) -> None:

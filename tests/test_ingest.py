@@ -56,6 +56,12 @@ def test_length_limits(spark, kind, column, limit):
     assert got["fits"] == [] and len(got["not"]) == 1 and len(got["none"]) == 1
 
 
+def test_absent_optional_columns(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "")], "id string, title string")
+    assert reasons(ingest.check(df, "tasks"), "id") == {"a": [], "b": ["title is empty"]}
+    assert ingest.check(df, "tasks").columns == ["id", "title", "reject_reasons"]
+
+
 def test_required_column(spark):
     with pytest.raises(ValueError):
         ingest.check(spark.range(1), "contacts")

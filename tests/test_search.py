@@ -109,6 +109,11 @@ def test_best_prunes_exactly():
         assert got == want
 
 
+def test_batch_of_one_type(spark, made, vectors):
+    hits = search.search_batch(made, batch(spark, vectors), 3, content_type="task").collect()
+    assert hits and all(int(r["id"][1:]) % 4 == 1 for r in hits)
+
+
 def test_no_queries(spark, made):
     empty = spark.createDataFrame([], "query_id string, vector array<float>")
     assert search.search_batch(made, empty).count() == 0
@@ -116,8 +121,9 @@ def test_no_queries(spark, made):
 
 def test_with_items(spark, made, vectors):
     hits = search.search_batch(made, batch(spark, vectors), 2)
-    full = search.with_items(hits, made, n_hits=80)
+    full = search.with_items(hits, made)
     assert full.count() == hits.count()
+    assert "BroadcastHashJoin" in full._jdf.queryExecution().executedPlan().toString()
     assert {"title", "tags", "query_id", "rank"} <= set(full.columns)
 
 
