@@ -582,6 +582,7 @@ def _build() -> dict:
     state = f"SELECT {_STATE}, {bumped('touched')} FROM updated"
     q["update_tasks"] = _with(state)
     q["latest_rows"] = _with(state)
+    q["merge_task_changes"] = _with(state)
     q["updated_tasks"] = _with(state + " WHERE touched")
     q["needs_reembed"] = _with(
         "SELECT id, concat_ws(chr(10), nullif(title, ''), nullif(notes, '')) AS text FROM updated "

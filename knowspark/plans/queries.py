@@ -15,7 +15,8 @@ from knowspark.operators import (
 from knowspark.session import new_work_path
 from knowspark.sources import tables
 from knowspark.sources.notes import read_entries_json
-from knowspark.sources.store import Store, latest_rows, read_store, write_store
+from knowspark.sources.store import (
+    Store, latest_rows, merge_changes, read_store, write_store)
 from knowspark.streaming import jobs
 
 #: The present for tasks, contacts and home items, and for thoughts.
@@ -739,6 +740,14 @@ def latest_task_rows(spark, sf_dir):
 QUERIES["latest_rows"] = latest_task_rows
 
 
+@query
+def merge_task_changes(spark, sf_dir):
+    """Tasks with their changed rows kept in a second table."""
+    base = tables.tasks(spark, sf_dir)
+    newer = changes.updated_rows(base, task_changes(spark, sf_dir), "tasks", AS_OF)
+    return _task_state(merge_changes(base, newer.withColumn("version", F.lit(1))))
+
+
 # Vector search -----------------------------------------------------------------
 
 

@@ -112,3 +112,16 @@ def latest_rows(versions: DataFrame, version: str = "version", key: str = "id")
     newest = versions.groupBy(key).agg(
         F.max_by(F.struct(*rest), F.col(version)).alias("_row"))
     return newest.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def merge_changes(base: DataFrame, versions: DataFrame, version: str = "version",
+                  key: str = "id") -> DataFrame:
+    """The table when changed rows are kept beside it: every changed row in its
+    newest version, all others from ``base``.
+
+    Only the changes are grouped. ``base`` is scanned and, while the changed ids
+    are few enough to broadcast, never shuffled.
+    """
+    newest = latest_rows(versions, version, key).drop(version)
+    kept = base.join(newest.select(key), key, "left_anti")
+    return kept.unionByName(newest)

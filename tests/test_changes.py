@@ -7,7 +7,7 @@ from backends import Marker
 from pyspark.sql import functions as F
 
 from knowspark.operators import changes
-from knowspark.sources.store import latest_rows
+from knowspark.sources.store import latest_rows, merge_changes
 
 T0 = dt.datetime(2024, 1, 1)
 NOW = dt.datetime(2024, 2, 1)
@@ -73,6 +73,16 @@ def test_updated_rows_are_the_touched_ones(spark, tasks):
             c for c in tasks.columns if c != "id"]))
 
 
+def test_merging_kept_changes(spark, tasks):
+    first = spark.createDataFrame([("a", 1, "x"), ("d", 1, "y")], "id string, version int, title string")
+    second = spark.createDataFrame([("a", 1, "z")], "id string, version int, title string")
+    one = changes.updated_rows(tasks, first, "tasks", NOW).withColumn("version", F.lit(1))
+    two = changes.updated_rows(tasks, second, "tasks", NOW).withColumn("version", F.lit(2))
+    merged = merge_changes(tasks, one.unionByName(two))
+    assert {k: r["title"] for k, r in by_id(merged).items()} == {
+        "a": "z", "b": "B", "c": "C", "d": "y"}
+
+
 def test_reembedding(spark, tasks):
     given = spark.createDataFrame(
         [("a", 1, "New", None), ("b", 1, None, ""), ("d", 1, None, None), ("d", 2, None, None)],
