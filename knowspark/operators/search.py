@@ -1,6 +1,7 @@
 """Cosine search: one vector, many vectors, tag suggestions, approximate."""
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -178,16 +179,25 @@ def _top_per_query(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _search_blocks(items: DataFrame, blocks, k: int, mask=None) -> DataFrame:
-    """Exact top-k of every query, one pass over the items per block."""
-    found = None
-    for block in blocks:
-        hits = _top_per_query(_nearest(items, block, k, mask), k)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = items.sparkSession.createDataFrame(
+def _search_blocks(spark: SparkSession, blocks, find) -> DataFrame:
+    """Hits ``find(block)`` of all blocks, one pass over the items per block.
+
+    One block is searched lazily. More are searched one after another and their
+    hits written to the work folder, so the driver never holds more than two.
+    """
+    blocks = iter(blocks)
+    ahead = list(islice(blocks, 2))
+    if not ahead:
+        return spark.createDataFrame(
             [], "query_id string, id string, similarity double, rank int")
-    return found
+    if len(ahead) == 1:
+        return find(ahead[0])
+    path = new_work_path(spark, "hits")
+    while ahead:
+        found = find(ahead.pop(0))
+        found.write.mode("append").parquet(path)
+        ahead.extend(islice(blocks, 1))
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def search_batch(
@@ -207,7 +217,9 @@ def search_batch(
     if content_type is not None:
         items = items.filter(F.col("content_type") == content_type)
     items = items.select("id", "embedding")
-    return _search_blocks(items, _blocks(queries, "query_id", vector, block_size), k)
+    blocks = _blocks(queries, "query_id", vector, block_size)
+    return _search_blocks(
+        items.sparkSession, blocks, lambda block: _top_per_query(_nearest(items, block, k), k))
 
 
 def with_items(hits: DataFrame, store: Store) -> DataFrame:
@@ -248,7 +260,9 @@ def suggest_all(store: Store, k: int = 8, tags: DataFrame = None,
         centroids = centroids.join(
             tags.select(F.col(tags.columns[0]).alias("tag")), "tag", "left_semi")
     blocks = _blocks(centroids, "tag", "centroid", block_size)
-    return _search_blocks(items, blocks, k, _mask_tagged).withColumnRenamed("query_id", "tag")
+    hits = _search_blocks(items.sparkSession, blocks, lambda block: _top_per_query(
+        _nearest(items, block, k, _mask_tagged), k))
+    return hits.withColumnRenamed("query_id", "tag")
 
 
 # Approximate ----------------------------------------------------------------
@@ -303,22 +317,19 @@ def search_approx(
     queries = queries.select(F.col(key).cast("string").alias("query_id"), F.col(vector))
     centers = unit_rows(index.centers)
     items = index.items(spark)
-    found = None
-    for block in _blocks(queries, "query_id", vector, block_size):
+
+    def find(block):
         nearness = np.nan_to_num(block.units @ centers.T, nan=-2.0)
         chosen = np.argsort(-nearness, axis=1, kind="stable")[:, :probes]
         asked = np.zeros(nearness.shape, dtype=bool)
         np.put_along_axis(asked, chosen, True, axis=1)
 
-        def mask(batch, scores, block, asked=asked):
+        def mask(batch, scores, _):
             cell = batch.column("cell").to_numpy(zero_copy_only=False)
             scores[~asked[:, cell].T] = np.nan
 
         wanted = [int(c) for c in np.flatnonzero(asked.any(axis=0))]
-        hits = _top_per_query(
-            _nearest(items.filter(F.col("cell").isin(wanted)), block, k, mask), k)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = spark.createDataFrame(
-            [], "query_id string, id string, similarity double, rank int")
-    return found
+        mine = items.filter(F.col("cell").isin(wanted))
+        return _top_per_query(_nearest(mine, block, k, mask), k)
+
+    return _search_blocks(spark, _blocks(queries, "query_id", vector, block_size), find)
