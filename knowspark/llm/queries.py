@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knowspark.llm import chat_format, quality_rules, sharding
+from knowspark.llm import (
+    chat_format, quality_rules, sharding, substring_dedup, suffix_dedup)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -26,12 +31,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(rows.unionByName(own)))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_bytes(table(spark, sf_dir, "documents"), 16)
 
 
 QUERIES = {f.__name__: f for f in (
-    op6_quality_rules, op7_chat_format, op10_sharding)}
+    op1_substring_dedup, op6_quality_rules, op7_chat_format, op8_suffix_dedup, op10_sharding)}
 
 #: SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
