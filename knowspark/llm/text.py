@@ -144,3 +144,23 @@ def signed(x: np.ndarray) -> np.ndarray:
 def rows_of(bounds: np.ndarray) -> np.ndarray:
     """The row of each element, given each row's first element and the end."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+#: 0 blank, 1 letters, digits and all bytes beyond ASCII, 2 any other character.
+_CLASS = np.full(256, 2, dtype=np.uint8)
+_CLASS[_BLANK] = 0
+_CLASS[48:58] = _CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[128:] = 1
+
+
+def token_bounds(data: np.ndarray, offsets: np.ndarray) \
+        -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longest runs of letters or of other marks: starts, ends, the first token of
+    each text (and the end), and whether it is a run of letters."""
+    kind, n = _CLASS[data], len(data)
+    change = np.ones(n + 1, dtype=bool)
+    change[1:n] = kind[1:] != kind[:-1]
+    change[offsets] = True
+    starts = np.flatnonzero(change[:-1] & (kind != 0))
+    ends = np.flatnonzero(change[1:] & (kind != 0)) + 1
+    return starts, ends, np.searchsorted(starts, offsets), kind[starts] == 1
