@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from knowspark.llm import labelled, text as T
 
-BITS = 18
+BITS = 20
 CHAIN = 64
 TRAIN_ROWS = 20_000
 SHARDS = 4
@@ -40,8 +40,9 @@ EPOCHS = 6
 BATCH = 256
 RATE = 0.3
 L2 = 1e-4
-#: A feature marks toxic tokens from so many toxic documents and such odds on.
-MIN_DOCUMENTS, MIN_ODDS = 4, 20.0
+#: A feature marks toxic tokens from so many toxic documents, such a share of them
+#: (copies of one toxic document share all their words) and such odds on.
+MIN_DOCUMENTS, MIN_SHARE, MIN_ODDS = 4, 0.015, 20.0
 #: Most features that may mark tokens.
 LEXICON = 50_000
 #: One in so many chains without a toxic token is trained on.
@@ -184,12 +185,13 @@ def _lexicon(sample: DataFrame) -> np.ndarray:
 
     totals = sample.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     clean = max(totals.n - (totals.toxic or 0), 1)
+    least = max(MIN_DOCUMENTS, MIN_SHARE * (totals.toxic or 0))
     share = (F.col("toxic") + 0.1) / max(totals.toxic or 0, 1) \
         / ((F.col("n") - F.col("toxic") + 0.1) / clean)
     rows = (
         sample.select("text", "label").mapInArrow(run, "f long, toxic long, n long")
         .groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-        .filter((F.col("toxic") >= MIN_DOCUMENTS) & (share >= MIN_ODDS))
+        .filter((F.col("toxic") >= least) & (share >= MIN_ODDS))
         .orderBy(F.col("toxic").desc(), "f").limit(LEXICON).collect())
     return np.sort(np.array([r.f for r in rows], dtype=np.int64))
 
