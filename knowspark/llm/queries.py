@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from knowspark.llm import (
-    chat_format, quality, quality_rules, sharding, substring_dedup, suffix_dedup, toxicity)
+    chat_format, decontaminate, quality, quality_rules, sharding, substring_dedup, suffix_dedup,
+    toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +44,18 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"),
+                                 table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_bytes(table(spark, sf_dir, "documents"), 16)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op3_quality, op4_toxicity, op6_quality_rules, op7_chat_format,
-    op8_suffix_dedup, op10_sharding)}
+    op8_suffix_dedup, op9_decontaminate, op10_sharding)}
 
 #: SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
