@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from knowspark.llm import (
-    chat_format, decontaminate, quality, quality_rules, sharding, substring_dedup, suffix_dedup,
-    toxicity)
+    chat_format, decontaminate, mixing, quality, quality_rules, sharding, substring_dedup,
+    suffix_dedup, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op3_quality, op4_toxicity, op6_quality_rules, op7_chat_format,
+    op1_substring_dedup, op2_mixing, op3_quality, op4_toxicity, op6_quality_rules, op7_chat_format,
     op8_suffix_dedup, op9_decontaminate, op10_sharding)}
 
 #: SQL of the queries that SQL can express.
