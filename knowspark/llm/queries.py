@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from knowspark.llm import (
-    chat_format, decontaminate, mixing, quality, quality_rules, sharding, substring_dedup,
-    suffix_dedup, toxicity)
+    chat_format, decontaminate, mixing, near_dup, quality, quality_rules, sharding,
+    substring_dedup, suffix_dedup, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_mixing, op3_quality, op4_toxicity, op6_quality_rules, op7_chat_format,
+    op1_substring_dedup, op2_mixing, op3_quality, op4_toxicity, op5_near_dup,
+    op6_quality_rules, op7_chat_format,
     op8_suffix_dedup, op9_decontaminate, op10_sharding)}
 
 #: SQL of the queries that SQL can express.
