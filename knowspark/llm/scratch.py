@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +29,10 @@ def forget_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files that no table needs any more.
 
     Spark removes them once the driver has collected the plans they belong to;
-    after a large intermediate table is written, that should not wait.
+    after a large intermediate table is written, that should not wait. Python's
+    handles are given back in the background, hence the second round.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
