@@ -8,13 +8,15 @@ give equal windows equal names, wherever they stand. Then:
 
 1. A window whose name occurs once occurs once: its unit drops out.
 2. Units that are equal as a whole are settled together.
-3. Where one name has different units, their windows are compared one by one.
+3. Where one name has different units, their windows are compared one by one:
+   whole units meet under their name, or, where a name has more than ``FEW``
+   units, single windows meet under their own fingerprints.
 
-Each step is one shuffle by fingerprint followed by a sort; a task streams over
-the sorted rows and holds one name at a time. Before each shuffle every Arrow
+Each of the two shuffles goes by fingerprint and is followed by a sort; a task
+streams over the sorted rows and holds one name at a time. Before, every Arrow
 batch settles what it can by itself and sends one representative per unit (or
-one row that announces a name with several units), so a passage in a third of
-all documents costs a row per batch, not per document.
+one row that announces a name with more than ``LOCAL`` units), so a passage in a
+third of all documents costs a few rows per batch, not one per document.
 
 Names group, and a second 64-bit fingerprint decides within a name.
 
@@ -38,9 +40,12 @@ from knowspark.llm.scratch import forget_shuffles, written
 TAG_BITS, COUNT_BITS, KIND_BITS = 22, 6, 2
 MOST_WINDOWS = (1 << COUNT_BITS) - 1
 FIRST_SHIFT = TAG_BITS + COUNT_BITS + KIND_BITS
-#: An occurrence to compare; a name known to have several units; a unit known to
-#: be repeated; a unit whose windows must be compared.
+#: An occurrence to compare (later: with the few units of its name); a name known
+#: to have many units; a unit or window known to be repeated; a unit or window to
+#: compare window by window.
 PLAIN, SEVERAL, REPEATED, OPEN = 0, 1, 2, 3
+#: Units of a name that one batch sends, and that are compared as a group.
+LOCAL, FEW = 4, 64
 NULL_ID = -(1 << 63)
 
 
@@ -57,6 +62,11 @@ class Parser:
     #: ``(bounds, values_a) -> (first, count, name)`` of all units, in order;
     #: ``first`` counts elements of the whole piece.
     units: Callable
+    #: ``(bytes, offsets, bounds, values_a, start, count) -> binary array``: what a
+    #: unit's windows are made again from.
+    carry: Callable
+    #: ``(binary array, count) -> fingerprints`` of all windows of the units.
+    carried: Callable
 
 
 def pack(first: np.ndarray, tag: np.ndarray, count, kind) -> np.ndarray:
@@ -108,6 +118,21 @@ def _batch(names, arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=list(names))
 
 
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Neighbouring stretches of a buffer as a binary array."""
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes),
+                                 [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def contents(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary array without NULLs."""
+    buffers = array.buffers()
+    ends = np.frombuffer(buffers[1], np.int32)[array.offset:array.offset + len(array) + 1]
+    data = np.frombuffer(buffers[2], np.uint8)[ends[0]:ends[-1]]
+    return data, (ends - ends[0]).astype(np.int64)
+
+
 ROW = "key long, u long, d long, at long"
 NAMES = ("key", "u", "d", "at")
 
@@ -120,7 +145,7 @@ def _first_round(parser: Parser, key, u, d, at) -> Iterator[pa.RecordBatch]:
     new = _starts(key, u)
     unit, unit_size = _runs(new)
     units = np.bincount(name, weights=new, minlength=len(size)).astype(np.int64)
-    several = units[name] > 1
+    several = units[name] > LOCAL
     if parser.earlier:
         repeated = d > d[np.flatnonzero(new)][unit]
         sent = ~repeated
@@ -139,49 +164,48 @@ def _first_round(parser: Parser, key, u, d, at) -> Iterator[pa.RecordBatch]:
         yield _batch(NAMES, (key[heads], u[heads], np.full(n, NULL_ID), np.full(n, SEVERAL)))
 
 
-def _settle(parser: Parser, key, u, d, at) -> tuple[np.ndarray, np.ndarray]:
-    """Whole names, sorted by (key, u, d): repeated units and open ones."""
+def _settle(parser: Parser, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Whole names, sorted by (key, u, d): repeated units and units to compare."""
+    key, u, d, at = _arrays(batch, NAMES)
     kind = at & 3
     known = (kind == REPEATED) | (kind == OPEN)
-    out_d, out_at = [d[known]], [at[known]]
+    out = [(key[known], d[known], at[known])]
     key, u, d, at, kind = (x[~known] for x in (key, u, d, at, kind))
     if len(key):
         name, size = _runs(_starts(key))
-        new = _starts(key, u)
         announced = np.bincount(name, weights=kind == SEVERAL, minlength=len(size)) > 0
-        several = (announced | (np.bincount(name, weights=new, minlength=len(size)) > 1))[name]
         keep = kind == PLAIN
-        name, key, u, d, at, several = (x[keep] for x in (name, key, u, d, at, several))
+        name, key, u, d, at = (x[keep] for x in (name, key, u, d, at))
         new = _starts(key, u)
+        units = np.bincount(name, weights=new, minlength=len(size))
+        many, several = (announced | (units > FEW))[name], (announced | (units > 1))[name]
         unit, unit_size = _runs(new)
-        if len(key):
-            if parser.earlier:
-                repeated = d > d[np.flatnonzero(new)][unit]
-                head = ~repeated
-            else:
-                repeated = unit_size[unit] > 1
-                head = new
-            for rows, kind in ((repeated, REPEATED), (head & several, OPEN)):
-                out_d.append(d[rows])
-                out_at.append(_kinds(at[rows], kind))
-    return np.concatenate(out_d), np.concatenate(out_at)
-
-
-def _names_at_a_time(batches, names, act) -> Iterator[pa.RecordBatch]:
+        if parser.earlier:
+            repeated = d > d[np.flatnonzero(new)][unit]
+            head = ~repeated
+        else:
+            repeated = unit_size[unit] > 1
+            head = new
+        for rows, kind in ((repeated, REPEATED), (head & several & ~many, PLAIN),
+                           (head & many, OPEN)):
+            out.append((key[rows], d[rows], _kinds(at[rows], kind)))
+    return _batch(("key", "d", "at"), map(np.concatenate, zip(*out)))
+
+
+def _names_at_a_time(batches, act) -> Iterator[pa.RecordBatch]:
     """Apply ``act`` to whole runs of the first column over sorted batches."""
     held = None
     for batch in batches:
-        arrays = _arrays(batch, names)
-        if held is not None:
-            arrays = [np.concatenate(p) for p in zip(held, arrays)]
-        if not len(arrays[0]):
+        if held is not None and held.num_rows:
+            batch = pa.concat_batches([held, batch])
+        if not batch.num_rows:
             continue
-        cut = int(np.flatnonzero(_starts(arrays[0]))[-1])
+        cut = int(np.flatnonzero(_starts(batch[0].to_numpy()))[-1])
         if cut:
-            yield _batch(("d", "at"), act(*(a[:cut] for a in arrays)))
-        held = [a[cut:] for a in arrays]
+            yield act(batch.slice(0, cut))
+        held = batch.slice(cut)
     if held is not None:
-        yield _batch(("d", "at"), act(*held))
+        yield act(held)
 
 
 def with_id(documents: DataFrame) -> DataFrame:
@@ -213,33 +237,44 @@ def _occurrences(parser: Parser, docs: DataFrame) -> DataFrame:
 
 
 def _windows(parser: Parser, docs: DataFrame, open_units: DataFrame) -> DataFrame:
-    """The windows of open units, two fingerprints each."""
-    listed = open_units.groupBy("d").agg(F.collect_list("at").alias("ats"))
+    """Units to compare under their name, and the windows of the others."""
+    listed = open_units.groupBy("d").agg(
+        F.collect_list(F.struct("at", "key")).alias("ats"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts = batch["d"].to_numpy(), []
             lists = batch["ats"]
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            ends = lists.offsets.to_numpy()
+            flat, names = (lists.values.field(c).to_numpy() for c in ("at", "key"))
             for first_row, end_row, data, offsets in T.pieces(batch["text"]):
                 bounds, a, b = parser.elements(data, offsets)
                 pa_, pb = T.Prefix(a, T.BASE_A), T.Prefix(b, T.BASE_B)
-                at = flat[ends[first_row]:ends[end_row]]
+                here = slice(ends[first_row], ends[end_row])
+                at, name = flat[here], names[here]
                 row = T.rows_of(ends[first_row:end_row + 1])
+                mine = (at >> (COUNT_BITS + KIND_BITS)) & ((1 << TAG_BITS) - 1) \
+                    == tags(bounds, pb)[row]
+                at, name, row = at[mine], name[mine], row[mine]
                 first, tag, count = unpack(at)
-                mine = tag == tags(bounds, pb)[row]
-                first, tag, count, row = first[mine], tag[mine], count[mine], row[mine]
-                start = np.repeat(first + bounds[row], count) + steps(count)
+                start = first + bounds[row]
+                few = (at & 3) == PLAIN
+                if few.any():
+                    yield _batch((*NAMES, "carried"), (
+                        name[few], np.zeros(few.sum(), np.int64), ids[first_row + row[few]], at[few],
+                        parser.carry(data, offsets, bounds, a, start[few], count[few])))
+                first, tag, count, start, row = (x[~few] for x in (first, tag, count, start, row))
+                start = np.repeat(start, count) + steps(count)
                 row, tag = np.repeat(row, count), np.repeat(tag, count)
-                at = pack(start - bounds[row], tag, 1 << KIND_BITS, PLAIN)
                 parts.append((T.signed(pa_.of(start, start + parser.width)),
                               T.signed(pb.of(start, start + parser.width)),
-                              ids[first_row + row], at))
+                              ids[first_row + row],
+                              pack(start - bounds[row], tag, 1 << KIND_BITS, OPEN)))
             if parts:
                 yield from _window_round(parser, *(np.concatenate(p) for p in zip(*parts)))
 
     return docs.select("d", "text").join(listed, "d").select("d", "text", "ats") \
-        .mapInArrow(run, ROW)
+        .mapInArrow(run, ROW + ", carried binary")
 
 
 def _window_round(parser: Parser, key, u, d, at) -> Iterator[pa.RecordBatch]:
@@ -254,11 +289,12 @@ def _window_round(parser: Parser, key, u, d, at) -> Iterator[pa.RecordBatch]:
     else:
         repeated = size[run] > 1
         sent = new
-    yield _batch(NAMES, (key[sent], u[sent], d[sent], at[sent]))
+    none = lambda n: pa.nulls(n, pa.binary())
+    yield _batch((*NAMES, "carried"), (key[sent], u[sent], d[sent], at[sent], none(sent.sum())))
     if repeated.any():
         out = _kinds(at[repeated], REPEATED)
-        yield _batch(NAMES, (_spread(d[repeated], out), np.zeros(len(out), np.int64),
-                             d[repeated], out))
+        yield _batch((*NAMES, "carried"), (_spread(d[repeated], out), np.zeros(len(out), np.int64),
+                                           d[repeated], out, none(len(out))))
 
 
 def steps(count: np.ndarray) -> np.ndarray:
@@ -267,17 +303,42 @@ def steps(count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
 
 
-def _repeated_windows(parser: Parser, key, u, d, at):
-    known = (at & 3) == REPEATED
-    out_d, out_at = [d[known]], [at[known]]
-    key, u, d, at = (x[~known] for x in (key, u, d, at))
-    if len(key):
-        new = _starts(key, u)
-        run, size = _runs(new)
-        hit = d > d[np.flatnonzero(new)][run] if parser.earlier else size[run] > 1
-        out_d.append(d[hit])
-        out_at.append(_kinds(at[hit], REPEATED))
-    return np.concatenate(out_d), np.concatenate(out_at)
+def _repeated_windows(parser: Parser, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Whole keys, sorted by (key, u, d): the repeated windows."""
+    key, u, d, at = _arrays(batch, NAMES)
+    kind = at & 3
+    out = [(d[kind == REPEATED], at[kind == REPEATED])]
+    single = kind == OPEN
+    if single.any():
+        k, v, i, a = (x[single] for x in (key, u, d, at))
+        hit = _again(parser, i, k, v)
+        out.append((i[hit], _kinds(a[hit], REPEATED)))
+    few = np.flatnonzero(kind == PLAIN)
+    if len(few):
+        first, tag, count = unpack(at[few])
+        prints = parser.carried(batch["carried"].take(pa.array(few)), count)
+        unit = np.repeat(np.arange(len(few)), count)
+        order = np.lexsort((d[few][unit], prints, key[few][unit]))
+        hit = np.zeros(len(prints), dtype=bool)
+        hit[order] = _again(parser, d[few][unit][order], key[few][unit][order], prints[order])
+        # Neighbouring windows of a unit become one range.
+        begins = hit.copy()
+        begins[1:] &= ~hit[:-1] | (unit[1:] != unit[:-1])
+        stops = hit.copy()
+        stops[:-1] &= ~hit[1:] | (unit[1:] != unit[:-1])
+        begin, stop = np.flatnonzero(begins), np.flatnonzero(stops)
+        unit = unit[begin]
+        out.append((d[few][unit], pack(first[unit] + steps(count)[begin], tag[unit],
+                                       stop - begin + 1, REPEATED)))
+    return _batch(("d", "at"), map(np.concatenate, zip(*out)))
+
+
+def _again(parser: Parser, d: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Rows (sorted by keys and d) whose keys are found again: in a smaller
+    document, or anywhere else."""
+    new = _starts(*keys)
+    run, size = _runs(new)
+    return d > d[np.flatnonzero(new)][run] if parser.earlier else size[run] > 1
 
 
 def repeated_ranges(parser: Parser, documents: DataFrame) -> DataFrame:
@@ -285,18 +346,17 @@ def repeated_ranges(parser: Parser, documents: DataFrame) -> DataFrame:
     docs = with_id(documents)
     settled = written(
         _occurrences(parser, docs).repartition("key").sortWithinPartitions("key", "u", "d")
-        .mapInArrow(lambda b: _names_at_a_time(
-            b, NAMES, lambda *a: _settle(parser, *a)), "d long, at long"), "repeats-units")
+        .mapInArrow(lambda b: _names_at_a_time(b, lambda x: _settle(parser, x)),
+                    "key long, d long, at long"), "repeats-units")
     forget_shuffles(documents.sparkSession)
-    kind = F.col("at").bitwiseAND(F.lit(3))
+    repeated = F.col("at").bitwiseAND(F.lit(3)) == REPEATED
     windows = written(
-        _windows(parser, docs, settled.filter(kind == OPEN))
+        _windows(parser, docs, settled.filter(~repeated))
         .repartition("key").sortWithinPartitions("key", "u", "d")
-        .mapInArrow(lambda b: _names_at_a_time(
-            b, NAMES, lambda *a: _repeated_windows(parser, *a)), "d long, at long"),
-        "repeats-windows")
+        .mapInArrow(lambda b: _names_at_a_time(b, lambda x: _repeated_windows(parser, x)),
+                    "d long, at long"), "repeats-windows")
     forget_shuffles(documents.sparkSession)
-    return settled.filter(kind == REPEATED).unionByName(windows)
+    return settled.filter(repeated).select("d", "at").unionByName(windows)
 
 
 def apply_ranges(parser: Parser, documents: DataFrame, ranges: DataFrame, emit: Callable,

@@ -102,7 +102,15 @@ def parser(width: int = WIDTH) -> repeats.Parser:
         return (first, np.minimum(np.repeat(high, parts) - first, np.repeat(part, parts)),
                 np.repeat(names, parts))
 
-    return repeats.Parser(width, False, elements, units)
+    def carry(data, offsets, bounds, a, start, count):
+        first = np.repeat(start, count) + repeats.steps(count)
+        return repeats.binaries(T.Prefix(a, T.BASE_A).of(first, first + width).view(np.uint8),
+                                count * 8)
+
+    def carried(array, count):
+        return repeats.contents(array)[0].view(T.U64)
+
+    return repeats.Parser(width, False, elements, units, carry, carried)
 
 
 def _emit(data, offsets, bounds, covered):

@@ -83,7 +83,16 @@ def parser(width: int = WIDTH, gram: int = GRAM) -> repeats.Parser:
         ends = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True)) + 1
         return first, ends - first, ranks[anchor[first]]
 
-    return repeats.Parser(width, True, elements, units)
+    def carry(data, offsets, bounds, a, start, count):
+        size = count + width - 1
+        return repeats.binaries(data[np.repeat(start, size) + repeats.steps(size)], size)
+
+    def carried(array, count):
+        data, offsets = repeats.contents(array)
+        first = np.repeat(offsets[:-1], count) + repeats.steps(count)
+        return T.Prefix(table_a[data], T.BASE_A).of(first, first + width)
+
+    return repeats.Parser(width, True, elements, units, carry, carried)
 
 
 def _emit(data, offsets, bounds, covered):
