@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from knowspark.llm.scratch import fresh
+
 #: Edits allowed per character of an item.
 RATE = 0.08
 MIN_CHARS = 20
@@ -168,6 +170,13 @@ def _pass(documents: DataFrame, items: list[tuple], column: str) -> DataFrame:
     return documents.mapInArrow(run, documents.schema)
 
 
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold nothing of the benchmark, all columns as they are."""
+    name, = fresh(documents.columns, "leaks")
+    return find_leaks(documents, benchmark, name).filter(F.size(name) == 0) \
+        .select(*documents.columns)
+
+
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item found in it."""
     return find_leaks(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),

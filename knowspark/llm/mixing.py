@@ -29,7 +29,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from knowspark.llm.scratch import written
+from knowspark.llm.scratch import fresh, written
 
 BUCKETS = 1 << 14
 TRAIN_ROWS = 20_000
@@ -193,14 +193,11 @@ def _copies(rate: Column, key: Column) -> Column:
 def mix(documents: DataFrame, labels: DataFrame, targets: dict = TARGETS,
         domains: dict = DOMAINS) -> DataFrame:
     """The documents, each as often as its rate says; columns unchanged."""
-    own = {c.lower() for c in documents.columns}
-    names = {n: next(f"{n}_{i}" if i else n for i in range(len(own) + 1)
-                     if (f"{n}_{i}" if i else n) not in own) for n in ("n_tokens", "membership")}
+    tokens, members = fresh(documents.columns, "n_tokens", "membership")
     model = train(documents, labels, domains)
-    measured = posteriors(documents, model, names["n_tokens"], names["membership"])
-    pull, _ = solve(
-        written(measured.select(names["n_tokens"], names["membership"]), "mixing-posteriors"),
-        [targets[d] for d in domains], None, names["n_tokens"], names["membership"])
-    copies = _copies(_rate(names["membership"], pull), F.col("doc_id").cast("long"))
-    return measured.withColumn(names["n_tokens"], F.explode(F.when(
+    measured = posteriors(documents, model, tokens, members)
+    pull, _ = solve(written(measured.select(tokens, members), "mixing-posteriors"),
+                    [targets[d] for d in domains], None, tokens, members)
+    copies = _copies(_rate(members, pull), F.col("doc_id").cast("long"))
+    return measured.withColumn(tokens, F.explode(F.when(
         copies > 0, F.array_repeat(F.lit(True), copies)))).select(*documents.columns)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from knowspark.llm import text as T
 from knowspark.llm.components import components
 from knowspark.llm.repeats import NULL_ID, binaries, contents, with_id
-from knowspark.llm.scratch import forget_shuffles, written
+from knowspark.llm.scratch import forget_shuffles, fresh, written
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -392,3 +392,16 @@ def near_duplicates(documents: DataFrame, trees: int = TREES) -> DataFrame:
         .select("doc_id", F.col("n").alias("n_shingles"),
                 F.when(component != NULL_ID, component).alias("component_id"),
                 (F.col("d") == component).alias("kept"))
+
+
+def one_of_each(documents: DataFrame, trees: int = TREES) -> DataFrame:
+    """One document of each component, all columns as they are.
+
+    Of rows equal in doc_id and text one stays. Rows that share a doc_id but not
+    the text stand or fall together.
+    """
+    key, = fresh(documents.columns, "d")
+    kept = near_duplicates(documents, trees).filter("kept").select(
+        F.coalesce("doc_id", F.lit(NULL_ID)).alias(key)).distinct()
+    return documents.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))) \
+        .join(kept, key).dropDuplicates([key, "text"]).select(*documents.columns)

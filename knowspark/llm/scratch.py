@@ -36,3 +36,15 @@ def forget_shuffles(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
+    """Names like these that no column has."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)

@@ -28,9 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from knowspark.llm import labelled, text as T
+from knowspark.llm.scratch import fresh
 
 BITS = 20
 CHAIN = 64
@@ -257,16 +259,17 @@ def _curve(rows) -> np.ndarray:
     return c
 
 
-def _evidence(documents: DataFrame, weights: np.ndarray) -> DataFrame:
+def _evidence(documents: DataFrame, weights: np.ndarray, keep_text: bool = False,
+              names: tuple = ("expected", "most", "spans")) -> DataFrame:
     """Per document: expected toxic words, the largest marginal, and the spans of
     words more likely toxic than not, in code points."""
     weights = weights.astype(np.float32)
-    schema = documents.schema
+    kept = [f for f in documents.schema if keep_text or f.name != "text"]
+    others = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
-            others = [n for n in batch.schema.names if n != "text"]
             for first, end, data, offsets in T.pieces(batch["text"]):
                 starts, ends, bounds, places = tokens(data, offsets)
                 m = marginals(places, bounds, weights)
@@ -284,11 +287,26 @@ def _evidence(documents: DataFrame, weights: np.ndarray) -> DataFrame:
                     [*(batch[c].slice(first, n) for c in others),
                      pa.array(np.bincount(row, weights=m, minlength=n)), pa.array(most),
                      pa.ListArray.from_arrays(pa.array(cuts), spans)],
-                    names=[*others, "expected", "most", "spans"])
+                    names=[*others, *names])
 
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name != "text")
-    return documents.mapInArrow(
-        run, f"{kept}, expected double, most double, spans array<struct<start:int,end:int>>")
+    span = StructType().add("start", "integer").add("end", "integer")
+    schema = StructType(list(kept)).add(names[0], "double").add(names[1], "double") \
+        .add(names[2], ArrayType(span))
+    return documents.mapInArrow(run, schema)
+
+
+def _logistic(expected: Column, most: Column, curve: np.ndarray) -> Column:
+    raw = (F.log(expected + 1e-3) * float(curve[0]) + most * float(curve[1]) + float(curve[2]))
+    return 1 / (1 + F.exp(-F.least(F.greatest(raw, F.lit(-35.0)), F.lit(35.0))))
+
+
+def clean(documents: DataFrame, model) -> DataFrame:
+    """The documents that score below the threshold, all columns as they are."""
+    weights, curve = model
+    names = fresh(documents.columns, "expected", "most", "spans")
+    seen = _evidence(documents, weights, True, names)
+    return seen.filter(_logistic(F.col(names[0]), F.col(names[1]), curve) < THRESHOLD) \
+        .select(*documents.columns)
 
 
 def score(documents: DataFrame, model) -> DataFrame:
@@ -296,10 +314,8 @@ def score(documents: DataFrame, model) -> DataFrame:
     weights, curve = model
     seen = _evidence(documents.select(F.col("doc_id").cast("long").alias("doc_id"),
                                       F.col("text").cast("string").alias("text")), weights)
-    raw = (F.log(F.col("expected") + 1e-3) * float(curve[0]) + F.col("most") * float(curve[1])
-           + float(curve[2]))
-    return seen.select("doc_id", (1 / (1 + F.exp(-F.least(F.greatest(raw, F.lit(-35.0)),
-                                                          F.lit(35.0))))).alias("score"), "spans")
+    return seen.select("doc_id", _logistic(F.col("expected"), F.col("most"), curve).alias("score"),
+                       "spans")
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
