@@ -31,7 +31,9 @@ from knowspark.llm import labelled, text as T
 BITS = 18
 TRAIN_ROWS = 20_000
 SHARDS = 4
-EPOCHS = 3
+#: Passes over the rows of a shard, and updates that a small shard gets at least
+#: (in no more than ``MOST_EPOCHS`` passes).
+EPOCHS, UPDATES, MOST_EPOCHS = 3, 5_000, 20
 #: FTRL-proximal: learning rate, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.1
 #: Score from which a document counts as good.
@@ -77,7 +79,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
-    """Weights (bias last) after ``EPOCHS`` passes over ``(places, values, label)``."""
+    """Weights (bias last) after all passes over ``(places, values, label)``."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(at):
@@ -85,7 +87,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
         w = -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
         return np.where(np.abs(zi) <= L1, 0.0, w)
 
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, min(MOST_EPOCHS, UPDATES // max(len(rows), 1)))):
         for places, values, label in rows:
             at = np.append(places, 1 << BITS)
             x = np.append(values, 1.0)

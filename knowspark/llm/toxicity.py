@@ -17,7 +17,7 @@ Everything learnt comes from at most ``TRAIN_ROWS`` labelled rows outside the
 held-out fold. Labels, lang, source and doc_id are no inputs of a score.
 
 NULL, empty and wordless texts have no tokens and get the score of none. Repeated
-rows are scored alike. Without labelled rows every score is 0. Extra columns
+rows are scored alike. Without toxic labels every score is 0. Extra columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -38,7 +38,9 @@ BITS = 20
 CHAIN = 64
 TRAIN_ROWS = 20_000
 SHARDS = 4
-EPOCHS = 6
+#: Passes over the chains of a shard, and batches that a small shard gets at least
+#: (in no more than ``MOST_EPOCHS`` passes).
+EPOCHS, STEPS, MOST_EPOCHS = 6, 150, 40
 BATCH = 256
 RATE = 0.3
 L2 = 1e-4
@@ -132,7 +134,8 @@ def fit(places: np.ndarray, marked: np.ndarray, bounds: np.ndarray) -> np.ndarra
     seen = np.full(len(w), 1e-6)
     first, size = chains(bounds)
     rng = np.random.default_rng(3)
-    for _ in range(EPOCHS):
+    batches = -(-len(first) // BATCH)
+    for _ in range(max(EPOCHS, min(MOST_EPOCHS, STEPS // max(batches, 1)))):
         order = rng.permutation(len(first))
         for at in range(0, len(order), BATCH):
             pick = order[at:at + BATCH]
@@ -244,7 +247,7 @@ def _inputs(expected, most) -> np.ndarray:
 
 def _curve(rows) -> np.ndarray:
     """Logistic regression on two numbers, by Newton steps."""
-    if not rows:
+    if not any(r.label for r in rows):
         return np.array([0.0, 0.0, -50.0])
     x = _inputs([r.expected for r in rows], [r.most for r in rows])
     y = np.array([r.label for r in rows], dtype=float)
@@ -285,7 +288,7 @@ def _evidence(documents: DataFrame, weights: np.ndarray, keep_text: bool = False
                 cuts = np.searchsorted(row[bad], np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch[c].slice(first, n) for c in others),
-                     pa.array(np.bincount(row, weights=m, minlength=n)), pa.array(most),
+                     pa.array(np.bincount(row, weights=m, minlength=n), pa.float64()), pa.array(most),
                      pa.ListArray.from_arrays(pa.array(cuts), spans)],
                     names=[*others, *names])
 
