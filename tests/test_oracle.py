@@ -4,12 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from knowspark.plans.oracle import ORACLE as CORE_ORACLE
+from knowspark.plans.queries import QUERIES as CORE
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
          "boolean": "BOOLEAN"}
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = {k: entry.queries()[k] for k in CORE}, CORE_ORACLE
 ROWS_ONLY = {"search_approx"}
 
 

@@ -5,8 +5,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from knowspark.plans.queries import QUERIES as CORE
 
-QUERIES = entry.queries()
+QUERIES = {k: entry.queries()[k] for k in CORE}
 #: Queries that run a model or multiply vectors in Python workers.
 PYTHON = {"hash_embed", "refine_identity", "search", "search_tasks", "search_thoughts",
           "search_pct", "suggested", "search_batch", "suggest_all", "search_approx",
