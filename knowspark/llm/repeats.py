@@ -13,10 +13,11 @@ give equal windows equal names, wherever they stand. Then:
    units, single windows meet under their own fingerprints.
 
 Each of the two shuffles goes by fingerprint and is followed by a sort; a task
-streams over the sorted rows and holds one name at a time. Before, every Arrow
-batch settles what it can by itself and sends one representative per unit (or
-one row that announces a name with more than ``LOCAL`` units), so a passage in a
-third of all documents costs a few rows per batch, not one per document.
+streams over the sorted rows and holds one name at a time. Before, a task
+settles what it can by itself, some megabytes of text at a time, and sends one
+representative per unit (or one row that announces a name with more than
+``LOCAL`` units), so a passage in a third of all documents costs a few rows per
+``ROUND_BYTES`` of text, not one per document.
 
 Names group, and a second 64-bit fingerprint decides within a name.
 
@@ -45,7 +46,9 @@ FIRST_SHIFT = TAG_BITS + COUNT_BITS + KIND_BITS
 #: compare window by window.
 PLAIN, SEVERAL, REPEATED, OPEN = 0, 1, 2, 3
 #: Units of a name that one batch sends, and that are compared as a group.
-LOCAL, FEW = 4, 64
+LOCAL, FEW = 16, 4096
+#: Bytes of text that a task settles by itself at a time.
+ROUND_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -219,8 +222,9 @@ def _occurrences(parser: Parser, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["d"].to_numpy()
-            parts = []
+            parts, held = [], 0
             for first_row, _, data, offsets in T.pieces(batch["text"]):
+                held += len(data)
                 bounds, a, b = parser.elements(data, offsets)
                 first, count, name = parser.units(bounds, a)
                 if not len(first):
@@ -230,8 +234,11 @@ def _occurrences(parser: Parser, docs: DataFrame) -> DataFrame:
                 u = prefix.of(first, first + count - 1 + parser.width)
                 at = pack(first - bounds[row], tags(bounds, prefix)[row], count, PLAIN)
                 parts.append((T.signed(name), T.signed(u), ids[first_row + row], at))
+                if held >= ROUND_BYTES:
+                    yield from _first_round(parser, *map(np.concatenate, zip(*parts)))
+                    parts, held = [], 0
             if parts:
-                yield from _first_round(parser, *(np.concatenate(p) for p in zip(*parts)))
+                yield from _first_round(parser, *map(np.concatenate, zip(*parts)))
 
     return docs.select("d", "text").mapInArrow(run, ROW)
 
@@ -243,11 +250,12 @@ def _windows(parser: Parser, docs: DataFrame, open_units: DataFrame) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts = batch["d"].to_numpy(), []
+            ids, parts, held = batch["d"].to_numpy(), [], 0
             lists = batch["ats"]
             ends = lists.offsets.to_numpy()
             flat, names = (lists.values.field(c).to_numpy() for c in ("at", "key"))
             for first_row, end_row, data, offsets in T.pieces(batch["text"]):
+                held += len(data)
                 bounds, a, b = parser.elements(data, offsets)
                 pa_, pb = T.Prefix(a, T.BASE_A), T.Prefix(b, T.BASE_B)
                 here = slice(ends[first_row], ends[end_row])
@@ -270,8 +278,11 @@ def _windows(parser: Parser, docs: DataFrame, open_units: DataFrame) -> DataFram
                               T.signed(pb.of(start, start + parser.width)),
                               ids[first_row + row],
                               pack(start - bounds[row], tag, 1 << KIND_BITS, OPEN)))
+                if held >= ROUND_BYTES:
+                    yield from _window_round(parser, *map(np.concatenate, zip(*parts)))
+                    parts, held = [], 0
             if parts:
-                yield from _window_round(parser, *(np.concatenate(p) for p in zip(*parts)))
+                yield from _window_round(parser, *map(np.concatenate, zip(*parts)))
 
     return docs.select("d", "text").join(listed, "d").select("d", "text", "ats") \
         .mapInArrow(run, ROW + ", carried binary")
