@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from knowspark.llm import (
     chat_format, decontaminate, mixing, near_dup, quality, quality_rules, sharding,
     substring_dedup, suffix_dedup, toxicity)
+from knowspark.llm.oracle import ORACLE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_mixing, op3_quality, op4_toxicity, op5_near_dup,
-    op6_quality_rules, op7_chat_format,
-    op8_suffix_dedup, op9_decontaminate, op10_sharding)}
+    op1_substring_dedup, op2_mixing, op3_quality, op4_toxicity, op5_near_dup, op6_quality_rules,
+    op7_chat_format, op8_suffix_dedup, op9_decontaminate, op10_sharding)}
 
-#: SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "table"]
