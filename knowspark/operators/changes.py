@@ -25,16 +25,31 @@ def _any(conditions: list) -> Column:
 def reduce_changes(changes: DataFrame, table: str, version: str) -> DataFrame:
     """One row per id: of each column the last value that is not NULL.
 
-    That is what applying the changes one after another gives, and it combines
-    before the shuffle, so an id with very many changes is no hot spot.
+    That is what applying the changes one after another gives; versions are unique
+    per id. Only numbers are aggregated over all changes: per id and column the
+    last version that gives a value, by hash and before the shuffle. The values
+    are then fetched by (id, version), so an id with very many changes is no hot
+    spot, and one small list per id is left to pick from.
     """
     columns = [c for c in changes.columns if c not in ("id", version)]
     unknown = sorted(set(columns) - set(schema.UPDATABLE[table]))
     if unknown:
         raise ValueError(f"columns {unknown} of {table} cannot be updated")
-    return changes.groupBy("id").agg(*[
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(version))).alias(f"_new_{c}")
-        for c in columns])
+    last = changes.groupBy("id").agg(*[
+        F.max(F.when(F.col(c).isNotNull(), F.col(version))).alias(f"_at_{c}") for c in columns])
+    wanted = last.withColumn("_version", F.explode_outer(F.array_distinct(
+        F.array(*[f"_at_{c}" for c in columns]))))
+    values = changes.select(F.col("id").alias("_id"), F.col(version).alias("_given"), *columns)
+    found = wanted.join(values, (F.col("id") == F.col("_id")) & (F.col("_version") == F.col("_given")),
+                        "left")
+    rows = found.groupBy("id").agg(F.collect_list(F.struct(
+        "_version", *[f"_at_{c}" for c in columns], *columns)).alias("_rows"))
+
+    def chosen(c):
+        own = F.filter("_rows", lambda r: r["_version"] == r[f"_at_{c}"])
+        return F.get(own, 0)[c].alias(f"_new_{c}")
+
+    return rows.select("id", *[chosen(c) for c in columns])
 
 
 def _merged(df: DataFrame, column: str) -> Column:
@@ -53,15 +68,22 @@ def _apply(joined: DataFrame, table: str, as_of, make_embedder, with_text: bool
         text = F.when(_any(text_changed), embed_text(*[_merged(joined, c) for c in text_columns]))
         if with_text:
             values["_text"] = text
-        if make_embedder is not None:
-            values["embedding"] = F.coalesce(
-                embedding_of(text, make_embedder), F.col("embedding"))
     if "updated_at" in columns:
         values["updated_at"] = F.when(
             touched, instant_for(joined, "updated_at", as_of)).otherwise(F.col("updated_at"))
     keep = [c for c in columns if c not in values]
-    named = [v.alias(c) for c, v in values.items()]
-    return joined.select(*keep, *named, touched.alias("_touched"))
+
+    def state(rows, values):
+        return rows.select(*[c for c in keep if c not in values],
+                           *[v.alias(c) for c, v in values.items()], touched.alias("_touched"))
+
+    if not text_changed or make_embedder is None:
+        return state(joined, values)
+    # Only rows whose text is given pass through the model.
+    given = F.coalesce(_any(text_changed), F.lit(False))
+    vector = {"embedding": F.coalesce(embedding_of(text, make_embedder), F.col("embedding"))}
+    return state(joined.filter(given), values | vector).unionByName(
+        state(joined.filter(~given), values))
 
 
 def apply_updates(table: DataFrame, changes: DataFrame, name: str, as_of,
@@ -201,15 +223,20 @@ def log_interactions(contacts: DataFrame, events: DataFrame,
         "last_contact_at": F.coalesce("_last", "last_contact_at"),
         "updated_at": F.coalesce("_last", "updated_at"),
     }
-    if make_embedder is not None:
-        text = F.when(hit, embed_text(*schema.EMBEDDED_TEXT["contacts"]))
-        values["embedding"] = F.coalesce(embedding_of(text, make_embedder), F.col("embedding"))
-    return staged.withColumns(values).select(*contacts.columns)
+    if make_embedder is None:
+        return staged.withColumns(values).select(*contacts.columns)
+    # Only contacts with new lines pass through the model.
+    text = embed_text(*schema.EMBEDDED_TEXT["contacts"])
+    vector = {"embedding": F.coalesce(embedding_of(text, make_embedder), F.col("embedding"))}
+    return staged.filter(hit).withColumns(values | vector).select(*contacts.columns).unionByName(
+        staged.filter(~hit).select(*contacts.columns))
 
 
 def last_contacts(events: DataFrame) -> DataFrame:
-    """Latest interaction and number of them per contact, from event rows alone."""
-    return events.groupBy("contact_id").agg(
+    """Latest interaction and number of them per contact, from event rows alone.
+    An event delivered again counts once; both steps combine before the shuffle."""
+    once = events.groupBy("contact_id", "event_id").agg(F.max("ts").alias("ts"))
+    return once.groupBy("contact_id").agg(
         F.max("ts").alias("last_contact_at"), F.count("*").alias("interactions"))
 
 

@@ -1,14 +1,15 @@
 """Cosine search: one vector, many vectors, tag suggestions, approximate."""
 
+import math
 from dataclasses import dataclass
-from itertools import islice
+from hashlib import md5
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from knowspark.functions.vectors import (
     RANK_DECIMALS, matrix_of, similarity_to, unit_rows)
@@ -17,9 +18,6 @@ from knowspark.operators.tags import tag_centroid, tag_centroids
 from knowspark.session import new_work_path
 from knowspark.sources.store import Store
 
-#: Query vectors sent to the executors at once, 25 MB of them at 384 dimensions.
-#: Larger query sets are searched in several passes, each over the whole items.
-BLOCK_QUERIES = 8192
 #: Scores a task holds at once.
 SCORE_CELLS = 2_000_000
 
@@ -75,103 +73,92 @@ def suggested_connections(store: Store, tag: str, limit: int = 8) -> DataFrame:
 
 # Many query vectors ---------------------------------------------------------
 
-@dataclass(frozen=True)
-class QueryBlock:
-    """Query vectors of one pass: a bounded matrix that travels with the task."""
-
-    ids: list
-    units: np.ndarray
-
-    def scores(self, embeddings) -> np.ndarray:
-        rows = unit_rows(matrix_of(embeddings, self.units.shape[1]))
-        return np.round(rows @ self.units.T, RANK_DECIMALS)
-
-
-def _blocks(queries: DataFrame, key: str, vector: str, size: int):
-    """Query vectors in blocks of about ``size`` rows, one at a time on the driver.
-
-    Up to ``size`` rows are one block. More are first written to the work folder
-    in one part per block, so that no block computes the queries again.
-    """
-    rows = queries.filter(F.col(vector).isNotNull()).select(key, vector)
-    found = rows.limit(size + 1).collect()
-    if len(found) <= size:
-        parts = [found] if found else []
+def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
+    """Rows and columns of each column's k best; equal scores go by id. NaN never
+    counts."""
+    scores = np.where(np.isnan(scores), -np.inf, scores)
+    if len(scores) > k:
+        floor = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
     else:
-        spark = rows.sparkSession
-        path = new_work_path(spark, "queries")
-        n = -(-rows.count() * 5 // (size * 4))
-        place = F.xxhash64(key, F.monotonically_increasing_id())
-        rows.withColumn("part", F.pmod(place, F.lit(n))).write.partitionBy("part").parquet(path)
-        stored = spark.read.parquet(path)
-        parts = (stored.filter(F.col("part") == i).select(key, vector).collect()
-                 for i in range(n))
-    for part in parts:
-        if part:
-            units = unit_rows(np.asarray([r[1] for r in part], dtype=np.float64))
-            yield QueryBlock([r[0] for r in part], units)
-
-
-class _Best:
-    """Running best k per query of one task.
-
-    Only scores that reach a query's current k-th best are kept, so memory stays
-    at a few times queries x k whatever the task reads.
+        floor = np.full(scores.shape[1], -np.inf)
+    row, col = np.nonzero((scores >= floor) & (scores > -np.inf))
+    order = np.lexsort((ids[row], -scores[row, col], col))
+    row, col = row[order], col[order]
+    place = np.arange(len(col)) - np.searchsorted(col, col, side="left")
+    return row[place < k], col[place < k]
+
+
+class _Part:
+    """The items of one part, held while all its queries stream past."""
+
+    def __init__(self, number: int):
+        self.number, self.blocks, self.ids, self.tagged = number, [], [], {}
+        self.items = self.names = None
+
+    def hold(self, batch) -> None:
+        dims = len(batch.column("embedding")[0])
+        first = sum(map(len, self.ids))
+        self.blocks.append(unit_rows(matrix_of(batch.column("embedding"), dims)))
+        self.ids.append(batch.column("id").to_numpy(zero_copy_only=False))
+        for row, tags in enumerate(batch.column("tags").to_pylist(), first):
+            for tag in tags or ():
+                self.tagged.setdefault(tag, []).append(row)
+
+    def find(self, batch, k: int):
+        if not self.ids:
+            return
+        if self.items is None:
+            self.items, self.names = np.concatenate(self.blocks), np.concatenate(self.ids)
+        step = max(1, SCORE_CELLS // len(self.items))
+        for start in range(0, batch.num_rows, step):
+            some = batch.slice(start, step)
+            units = unit_rows(matrix_of(some.column("vector"), self.items.shape[1]))
+            queries = some.column("id").to_pylist()
+            scores = np.round(self.items @ units.T, RANK_DECIMALS)
+            for col, query in enumerate(queries):
+                scores[self.tagged.get(query, []), col] = np.nan
+            row, col = _best_of(self.names.astype(str), scores, k)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([queries[c] for c in col], pa.string()),
+                pa.array(list(self.names[row]), pa.string()),
+                pa.array(scores[row, col], pa.float64())], ["query_id", "id", "similarity"])
+
+
+def _nearest(items: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFrame:
+    """Per part and query the k nearest items.
+
+    ``items(part, id, embedding, tags)`` and ``queries(part, id, vector)`` meet in
+    their part, items first. A task holds one part's items and multiplies them
+    with the queries batch by batch; no row is joined to another. An item never
+    matches a query whose id is one of its ``tags``.
     """
-
-    def __init__(self, n_queries: int, k: int):
-        self.k = k
-        self.floor = np.full(n_queries, -np.inf)
-        self.query = np.empty(0, dtype=np.int64)
-        self.item = np.empty(0, dtype=object)
-        self.score = np.empty(0)
-        self.room = max(4 * n_queries * k, 100_000)
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        row, query = np.nonzero(scores >= self.floor)  # NaN never passes
-        for start in range(0, len(row), self.room):
-            cut = slice(start, start + self.room)
-            self.query = np.concatenate([self.query, query[cut]])
-            self.item = np.concatenate([self.item, ids[row[cut]]])
-            self.score = np.concatenate([self.score, scores[row[cut], query[cut]]])
-            if len(self.query) > self.room:
-                self.prune()
-
-    def prune(self) -> None:
-        order = np.lexsort((self.item.astype(str), -self.score, self.query))
-        query = self.query[order]
-        first = np.searchsorted(query, query, side="left")
-        place = np.arange(len(query)) - first
-        kept = order[place < self.k]
-        last = order[place == self.k - 1]
-        self.floor[self.query[last]] = self.score[last]
-        self.query, self.item, self.score = self.query[kept], self.item[kept], self.score[kept]
-
-
-def _nearest(items: DataFrame, block: QueryBlock, k: int, mask=None) -> DataFrame:
-    """Per task and query the k nearest of ``items(id, embedding, ...)``.
-
-    ``mask(batch, scores, block)`` may blank out scores that must not match.
-    """
-    columns = ["query_id", "id", "similarity"]
+    left = items.select("part", F.lit(False).alias("query"), "id", "embedding",
+                        F.lit(None).cast("array<double>").alias("vector"), "tags")
+    right = queries.select("part", F.lit(True).alias("query"), "id",
+                           F.lit(None).cast("array<float>").alias("embedding"),
+                           F.col("vector").cast("array<double>").alias("vector"),
+                           F.lit(None).cast("array<string>").alias("tags"))
 
     def run(batches):
-        best = _Best(len(block.ids), k)
-        step = max(1, SCORE_CELLS // len(block.ids))
-        for whole in batches:
-            for start in range(0, whole.num_rows, step):
-                batch = whole.slice(start, step)
-                scores = block.scores(batch.column("embedding"))
-                if mask is not None:
-                    mask(batch, scores, block)
-                best.add(batch.column("id").to_numpy(zero_copy_only=False), scores)
-        best.prune()
-        yield pa.RecordBatch.from_arrays([
-            pa.array([block.ids[q] for q in best.query], pa.string()),
-            pa.array(list(best.item), pa.string()),
-            pa.array(best.score, pa.float64())], columns)
-
-    return items.mapInArrow(run, "query_id string, id string, similarity double")
+        held = None
+        for batch in batches:
+            number = batch.column("part").to_numpy()
+            side = batch.column("query").to_numpy(zero_copy_only=False).astype(bool)
+            change = np.flatnonzero((number[1:] != number[:-1]) | (side[1:] != side[:-1])) + 1
+            cuts = [0, *change.tolist(), batch.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                if held is None or held.number != number[start]:
+                    held = _Part(number[start])
+                if side[start]:
+                    yield from held.find(batch.slice(start, end - start), k)
+                else:
+                    held.hold(batch.slice(start, end - start))
+
+    return left.unionByName(right).repartition(parts, "part") \
+        .sortWithinPartitions("part", "query") \
+        .mapInArrow(run, "query_id string, id string, similarity double")
 
 
 def _top_per_query(hits: DataFrame, k: int) -> DataFrame:
@@ -179,47 +166,34 @@ def _top_per_query(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _search_blocks(spark: SparkSession, blocks, find) -> DataFrame:
-    """Hits ``find(block)`` of all blocks, one pass over the items per block.
-
-    One block is searched lazily. More are searched one after another and their
-    hits written to the work folder, so the driver never holds more than two.
-    """
-    blocks = iter(blocks)
-    ahead = list(islice(blocks, 2))
-    if not ahead:
-        return spark.createDataFrame(
-            [], "query_id string, id string, similarity double, rank int")
-    if len(ahead) == 1:
-        return find(ahead[0])
-    path = new_work_path(spark, "hits")
-    while ahead:
-        found = find(ahead.pop(0))
-        found.write.mode("append").parquet(path)
-        ahead.extend(islice(blocks, 1))
-    return spark.read.schema(found.schema).parquet(path)
+def _all_parts(items: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFrame:
+    """Every query against every item: items dealt over the parts by id, queries
+    copied to each part."""
+    if parts is None:
+        parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    copied = queries.withColumn("part", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return _top_per_query(_nearest(dealt, copied, k, parts), k)
 
 
 def search_batch(
         store: Store, queries: DataFrame, k: int = 10, key: str = "query_id",
-        vector: str = "vector", content_type: str = None,
-        block_size: int = BLOCK_QUERIES) -> DataFrame:
+        vector: str = "vector", content_type: str = None, parts: int = None) -> DataFrame:
     """Exact nearest items of every query vector: ``(query_id, id, similarity, rank)``.
 
-    Query ids are unique; queries without a vector find nothing.
-
-    The query matrix goes to the tasks in blocks of ``block_size``, each
-    task multiplies it with its items and passes on k rows per query. Nothing is
-    joined pairwise, and the shuffle carries only those rows.
+    Query ids are unique; queries without a vector find nothing. Items are
+    shuffled once into ``parts`` (the session's shuffle partitions, if not given)
+    that a task holds in memory: 100,000 items of 384 dimensions are about 300 MB.
+    Queries of any number stream past; each part passes on k rows per query.
     """
-    queries = queries.select(F.col(key).cast("string").alias("query_id"), F.col(vector))
+    asked = queries.filter(F.col(vector).isNotNull()).select(
+        F.col(key).cast("string").alias("id"), F.col(vector).alias("vector"))
     items = unified_items(store, embedding=True).filter(F.col("embedding").isNotNull())
     if content_type is not None:
         items = items.filter(F.col("content_type") == content_type)
-    items = items.select("id", "embedding")
-    blocks = _blocks(queries, "query_id", vector, block_size)
-    return _search_blocks(
-        items.sparkSession, blocks, lambda block: _top_per_query(_nearest(items, block, k), k))
+    items = items.select("id", "embedding", F.lit(None).cast("array<string>").alias("tags"))
+    return _all_parts(items, asked, k, parts)
 
 
 def with_items(hits: DataFrame, store: Store) -> DataFrame:
@@ -234,18 +208,8 @@ def with_items(hits: DataFrame, store: Store) -> DataFrame:
     return unified_items(store).join(spark.read.schema(hits.schema).parquet(path), "id")
 
 
-def _mask_tagged(batch, scores, block) -> None:
-    """Blank out the scores between an item and the tags it carries."""
-    place = {tag: i for i, tag in enumerate(block.ids)}
-    tags = batch.column("tags")
-    rows = np.repeat(np.arange(len(tags)), np.asarray(tags.value_lengths()))
-    cols = np.array([place.get(t, -1) for t in tags.flatten().to_pylist()], dtype=np.int64)
-    known = cols >= 0
-    scores[rows[known], cols[known]] = np.nan
-
-
 def suggest_all(store: Store, k: int = 8, tags: DataFrame = None,
-                block_size: int = BLOCK_QUERIES) -> DataFrame:
+                parts: int = None) -> DataFrame:
     """:func:`suggested_connections` of every tag, or of the tags in the first
     column of ``tags``: ``(tag, id, similarity, rank)``."""
     items = (
@@ -259,77 +223,110 @@ def suggest_all(store: Store, k: int = 8, tags: DataFrame = None,
     if tags is not None:
         centroids = centroids.join(
             tags.select(F.col(tags.columns[0]).alias("tag")), "tag", "left_semi")
-    blocks = _blocks(centroids, "tag", "centroid", block_size)
-    hits = _search_blocks(items.sparkSession, blocks, lambda block: _top_per_query(
-        _nearest(items, block, k, _mask_tagged), k))
-    return hits.withColumnRenamed("query_id", "tag")
+    asked = centroids.select(F.col("tag").alias("id"), F.col("centroid").alias("vector"))
+    return _all_parts(items, asked, k, parts).withColumnRenamed("query_id", "tag")
 
 
 # Approximate ----------------------------------------------------------------
 
+#: Items per cell that the number of planes aims at.
+PER_CELL = 1000
+#: Most planes: four million cells.
+MOST_PLANES = 22
+#: Shares that a cell's items are dealt over, so a cell of very many copies of one
+#: vector is no single task.
+SHARES = 8
+
+
+def planes_for(items: int, per_cell: int = PER_CELL) -> int:
+    """Planes for a number of embedded items: each halves the cells."""
+    return max(1, min(MOST_PLANES, round(math.log2(max(items, 1) / per_cell))))
+
+
+def planes(count: int, dims: int) -> np.ndarray:
+    """Fixed hyperplanes: entry ``(p, d)`` is +1 where the md5 of ``p:d`` (``d`` from
+    1) begins with a digit below 8, else -1."""
+    return np.array([[1.0 if md5(f"{p}:{d}".encode()).hexdigest()[0] < "8" else -1.0
+                      for d in range(1, dims + 1)] for p in range(count)])
+
+
+def cell_of(vector, count: int) -> Column:
+    """The cell of a vector: bit ``p`` says on which side of plane ``p`` it lies."""
+
+    @F.arrow_udf(LongType())
+    def cell(vectors: pa.Array) -> pa.Array:
+        out = np.zeros(len(vectors), dtype=np.int64)
+        present = np.asarray(vectors.is_valid())
+        if present.any():
+            known = vectors.drop_null()
+            rows = matrix_of(known, len(known[0]))
+            sides = rows @ planes(count, rows.shape[1]).T >= 0
+            out[present] = sides @ (1 << np.arange(count, dtype=np.int64))
+        return pa.array(out, mask=~present)
+
+    return cell(vector)
+
+
 @dataclass(frozen=True)
 class VectorIndex:
-    """Items clustered into cells, stored in one folder per cell."""
+    """Embedded items with their cells, in files sorted by cell."""
 
     path: str
-    centers: np.ndarray
+    planes: int
 
     def items(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/cells")
+        return spark.read.parquet(f"{self.path}/items")
 
 
-def build_index(store: Store, path: str, cells: int = 64, seed: int = 7,
-                train_rows: int = 1_000_000) -> VectorIndex:
-    """Cluster the embedded items and write them partitioned by cell.
+def build_index(store: Store, path: str, count: int = None,
+                per_cell: int = PER_CELL) -> VectorIndex:
+    """Assign every embedded item to its cell and write them by cell.
 
-    MLlib k-means on unit vectors finds the cell centers, from about
-    ``train_rows`` of the vectors; every item is then assigned and written. Rows
-    are range-partitioned by cell and id: a task writes few cells, and a cell
-    that holds very many items, copies of one text say, is split over tasks.
+    Nothing is fitted: cells come from fixed planes, as many as :func:`planes_for`
+    says for the number of items, if not given. Rows are range-partitioned by cell
+    and id, so a cell that holds very many items is split over files.
     """
     items = unified_items(store, embedding=True).filter(
-        F.col("embedding").isNotNull() & F.exists("embedding", lambda v: v != 0))
-    vectors = items.select("id", "embedding", array_to_vector("embedding").alias("features"))
-    total = items.count()
-    training = vectors if total <= train_rows else vectors.sample(train_rows / total, seed=seed)
-    model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine",
-                   featuresCol="features", predictionCol="cell").fit(training)
-    model.transform(vectors).select("id", "embedding", "cell") \
+        F.col("embedding").isNotNull() & F.exists("embedding", lambda v: v != 0)) \
+        .select("id", "embedding")
+    if count is None:
+        count = planes_for(items.count(), per_cell)
+    items.withColumn("cell", cell_of(F.col("embedding"), count)) \
         .repartitionByRange("cell", "id").sortWithinPartitions("cell") \
-        .write.mode("errorifexists").partitionBy("cell").parquet(f"{path}/cells")
-    model.write().save(f"{path}/model")
-    return VectorIndex(path, np.asarray(model.clusterCenters()))
+        .write.mode("errorifexists").parquet(f"{path}/items")
+    spark = items.sparkSession
+    spark.range(1).select(F.lit(count).alias("planes")).write.parquet(f"{path}/planes")
+    return VectorIndex(path, count)
 
 
-def open_index(path: str) -> VectorIndex:
-    return VectorIndex(path, np.asarray(KMeansModel.load(f"{path}/model").clusterCenters()))
+def open_index(spark: SparkSession, path: str) -> VectorIndex:
+    return VectorIndex(path, spark.read.parquet(f"{path}/planes").first()[0])
 
 
 def search_approx(
         spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int = 10,
-        probes: int = 8, key: str = "query_id", vector: str = "vector",
-        block_size: int = BLOCK_QUERIES) -> DataFrame:
-    """Nearest items among the ``probes`` cells closest to each query.
-
-    Folders no query asks for are pruned from the scan. Similarities are exact;
-    probing every cell gives the exact result.
+        differ: int = 1, key: str = "query_id", vector: str = "vector",
+        shares: int = SHARES, parts: int = None) -> DataFrame:
+    """Nearest items among the cells that differ from the query's own in up to
+    ``differ`` planes.
+
+    A query is sent to those cells only, and a cell's items are multiplied with
+    the queries sent to it only. Similarities are exact; with ``differ`` as many as
+    there are planes the result is exact.
     """
-    queries = queries.select(F.col(key).cast("string").alias("query_id"), F.col(vector))
-    centers = unit_rows(index.centers)
-    items = index.items(spark)
-
-    def find(block):
-        nearness = np.nan_to_num(block.units @ centers.T, nan=-2.0)
-        chosen = np.argsort(-nearness, axis=1, kind="stable")[:, :probes]
-        asked = np.zeros(nearness.shape, dtype=bool)
-        np.put_along_axis(asked, chosen, True, axis=1)
-
-        def mask(batch, scores, _):
-            cell = batch.column("cell").to_numpy(zero_copy_only=False)
-            scores[~asked[:, cell].T] = np.nan
-
-        wanted = [int(c) for c in np.flatnonzero(asked.any(axis=0))]
-        mine = items.filter(F.col("cell").isin(wanted))
-        return _top_per_query(_nearest(mine, block, k, mask), k)
-
-    return _search_blocks(spark, _blocks(queries, "query_id", vector, block_size), find)
+    if parts is None:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flips = [sum(1 << p for p in chosen) for r in range(min(differ, index.planes) + 1)
+             for chosen in combinations(range(index.planes), r)]
+    asked = queries.filter(F.col(vector).isNotNull()).select(
+        F.col(key).cast("string").alias("id"), F.col(vector).alias("vector")) \
+        .withColumn("cell", cell_of(F.col("vector"), index.planes)) \
+        .withColumn("cell", F.explode(F.transform(
+            F.array(*[F.lit(f).cast("long") for f in flips]),
+            lambda f: F.col("cell").bitwiseXOR(f)))) \
+        .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    part = lambda share: F.col("cell") * shares + share
+    items = index.items(spark).withColumn("tags", F.lit(None).cast("array<string>")).withColumn(
+        "part", part(F.pmod(F.xxhash64("id"), F.lit(shares))))
+    return _top_per_query(_nearest(
+        items, asked.withColumn("part", part(F.col("share"))), k, parts), k)

@@ -30,13 +30,14 @@ FROM orders LEFT JOIN embeddings e ON e.vec_id % 4 = 1 AND e.vec_id // 4 = o_ord
     "contacts": r"""
 SELECT 'c'||c_custkey AS id, c_name AS name,
        CASE WHEN c_custkey % 5 <> 0 THEN 'c'||c_custkey||'@example.org' END AS email,
-       CAST(NULL AS VARCHAR) AS phone, c_mktsegment AS company, l.last_contact_at,
+       CAST(NULL AS VARCHAR) AS phone, c_mktsegment AS company,
+       CASE WHEN c_mktsegment <> 'BUILDING' THEN l.last_contact_at END AS last_contact_at,
        CASE WHEN c_custkey % 2 = 0 THEN 'segment '||c_mktsegment END AS notes,
        ['topic-'||(c_custkey % 12), lower(c_mktsegment)] AS tags, e.embedding,
        TIMESTAMP '1995-01-01' + to_minutes(c_custkey) AS created_at
 FROM customer
 LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_contact_at FROM orders
-           WHERE o_orderkey % 3 = 0 GROUP BY o_custkey) l ON l.o_custkey = c_custkey
+           GROUP BY o_custkey) l ON l.o_custkey = c_custkey
 LEFT JOIN embeddings e ON e.vec_id % 4 = 2 AND e.vec_id // 4 = c_custkey""",
     "home_items": r"""
 SELECT 'h'||p_partkey AS id, p_name AS name,
@@ -203,6 +204,8 @@ def _with(body: str, **extra: str) -> str:
 
     place(body)
     ctes = ",\n".join(f"{n} AS ({views[n]})" for n in placed)
+    if ctes and body.lstrip().startswith("WITH "):
+        return _fill(f"WITH {ctes},\n{body.lstrip().removeprefix('WITH ')}")
     return _fill(f"WITH {ctes}\n{body}" if ctes else body)
 
 
@@ -313,7 +316,7 @@ _INTEGERS = {
     **dict.fromkeys(("recent", "recent_events", "by_any_tag", "by_date_range", "related_tags",
                      "related_all", "review_top_tags", "search", "search_tasks",
                      "search_thoughts", "search_pct", "suggested", "search_batch", "search_batch_items",
-                     "suggest_all"),
+                     "suggest_all", "search_approx"),
                     ("rank",)),
     **dict.fromkeys(("chunk_all", "chunk_notes", "chunk_sliding", "chunk_windows"),
                     ("chunk_index", "total_chunks")),
@@ -332,9 +335,28 @@ def _build() -> dict:
 
     # sources
     q["store_round_trip"] = _with(" UNION ALL ".join(
-        f"SELECT '{t}' AS \"table\", count(*) AS n, count(DISTINCT id) AS ids, count(embedding) AS "
-        f"embedded, {iso('max(created_at)', 'newest')} FROM {t}"
-        for t in ("thoughts", "tasks", "contacts", "home_items")))
+        f"SELECT '{t}' AS \"table\", id, {a} AS first, {b} AS second, {tag_text()}, "
+        f"{iso('created_at')}, CAST(len(embedding) AS INTEGER) AS dims, "
+        f"round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM {t}"
+        for t, a, b in (("thoughts", "content", "title"), ("tasks", "title", "notes"),
+                        ("contacts", "name", "notes"), ("home_items", "name", "notes"))))
+    q["read_notes"] = _with("""
+        SELECT md5(content) AS digest, CAST(length(content) AS INTEGER) AS n, 'note' AS content_type,
+               'api' AS source, '' AS tags
+        FROM (SELECT trim(string_agg(text, chr(10) ORDER BY doc_id), {js}) AS content
+              FROM documents GROUP BY lang, source) WHERE content <> ''""")
+    q["read_nameless_entries"] = _with("""
+        SELECT content_type, count(*) AS n, count(*) AS ids
+        FROM (SELECT content_type FROM entries UNION ALL
+              SELECT content_type FROM entries WHERE length(content) % 3 = 0) GROUP BY content_type""")
+    q["parse_iso"] = f"SELECT event_id, {iso('ts')} FROM events"
+    q["get_rows"] = _with(f"SELECT {_TASK} FROM tasks WHERE id IN ('t1', 't7', 't32')")
+    q["validate_updates"] = _with("SELECT id, version, " + _reasons(
+        ("length(title) < 1", "title is empty"), ("length(title) > 500", "title is too long"),
+        ("status NOT IN ('open', 'done', 'cancelled')", "status is not allowed"),
+        ("priority NOT IN ('high', 'medium', 'low')", "priority is not allowed"))
+        + " FROM (SELECT * REPLACE (CASE WHEN version % 11 = 0 THEN '' ELSE title END AS title) "
+        "FROM task_changes)")
     q["read_entries"] = _with(
         f"SELECT entry_id, content, content_type, title, {tag_text()}, source, metadata FROM entries")
     by_tag = f"SELECT {_ITEM} FROM items WHERE list_contains(tags, 'topic-3')"
@@ -567,7 +589,7 @@ def _build() -> dict:
         FROM contacts""")
     q["initials"] = _with(
         "SELECT id, upper(substr(split_part(title, ' ', 1), 1, 1)||substr(split_part(title, ' ', 2),"
-        " 1, 1)) AS initials FROM items WHERE title IS NOT NULL")
+        " 1, 1)) AS initials FROM items")
     q["contact_details"] = _with(
         "SELECT id, concat_ws(' · ', nullif(email, ''), nullif(phone, ''), nullif(company, '')) "
         "AS details FROM contacts")
@@ -670,8 +692,69 @@ def _build() -> dict:
         f"FROM items i, centroids c WHERE embedding IS NOT NULL AND NOT list_contains(tags, c.tag)))"
         f" WHERE rank <= 8")
 
+    def weights(texts):
+        """The largest weight of each text's hash embedding."""
+        return (
+            "SELECT id, round(CAST(CAST(max(n) / sqrt(sum(n * n)) AS FLOAT) AS DOUBLE), 6) AS w FROM "
+            "(SELECT id, CAST('0x'||substr(md5(word), 1, 8) AS BIGINT) % 64 AS bucket, "
+            "CAST(count(*) AS DOUBLE) AS n FROM (SELECT id, unnest(string_split_regex(lower(text), "
+            f"'{{ws}}')) AS word FROM ({texts})) WHERE word <> '' GROUP BY ALL) GROUP BY id")
+
+    def reembedded(table, texts):
+        return _with(
+            f"SELECT t.id, coalesce(x.w, round(list_max(CAST(embedding AS DOUBLE[])), 6)) AS top_weight "
+            f"FROM {table} t LEFT JOIN ({weights(texts)}) x ON x.id = t.id")
+
+    joined = "concat_ws(chr(10), nullif({}, ''), nullif({}, '')) AS text"
+    q["reembed_tasks"] = reembedded(
+        "tasks", f"SELECT id, {joined.format('title', 'notes')} FROM updated WHERE text_given")
+    q["reembed_contacts"] = reembedded("contacts", f"""
+        SELECT id, {joined.format('name', 'n.notes')} FROM contacts c JOIN (
+          SELECT 'c'||o_custkey AS id,
+                 arg_max('order '||o_orderkey, o_orderkey) FILTER (o_orderstatus = 'F') AS notes
+          FROM orders GROUP BY o_custkey) n USING (id) WHERE n.notes IS NOT NULL""")
+    q["reembed_home"] = reembedded("home_items", f"""
+        SELECT id, {joined.format('name', 'n.notes')} FROM home_items h JOIN (
+          SELECT 'h'||l_partkey AS id,
+                 arg_max('order '||l_orderkey, {version}) FILTER (l_linestatus = 'O') AS notes
+          FROM lineitem GROUP BY l_partkey) n USING (id) WHERE n.notes IS NOT NULL""")
+    q["reembed_interactions"] = reembedded("contacts", f"""
+        SELECT l.id, {joined.format('c.name', 'l.notes')} FROM logged l JOIN contacts c USING (id)
+        WHERE l.id IN (SELECT contact_id FROM interactions)""")
+    q["search_approx"] = _with("""
+        WITH planes_used AS (
+          SELECT CAST(greatest(1, least(22, round(log2(count(*) / 8.0)))) AS INTEGER) AS n
+          FROM items WHERE embedding IS NOT NULL),
+        planes AS (
+          SELECT p, list(CASE WHEN substr(md5(p||':'||d), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0 END
+                         ORDER BY d) AS v
+          FROM (SELECT unnest(range(0, (SELECT n FROM planes_used))) AS p),
+               (SELECT unnest(range(1, 65)) AS d) GROUP BY p),
+        item_sides AS (SELECT id, p, list_inner_product(CAST(embedding AS DOUBLE[]), v) >= 0 AS side
+                       FROM items, planes WHERE embedding IS NOT NULL),
+        query_sides AS (SELECT query_id, p, list_inner_product(q, v) >= 0 AS side
+                        FROM query_vectors, planes),
+        probed AS (SELECT query_id, id FROM query_sides a JOIN item_sides b USING (p)
+                   GROUP BY query_id, id HAVING count(*) FILTER (a.side <> b.side) <= 1)
+        SELECT CAST(query_id AS VARCHAR) AS query_id, rank, id, round(similarity, 6) AS similarity
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank
+              FROM (SELECT query_id, id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS
+                           similarity
+                    FROM probed JOIN query_vectors USING (query_id) JOIN items USING (id)))
+        WHERE rank <= 10""")
+    q["stream_rejected"] = (
+        f"SELECT entry_id, reasons FROM ({q['validate_entries']}) WHERE reasons <> ''")
+    q["stream_contacts"] = _with(f"""
+        SELECT id, name, {iso('greatest(last_contact_at, last)', 'last_contact_at')},
+               {iso('greatest(created_at, last)', 'updated_at')}
+        FROM contacts LEFT JOIN (SELECT contact_id, max(ts) AS last FROM interactions
+                                 GROUP BY contact_id) ON contact_id = id""")
+
     # activity windows
-    q["activity_daily"] = _with(_activity(1, 1, ""))
+    heads = ("(SELECT created_at, content_type, tags FROM thoughts UNION ALL SELECT created_at, "
+             "content_type, tags FROM chunk_rows WHERE parent_id IS NULL)")
+    q["activity_daily"] = _with(_activity(1, 1, "").replace("FROM thoughts", f"FROM {heads}"))
+    q["stream_activity_all"] = _with(_activity(1, 7, "").replace("FROM thoughts", f"FROM {heads}"))
     q["stream_activity"] = _with(_activity(
         1, 7, "WHERE w + INTERVAL 7 DAY <= (SELECT max(created_at) FROM thoughts) - INTERVAL 1 DAY"))
     for name, sql in q.items():

@@ -14,7 +14,7 @@ from knowspark.operators import (
     agenda, changes, ingest, items, notes, review, search, tags)
 from knowspark.session import new_work_path
 from knowspark.sources import tables
-from knowspark.sources.notes import read_entries_json
+from knowspark.sources.notes import read_entries_json, read_text_notes
 from knowspark.sources.store import (
     Store, latest_rows, merge_changes, read_store, write_store)
 from knowspark.streaming import jobs
@@ -73,18 +73,20 @@ def ranked(df: DataFrame, *order) -> DataFrame:
 
 @query
 def store_round_trip(spark, sf_dir):
-    """All four tables written as snapshots and read back."""
+    """All four tables written as a snapshot and read back, row by row."""
     root = new_work_path(spark, "store")
     loaded = tables.load(spark, sf_dir)
     for name in Store.table_names():
         write_store(loaded.table(name), root, name)
     stored = read_store(spark, root)
-    rows = [stored.table(n).select(F.lit(n).alias("table"), "id", "created_at", "embedding")
-            for n in Store.table_names()]
-    return rows[0].union(rows[1]).union(rows[2]).union(rows[3]).groupBy("table").agg(
-        F.count("*").alias("n"), F.countDistinct("id").alias("ids"),
-        F.count("embedding").alias("embedded"),
-        times.to_iso(F.max("created_at")).alias("newest"))
+    shown = {"thoughts": ("content", "title"), "tasks": ("title", "notes"),
+             "contacts": ("name", "notes"), "home_items": ("name", "notes")}
+    rows = [stored.table(name).select(
+        F.lit(name).alias("table"), "id", F.col(first).alias("first"), F.col(second).alias("second"),
+        tag_text(), iso("created_at"), F.size("embedding").alias("dims"),
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
+        .alias("total")) for name, (first, second) in shown.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
 
 
 @query
@@ -157,6 +159,37 @@ def validate_interactions(spark, sf_dir):
     return ingest.check(raw, "interactions").select("event_id", _reasons())
 
 
+@query
+def validate_updates(spark, sf_dir):
+    """Changes of tasks, where NULL keeps a value."""
+    return ingest.check(
+        task_changes(spark, sf_dir).withColumn("title", F.expr(
+            "CASE WHEN version % 11 = 0 THEN '' ELSE title END")), "tasks", update=True) \
+        .select("id", "version", _reasons())
+
+
+@query
+def read_notes(spark, sf_dir):
+    """Documents of each language and source written as one text file, read as notes."""
+    path = new_work_path(spark, "notes")
+    tables.read_table(spark, sf_dir, "documents").select("text", "lang", "source", "doc_id") \
+        .repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id") \
+        .select("text", "lang", "source").write.partitionBy("lang", "source").text(path)
+    return read_text_notes(spark, path).select(
+        F.md5("content").alias("digest"), F.length("content").alias("n"), "content_type", "source",
+        tag_text())
+
+
+@query
+def read_nameless_entries(spark, sf_dir):
+    """Entries without ids, some of them twice: each gets an id of its own."""
+    path = new_work_path(spark, "nameless")
+    entries = tables.entries(spark, sf_dir).drop("created_at", "entry_id")
+    entries.unionByName(entries.filter("length(content) % 3 = 0")).write.json(path)
+    return read_entries_json(spark, path).groupBy("content_type").agg(
+        F.count("*").alias("n"), F.countDistinct("entry_id").alias("ids"))
+
+
 @query
 def apply_defaults(spark, sf_dir):
     raw = tables.read_table(spark, sf_dir, "orders").selectExpr(
@@ -400,6 +433,11 @@ def lookup(spark, sf_dir):
     return _task_rows(items.lookup(tables.tasks(spark, sf_dir), returned))
 
 
+@on_store
+def get_rows(store):
+    return _task_rows(items.get_rows(store.tasks, ["t1", "t7", "t32", "none"]))
+
+
 # Tags --------------------------------------------------------------------------
 
 
@@ -525,7 +563,9 @@ def interactions_of(spark, sf_dir):
 
 @query
 def last_contacts(spark, sf_dir):
-    return changes.last_contacts(tables.interactions(spark, sf_dir)).select(
+    events = tables.interactions(spark, sf_dir)
+    again = events.unionByName(events.filter("event_id % 3 = 0"))  # delivered twice
+    return changes.last_contacts(again).select(
         "contact_id", iso("last_contact_at"), "interactions")
 
 
@@ -566,6 +606,13 @@ def rel_time(store):
         labels.rel_time("created_at", "2024-06-01", months=True).alias("long"))
 
 
+@query
+def parse_iso(spark, sf_dir):
+    """Instants written as ISO text and read again."""
+    events = tables.read_table(spark, sf_dir, "events").withColumn("text", times.to_iso("ts"))
+    return events.select("event_id", times.to_iso(times.parse_iso("text")).alias("ts"))
+
+
 @on_store
 def task_due_label(store):
     return store.tasks.select(
@@ -589,7 +636,7 @@ def last_contact_label(store):
 
 @on_store
 def initials(store):
-    return items.unified_items(store).filter("title IS NOT NULL").select(
+    return items.unified_items(store).select(
         "id", labels.initials("title").alias("initials"))
 
 
@@ -680,6 +727,48 @@ def update_thoughts(spark, sf_dir):
         F.round(F.array_max("embedding").cast("double"), 6).alias("top_weight"))
 
 
+EMBEDDER = partial(ingest.HashEmbedder, 64)
+
+
+def _top_weight(df):
+    return df.select("id", F.round(F.array_max("embedding").cast("double"), 6).alias("top_weight"))
+
+
+@query
+def reembed_tasks(spark, sf_dir):
+    """Tasks after all changes; those whose text is given get a new vector."""
+    return _top_weight(changes.apply_updates(
+        tables.tasks(spark, sf_dir), task_changes(spark, sf_dir), "tasks", AS_OF,
+        make_embedder=EMBEDDER))
+
+
+@query
+def reembed_contacts(spark, sf_dir):
+    given = tables.read_table(spark, sf_dir, "orders").selectExpr(
+        "concat('c', o_custkey) AS id", "o_orderkey AS version",
+        "CASE WHEN o_orderstatus = 'F' THEN concat('order ', o_orderkey) END AS notes")
+    return _top_weight(changes.apply_updates(
+        tables.contacts(spark, sf_dir), given, "contacts", AS_OF, make_embedder=EMBEDDER))
+
+
+@query
+def reembed_home(spark, sf_dir):
+    given = _lines(spark, sf_dir).selectExpr(
+        "concat('h', l_partkey) AS id",
+        f"({SHIPPED} * 100000000 + l_orderkey) * 100000 + l_suppkey * 10 + l_linenumber "
+        "AS version",
+        "CASE WHEN l_linestatus = 'O' THEN concat('order ', l_orderkey) END AS notes")
+    return _top_weight(changes.apply_updates(
+        tables.home_items(spark, sf_dir), given, "home_items", AS_OF, make_embedder=EMBEDDER))
+
+
+@query
+def reembed_interactions(spark, sf_dir):
+    """Contacts whose notes grew by interactions are embedded again."""
+    return _top_weight(changes.log_interactions(
+        tables.contacts(spark, sf_dir), tables.interactions(spark, sf_dir), EMBEDDER))
+
+
 @query
 def needs_reembed(spark, sf_dir):
     return changes.needs_reembed(
@@ -745,7 +834,9 @@ def merge_task_changes(spark, sf_dir):
     """Tasks with their changed rows kept in a second table."""
     base = tables.tasks(spark, sf_dir)
     newer = changes.updated_rows(base, task_changes(spark, sf_dir), "tasks", AS_OF)
-    return _task_state(merge_changes(base, newer.withColumn("version", F.lit(1))))
+    path = new_work_path(spark, "changed-tasks")
+    newer.write.parquet(path)
+    return _task_state(merge_changes(base, spark.read.schema(newer.schema).parquet(path)))
 
 
 # Vector search -----------------------------------------------------------------
@@ -827,8 +918,8 @@ def suggest_all(store):
 @query
 def search_approx(spark, sf_dir):
     store = tables.load(spark, sf_dir)
-    index = search.build_index(store, new_work_path(spark, "vector-index"), cells=16)
-    hits = search.search_approx(spark, index, all_queries(spark, sf_dir), 10, probes=8)
+    index = search.build_index(store, new_work_path(spark, "vector-index"), per_cell=8)
+    hits = search.search_approx(spark, index, all_queries(spark, sf_dir), 10)
     return hits.select("query_id", "rank", "id", sim())
 
 
@@ -873,9 +964,47 @@ def stream_activity(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select(iso("start"), iso("end"), "facet", "value", "n")
 
 
-@on_store
-def activity_daily(store):
-    """The same counts over a table, by day."""
-    thoughts = store.thoughts.withColumn("created_at", F.col("created_at").cast("timestamp"))
+@query
+def stream_activity_all(spark, sf_dir):
+    """Windows kept up to date, open ones too, over notes and their chunk rows."""
+    root = new_work_path(spark, "stream-activity-all")
+    documents = tables.thought_columns(_stream(spark, sf_dir, "documents"))
+    chunks = tables.chunk_columns(_stream(spark, sf_dir, "conversations"))
+    columns = ("parent_id", "content_type", "tags",
+               F.col("created_at").cast("timestamp").alias("created_at"))
+    thoughts = documents.withColumn("parent_id", F.lit(None).cast("string")).select(*columns) \
+        .unionByName(chunks.select(*columns))
+    _finish(jobs.stream_activity_now(
+        thoughts, f"{root}/out", f"{root}/checkpoint", delay="3650 days", available_now=True))
+    return jobs.read_activity(spark, f"{root}/out").select(
+        iso("start"), iso("end"), "facet", "value", "n")
+
+
+@query
+def stream_rejected(spark, sf_dir):
+    root = new_work_path(spark, "stream-rejected")
+    entries = tables.entry_columns(_stream(spark, sf_dir, "documents"))
+    _finish(jobs.stream_rejected(entries, f"{root}/out", f"{root}/checkpoint", available_now=True))
+    return spark.read.parquet(f"{root}/out").select("entry_id", _reasons())
+
+
+@query
+def stream_contacts(spark, sf_dir):
+    """Contacts with the last contact that a stream of interactions keeps."""
+    root = new_work_path(spark, "stream-contacts")
+    events = tables.interaction_columns(_stream(spark, sf_dir, "events"))
+    _finish(jobs.stream_last_contact(
+        events, f"{root}/out", f"{root}/checkpoint", available_now=True))
+    return changes.apply_last_contacts(
+        tables.contacts(spark, sf_dir), jobs.read_last_contact(spark, f"{root}/out")).select(
+        "id", "name", iso("last_contact_at"), iso("updated_at"))
+
+
+@query
+def activity_daily(spark, sf_dir):
+    """The same counts over a table with chunk rows, by day."""
+    thoughts = tables.thoughts(spark, sf_dir).unionByName(
+        tables.chunk_rows(spark, sf_dir), allowMissingColumns=True) \
+        .withColumn("created_at", F.col("created_at").cast("timestamp"))
     return jobs.activity(thoughts, "created_at", "1 day").select(
         iso("start"), iso("end"), "facet", "value", "n")

@@ -1,6 +1,6 @@
 """Sources of entries to ingest: text files and JSON batches."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +32,17 @@ def read_entries_json(spark: SparkSession, path: str) -> DataFrame:
     ``_corrupt_record`` and is rejected by validation.
 
     ``metadata`` may be any JSON object; it is kept as JSON text. Entries
-    without ``entry_id`` get one from their file and position.
+    without ``entry_id`` get one from their file, their own fields and a number
+    among equal entries of the file, so it does not depend on how files are split.
     """
     corrupt = T.StructField("_corrupt_record", T.StringType())
     struct = T.StructType([*schema.ENTRIES.fields, corrupt])
-    raw = spark.read.schema(struct).option("mode", "PERMISSIVE").json(path)
-    place = F.md5(F.concat_ws(
-        ":", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")))
-    return raw.withColumn("entry_id", F.coalesce("entry_id", place))
+    raw = spark.read.schema(struct).option("mode", "PERMISSIVE").json(path) \
+        .withColumn("_file", F.col("_metadata.file_path"))
+    named = raw.filter(F.col("entry_id").isNotNull())
+    own = F.md5(F.concat_ws(":", "_file", F.to_json(F.struct(*struct.names))))
+    nameless = raw.filter(F.col("entry_id").isNull()).withColumn("_own", own)
+    number = F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))
+    nameless = nameless.withColumn(
+        "entry_id", F.md5(F.concat_ws(":", "_own", number.cast("string"))))
+    return named.select(*struct.names).unionByName(nameless.select(*struct.names))

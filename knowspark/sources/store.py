@@ -1,24 +1,17 @@
-"""The four tables as a store on shared storage.
+"""The four tables as Parquet folders on shared storage.
 
-Layout: ``<root>/<table>/<fresh name>/`` holds Parquet files, and
-``<root>/_manifest/`` holds one row per committed write. A snapshot is written
-in full before its manifest row, so readers never see half of one, a path that
-is being read is never overwritten, and a writer that died leaves nothing in the
-way. One writer per table at a time is assumed.
+``<root>/<table>/`` holds one table. A snapshot is a root that the caller names:
+write all tables to a fresh root, then hand that name on. Appends add files to a
+table. Readers fail on a table that is not there.
 """
 
-import uuid
-
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from knowspark import schema
 
-_MANIFEST = "table string, number long, path string, appended boolean"
-
 #: Sort column of each table: newest-first, due and stale filters then skip row
 #: groups through the Parquet minimum and maximum.
 SORT_COLUMN = {
@@ -46,32 +39,15 @@ class Store:
         return tuple(f.name for f in fields(Store))
 
 
-def _manifest(spark: SparkSession, root: str) -> list:
-    """Committed snapshots: one short row per write, read by the driver."""
-    try:
-        return spark.read.schema(_MANIFEST).json(f"{root}/_manifest").collect()
-    except AnalysisException:
-        return []
-
-
-def _live(entries: list, table: str) -> list:
-    """Folders of the latest full snapshot and of every append made after it."""
-    live = []
-    for entry in sorted(entries, key=lambda e: e["number"]):
-        if entry["table"] == table:
-            live = live + [entry["path"]] if entry["appended"] else [entry["path"]]
-    return live
-
-
-def read_store(spark: SparkSession, root: str) -> Store:
-    """Typed scans of the current snapshot of all four tables."""
-    entries = _manifest(spark, root)
-    frames = {}
-    for name, struct in schema.TABLES.items():
-        paths = [f"{root}/{name}/{folder}" for folder in _live(entries, name)]
-        frames[name] = (spark.read.schema(struct).parquet(*paths) if paths
-                        else spark.createDataFrame([], struct))
-    return Store(**frames)
+def read_store(spark: SparkSession, root: str, missing: tuple = ()) -> Store:
+    """Typed scans of all four tables; those named in ``missing`` are empty."""
+    unknown = set(missing) - set(schema.TABLES)
+    if unknown:
+        raise ValueError(f"unknown tables {sorted(unknown)}")
+    return Store(**{
+        name: spark.createDataFrame([], struct) if name in missing
+        else spark.read.schema(struct).parquet(f"{root}/{name}")
+        for name, struct in schema.TABLES.items()})
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -85,43 +61,34 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         for f in schema.TABLES[table].fields])
 
 
-def write_store(df: DataFrame, root: str, table: str, append: bool = False) -> int:
-    """Write rows as a new snapshot, or as rows added to the current one.
+def write_store(df: DataFrame, root: str, table: str, append: bool = False) -> None:
+    """Write a table of a new snapshot, or add rows to a table that is there.
 
-    Returns the number of the write. Rows are sorted inside each output file only,
-    which needs no shuffle.
+    Rows are sorted inside each output file only, which needs no shuffle.
     """
-    spark = df.sparkSession
-    number = max((e["number"] for e in _manifest(spark, root)), default=0) + 1
-    folder = f"v{number}-{uuid.uuid4().hex}"
     conform(df, table).sortWithinPartitions(SORT_COLUMN[table]) \
-        .write.mode("errorifexists").option("parquet.bloom.filter.enabled#id", "true") \
-        .parquet(f"{root}/{table}/{folder}")
-    row = spark.createDataFrame([(table, number, folder, append)], _MANIFEST)
-    row.coalesce(1).write.mode("append").json(f"{root}/_manifest")
-    return number
+        .write.mode("append" if append else "errorifexists") \
+        .option("parquet.bloom.filter.enabled#id", "true").parquet(f"{root}/{table}")
 
 
 def latest_rows(versions: DataFrame, version: str = "version", key: str = "id") -> DataFrame:
     """The newest version of each row of an append-only table.
 
-    ``max_by`` combines before the shuffle, so a row with very many versions
-    sends one row per task.
+    Versions are unique per row. Only the version is aggregated, by hash and
+    before the shuffle; the rows are fetched by (key, version), so a row with very
+    many versions is no hot spot and wide rows are never aggregation buffers.
     """
-    rest = [c for c in versions.columns if c != key]
-    newest = versions.groupBy(key).agg(
-        F.max_by(F.struct(*rest), F.col(version)).alias("_row"))
-    return newest.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    newest = versions.groupBy(F.col(key).alias("_key")).agg(F.max(version).alias("_version"))
+    return versions.join(newest, (F.col(key) == F.col("_key")) & (F.col(version) == F.col("_version"))) \
+        .drop("_key", "_version")
 
 
-def merge_changes(base: DataFrame, versions: DataFrame, version: str = "version",
-                  key: str = "id") -> DataFrame:
-    """The table when changed rows are kept beside it: every changed row in its
-    newest version, all others from ``base``.
+def merge_changes(base: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
+    """The table when changed rows, one per key, are kept beside it: the changed
+    rows, and all others from ``base``.
 
-    Only the changes are grouped. ``base`` is scanned and, while the changed ids
-    are few enough to broadcast, never shuffled.
+    ``changed`` is best a written table: it is read twice, once for its keys.
+    ``base`` is scanned and, while the keys are few enough to broadcast, never
+    shuffled. Several generations of changes go through :func:`latest_rows` first.
     """
-    newest = latest_rows(versions, version, key).drop(version)
-    kept = base.join(newest.select(key), key, "left_anti")
-    return kept.unionByName(newest)
+    return base.join(changed.select(key), key, "left_anti").unionByName(changed)

@@ -104,7 +104,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = (
-        read_table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+        read_table(spark, sf_dir, "orders")
         .groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_contact_at"))
     )
     joined = (
@@ -118,7 +118,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN c_custkey % 5 <> 0 THEN concat('c', c_custkey, '@example.org') END AS email",
         "CAST(NULL AS STRING) AS phone",
         "c_mktsegment AS company",
-        "last_contact_at",
+        "CASE WHEN c_mktsegment <> 'BUILDING' THEN last_contact_at END AS last_contact_at",
         "CASE WHEN c_custkey % 2 = 0 THEN concat('segment ', c_mktsegment) END AS notes",
         "array(concat('topic-', c_custkey % 12), lower(c_mktsegment)) AS tags",
         "embedding",
@@ -160,7 +160,11 @@ def load(spark: SparkSession, sf_dir: str) -> Store:
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as notes cut into chunk rows: turn 0 is the parent."""
-    return read_table(spark, sf_dir, "conversations").selectExpr(
+    return chunk_columns(read_table(spark, sf_dir, "conversations"))
+
+
+def chunk_columns(conversations: DataFrame) -> DataFrame:
+    return conversations.selectExpr(
         "concat('v', conv_id, '-', turn) AS id",
         "text AS content",
         "'note' AS content_type",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from knowspark.operators.ingest import check, ingest, split_valid
+from knowspark.operators.items import parents
 from knowspark.sources.store import latest_rows
 
 
@@ -47,14 +48,17 @@ def stream_ingest(entries: DataFrame, path: str, checkpoint: str, delay: str = "
 
 
 def stream_last_contact(interactions: DataFrame, path: str, checkpoint: str,
-                        available_now: bool = False) -> StreamingQuery:
-    """Latest interaction and count per contact, kept up to date.
+                        available_now: bool = False, delay: str = "1 day") -> StreamingQuery:
+    """Latest interaction and count per contact, kept up to date. An event
+    delivered again within ``delay`` of its arrival counts once; no event is too late.
 
     Every batch writes the contacts it changed to a folder of its own. A batch
     that runs again after a failure replaces that folder, so the result of
     :func:`read_last_contact` does not depend on retries.
     """
-    running = interactions.groupBy("contact_id").agg(
+    once = interactions.withColumn("_seen", F.current_timestamp()) \
+        .withWatermark("_seen", delay).dropDuplicatesWithinWatermark(["event_id"])
+    running = once.groupBy("contact_id").agg(
         F.max("ts").alias("last_contact_at"), F.count("*").alias("interactions"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -72,9 +76,12 @@ def read_last_contact(spark, path: str) -> DataFrame:
 def activity(thoughts: DataFrame, time: str, length: str, slide: str = None) -> DataFrame:
     """Counts per window by content type and by tag, from a stream or a table.
 
-    Both facets come from one pass; counts are combined before the shuffle, so a
-    tag on a third of all rows is no hot spot.
+    Chunk rows are parts of a note and do not count. Both facets come from one
+    pass; counts are combined before the shuffle, so a tag on a third of all rows
+    is no hot spot.
     """
+    if "parent_id" in thoughts.columns:
+        thoughts = parents(thoughts)
     facets = F.concat(
         F.array(F.struct(F.lit("type").alias("facet"), F.col("content_type").alias("value"))),
         F.transform(F.coalesce("tags", F.array().cast("array<string>")),
@@ -88,6 +95,35 @@ def activity(thoughts: DataFrame, time: str, length: str, slide: str = None) ->
     )
 
 
+def stream_rejected(entries: DataFrame, path: str, checkpoint: str,
+                    available_now: bool = False) -> StreamingQuery:
+    """Appends the entries that validation refuses, with the reasons, to files of
+    their own: the other half of :func:`stream_ingest`."""
+    _, refused = split_valid(check(entries, "entries"))
+    writer = refused.writeStream.format("parquet").outputMode("append").option("path", path)
+    return _started(writer, checkpoint, available_now)
+
+
+def stream_activity_now(thoughts: DataFrame, path: str, checkpoint: str, time: str = "created_at",
+                        length: str = "7 days", slide: str = "1 day", delay: str = "1 day",
+                        available_now: bool = False) -> StreamingQuery:
+    """Counts of all windows, open ones too, kept up to date. Every batch writes
+    the windows it changed; :func:`read_activity` gives the newest counts."""
+    counted = activity(thoughts.withWatermark(time, delay), time, length, slide)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _started(counted.writeStream.outputMode("update").foreachBatch(write), checkpoint,
+                    available_now)
+
+
+def read_activity(spark, path: str) -> DataFrame:
+    """The newest counts of each window and value."""
+    key = ["start", "end", "facet", "value"]
+    return spark.read.parquet(path).groupBy(*key).agg(F.max_by("n", "batch_id").alias("n"))
+
+
 def stream_activity(thoughts: DataFrame, path: str, checkpoint: str, time: str = "created_at",
                     length: str = "7 days", slide: str = "1 day", delay: str = "1 day",
                     available_now: bool = False) -> StreamingQuery:

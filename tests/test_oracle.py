@@ -12,7 +12,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
          "boolean": "BOOLEAN"}
 QUERIES, ORACLE = {k: entry.queries()[k] for k in CORE}, CORE_ORACLE
-ROWS_ONLY = {"search_approx"}
+ROWS_ONLY = set()
 
 
 @pytest.fixture(scope="module")

@@ -10,8 +10,9 @@ from knowspark.plans.queries import QUERIES as CORE
 QUERIES = {k: entry.queries()[k] for k in CORE}
 #: Queries that run a model or multiply vectors in Python workers.
 PYTHON = {"hash_embed", "refine_identity", "search", "search_tasks", "search_thoughts",
-          "search_pct", "suggested", "search_batch", "suggest_all", "search_approx",
-          "update_thoughts"}
+          "search_pct", "suggested", "search_batch", "suggest_all",
+          "search_approx", "update_thoughts", "reembed_tasks", "reembed_contacts", "reembed_home",
+          "reembed_interactions"}
 #: Small limited reports, numbered after their limit.
 RANKED = {"recent", "recent_events", "by_any_tag", "by_date_range", "related_tags",
           "review_top_tags", "search", "search_tasks", "search_thoughts", "search_pct",
@@ -25,10 +26,42 @@ def test_plan(spark, sf_dir, name):
     assert "BroadcastNestedLoopJoin" not in plan
     python = re.search(r"ArrowEvalPython|MapInArrow|PythonUDF|BatchEvalPython", plan)
     assert bool(python) == (name in PYTHON), "Python only where a model or a matrix is needed"
-    if name not in RANKED:
-        assert "SinglePartition" not in plan or "HashAggregate" in plan
-    else:
+    if name in RANKED:
         assert "TakeOrderedAndProject" in plan
+    for line, above in _single_partitions(plan):
+        # Only what the tasks have combined or limited may meet in one place.
+        assert re.search(r"Aggregate|TakeOrdered|Limit", above) and name not in LISTS, line
+
+
+#: Whole lists, ordered by range, never in one task.
+LISTS = {"list_tasks", "list_contacts", "list_home", "items_by_tag", "review_entries"}
+
+
+def _single_partitions(plan):
+    """Exchanges into one partition, each with the operator right below it."""
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = next((x for x in lines[i + 1:] if re.search(r"[A-Za-z]", x)), "")
+            yield line, below
+
+
+HASHED = ["update_tasks", "updated_tasks", "update_contacts", "update_home", "update_thoughts",
+          "needs_reembed", "latest_rows", "merge_task_changes", "last_contacts"]
+
+
+@pytest.mark.parametrize("name", HASHED)
+def test_keyed_changes_are_hashed(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_only_touched_rows_pass_the_model(spark, sf_dir):
+    """The model stands above a filter on the rows whose text is given."""
+    for name in ("reembed_tasks", "reembed_interactions"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "Union" in plan
+        assert "ArrowEvalPython" in plan.split("Union")[1].split(":- ")[1]
 
 
 def test_pairs_and_windows_combine_before_the_shuffle(spark, sf_dir):

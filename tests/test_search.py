@@ -72,10 +72,9 @@ def batch(spark, vectors):
         + [("none", None), ("zero", [0.0] * DIMS)], "query_id string, vector array<float>")
 
 
-@pytest.mark.parametrize("block", [8192, 15])
-def test_batch_is_many_searches(spark, made, vectors, block):
-    """One block, and several that are written to the work folder first."""
-    hits = search.search_batch(made, batch(spark, vectors), 6, block_size=block).collect()
+@pytest.mark.parametrize("parts", [1, 4, 15])
+def test_batch_is_many_searches(spark, made, vectors, parts):
+    hits = search.search_batch(made, batch(spark, vectors), 6, parts=parts).collect()
     for i in range(0, 120, 3):
         if vectors[i].any():
             mine = sorted((r["rank"], r["id"], round(r["similarity"], 9))
@@ -94,19 +93,28 @@ def test_small_score_blocks(spark, made, vectors, monkeypatch):
     assert whole == {(r["query_id"], r["rank"]): r["id"] for r in again.collect()}
 
 
-def test_best_prunes_exactly():
+def test_best_are_exact_with_ties():
     rng = np.random.default_rng(0)
-    best = search._Best(3, 5)
-    best.room = 40
     scores = np.round(rng.random((400, 3)), 2)  # many ties
-    names = np.array([f"n{i:03d}" for i in rng.permutation(400)], dtype=object)
-    for start in range(0, 400, 25):
-        best.add(names[start:start + 25], scores[start:start + 25])
-    best.prune()
+    scores[5] = np.nan
+    names = np.array([f"n{i:03d}" for i in rng.permutation(400)])
+    row, col = search._best_of(names, scores, 5)
     for q in range(3):
-        want = sorted(zip(-scores[:, q], names))[:5]
-        got = sorted((-s, n) for s, n, p in zip(best.score, best.item, best.query) if p == q)
-        assert got == want
+        want = sorted(zip(-np.nan_to_num(scores[:, q], nan=-9), names))[:5]
+        assert [(-scores[r, q], names[r]) for r in row[col == q]] == want
+
+
+def test_batches_start_no_job(spark, made, vectors):
+    """Query vectors never pass the driver: nothing runs before the result is read."""
+    queries = batch(spark, vectors)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        search.search_batch(made, queries, 3)
+        search.suggest_all(made, 3)
+        assert tracker.getJobIdsForGroup("lazy") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_batch_of_one_type(spark, made, vectors):
@@ -164,7 +172,7 @@ def test_suggestions_of_some_tags(spark, made):
 
 
 def test_approximate_search(spark, made, vectors):
-    index = search.build_index(made, new_work_path(spark, "index"), cells=6)
+    index = search.build_index(made, new_work_path(spark, "index"), 4)
     queries = batch(spark, vectors)
 
     def found(hits):
@@ -172,23 +180,25 @@ def test_approximate_search(spark, made, vectors):
 
     exact = {(r["query_id"], r["id"])
              for r in search.search_batch(made, queries, 10).collect()}
-    every = search.search_approx(spark, index, queries, 10, probes=6)
-    assert found(every) == exact
-    some = found(search.search_approx(spark, search.open_index(index.path), queries, 10, probes=3))
-    assert len(some & exact) / len(exact) > 0.7
-    in_blocks = search.search_approx(spark, index, queries, 10, probes=3, block_size=10)
-    assert found(in_blocks) == some
+    assert found(search.search_approx(spark, index, queries, 10, differ=4)) == exact
+    some = found(search.search_approx(spark, search.open_index(spark, index.path), queries, 10, 1))
+    assert len(some & exact) / len(exact) > 0.6
+    assert found(search.search_approx(spark, index, queries, 10, 1, shares=1)) == some
+    assert index.items(spark).count() == 235  # 5 have no vector or a zero vector
 
 
-def test_approximate_search_prunes_cells(spark, made, vectors):
-    index = search.build_index(made, new_work_path(spark, "index"), cells=6)
+def test_only_probed_pairs_are_scored(spark, made, vectors):
+    """Rows that reach a part: a query comes to its probed cells, an item to its own."""
+    index = search.build_index(made, new_work_path(spark, "index"), 4)
+    unit = np.array(vectors[0], dtype=float)
+    side = search.planes(4, DIMS) @ unit >= 0
+    cell = int(sum(1 << p for p in range(4) if side[p]))
     one = batch(spark, vectors).filter("query_id = 'q0'")
-    plan = search.search_approx(spark, index, one, 3, probes=2) \
-        ._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [cell" in plan
-    assert index.items(spark).filter(F.col("embedding").isNull()).count() == 0
+    mine = {r["id"] for r in index.items(spark).filter(F.col("cell") == cell).collect()}
+    hits = search.search_approx(spark, index, one, 1000, differ=0)
+    assert {r["id"] for r in hits.collect()} == mine
 
 
-def test_training_on_part_of_the_vectors(spark, made):
-    index = search.build_index(made, new_work_path(spark, "index"), cells=3, train_rows=60)
-    assert index.items(spark).count() == 235  # 5 have no vector or a zero vector
+def test_planes_follow_the_number_of_items():
+    assert [search.planes_for(n) for n in (0, 1, 1000, 64_000, 10**9)] == [1, 1, 1, 6, 20]
+    assert search.planes_for(10**12) == search.MOST_PLANES

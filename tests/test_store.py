@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from knowspark import schema
 from knowspark.operators import agenda, items, review, search, tags
@@ -25,22 +26,31 @@ def plan(df):
 
 
 def test_snapshots_and_appends(spark, make_store):
-    root = new_work_path(spark, "store")
-    assert read_store(spark, root).tasks.count() == 0
+    root, later = new_work_path(spark, "store"), new_work_path(spark, "store")
+    others = ("thoughts", "contacts", "home_items")
     first = make_store(tasks=[dict(id="a", title="A", due_date=dt.date(2024, 1, 1))]).tasks
     more = make_store(tasks=[dict(id="b", title="B")]).tasks
     write_store(first, root, "tasks")
     write_store(more.select("id", "title"), root, "tasks", append=True)
-    assert {r["id"] for r in read_store(spark, root).tasks.collect()} == {"a", "b"}
-    before = read_store(spark, root).tasks
-    write_store(before.filter("id = 'b'"), root, "tasks")
-    assert {r["id"] for r in read_store(spark, root).tasks.collect()} == {"b"}
+    before = read_store(spark, root, others).tasks
+    assert {r["id"] for r in before.collect()} == {"a", "b"}
+    write_store(before.filter("id = 'b'"), later, "tasks")
+    assert {r["id"] for r in read_store(spark, later, others).tasks.collect()} == {"b"}
     assert {r["id"] for r in before.collect()} == {"a", "b"}
-    assert read_store(spark, root).contacts.count() == 0
+    assert read_store(spark, root, others).contacts.count() == 0
+    with pytest.raises(AnalysisException):  # written already
+        write_store(first, root, "tasks")
+    with pytest.raises(ValueError):
+        write_store(first.withColumnRenamed("notes", "remarks"), later, "tasks")
     with pytest.raises(ValueError):
-        write_store(first.withColumnRenamed("notes", "remarks"), root, "tasks")
+        read_store(spark, root, others).table("others")
     with pytest.raises(ValueError):
-        read_store(spark, root).table("others")
+        read_store(spark, root, ("others",))
+
+
+def test_a_wrong_path_is_an_error(spark):
+    with pytest.raises(AnalysisException):
+        read_store(spark, new_work_path(spark, "nowhere"))
 
 
 def test_stored_types(stored):
