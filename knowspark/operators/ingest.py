@@ -1,6 +1,5 @@
 """Ingest: validate, default, chunk, embed, refine."""
 
-from collections import Counter
 from hashlib import md5
 from itertools import chain
 from typing import Callable, Iterator, Protocol
@@ -159,30 +158,22 @@ class HashEmbedder:
     """Deterministic embedding without a model: lower-cased words are counted in
     md5 buckets and the counts scaled to length one."""
 
-    KNOWN_TOKENS = 1_000_000
-
     def __init__(self, dimensions: int = schema.EMBEDDING_DIMS):
         self.dimensions = dimensions
-        self._buckets = {}
-
-    def _bucket(self, token: str) -> int:
-        found = self._buckets.get(token)
-        if found is None:
-            if len(self._buckets) >= self.KNOWN_TOKENS:
-                self._buckets.clear()
-            found = int(md5(token.encode()).hexdigest()[:8], 16) % self.dimensions
-            self._buckets[token] = found
-        return found
 
     def embed_batch(self, texts: list) -> list:
-        out = []
-        for value in texts:
-            counts = np.zeros(self.dimensions)
-            for token, n in Counter(value.lower().split()).items():
-                counts[self._bucket(token)] += n
-            length = np.sqrt((counts * counts).sum())
-            out.append((counts / length if length else counts).astype(np.float32))
-        return out
+        """Each distinct word of the batch is hashed once, all texts are counted
+        together."""
+        words = [value.lower().split() for value in texts]
+        coded = pa.array(list(chain.from_iterable(words)), pa.large_string()).dictionary_encode()
+        buckets = np.array([int(md5(w.encode()).hexdigest()[:8], 16) % self.dimensions
+                            for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        cells = row * self.dimensions + buckets[coded.indices.to_numpy()]
+        counts = np.bincount(cells, minlength=len(texts) * self.dimensions).astype(float)
+        counts = counts.reshape(len(texts), self.dimensions)
+        length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return list((counts / np.where(length > 0, length, 1)).astype(np.float32))
 
 
 def embedding_of(column, make_embedder: Callable[[], Embedder] = HashEmbedder) -> Column:
@@ -297,7 +288,7 @@ def refine(df: DataFrame, make_refiner: Callable[[], Refiner] = IdentityRefiner)
                     content, title, tags = backend.refine(raw, kind or "thought")
                     rows.append((content, title, list(tags or []), None))
                 except Exception as error:  # any backend failure concerns its row only
-                    rows.append((None, None, None, f"refine backend error: {error}"))
+                    rows.append((None, None, None, f"the refiner failed: {error}"))
             yield pd.DataFrame(rows, columns=_REFINED.names)
 
     answered = df.withColumn("_r", call("content", "content_type"))
@@ -322,5 +313,5 @@ def refine_postprocess(df: DataFrame) -> DataFrame:
         "refine_error": F.coalesce(
             earlier.cast("string"),
             F.when(content.isNull() | (content == ""),
-                   F.lit("refine backend returned empty content"))),
+                   F.lit("the refiner gave no content"))),
     })

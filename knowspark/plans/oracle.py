@@ -316,7 +316,8 @@ _INTEGERS = {
     **dict.fromkeys(("recent", "recent_events", "by_any_tag", "by_date_range", "related_tags",
                      "related_all", "review_top_tags", "search", "search_tasks",
                      "search_thoughts", "search_pct", "suggested", "search_batch", "search_batch_items",
-                     "suggest_all", "search_approx"),
+                     "suggest_all", "search_approx", "search_wide",
+                     "search_batch_wide", "suggest_wide"),
                     ("rank",)),
     **dict.fromkeys(("chunk_all", "chunk_notes", "chunk_sliding", "chunk_windows"),
                     ("chunk_index", "total_chunks")),
@@ -431,11 +432,11 @@ def _build() -> dict:
     q["refine_post"] = f"""SELECT p_partkey,
         CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_name END AS content,
         CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS title, tags,
-        CASE WHEN p_partkey % 10 = 0 THEN 'refine backend returned empty content' END AS error
+        CASE WHEN p_partkey % 10 = 0 THEN 'the refiner gave no content' END AS error
         FROM part JOIN ({_clean(raw, 5)}) ON k = p_partkey"""
     q["refine_identity"] = _with("""SELECT entry_id, trim(content, {py}) AS content,
         CAST(NULL AS VARCHAR) AS title, '' AS tags,
-        CASE WHEN trim(content, {py}) = '' THEN 'refine backend returned empty content' END
+        CASE WHEN trim(content, {py}) = '' THEN 'the refiner gave no content' END
         AS refine_error FROM entries""")
 
     # filters and lists
@@ -742,6 +743,52 @@ def _build() -> dict:
                            similarity
                     FROM probed JOIN query_vectors USING (query_id) JOIN items USING (id)))
         WHERE rank <= 10""")
+    # vectors of full width: words counted in 384 buckets, sums over shared buckets
+    def buckets(texts, key):
+        return (
+            f"SELECT {key}, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS FLOAT) "
+            f"AS DOUBLE) AS w FROM (SELECT {key}, CAST('0x'||substr(md5(word), 1, 8) AS BIGINT) % 384 "
+            f"AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT {key}, unnest(string_split_regex("
+            f"lower(text), '{{ws}}')) AS word FROM ({texts})) WHERE word <> '' GROUP BY ALL)")
+
+    texts = ("SELECT id, content AS text FROM thoughts " + "".join(
+        f"UNION ALL SELECT id, {joined.format(name, 'notes')} FROM {table} "
+        for table, name in (("tasks", "title"), ("contacts", "name"), ("home_items", "name"))))
+    wide = {
+        "wide": buckets(texts, "id"),
+        "wide_norm": "SELECT id, sqrt(sum(w * w)) AS length FROM wide GROUP BY id",
+        "asked": buckets("SELECT item_id, text FROM benchmark", "item_id"),
+        "asked_norm": "SELECT item_id, sqrt(sum(w * w)) AS length FROM asked GROUP BY item_id",
+        "wide_pairs": """
+            SELECT item_id AS query_id, id, coalesce(dot, 0) / (n.length * m.length) AS similarity
+            FROM wide_norm n CROSS JOIN asked_norm m LEFT JOIN (
+              SELECT a.item_id, w.id, sum(a.w * w.w) AS dot FROM asked a JOIN wide w USING (bucket)
+              GROUP BY ALL) USING (item_id, id)""",
+        "means": """
+            SELECT tag, bucket, sum(w) / any_value(n) AS w
+            FROM (SELECT DISTINCT id, tag FROM item_tags)
+            JOIN (SELECT tag, count(DISTINCT id) AS n FROM item_tags JOIN wide_norm USING (id)
+                  GROUP BY tag) USING (tag) JOIN wide USING (id) GROUP BY tag, bucket""",
+        "mean_norm": "SELECT tag, sqrt(sum(w * w)) AS length FROM means GROUP BY tag",
+    }
+    by_rank = ("SELECT *, row_number() OVER ({over}ORDER BY round(similarity, 12) DESC, id) AS rank "
+               "FROM ({rows})")
+    found = by_rank.format(over="", rows="SELECT i.*, similarity FROM wide_pairs JOIN items i USING "
+                                         "(id) WHERE query_id = 0")
+    q["search_wide"] = _with(f"SELECT {hit} FROM ({found}) WHERE rank <= 10", **wide)
+    found = by_rank.format(over="PARTITION BY query_id ", rows="SELECT * FROM wide_pairs")
+    q["search_batch_wide"] = _with(
+        f"SELECT CAST(query_id AS VARCHAR) AS query_id, rank, id, round(similarity, 6) AS similarity "
+        f"FROM ({found}) WHERE rank <= 5", **wide)
+    found = by_rank.format(over="PARTITION BY tag ", rows="""
+        SELECT m.tag, n.id, coalesce(dot, 0) / (n.length * m.length) AS similarity
+        FROM wide_norm n CROSS JOIN mean_norm m LEFT JOIN (
+          SELECT c.tag, w.id, sum(c.w * w.w) AS dot FROM means c JOIN wide w USING (bucket)
+          GROUP BY ALL) d ON d.tag = m.tag AND d.id = n.id
+        WHERE NOT EXISTS (SELECT 1 FROM item_tags t WHERE t.id = n.id AND t.tag = m.tag)""")
+    q["suggest_wide"] = _with(
+        f"SELECT tag, rank, id, round(similarity, 6) AS similarity FROM ({found}) WHERE rank <= 3",
+        **wide)
     q["stream_rejected"] = (
         f"SELECT entry_id, reasons FROM ({q['validate_entries']}) WHERE reasons <> ''")
     q["stream_contacts"] = _with(f"""

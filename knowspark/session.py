@@ -21,20 +21,26 @@ RECOMMENDED_CONF = {
 }
 
 
-#: Bytes a shuffle partition should hold before AQE merges small ones.
+#: Bytes a shuffle partition should hold before AQE merges small ones, and most
+#: partitions: the driver tracks map tasks times partitions.
 PARTITION_BYTES = 128 * 1024 * 1024
+MOST_PARTITIONS = 50_000
 
 
-def configure(spark: SparkSession, input_bytes: int = None) -> SparkSession:
+def configure(spark: SparkSession, shuffle_bytes: int = None) -> SparkSession:
     """Apply the run-time settings above to an existing session.
 
-    With the size of the data, shuffles start with enough partitions to hold
-    ``PARTITION_BYTES`` each (100 TB: about 800,000); AQE merges the small ones.
+    ``shuffle_bytes`` is what the largest shuffle writes, not the input: most
+    operators combine before they shuffle, and a few gigabytes are left of 100 TB.
+    Shuffles then start with enough partitions to hold ``PARTITION_BYTES`` each,
+    ``MOST_PARTITIONS`` at most; AQE merges the small ones. The joins that move
+    whole rows are worth a setting of their own.
     """
     for key, value in RECOMMENDED_CONF.items():
         spark.conf.set(key, value)
-    if input_bytes is not None:
-        parts = max(spark.sparkContext.defaultParallelism, -(-input_bytes // PARTITION_BYTES))
+    if shuffle_bytes is not None:
+        parts = max(spark.sparkContext.defaultParallelism,
+                    min(-(-shuffle_bytes // PARTITION_BYTES), MOST_PARTITIONS))
         spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     return spark

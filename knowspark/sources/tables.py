@@ -30,20 +30,11 @@ SCHEMAS = {
 # --- end of fixed values ---
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """One given table. ``spread`` is for work that is heavy per row."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int = None) -> DataFrame:
+    """One given table, dealt anew over so many ``partitions`` if given: for work
+    that is heavy per row over a file of one row group."""
     df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(df) if spread else df
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer splits than there are cores.
-
-    One file of one row group would otherwise be one task. A large input has
-    more splits than cores and passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if partitions is None else df.repartition(partitions)
 
 
 def _vectors(spark: SparkSession, sf_dir: str, slot: int) -> DataFrame:
@@ -69,8 +60,8 @@ def thought_columns(documents: DataFrame) -> DataFrame:
     )
 
 
-def thoughts(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    docs = thought_columns(read_table(spark, sf_dir, "documents", spread))
+def thoughts(spark: SparkSession, sf_dir: str, partitions: int = None) -> DataFrame:
+    docs = thought_columns(read_table(spark, sf_dir, "documents", partitions))
     joined = docs.join(_vectors(spark, sf_dir, 0), F.col("doc_id") == F.col("_key"), "left")
     return joined.select(
         "id", "content", "embedding", "source", "content_type", "title", "tags",
@@ -176,18 +167,18 @@ def chunk_columns(conversations: DataFrame) -> DataFrame:
     )
 
 
-def long_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def long_notes(spark: SparkSession, sf_dir: str, partitions: int = None) -> DataFrame:
     """Documents with a blank line between any two words: only the sliding
     window can cut them."""
-    return read_table(spark, sf_dir, "documents", spread=True).select(
+    return read_table(spark, sf_dir, "documents", partitions).select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("id"),
         F.regexp_replace("text", "[ \n]+", "\n\n").alias("content"),
         F.lit("note").alias("content_type"))
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str, partitions: int = None) -> DataFrame:
     """Documents as requests to ingest; some carry a type no entry may have."""
-    return entry_columns(read_table(spark, sf_dir, "documents", spread=True))
+    return entry_columns(read_table(spark, sf_dir, "documents", partitions))
 
 
 def entry_columns(documents: DataFrame) -> DataFrame:

@@ -122,8 +122,8 @@ def test_refine(spark):
     assert got["fine"]["content"] == "FINE" and got["fine"]["title"] is None
     assert got["fine"]["tags"] == ["work", "ideas", "t0", "t1", "t2"]
     assert got["fine"]["refine_error"] is None
-    assert got["boom"]["refine_error"] == "refine backend error: offline"
-    assert got["blank"]["refine_error"] == "refine backend returned empty content"
+    assert got["boom"]["refine_error"] == "the refiner failed: offline"
+    assert got["blank"]["refine_error"] == "the refiner gave no content"
 
 
 def test_text_notes(spark, tmp_path):

@@ -126,8 +126,10 @@ def test_work_folder_comes_from_the_session(spark):
 def test_configure_sizes_shuffles(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        configure(spark, input_bytes=100 * 10**12)
-        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 745_059
+        configure(spark, shuffle_bytes=10**12)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 7451
+        configure(spark, shuffle_bytes=100 * 10**12)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 50_000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
