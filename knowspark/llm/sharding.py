@@ -13,8 +13,8 @@ a number given when the records are written, so any range can be cut. Rows with
 are ignored. An empty table gives an empty result. With fewer records than
 shards some shards stay empty.
 
-What reaches the driver: the splitters and one row per range (``RANGES`` times
-two at most for each gigabyte of ``RANGE_BYTES`` ranges, a documented bound).
+What reaches the driver: the sampled keys, ``KEYS_PER_RANGE`` per range on average,
+and one row per range, of which there are ``MAX_RANGES`` and those cut again.
 """
 
 from __future__ import annotations
@@ -33,20 +33,29 @@ OVERFULL = 2.0
 ROUNDS = 3
 
 
-def _place(splitters: list, key: Column) -> Column:
-    """How many splitters are below or at ``key``, by binary search."""
+def _numbers(values) -> Column:
+    """A constant array of longs, folded once, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _place(splitters: list) -> Column:
+    """How many splitters are below or at the record's key, by binary search."""
     if not splitters:
         return F.lit(0)
-    table = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip("hdi", s)])
-                      for s in splitters])
+    h, d, i = map(_numbers, zip(*splitters))
     steps, step = [], 1
     while step <= len(splitters):
         steps.insert(0, step)
         step *= 2
+
+    def reaches(at):
+        same_h, same_d = F.get(h, at) == F.col("h"), F.get(d, at) == F.col("d")
+        return (F.get(h, at) < F.col("h")) | (same_h & (F.get(d, at) < F.col("d"))) \
+            | (same_h & same_d & (F.get(i, at) <= F.col("i")))
+
     return F.aggregate(
         F.array(*map(F.lit, steps)), F.lit(0),
-        lambda at, s: F.when((at + s <= len(splitters))
-                             & (F.get(table, at + s - 1) <= key), at + s).otherwise(at))
+        lambda at, s: F.when((at + s <= len(splitters)) & reaches(at + s - 1), at + s).otherwise(at))
 
 
 def _splitters(records: DataFrame, total: int, ranges: int, seed: int) -> list:
@@ -74,11 +83,10 @@ def shard_bytes(documents: DataFrame, shards: int = 16, seed: int = 0,
         F.monotonically_increasing_id().alias("i")), "shard-records")
     total = records.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ranges = min(max(MIN_RANGES, -(-total // range_bytes)), MAX_RANGES)
-    key = F.struct("h", "d", "i")
     splitters = _splitters(records, total, ranges, seed)
 
     def counted():
-        return records.withColumn("range", _place(splitters, key)).groupBy("range") \
+        return records.withColumn("range", _place(splitters)).groupBy("range") \
             .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
 
     found = counted()
@@ -86,7 +94,7 @@ def shard_bytes(documents: DataFrame, shards: int = 16, seed: int = 0,
         full = [r for r in found if r.bytes > OVERFULL * total / ranges and r.n > 1]
         if not full:
             break
-        inside = records.filter(_place(splitters, key).isin([r.range for r in full]))
+        inside = records.filter(_place(splitters).isin([r.range for r in full]))
         more = _splitters(inside, total, ranges * 2, seed + again)
         if set(more) <= set(splitters):
             break
@@ -98,11 +106,11 @@ def shard_bytes(documents: DataFrame, shards: int = 16, seed: int = 0,
         offsets[r.range] = tuple(before)
         before = [before[0] + r.bytes, before[1] + r.n]
     count = (max(offsets) if offsets else 0) + 1
-    start = lambda k: F.get(F.array(*[
-        F.lit(offsets.get(i, (0, 0))[k]).cast("long") for i in range(count)]), F.col("range"))
+    start = lambda k: F.get(
+        _numbers(offsets.get(i, (0, 0))[k] for i in range(count)), F.col("range"))
     within = Window.partitionBy("range").orderBy("h", "d", "i")
     placed = written(
-        records.withColumn("range", _place(splitters, key))
+        records.withColumn("range", _place(splitters))
         .withColumn("at", start(0) + F.sum("size").over(
             within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("row", start(1) + F.row_number().over(within) - 1)
@@ -111,8 +119,7 @@ def shard_bytes(documents: DataFrame, shards: int = 16, seed: int = 0,
         "shard-placed")
     firsts = {r.shard: r.first for r in  # one row per shard
               placed.groupBy("shard").agg(F.min("row").alias("first")).collect()}
-    first = F.get(F.array(*[F.lit(firsts.get(s, 0)).cast("long") for s in range(shards)]),
-                  F.col("shard"))
+    first = F.get(_numbers(firsts.get(s, 0) for s in range(shards)), F.col("shard"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                          (F.col("row") - first).alias("slot"),
                          F.lit(None).cast("int").alias("grown_shard"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import brute
 from knowspark.llm import near_dup
 from knowspark.llm.components import components
@@ -32,6 +34,7 @@ def test_against_all_pairs(docs_of):
 def test_large_nodes(docs_of, monkeypatch):
     """Nodes beyond the small size: pivots, further levels, then blocks."""
     monkeypatch.setattr(near_dup, "SMALL", 16)
+    monkeypatch.setattr(near_dup, "COLUMNS", 64)
     monkeypatch.setattr(near_dup, "LEVELS", 2)
     rows = copies(5, 8)
     got = near_dup.near_duplicates(docs_of(rows))
@@ -52,6 +55,16 @@ def test_empty_table(docs_of):
     assert near_dup.near_duplicates(docs_of([(1, "a")]).filter("doc_id = 2")).collect() == []
 
 
+def test_connected_sets():
+    """Sets chained by similar neighbours are one; others stay alone."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 40, 9000).astype(np.uint64)
+    chain = [np.unique(np.concatenate([base[k * 200:k * 200 + 4000], base[8000:8010]]))
+             for k in range(6)]
+    sets = [chain[3], base[:10], *chain[:3], base[8990:], *chain[4:]]
+    assert near_dup.connected(sets).tolist() == [0, 1, 0, 0, 0, 5, 0, 0]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7)]
     got = components(spark.createDataFrame(links, "a long, b long"))
