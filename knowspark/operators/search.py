@@ -59,13 +59,15 @@ def untagged(items: DataFrame, tag: str) -> DataFrame:
     return items.filter(~F.array_contains("tags", tag))
 
 
-def suggested_connections(store: Store, tag: str, limit: int = 8) -> DataFrame:
+def suggested_connections(store: Store, tag: str, limit: int = 8,
+                          tagged: Store = None) -> DataFrame:
     """Items nearest to the tag's centroid that do not carry the tag.
 
-    The centroid, one vector, is computed first; without one the result is empty.
+    The centroid, one vector, is computed first, from ``tagged`` if the tagged
+    items are at hand; without one the result is empty.
     """
     items = unified_items(store, embedding=True)
-    centroid = tag_centroid(store, tag).select("centroid").collect()
+    centroid = tag_centroid(tagged or store, tag).select("centroid").collect()
     if not centroid:
         return items.drop("embedding").withColumn("similarity", F.lit(0.0)).limit(0)
     return rank_by_similarity(untagged(items, tag), list(centroid[0][0]), limit)

@@ -317,7 +317,7 @@ _INTEGERS = {
                      "related_all", "review_top_tags", "search", "search_tasks",
                      "search_thoughts", "search_pct", "suggested", "search_batch", "search_batch_items",
                      "suggest_all", "search_approx", "search_wide",
-                     "search_batch_wide", "suggest_wide"),
+                     "search_batch_wide", "suggest_wide", "tag_page"),
                     ("rank",)),
     **dict.fromkeys(("chunk_all", "chunk_notes", "chunk_sliding", "chunk_windows"),
                     ("chunk_index", "total_chunks")),
@@ -676,6 +676,11 @@ def _build() -> dict:
         f"SELECT {hit} FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM "
         f"(SELECT i.*, {scored} FROM items i, centroids c WHERE c.tag = 'topic-3' AND embedding IS "
         f"NOT NULL AND NOT list_contains(tags, 'topic-3'))) WHERE rank <= 8")
+    q["tag_page"] = (
+        f"SELECT 'items' AS section, id AS key, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS DOUBLE) AS "
+        f"value FROM ({_with(by_tag)}) UNION ALL SELECT 'related', tag, rank, CAST(co_occurrence AS "
+        f"DOUBLE) FROM ({q['related_tags']}) UNION ALL SELECT 'suggested', id, rank, similarity "
+        f"FROM ({q['suggested']})")
     q["search_batch"] = _with(
         "SELECT CAST(query_id AS VARCHAR) AS query_id, rank, id, round(similarity, 6) AS similarity "
         "FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS "

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from knowspark.functions import labels, text, times, vectors
 from knowspark.operators import (
     agenda, changes, ingest, items, notes, review, search, tags)
+from knowspark.plans import reports
 from knowspark.session import new_work_path
 from knowspark.sources import tables
 from knowspark.sources.notes import read_entries_json, read_text_notes
@@ -893,6 +894,21 @@ def suggested(store):
     return _hits(search.suggested_connections(store, TAG))
 
 
+@on_store
+def tag_page(store):
+    """The three parts of a tag's page as one report."""
+    page = reports.tag_page(store, TAG)
+    related = ranked(page["related_tags"], F.desc("co_occurrence"), "tag")
+    near = ranked(page["suggested"], F.desc("similarity"), "id")
+    parts = [
+        page["items"].select(F.lit("items").alias("section"), F.col("id").alias("key"),
+                             F.lit(None).cast("int").alias("rank"),
+                             F.lit(None).cast("double").alias("value")),
+        related.select(F.lit("related"), "tag", "rank", F.col("co_occurrence").cast("double")),
+        near.select(F.lit("suggested"), "id", "rank", sim())]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def all_queries(spark, sf_dir):
     """Every stored vector as a query."""
     return tables.read_table(spark, sf_dir, "embeddings").select(

@@ -1,14 +1,28 @@
 """Reports made of several operators; each part is a DataFrame of its own."""
 
+from pyspark.sql import functions as F
+
 from knowspark.operators import agenda, items, review, search, tags
+from knowspark.session import new_work_path
 from knowspark.sources.store import Store
 
 
 def tag_page(store: Store, tag: str) -> dict:
+    """The tag's items, related tags and suggestions.
+
+    The tagged items are found once and written to the work folder; all three
+    parts read them there.
+    """
+    found = items.unified_items(store, embedding=True).filter(F.array_contains("tags", tag))
+    path = new_work_path(found.sparkSession, "tagged")
+    found.write.parquet(path)
+    tagged = found.sparkSession.read.schema(found.schema).parquet(path)
+    own = Store(tagged.withColumn("parent_id", F.lit(None).cast("string")),
+                *(store.table(t).limit(0) for t in ("tasks", "contacts", "home_items")))
     return {
-        "items": items.items_by_tag(store, tag),
-        "related_tags": tags.related_tags(store, tag),
-        "suggested": search.suggested_connections(store, tag),
+        "items": items.items_by_tag(own, tag),
+        "related_tags": tags.related_tags(own, tag),
+        "suggested": search.suggested_connections(store, tag, tagged=own),
     }
 
 

@@ -11,12 +11,12 @@ QUERIES = {k: entry.queries()[k] for k in CORE}
 #: Queries that run a model or multiply vectors in Python workers.
 PYTHON = {"hash_embed", "refine_identity", "search", "search_tasks", "search_thoughts",
           "search_pct", "suggested", "search_batch", "suggest_all",
-          "search_approx", "search_wide", "search_batch_wide", "suggest_wide", "update_thoughts", "reembed_tasks", "reembed_contacts", "reembed_home",
+          "search_approx", "search_wide", "search_batch_wide", "suggest_wide", "tag_page", "update_thoughts", "reembed_tasks", "reembed_contacts", "reembed_home",
           "reembed_interactions"}
 #: Small limited reports, numbered after their limit.
 RANKED = {"recent", "recent_events", "by_any_tag", "by_date_range", "related_tags",
           "review_top_tags", "search", "search_tasks", "search_thoughts", "search_pct",
-          "suggested", "search_wide"}
+          "suggested", "search_wide", "tag_page"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
