@@ -21,7 +21,7 @@ minwise token names there. Similar sets meet again and again, others part.
   4.5 standard deviations below) are not confirmed.
 
 Confirming is spent on what can change a component: first each class's best
-partner, then all candidates that still join two components.
+partner, then all candidates that still join two components; no pair twice.
 
 Result per document: size of its set, component (its smallest doc_id), and whether
 it is that document. NULL, empty and wordless texts are linked with nothing. Equal
@@ -50,7 +50,7 @@ COORDINATES = 64
 #: Agreeing coordinates from which a pair is confirmed on its sets.
 LEAST = 32
 TREES = 16
-SMALL = 64
+SMALL = 512
 PIVOTS = 3
 #: Levels after which what is left of a node is compared in blocks, whole.
 LEVELS = 40
@@ -315,9 +315,13 @@ class _Links:
     def __init__(self, spark):
         self.links = spark.createDataFrame([], "a long, b long")
         self.comps = spark.createDataFrame([], "c long, comp long")
+        self.tried = self.links
 
     def add(self, candidates: DataFrame, sets: DataFrame) -> None:
         """Confirm what can join components: best partners, then the rest."""
+        candidates = written(candidates.join(self.tried, ["a", "b"], "left_anti"), "near-new")
+        if candidates.isEmpty():
+            return
         ends = candidates.select(F.col("a").alias("c"), "a", "b", "same").unionByName(
             candidates.select(F.col("b").alias("c"), "a", "b", "same"))
         best = ends.groupBy("c").agg(
@@ -331,6 +335,7 @@ class _Links:
     def _take(self, pairs: DataFrame, sets: DataFrame) -> None:
         if pairs.isEmpty():
             return
+        self.tried = self.tried.unionByName(pairs)
         found = written(_confirmed(pairs, sets), "near-links")
         if not found.isEmpty():
             self.links = self.links.unionByName(found)
