@@ -10,7 +10,9 @@ named by its path; the name chooses one or two coordinates (4/3 on average, one
 over the similarity sought), and each document goes on to the child that its own
 minwise token names there. Similar sets meet again and again, others part.
 
-* A node of up to ``SMALL`` classes is compared exhaustively on the signatures.
+* A node of up to ``SMALL`` classes is compared exhaustively on the signatures: first
+  every class goes on with its best partners, then, of what is left, with all that
+  it may still be connected to.
 * A larger node compares all its classes with ``PIVOTS`` of them, then branches on,
   unless all its classes are already connected: links inside a component would
   not change any result, so a huge group of near copies ends in a few levels
@@ -20,8 +22,8 @@ minwise token names there. Similar sets meet again and again, others part.
   than 0.9999. Pairs that agree in fewer than ``LEAST`` of 64 coordinates (more than
   4.5 standard deviations below) are not confirmed.
 
-Confirming is spent on what can change a component: first each class's best
-partner, then all candidates that still join two components; no pair twice.
+Confirming is spent on what can change a component: only candidates that join two
+components, and no pair twice.
 
 Result per document: size of its set, component (its smallest doc_id), and whether
 it is that document. NULL, empty and wordless texts are linked with nothing. Equal
@@ -180,28 +182,36 @@ def _sizes_allow(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n_a, n_b) >= SIMILAR * np.maximum(n_a, n_b)
 
 
-def _within(sketched: DataFrame) -> DataFrame:
-    """Candidate pairs within small nodes: streams over nodes sorted by name."""
+def _within(sketched: DataFrame, best: bool) -> DataFrame:
+    """Candidate pairs within small nodes, or of each class only its ``best`` ones:
+    streams over nodes sorted by name."""
 
     def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         node, c, n, comp = (batch[x].to_numpy() for x in ("node", "c", "n", "comp"))
         sketch = contents(batch["sketch"])[0].reshape(-1, COORDINATES)
         starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        ends = np.append(starts[1:], len(node))
-        last = np.repeat(ends, ends - starts)
-        behind = last - 1 - np.arange(len(node))  # partners after each row
-        reach = np.concatenate(([0], np.cumsum(behind)))
+        opens = np.repeat(starts, np.diff(np.append(starts, len(node))))
+        before = np.arange(len(node)) - opens  # partners of each row
+        reach = np.concatenate(([0], np.cumsum(before)))
         row = 0
         while row < len(node):  # about a hundred thousand pairs at a time
             stop = max(int(np.searchsorted(reach, reach[row] + 100_000, "right")) - 1, row + 1)
-            count = behind[row:stop]
+            count = before[row:stop]
             a = np.repeat(np.arange(row, stop), count)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+            b = opens[a] + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
             fit = (comp[a] != comp[b]) & (c[a] != c[b]) & _sizes_allow(n[a], n[b])
             a, b = a[fit], b[fit]
             same = (sketch[a] == sketch[b]).sum(axis=1)
             near = same >= LEAST
-            a, b, same = c[a[near]], c[b[near]], same[near]
+            a, b, same = a[near], b[near], same[near]
+            if best and len(a):  # of each class, as the later and as the earlier one
+                picked = []
+                for one, other in ((a, b), (b, a)):
+                    order = np.lexsort((other, -same, one))
+                    picked.append(order[np.append(True, one[order][1:] != one[order][:-1])])
+                picked = np.unique(np.concatenate(picked))
+                a, b, same = a[picked], b[picked], same[picked]
+            a, b = c[a], c[b]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)),
                  pa.array(same.astype(np.int32))], names=["a", "b", "same"])
@@ -317,22 +327,13 @@ class _Links:
         self.comps = spark.createDataFrame([], "c long, comp long")
         self.tried = self.links
 
-    def add(self, candidates: DataFrame, sets: DataFrame) -> None:
-        """Confirm what can join components: best partners, then the rest."""
-        candidates = written(candidates.join(self.tried, ["a", "b"], "left_anti"), "near-new")
-        if candidates.isEmpty():
-            return
-        ends = candidates.select(F.col("a").alias("c"), "a", "b", "same").unionByName(
-            candidates.select(F.col("b").alias("c"), "a", "b", "same"))
-        best = ends.groupBy("c").agg(
-            F.max(F.struct("same", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("m")) \
-            .select((-F.col("m.x")).alias("a"), (-F.col("m.y")).alias("b")).distinct()
-        best = written(best, "near-best")
-        self._take(best, sets)
-        self._take(written(_cross(candidates.select("a", "b").join(
-            best, ["a", "b"], "left_anti"), self.comps), "near-rest"), sets)
-
-    def _take(self, pairs: DataFrame, sets: DataFrame) -> None:
+    def new(self, pairs: DataFrame) -> DataFrame:
+        """Pairs never tried that join two components."""
+        pairs = pairs.select("a", "b").distinct().join(self.tried, ["a", "b"], "left_anti")
+        return written(_cross(pairs, self.comps), "near-candidates")
+
+    def add(self, pairs: DataFrame, sets: DataFrame) -> None:
+        """Confirm new pairs and connect what they link."""
         if pairs.isEmpty():
             return
         self.tried = self.tried.unionByName(pairs)
@@ -349,9 +350,8 @@ def near_duplicates(documents: DataFrame, trees: int = TREES) -> DataFrame:
     signed = written(_signed(docs).withColumn("i", F.monotonically_increasing_id()), "near-signed")
     groups = written(signed.filter("n > 0").groupBy("k1", "k2").agg(
         F.min("i").alias("c"), F.min("d").alias("low")), "near-groups")
-    classes = written(signed.join(groups.select(F.col("c").alias("i"), "low"), "i")
-                      .select(F.col("i").alias("c"), "d", "k1", "k2", "n", "sig", "low"),
-                      "near-classes")
+    classes = written(signed.join(groups.select(F.col("c").alias("i")), "i")
+                      .select(F.col("i").alias("c"), "d", "k1", "k2", "n", "sig"), "near-classes")
     sketches = written(_sketches(classes), "near-sketches")
     state, sets = _Links(spark), None
     level, members = 1, written(_first_level(classes, trees), "near-nodes")
@@ -361,20 +361,26 @@ def near_duplicates(documents: DataFrame, trees: int = TREES) -> DataFrame:
         members = written(members.join(sized, "node"), "near-members")
         large = members.filter(F.col("size") > SMALL)
         crowded = not sized.filter(F.col("size") > SMALL).isEmpty()
-        small = members.filter(F.col("size") <= SMALL).join(sketches, "c") \
-            .join(state.comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        pairs = _within(small.select("node", "c", "n", "comp", "sketch"))
+        small = members.filter(F.col("size") <= SMALL)
+
+        def compared(best):
+            known = small.join(sketches, "c").join(state.comps, "c", "left") \
+                .withColumn("comp", F.coalesce("comp", "c"))
+            return _within(known.select("node", "c", "n", "comp", "sketch"), best)
+
+        pairs = compared(True)
         if crowded:
             pairs = pairs.unionByName(_with_pivots(large, sketches, state.comps))
-        candidates = written(pairs.groupBy("a", "b").agg(F.max("same").alias("same")),
-                             "near-candidates")
+        pairs = state.new(pairs)
         if sets is None:
-            needed = candidates.select(F.col("a").alias("c")).unionByName(
-                candidates.select(F.col("b").alias("c"))).unionByName(large.select("c")).distinct()
+            # Whatever has a candidate has a best one; later levels hold large nodes only.
+            needed = pairs.select(F.col("a").alias("c")).unionByName(
+                pairs.select(F.col("b").alias("c"))).unionByName(large.select("c")).distinct()
             forget_shuffles(spark)
             sets = written(_sets(docs, classes, needed), "near-sets")
         forget_shuffles(spark)
-        state.add(candidates, sets)
+        state.add(pairs, sets)
+        state.add(state.new(compared(False)), sets)
         if not crowded:
             break
         open_nodes = large.join(state.comps, "c", "left").groupBy("node").agg(
