@@ -10,9 +10,10 @@ named by its path; the name chooses one or two coordinates (4/3 on average, one
 over the similarity sought), and each document goes on to the child that its own
 minwise token names there. Similar sets meet again and again, others part.
 
-* A node of up to ``SMALL`` classes is compared exhaustively on the signatures: first
-  every class goes on with its best partners, then, of what is left, with all that
-  it may still be connected to.
+* A node of up to ``SMALL`` classes is compared exhaustively, in two passes: first each
+  class's best partners by signature are confirmed as pairs; then, where classes of
+  a node may still join two components, their full sets meet in the node, one matrix
+  product gives all intersections, and only what connects them is passed on.
 * A larger node compares all its classes with ``PIVOTS`` of them, then branches on,
   unless all its classes are already connected: links inside a component would
   not change any result, so a huge group of near copies ends in a few levels
@@ -22,8 +23,8 @@ minwise token names there. Similar sets meet again and again, others part.
   than 0.9999. Pairs that agree in fewer than ``LEAST`` of 64 coordinates (more than
   4.5 standard deviations below) are not confirmed.
 
-Confirming is spent on what can change a component: only candidates that join two
-components, and no pair twice.
+Confirming is spent on what can change a component; pairs are rows only in the
+first pass, a few for each class and node.
 
 Result per document: size of its set, component (its smallest doc_id), and whether
 it is that document. NULL, empty and wordless texts are linked with nothing. Equal
@@ -52,7 +53,9 @@ COORDINATES = 64
 #: Agreeing coordinates from which a pair is confirmed on its sets.
 LEAST = 32
 TREES = 16
-SMALL = 512
+SMALL = 2048
+#: Shingles of a node that are compared in one matrix product.
+COLUMNS = 4096
 PIVOTS = 3
 #: Levels after which what is left of a node is compared in blocks, whole.
 LEVELS = 40
@@ -182,58 +185,126 @@ def _sizes_allow(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n_a, n_b) >= SIMILAR * np.maximum(n_a, n_b)
 
 
-def _within(sketched: DataFrame, best: bool) -> DataFrame:
-    """Candidate pairs within small nodes, or of each class only its ``best`` ones:
-    streams over nodes sorted by name."""
+def _nodes_at_a_time(batches, act) -> Iterator[pa.RecordBatch]:
+    """Apply ``act`` to whole nodes over batches sorted by node."""
+    held = None
+    for batch in batches:
+        if held is not None and held.num_rows:
+            batch = pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        node = batch["node"].to_numpy()
+        cut = len(node) - int(np.argmax(np.append(node[::-1] != node[-1], True)))
+        if cut:
+            yield from act(batch.slice(0, cut))
+        held = batch.slice(cut)
+    if held is not None and held.num_rows:
+        yield from act(held)
+
+
+def _near_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows ``a > b`` of one node that may be similar and are not connected, with
+    their agreeing coordinates; about a hundred thousand comparisons at a time."""
+    node, c, n, comp = (batch[x].to_numpy() for x in ("node", "c", "n", "comp"))
+    sketch = contents(batch["sketch"])[0].reshape(-1, COORDINATES)
+    starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    opens = np.repeat(starts, np.diff(np.append(starts, len(node))))
+    before = np.arange(len(node)) - opens  # partners of each row
+    reach = np.concatenate(([0], np.cumsum(before)))
+    row = 0
+    while row < len(node):
+        stop = max(int(np.searchsorted(reach, reach[row] + 100_000, "right")) - 1, row + 1)
+        count = before[row:stop]
+        a = np.repeat(np.arange(row, stop), count)
+        b = opens[a] + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+        fit = (comp[a] != comp[b]) & (c[a] != c[b]) & _sizes_allow(n[a], n[b])
+        a, b = a[fit], b[fit]
+        same = (sketch[a] == sketch[b]).sum(axis=1)
+        near = same >= LEAST
+        yield a[near], b[near], same[near]
+        row = stop
+
+
+def _best_pairs(sketched: DataFrame) -> DataFrame:
+    """Of each class of a small node its best partners, as pairs."""
 
     def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        node, c, n, comp = (batch[x].to_numpy() for x in ("node", "c", "n", "comp"))
-        sketch = contents(batch["sketch"])[0].reshape(-1, COORDINATES)
-        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        opens = np.repeat(starts, np.diff(np.append(starts, len(node))))
-        before = np.arange(len(node)) - opens  # partners of each row
-        reach = np.concatenate(([0], np.cumsum(before)))
-        row = 0
-        while row < len(node):  # about a hundred thousand pairs at a time
-            stop = max(int(np.searchsorted(reach, reach[row] + 100_000, "right")) - 1, row + 1)
-            count = before[row:stop]
-            a = np.repeat(np.arange(row, stop), count)
-            b = opens[a] + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
-            fit = (comp[a] != comp[b]) & (c[a] != c[b]) & _sizes_allow(n[a], n[b])
-            a, b = a[fit], b[fit]
-            same = (sketch[a] == sketch[b]).sum(axis=1)
-            near = same >= LEAST
-            a, b, same = a[near], b[near], same[near]
-            if best and len(a):  # of each class, as the later and as the earlier one
-                picked = []
-                for one, other in ((a, b), (b, a)):
-                    order = np.lexsort((other, -same, one))
-                    picked.append(order[np.append(True, one[order][1:] != one[order][:-1])])
-                picked = np.unique(np.concatenate(picked))
-                a, b, same = a[picked], b[picked], same[picked]
-            a, b = c[a], c[b]
+        c = batch["c"].to_numpy()
+        for a, b, same in _near_pairs(batch):
+            if not len(a):
+                continue
+            picked = []  # of each class, as the later and as the earlier one
+            for one, other in ((a, b), (b, a)):
+                order = np.lexsort((other, -same, one))
+                picked.append(order[np.append(True, one[order][1:] != one[order][:-1])])
+            picked = np.unique(np.concatenate(picked))
+            one, other = c[a[picked]], c[b[picked]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)),
-                 pa.array(same.astype(np.int32))], names=["a", "b", "same"])
-            row = stop
+                [pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)),
+                 pa.array(same[picked].astype(np.int32))], names=["a", "b", "same"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if held is not None and held.num_rows:
-                batch = pa.concat_batches([held, batch])
-            if not batch.num_rows:
-                continue
-            node = batch["node"].to_numpy()
-            cut = len(node) - int(np.argmax(np.append(node[::-1] != node[-1], True)))
-            if cut:
-                yield from pairs(batch.slice(0, cut))
-            held = batch.slice(cut)
-        if held is not None and held.num_rows:
-            yield from pairs(held)
+    return sketched.repartition("node").sortWithinPartitions("node", "c") \
+        .mapInArrow(lambda b: _nodes_at_a_time(b, pairs), "a long, b long, same int")
+
+
+def _unsettled(sketched: DataFrame) -> DataFrame:
+    """Members of small nodes that may be similar to one they are not connected to."""
+
+    def members(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        left = np.zeros(batch.num_rows, dtype=bool)
+        for a, b, _ in _near_pairs(batch):
+            left[a] = left[b] = True
+        yield batch.select(["node", "c", "comp"]).filter(pa.array(left))
 
     return sketched.repartition("node").sortWithinPartitions("node", "c") \
-        .mapInArrow(run, "a long, b long, same int")
+        .mapInArrow(lambda b: _nodes_at_a_time(b, members), "node long, c long, comp long")
+
+
+def connected(sets: list[np.ndarray]) -> np.ndarray:
+    """For each of some full sets the first one it is connected to by similar ones."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    codes, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    shared = times[codes] > 1
+    row, codes = np.repeat(np.arange(n), sizes)[shared], codes[shared]
+    codes = (np.cumsum(times > 1) - 1)[codes]
+    order = np.argsort(codes, kind="stable")
+    row, codes = row[order], codes[order]
+    both = np.zeros((n, n), dtype=np.float32)
+    for start in range(0, int(codes[-1]) + 1 if len(codes) else 0, COLUMNS):
+        here = slice(*np.searchsorted(codes, (start, start + COLUMNS)))
+        holds = np.zeros((n, COLUMNS), dtype=np.float32)
+        holds[row[here], codes[here] - start] = 1
+        both += holds @ holds.T
+    linked = 100 * both >= SIMILAR * (sizes[:, None] + sizes[None, :] - both)
+    label = np.arange(n)
+    while True:
+        lower = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def _met(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
+    """Unsettled members meet with their full sets: links that join components."""
+
+    def links(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, c, comp = (batch[x].to_numpy() for x in ("node", "c", "comp"))
+        data, ends = contents(batch["items"])
+        items, ends = np.frombuffer(data.tobytes(), dtype=T.U64), ends // 8
+        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        for first, end in zip(starts, np.append(starts[1:], len(node))):
+            label = connected([items[ends[i]:ends[i + 1]] for i in range(first, end)])
+            own, joins = c[first:end], comp[first:end]
+            other = np.flatnonzero(joins != joins[label])
+            if len(other):
+                x, y = own[other], own[label[other]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return unsettled.join(sets.select("c", "items"), "c").select("node", "c", "comp", "items") \
+        .repartition("node").sortWithinPartitions("node", "c") \
+        .mapInArrow(lambda b: _nodes_at_a_time(b, links), "a long, b long")
 
 
 def _with_pivots(large: DataFrame, sketches: DataFrame, comps: DataFrame) -> DataFrame:
@@ -320,26 +391,16 @@ def _in_blocks(members: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """Candidates confirmed so far, and the components they make."""
+    """Links confirmed so far, and the components they make."""
 
     def __init__(self, spark):
         self.links = spark.createDataFrame([], "a long, b long")
         self.comps = spark.createDataFrame([], "c long, comp long")
-        self.tried = self.links
-
-    def new(self, pairs: DataFrame) -> DataFrame:
-        """Pairs never tried that join two components."""
-        pairs = pairs.select("a", "b").distinct().join(self.tried, ["a", "b"], "left_anti")
-        return written(_cross(pairs, self.comps), "near-candidates")
-
-    def add(self, pairs: DataFrame, sets: DataFrame) -> None:
-        """Confirm new pairs and connect what they link."""
-        if pairs.isEmpty():
-            return
-        self.tried = self.tried.unionByName(pairs)
-        found = written(_confirmed(pairs, sets), "near-links")
+
+    def add(self, found: DataFrame) -> None:
+        found = written(found, "near-links")
         if not found.isEmpty():
-            self.links = self.links.unionByName(found)
+            self.links = self.links.unionByName(found.distinct())
             self.comps = components(self.links)
 
 
@@ -363,24 +424,25 @@ def near_duplicates(documents: DataFrame, trees: int = TREES) -> DataFrame:
         crowded = not sized.filter(F.col("size") > SMALL).isEmpty()
         small = members.filter(F.col("size") <= SMALL)
 
-        def compared(best):
-            known = small.join(sketches, "c").join(state.comps, "c", "left") \
-                .withColumn("comp", F.coalesce("comp", "c"))
-            return _within(known.select("node", "c", "n", "comp", "sketch"), best)
+        def sketched():
+            return small.join(sketches, "c").join(state.comps, "c", "left") \
+                .select("node", "c", "n", F.coalesce("comp", "c").alias("comp"), "sketch")
 
-        pairs = compared(True)
+        pairs = _best_pairs(sketched())
         if crowded:
             pairs = pairs.unionByName(_with_pivots(large, sketches, state.comps))
-        pairs = state.new(pairs)
+        pairs = written(pairs.select("a", "b").distinct(), "near-pairs")
         if sets is None:
-            # Whatever has a candidate has a best one; later levels hold large nodes only.
+            # Whatever may have a partner has a best one; later levels hold large nodes only.
             needed = pairs.select(F.col("a").alias("c")).unionByName(
                 pairs.select(F.col("b").alias("c"))).unionByName(large.select("c")).distinct()
             forget_shuffles(spark)
             sets = written(_sets(docs, classes, needed), "near-sets")
         forget_shuffles(spark)
-        state.add(pairs, sets)
-        state.add(state.new(compared(False)), sets)
+        state.add(_confirmed(pairs, sets))
+        unsettled = written(_unsettled(sketched()), "near-unsettled")
+        if not unsettled.isEmpty():
+            state.add(_met(unsettled, sets))
         if not crowded:
             break
         open_nodes = large.join(state.comps, "c", "left").groupBy("node").agg(
