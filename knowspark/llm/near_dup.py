@@ -11,7 +11,7 @@ over the similarity sought), and each document goes on to the child that its own
 minwise token names there. Similar sets meet again and again, others part.
 
 * A node of up to ``SMALL`` classes is compared exhaustively, in two passes: first each
-  class's best partners by signature are confirmed as pairs; then, where classes of
+  class's best partner by signature is confirmed as a pair; then, where classes of
   a node may still join two components, their full sets meet in the node, one matrix
   product gives all intersections, and only what connects them is passed on.
 * A larger node compares all its classes with ``PIVOTS`` of them, then branches on,
@@ -24,7 +24,7 @@ minwise token names there. Similar sets meet again and again, others part.
   4.5 standard deviations below) are not confirmed.
 
 Confirming is spent on what can change a component; pairs are rows only in the
-first pass, a few for each class and node.
+first pass, one for each class and node.
 
 Result per document: size of its set, component (its smallest doc_id), and whether
 it is that document. NULL, empty and wordless texts are linked with nothing. Equal
@@ -226,22 +226,22 @@ def _near_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def _best_pairs(sketched: DataFrame) -> DataFrame:
-    """Of each class of a small node its best partners, as pairs."""
+    """Of each class of a small node its best partner, as pairs."""
 
     def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c = batch["c"].to_numpy()
+        most, partner = np.zeros((2, batch.num_rows), dtype=np.int64)
         for a, b, same in _near_pairs(batch):
-            if not len(a):
-                continue
-            picked = []  # of each class, as the later and as the earlier one
             for one, other in ((a, b), (b, a)):
                 order = np.lexsort((other, -same, one))
-                picked.append(order[np.append(True, one[order][1:] != one[order][:-1])])
-            picked = np.unique(np.concatenate(picked))
-            one, other = c[a[picked]], c[b[picked]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)),
-                 pa.array(same[picked].astype(np.int32))], names=["a", "b", "same"])
+                order = order[np.append(True, one[order][1:] != one[order][:-1])[:len(order)]]
+                order = order[same[order] > most[one[order]]]
+                most[one[order]], partner[one[order]] = same[order], other[order]
+        row = np.flatnonzero(most)
+        one, other = c[row], c[partner[row]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)),
+             pa.array(most[row].astype(np.int32))], names=["a", "b", "same"])
 
     return sketched.repartition("node").sortWithinPartitions("node", "c") \
         .mapInArrow(lambda b: _nodes_at_a_time(b, pairs), "a long, b long, same int")
