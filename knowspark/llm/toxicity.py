@@ -49,6 +49,8 @@ L2 = 1e-4
 MIN_DOCUMENTS, MIN_SHARE, MIN_ODDS = 4, 0.015, 20.0
 #: Most features that may mark tokens.
 LEXICON = 50_000
+#: Features that a task counts by itself at a time.
+ROUND_KEYS = 1_000_000
 #: One in so many chains without a toxic token is trained on.
 THIN = 8
 THRESHOLD = 0.5
@@ -171,6 +173,13 @@ def _lexicon(sample: DataFrame) -> np.ndarray:
     """Features found almost only in toxic documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(keys, toxic):
+            keys, toxic = np.concatenate(keys), np.concatenate(toxic)
+            found, place = np.unique(keys, return_inverse=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array(np.bincount(place, weights=toxic).astype(np.int64)),
+                 pa.array(np.bincount(place).astype(np.int64))], names=["f", "toxic", "n"])
+
         for batch in batches:
             label = batch["label"].to_numpy()
             keys, toxic = [], []
@@ -181,12 +190,11 @@ def _lexicon(sample: DataFrame) -> np.ndarray:
                                     | np.arange(4)).ravel())
                 keys.append(packed & ((1 << (BITS + 2)) - 1))
                 toxic.append(label[first + (packed >> (BITS + 2))])
+                if sum(map(len, keys)) >= ROUND_KEYS:
+                    yield counted(keys, toxic)
+                    keys, toxic = [], []
             if keys:
-                keys, toxic = np.concatenate(keys), np.concatenate(toxic)
-                found, place = np.unique(keys, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found), pa.array(np.bincount(place, weights=toxic).astype(np.int64)),
-                     pa.array(np.bincount(place).astype(np.int64))], names=["f", "toxic", "n"])
+                yield counted(keys, toxic)
 
     totals = sample.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     clean = max(totals.n - (totals.toxic or 0), 1)
