@@ -13,21 +13,31 @@ from knowspark.llm.queries import table
 from knowspark.llm.scratch import written
 
 SHARDS = 16
+#: Whole documents that travel to a Python worker at once: some megabytes of text,
+#: where Spark's own 10,000 rows would be tens of them on either side.
+BATCH_ROWS = 2_000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity field scores below its threshold."""
+    in_small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    in_small_batches(spark)
     return near_dup.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    in_small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
