@@ -5,10 +5,12 @@ one shingle of all. Documents with equal sets are one class; only classes are
 joined. Two classes are linked if ``100 * shared >= 75 * union``, confirmed on
 the full sets.
 
-Chosen paths: each class has ``COORDINATES`` minwise tokens. A node of a tree is
-named by its path; the name chooses one or two coordinates (4/3 on average, one
-over the similarity sought), and each document goes on to the child that its own
-minwise token names there. Similar sets meet again and again, others part.
+Chosen paths: each class has ``COORDINATES`` minwise tokens, and each tree has
+coordinates of its own among them: one, or two in every third tree. A class begins
+in the nodes that its tokens there name. A deeper node is named by its path; the name
+gives one or two hash functions that no other node has, and each class goes on to the
+child that its least shingle under them names. Similar sets meet again and again,
+others part.
 
 * A node of up to ``SMALL`` classes is compared exhaustively, in two passes: first each
   class's best partner by signature is confirmed as a pair; then, where classes of
@@ -18,9 +20,14 @@ minwise token names there. Similar sets meet again and again, others part.
   unless all its classes are already connected: links inside a component would
   not change any result, so a huge group of near copies ends in a few levels
   instead of giving all its pairs.
-* ``TREES`` independent trees: at similarity 0.75 a pair meets in one tree at the
-  first level with chance 0.81, at the sixth with 0.44, in any of 16 with more
-  than 0.9999. Pairs that agree in fewer than ``LEAST`` of 64 coordinates (more than
+* A pair at similarity 0.75 shares each child of a node it shares with chance 0.75.
+  Deeper nodes have 1.525 children of a class on average, so 1.14 shared ones: above
+  one, paths do not die out with depth. The chance that a shared node has no shared
+  descendant at some depth is at most 0.513, so one of the 21 first-level nodes fails
+  for good with 0.25 + 0.75 * 0.513 = 0.635, and all of them with 0.635 ** 21 =
+  0.00007: recall is above 0.9999 at every level. Strangers just below the limit
+  also stay together longer; at 0.74 a level holds 1.13 times the memberships of the
+  one before. Pairs that agree in fewer than ``LEAST`` of 64 coordinates (more than
   4.5 standard deviations below) are not confirmed.
 
 Confirming is spent on what can change a component; pairs are rows only in the
@@ -43,7 +50,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from knowspark.llm import text as T
 from knowspark.llm.components import components
-from knowspark.llm.repeats import NULL_ID, binaries, contents, with_id
+from knowspark.llm.repeats import NULL_ID, binaries, contents, steps, with_id
 from knowspark.llm.scratch import forget_shuffles, fresh, written
 
 SHINGLE = 5
@@ -59,8 +66,10 @@ COLUMNS = 4096
 PIVOTS = 3
 #: Levels after which what is left of a node is compared in blocks, whole.
 LEVELS = 40
-#: Of three nodes so many choose one coordinate, the others two.
-ONE_OF_THREE = 2
+#: Of forty nodes below the first level so many choose one hash function, the others two.
+ONE_OF_FORTY = 19
+#: Shingles that a task hashes at a time on the way to the next level.
+AT_A_TIME = 1 << 21
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,46 +129,75 @@ def _sig_rows(column: pa.Array) -> np.ndarray:
     return contents(column)[0].view(np.uint32).reshape(-1, COORDINATES)
 
 
-def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and names of the children that each (node, signature) goes on to."""
+def _roots(sig: np.ndarray, trees: int) -> Iterator[np.ndarray]:
+    """Names of the first-level nodes of each signature. Trees share no coordinate."""
+    own = max(COORDINATES // trees, 1)
+    for tree in range(trees):
+        for turn in range(2 if tree % 3 == 2 else 1):
+            at = (tree * own + turn) % COORDINATES
+            root = T.mix(np.full(1, tree * 2 + turn + 1, dtype=T.U64) * T.U64(0x9FB21C651E98DF25))
+            yield T.mix(root + sig[:, at].astype(T.U64) * T.U64(T.BASE_A))
+
+
+def _least(values: np.ndarray, bounds: np.ndarray, row: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The least value of set ``row[i]`` under the hash function of ``seed[i]``."""
+    size = np.diff(bounds)[row]
+    reach = np.concatenate(([0], np.cumsum(size)))
+    out, start = np.zeros(len(row), dtype=T.U64), 0
+    while start < len(row):
+        stop = max(int(np.searchsorted(reach, reach[start] + AT_A_TIME, "right")) - 1, start + 1)
+        some = size[start:stop]
+        at = np.repeat(bounds[row[start:stop]], some) + steps(some)
+        out[start:stop] = np.minimum.reduceat(
+            values[at] * np.repeat(seed[start:stop], some), reach[start:stop] - reach[start])
+        start = stop
+    return out >> T.U64(32)
+
+
+def _children(node: np.ndarray, row: np.ndarray, values: np.ndarray, bounds: np.ndarray) \
+        -> tuple[np.ndarray, np.ndarray]:
+    """Places and names of the children that each (node, set ``row``) goes on to."""
     choice = T.mix(node ^ T.U64(0x8BB84B93962EACC9))
-    rows, names = [], []
+    places, names = [], []
     for turn in range(2):
         goes = np.ones(len(node), bool) if not turn \
-            else choice % T.U64(3) >= T.U64(ONE_OF_THREE)
-        row = np.flatnonzero(goes)
-        first = (choice[row] >> T.U64(8)) % T.U64(COORDINATES)
-        step = T.U64(1) + (choice[row] >> T.U64(24)) % T.U64(COORDINATES - 1)
-        at = (first + step * T.U64(turn)) % T.U64(COORDINATES)
-        value = sig[row, at.astype(np.int64)].astype(T.U64)
-        rows.append(row)
-        names.append(T.mix(T.mix(node[row] + at * T.U64(T.BASE_B)) + value * T.U64(T.BASE_A)))
-    return np.concatenate(rows), np.concatenate(names)
+            else choice % T.U64(40) >= T.U64(ONE_OF_FORTY)
+        place = np.flatnonzero(goes)
+        own = T.mix(choice[place] + T.U64(turn + 1) * T.U64(T.BASE_B & (1 << 62) - 1))
+        least = _least(values, bounds, row[place], own | T.U64(1))
+        places.append(place)
+        names.append(T.mix(own + least * T.U64(T.BASE_A)))
+    return np.concatenate(places), np.concatenate(names)
 
 
 def _first_level(classes: DataFrame, trees: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = T.mix(np.arange(1, trees + 1, dtype=T.U64) * T.U64(0x9FB21C651E98DF25))
         for batch in batches:
-            sig, c = _sig_rows(batch["sig"]), batch["c"].to_numpy()
-            for root in roots:
-                row, node = _children(np.full(len(c), root, dtype=T.U64), sig)
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(node)), pa.array(c[row])],
+            sig = _sig_rows(batch["sig"])
+            for node in _roots(sig, trees):
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(node)), batch["c"]],
                                                  names=["node", "c"])
 
     return classes.select("c", "sig").mapInArrow(run, "node long, c long")
 
 
-def _next_level(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _next_level(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of open nodes go on by their full sets, a class once with all its nodes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch["node"].to_numpy().view(T.U64)
-            row, child = _children(node, _sig_rows(batch["sig"]))
+            ends = batch["nodes"].offsets.to_numpy()
+            node = batch["nodes"].values.to_numpy()[ends[0]:ends[-1]].view(T.U64)
+            row = T.rows_of(ends)
+            data, bounds = contents(batch["items"])
+            place, child = _children(
+                node, row, np.frombuffer(data.tobytes(), dtype=T.U64), bounds // 8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(T.signed(child)), pa.array(batch["c"].to_numpy()[row])],
+                [pa.array(T.signed(child)), pa.array(batch["c"].to_numpy()[row[place]])],
                 names=["node", "c"])
 
-    return members.join(classes.select("c", "sig"), "c").select("node", "c", "sig") \
+    return members.groupBy("c").agg(F.collect_list("node").alias("nodes")) \
+        .join(sets.select("c", "items"), "c").select("c", "nodes", "items") \
         .mapInArrow(run, "node long, c long")
 
 
@@ -453,7 +491,7 @@ def near_duplicates(documents: DataFrame, trees: int = TREES) -> DataFrame:
             break
         level += 1
         members = written(
-            _next_level(members, classes) if level <= LEVELS else _in_blocks(members),
+            _next_level(members, sets) if level <= LEVELS else _in_blocks(members),
             "near-nodes").distinct()
     forget_shuffles(spark)
     labelled = groups.join(state.comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))

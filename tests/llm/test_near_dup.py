@@ -70,3 +70,26 @@ def test_components_of_a_chain_and_a_star(spark):
     got = components(spark.createDataFrame(links, "a long, b long"))
     assert {r.c: r.comp for r in got.collect()} == {
         **{i: 0 for i in range(31)}, **{100 + k: 100 for k in range(40)}}
+
+
+def pair_at(rng, size=140):
+    """Two sets of which three quarters of the union are shared."""
+    union = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+    shared, own = size * 3 // 4, size // 8
+    return union[:shared + own], np.append(union[:shared], union[shared + own:shared + 2 * own + 1])
+
+
+def test_paths_of_a_pair_do_not_die_out():
+    """At similarity 0.75 a pair still shares a node at level 20."""
+    rng, lost, pairs = np.random.default_rng(8), 0, 300
+    for _ in range(pairs):
+        sets = [np.sort(s) for s in pair_at(rng)]
+        values = np.concatenate(sets)
+        bounds = np.array([0, len(sets[0]), len(values)])
+        sig = near_dup.signatures(values, bounds)
+        shared = np.array([n[0] for n in near_dup._roots(sig, near_dup.TREES) if n[0] == n[1]])
+        for _ in range(19):
+            shared = np.intersect1d(*(near_dup._children(
+                shared, np.full(len(shared), i), values, bounds)[1] for i in (0, 1)))[:400]
+        lost += not len(shared)
+    assert lost <= 1
