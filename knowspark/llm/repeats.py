@@ -21,8 +21,10 @@ representative per unit (or one row that announces a name with more than
 
 Names group, and a second 64-bit fingerprint decides within a name.
 
-Identity: a document is its doc_id and a tag of its text, so rows that share a
-doc_id but not the text are kept apart. A NULL doc_id counts as the smallest.
+Identity: a document is its doc_id and a 64-bit fingerprint of its text, so rows
+that share a doc_id but not the text are kept apart: what is found is gathered and
+joined by both, each place once, so no list outgrows its text. A NULL doc_id counts
+as the smallest.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ from pyspark.sql import DataFrame, functions as F
 from knowspark.llm import text as T
 from knowspark.llm.scratch import forget_shuffles, written
 
-#: How a row is packed into one long: first window, text tag, windows, kind.
-TAG_BITS, COUNT_BITS, KIND_BITS = 22, 6, 2
+#: How a row is packed into one long: first window, windows, kind.
+COUNT_BITS, KIND_BITS = 6, 2
 MOST_WINDOWS = (1 << COUNT_BITS) - 1
-FIRST_SHIFT = TAG_BITS + COUNT_BITS + KIND_BITS
+FIRST_SHIFT = COUNT_BITS + KIND_BITS
 #: An occurrence to compare (later: with the few units of its name); a name known
 #: to have many units; a unit or window known to be repeated; a unit or window to
 #: compare window by window.
@@ -72,21 +74,15 @@ class Parser:
     carried: Callable
 
 
-def pack(first: np.ndarray, tag: np.ndarray, count, kind) -> np.ndarray:
-    return ((first.astype(np.int64) << FIRST_SHIFT) | (tag << (COUNT_BITS + KIND_BITS))
+def pack(first: np.ndarray, count, kind) -> np.ndarray:
+    return ((first.astype(np.int64) << FIRST_SHIFT)
             | (np.int64(count) if np.isscalar(count) else count.astype(np.int64) << KIND_BITS)
             | kind)
 
 
-def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, tag and number of windows."""
-    return (at >> FIRST_SHIFT, (at >> (COUNT_BITS + KIND_BITS)) & ((1 << TAG_BITS) - 1),
-            (at >> KIND_BITS) & MOST_WINDOWS)
-
-
-def tags(bounds: np.ndarray, prefix: T.Prefix) -> np.ndarray:
-    """A short fingerprint of each text of a piece."""
-    return (prefix.of(bounds[:-1], bounds[1:]) >> T.U64(64 - TAG_BITS)).astype(np.int64)
+def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows."""
+    return at >> FIRST_SHIFT, (at >> KIND_BITS) & MOST_WINDOWS
 
 
 def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -136,14 +132,14 @@ def contents(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (ends - ends[0]).astype(np.int64)
 
 
-ROW = "key long, u long, d long, at long"
-NAMES = ("key", "u", "d", "at")
+ROW = "key long, u long, d long, t long, at long"
+NAMES = ("key", "u", "d", "t", "at")
 
 
-def _first_round(parser: Parser, key, u, d, at) -> Iterator[pa.RecordBatch]:
+def _first_round(parser: Parser, key, u, d, t, at) -> Iterator[pa.RecordBatch]:
     """What a batch can settle by itself; the rest as one row per unit."""
     order = np.lexsort((d, u, key))
-    key, u, d, at = key[order], u[order], d[order], at[order]
+    key, u, d, t, at = key[order], u[order], d[order], t[order], at[order]
     name, size = _runs(_starts(key))
     new = _starts(key, u)
     unit, unit_size = _runs(new)
@@ -156,29 +152,31 @@ def _first_round(parser: Parser, key, u, d, at) -> Iterator[pa.RecordBatch]:
         repeated = unit_size[unit] > 1
         sent = new
     plain = sent & ~several
-    yield _batch(NAMES, (key[plain], u[plain], d[plain], at[plain]))
+    yield _batch(NAMES, (key[plain], u[plain], d[plain], t[plain], at[plain]))
     for rows, kind in ((repeated, REPEATED), (sent & several, OPEN)):
         if rows.any():
             out = _kinds(at[rows], kind)
-            yield _batch(NAMES, (_spread(d[rows], out), np.zeros(len(out), np.int64), d[rows], out))
+            yield _batch(NAMES, (_spread(d[rows] ^ t[rows], out), np.zeros(len(out), np.int64),
+                                 d[rows], t[rows], out))
     heads = _starts(key) & several
     if heads.any():
         n = int(heads.sum())
-        yield _batch(NAMES, (key[heads], u[heads], np.full(n, NULL_ID), np.full(n, SEVERAL)))
+        yield _batch(NAMES, (key[heads], u[heads], np.full(n, NULL_ID),
+                             np.zeros(n, np.int64), np.full(n, SEVERAL)))
 
 
 def _settle(parser: Parser, batch: pa.RecordBatch) -> pa.RecordBatch:
     """Whole names, sorted by (key, u, d): repeated units and units to compare."""
-    key, u, d, at = _arrays(batch, NAMES)
+    key, u, d, t, at = _arrays(batch, NAMES)
     kind = at & 3
     known = (kind == REPEATED) | (kind == OPEN)
-    out = [(key[known], d[known], at[known])]
-    key, u, d, at, kind = (x[~known] for x in (key, u, d, at, kind))
+    out = [(key[known], d[known], t[known], at[known])]
+    key, u, d, t, at, kind = (x[~known] for x in (key, u, d, t, at, kind))
     if len(key):
         name, size = _runs(_starts(key))
         announced = np.bincount(name, weights=kind == SEVERAL, minlength=len(size)) > 0
         keep = kind == PLAIN
-        name, key, u, d, at = (x[keep] for x in (name, key, u, d, at))
+        name, key, u, d, t, at = (x[keep] for x in (name, key, u, d, t, at))
         new = _starts(key, u)
         units = np.bincount(name, weights=new, minlength=len(size))
         many, several = (announced | (units > FEW))[name], (announced | (units > 1))[name]
@@ -191,8 +189,8 @@ def _settle(parser: Parser, batch: pa.RecordBatch) -> pa.RecordBatch:
             head = new
         for rows, kind in ((repeated, REPEATED), (head & several & ~many, PLAIN),
                            (head & many, OPEN)):
-            out.append((key[rows], d[rows], _kinds(at[rows], kind)))
-    return _batch(("key", "d", "at"), map(np.concatenate, zip(*out)))
+            out.append((key[rows], d[rows], t[rows], _kinds(at[rows], kind)))
+    return _batch(("key", "d", "t", "at"), map(np.concatenate, zip(*out)))
 
 
 def _names_at_a_time(batches, act) -> Iterator[pa.RecordBatch]:
@@ -218,10 +216,15 @@ def with_id(documents: DataFrame) -> DataFrame:
                             F.col("text").cast("string").alias("text"))
 
 
+def _identified(documents: DataFrame) -> DataFrame:
+    """As :func:`with_id`, with the text's fingerprint ``t``."""
+    return with_id(documents).withColumn("t", F.xxhash64("text"))
+
+
 def _occurrences(parser: Parser, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["d"].to_numpy()
+            ids, prints = batch["d"].to_numpy(), batch["t"].to_numpy()
             parts, held = [], 0
             for first_row, _, data, offsets in T.pieces(batch["text"]):
                 held += len(data)
@@ -232,25 +235,26 @@ def _occurrences(parser: Parser, docs: DataFrame) -> DataFrame:
                 prefix = T.Prefix(b, T.BASE_B)
                 row = np.searchsorted(bounds, first, "right") - 1
                 u = prefix.of(first, first + count - 1 + parser.width)
-                at = pack(first - bounds[row], tags(bounds, prefix)[row], count, PLAIN)
-                parts.append((T.signed(name), T.signed(u), ids[first_row + row], at))
+                at = pack(first - bounds[row], count, PLAIN)
+                parts.append((T.signed(name), T.signed(u), ids[first_row + row],
+                              prints[first_row + row], at))
                 if held >= ROUND_BYTES:
                     yield from _first_round(parser, *map(np.concatenate, zip(*parts)))
                     parts, held = [], 0
             if parts:
                 yield from _first_round(parser, *map(np.concatenate, zip(*parts)))
 
-    return docs.select("d", "text").mapInArrow(run, ROW)
+    return docs.select("d", "t", "text").mapInArrow(run, ROW)
 
 
 def _windows(parser: Parser, docs: DataFrame, open_units: DataFrame) -> DataFrame:
     """Units to compare under their name, and the windows of the others."""
-    listed = open_units.groupBy("d").agg(
-        F.collect_list(F.struct("at", "key")).alias("ats"))
+    listed = open_units.groupBy("d", "t").agg(
+        F.collect_set(F.struct("at", "key")).alias("ats"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts, held = batch["d"].to_numpy(), [], 0
+            ids, prints, parts, held = batch["d"].to_numpy(), batch["t"].to_numpy(), [], 0
             lists = batch["ats"]
             ends = lists.offsets.to_numpy()
             flat, names = (lists.values.field(c).to_numpy() for c in ("at", "key"))
@@ -261,37 +265,35 @@ def _windows(parser: Parser, docs: DataFrame, open_units: DataFrame) -> DataFram
                 here = slice(ends[first_row], ends[end_row])
                 at, name = flat[here], names[here]
                 row = T.rows_of(ends[first_row:end_row + 1])
-                mine = (at >> (COUNT_BITS + KIND_BITS)) & ((1 << TAG_BITS) - 1) \
-                    == tags(bounds, pb)[row]
-                at, name, row = at[mine], name[mine], row[mine]
-                first, tag, count = unpack(at)
+                first, count = unpack(at)
                 start = first + bounds[row]
                 few = (at & 3) == PLAIN
                 if few.any():
                     yield _batch((*NAMES, "carried"), (
-                        name[few], np.zeros(few.sum(), np.int64), ids[first_row + row[few]], at[few],
+                        name[few], np.zeros(few.sum(), np.int64), ids[first_row + row[few]],
+                        prints[first_row + row[few]], at[few],
                         parser.carry(data, offsets, bounds, a, start[few], count[few])))
-                first, tag, count, start, row = (x[~few] for x in (first, tag, count, start, row))
+                count, start, row = (x[~few] for x in (count, start, row))
                 start = np.repeat(start, count) + steps(count)
-                row, tag = np.repeat(row, count), np.repeat(tag, count)
+                row = np.repeat(row, count)
                 parts.append((T.signed(pa_.of(start, start + parser.width)),
                               T.signed(pb.of(start, start + parser.width)),
-                              ids[first_row + row],
-                              pack(start - bounds[row], tag, 1 << KIND_BITS, OPEN)))
+                              ids[first_row + row], prints[first_row + row],
+                              pack(start - bounds[row], 1 << KIND_BITS, OPEN)))
                 if held >= ROUND_BYTES:
                     yield from _window_round(parser, *map(np.concatenate, zip(*parts)))
                     parts, held = [], 0
             if parts:
                 yield from _window_round(parser, *map(np.concatenate, zip(*parts)))
 
-    return docs.select("d", "text").join(listed, "d").select("d", "text", "ats") \
+    return docs.select("d", "t", "text").join(listed, ["d", "t"]).select("d", "t", "text", "ats") \
         .mapInArrow(run, ROW + ", carried binary")
 
 
-def _window_round(parser: Parser, key, u, d, at) -> Iterator[pa.RecordBatch]:
+def _window_round(parser: Parser, key, u, d, t, at) -> Iterator[pa.RecordBatch]:
     """As the first round, but nothing stays open: a window is compared whole."""
     order = np.lexsort((d, u, key))
-    key, u, d, at = key[order], u[order], d[order], at[order]
+    key, u, d, t, at = key[order], u[order], d[order], t[order], at[order]
     new = _starts(key, u)
     run, size = _runs(new)
     if parser.earlier:
@@ -301,11 +303,13 @@ def _window_round(parser: Parser, key, u, d, at) -> Iterator[pa.RecordBatch]:
         repeated = size[run] > 1
         sent = new
     none = lambda n: pa.nulls(n, pa.binary())
-    yield _batch((*NAMES, "carried"), (key[sent], u[sent], d[sent], at[sent], none(sent.sum())))
+    yield _batch((*NAMES, "carried"), (key[sent], u[sent], d[sent], t[sent], at[sent],
+                                       none(sent.sum())))
     if repeated.any():
         out = _kinds(at[repeated], REPEATED)
-        yield _batch((*NAMES, "carried"), (_spread(d[repeated], out), np.zeros(len(out), np.int64),
-                                           d[repeated], out, none(len(out))))
+        yield _batch((*NAMES, "carried"), (
+            _spread(d[repeated] ^ t[repeated], out), np.zeros(len(out), np.int64), d[repeated],
+            t[repeated], out, none(len(out))))
 
 
 def steps(count: np.ndarray) -> np.ndarray:
@@ -316,17 +320,17 @@ def steps(count: np.ndarray) -> np.ndarray:
 
 def _repeated_windows(parser: Parser, batch: pa.RecordBatch) -> pa.RecordBatch:
     """Whole keys, sorted by (key, u, d): the repeated windows."""
-    key, u, d, at = _arrays(batch, NAMES)
+    key, u, d, t, at = _arrays(batch, NAMES)
     kind = at & 3
-    out = [(d[kind == REPEATED], at[kind == REPEATED])]
+    out = [(d[kind == REPEATED], t[kind == REPEATED], at[kind == REPEATED])]
     single = kind == OPEN
     if single.any():
-        k, v, i, a = (x[single] for x in (key, u, d, at))
+        k, v, i, p, a = (x[single] for x in (key, u, d, t, at))
         hit = _again(parser, i, k, v)
-        out.append((i[hit], _kinds(a[hit], REPEATED)))
+        out.append((i[hit], p[hit], _kinds(a[hit], REPEATED)))
     few = np.flatnonzero(kind == PLAIN)
     if len(few):
-        first, tag, count = unpack(at[few])
+        first, count = unpack(at[few])
         prints = parser.carried(batch["carried"].take(pa.array(few)), count)
         unit = np.repeat(np.arange(len(few)), count)
         order = np.lexsort((d[few][unit], prints, key[few][unit]))
@@ -339,9 +343,9 @@ def _repeated_windows(parser: Parser, batch: pa.RecordBatch) -> pa.RecordBatch:
         stops[:-1] &= ~hit[1:] | (unit[1:] != unit[:-1])
         begin, stop = np.flatnonzero(begins), np.flatnonzero(stops)
         unit = unit[begin]
-        out.append((d[few][unit], pack(first[unit] + steps(count)[begin], tag[unit],
-                                       stop - begin + 1, REPEATED)))
-    return _batch(("d", "at"), map(np.concatenate, zip(*out)))
+        out.append((d[few][unit], t[few][unit], pack(first[unit] + steps(count)[begin],
+                                                     stop - begin + 1, REPEATED)))
+    return _batch(("d", "t", "at"), map(np.concatenate, zip(*out)))
 
 
 def _again(parser: Parser, d: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -353,41 +357,38 @@ def _again(parser: Parser, d: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def repeated_ranges(parser: Parser, documents: DataFrame) -> DataFrame:
-    """``d, at``: ranges of windows of a document that are repeated."""
-    docs = with_id(documents)
+    """``d, t, at``: ranges of windows of a document that are repeated."""
+    docs = _identified(documents)
     settled = written(
         _occurrences(parser, docs).repartition("key").sortWithinPartitions("key", "u", "d")
         .mapInArrow(lambda b: _names_at_a_time(b, lambda x: _settle(parser, x)),
-                    "key long, d long, at long"), "repeats-units")
+                    "key long, d long, t long, at long"), "repeats-units")
     forget_shuffles(documents.sparkSession)
     repeated = F.col("at").bitwiseAND(F.lit(3)) == REPEATED
     windows = written(
         _windows(parser, docs, settled.filter(~repeated))
         .repartition("key").sortWithinPartitions("key", "u", "d")
         .mapInArrow(lambda b: _names_at_a_time(b, lambda x: _repeated_windows(parser, x)),
-                    "d long, at long"), "repeats-windows")
+                    "d long, t long, at long"), "repeats-windows")
     forget_shuffles(documents.sparkSession)
-    return settled.filter(repeated).select("d", "at").unionByName(windows)
+    return settled.filter(repeated).select("d", "t", "at").unionByName(windows)
 
 
 def apply_ranges(parser: Parser, documents: DataFrame, ranges: DataFrame, emit: Callable,
                  schema: str) -> DataFrame:
     """Every document with what its ranges cover: ``emit(ids, null ids, bytes,
     offsets, bounds, covered)`` gives the result columns of a piece."""
-    listed = ranges.groupBy("d").agg(F.collect_list("at").alias("ats"))
-    joined = with_id(documents).join(listed, "d", "left") \
+    listed = ranges.groupBy("d", "t").agg(F.collect_set("at").alias("ats"))
+    joined = _identified(documents).join(listed, ["d", "t"], "left") \
         .select("doc_id", "text", F.coalesce("ats", F.array().cast("array<bigint>")).alias("ats"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends, flat = batch["ats"].offsets.to_numpy(), batch["ats"].values.to_numpy()
             for first_row, end_row, data, offsets in T.pieces(batch["text"]):
-                bounds, _, b = parser.elements(data, offsets)
+                bounds, _, _ = parser.elements(data, offsets)
                 row = T.rows_of(ends[first_row:end_row + 1])
-                first, tag, count = unpack(flat[ends[first_row]:ends[end_row]])
-                if len(row):
-                    mine = tag == tags(bounds, T.Prefix(b, T.BASE_B))[row]
-                    first, count, row = first[mine], count[mine], row[mine]
+                first, count = unpack(flat[ends[first_row]:ends[end_row]])
                 edge = np.zeros(bounds[-1] + 1, dtype=np.int64)
                 np.add.at(edge, first + bounds[row], 1)
                 np.add.at(edge, first + bounds[row] + count - 1 + parser.width, -1)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from knowspark.llm import repeats, substring_dedup, suffix_dedup, text as T
@@ -55,3 +56,29 @@ def test_names_agree_inside_equal_passages():
                 words, np.array([0, len(words)]), substring_dedup.ROUNDS, substring_dedup.CAP)
             seen.add(int(names[np.searchsorted(at, len(before) + half, "right") - 1]))
         assert len(seen) == 1
+
+
+@pytest.mark.parametrize("operator,expected", [
+    (substring_dedup, brute.word_repeats), (suffix_dedup, brute.byte_repeats)])
+def test_many_texts_under_one_id(docs_of, operator, expected, monkeypatch):
+    """Texts that share a doc_id, or have none, keep their own ranges and one list each."""
+    lists, apply = [], repeats.apply_ranges
+
+    def seen(parser, documents, ranges, emit, schema):
+        keys = [c for c in ranges.columns if c != "at"]
+        lists.append(max(r["n"] for r in ranges.distinct().groupBy(*keys).agg(
+            F.count("at").alias("n")).collect()))
+        return apply(parser, documents, ranges, emit, schema)
+
+    monkeypatch.setattr(repeats, "apply_ranges", seen)
+    rnd = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage) for i in range(2)]
+    rows += [(7 if k % 2 else None, f"{rnd.randint(0, 10**9)} {passage} r{rnd.randint(0, 10**9)}")
+             for k in range(120)]
+    rows += [(7, rows[3][1])] * 5
+    got = operator.remove_repeats(docs_of(rows))
+    assert brute.rows(got.collect()) == expected(rows)
+    size = len if operator is suffix_dedup else lambda text: len(text.split())
+    windows = max(size(text) for _, text in rows) - operator.WIDTH + 1
+    assert lists[0] <= 2 * windows  # each window alone and as part of its whole unit
