@@ -142,10 +142,37 @@ LEFT JOIN groups g ON g.lang IS NOT DISTINCT FROM r.lang AND g.source IS NOT DIS
   AND g.n < (SELECT count(*) FROM rated)
 """
 
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+OP11 = rf"""
+WITH docs AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+whole AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs,
+                 CAST(greatest(sum(len(w)), 1) AS BIGINT) AS n_terms FROM docs),
+postings AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term) CROSS JOIN whole),
+worth AS (
+  SELECT doc_id, term, weights.w
+           * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))) AS s
+  FROM postings JOIN weights USING (term) CROSS JOIN whole),
+scored AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score
+           FROM asked JOIN worth USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
 ORACLE = {
     "op1_substring_dedup": OP1,
     "op5_near_dup": OP5,
     "op6_quality_rules": OP6,
     "op7_chat_format": OP7,
     "op8_suffix_dedup": OP8,
+    "op11_lexical_search": OP11,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from knowspark.llm import (
-    chat_format, decontaminate, mixing, near_dup, quality, quality_rules, sharding,
+    chat_format, decontaminate, lexical_search, mixing, near_dup, quality, quality_rules, sharding,
     substring_dedup, suffix_dedup, toxicity)
 from knowspark.llm.oracle import ORACLE
 
@@ -62,8 +62,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_bytes(table(spark, sf_dir, "documents"), 16)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(table(spark, sf_dir, "documents")),
+                                 table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_mixing, op3_quality, op4_toxicity, op5_near_dup, op6_quality_rules,
-    op7_chat_format, op8_suffix_dedup, op9_decontaminate, op10_sharding)}
+    op7_chat_format, op8_suffix_dedup, op9_decontaminate, op10_sharding, op11_lexical_search)}
 
 __all__ = ["ORACLE", "QUERIES", "table"]

@@ -7,13 +7,14 @@ import __spark_entry__ as entry
 from knowspark.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SPARK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "boolean": "BOOLEAN"}
+SPARK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "boolean": "BOOLEAN", "int": "INTEGER",
+               "double": "DOUBLE"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     result = duck.execute(ORACLE[name])
     place = [d[0] for d in result.description]
@@ -29,7 +30,7 @@ def test_against_sql(spark, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in QUERIES}
+    assert {f"op{n}_" for n in range(1, 12)} == {k.split("_")[0] + "_" for k in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(names)
     assert set(ORACLE) <= set(entry.oracle_sql())
 
