@@ -1,5 +1,7 @@
 """The queries that SQL can express, in DuckDB's dialect."""
 
+from knowspark.llm.license_scan import AGREE, BASE, RARE, TEMPLATES, places
+
 #: Words of a text: no space and none of 0x09 to 0x0D.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -231,6 +233,65 @@ LEFT JOIN proofs p ON p.k = l.k
 JOIN (SELECT k, arg_max(h, step) AS h FROM folds GROUP BY k) f ON f.k = l.k
 """
 
+def _op13() -> str:
+    """The licence scan over (file, place, word) rows."""
+    templates = [(label, text, (text,)) for label, text in BASE] + list(TEMPLATES)
+    values = lambda rows: "VALUES " + ", ".join(
+        "(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    heads = [(t, label, t < len(BASE), len(text.split()), len(phrases))
+             for t, (label, text, phrases) in enumerate(templates)]
+    words = [(t, j, w) for t, (_, text, _) in enumerate(templates)
+             for j, w in enumerate(text.split())]
+    keys = [(t, n, q, k, w, len(phrase.split())) for t, (_, text, phrases) in enumerate(templates)
+            for n, phrase in enumerate(phrases) for q in places(phrase, text)
+            for k, w in enumerate(phrase.split())]
+    return rf"""
+WITH template(t, label, base, m, phrases) AS ({values(heads)}),
+t_words(t, j, word) AS ({values(words)}),
+t_keys(t, phrase, q, k, word, size) AS ({values(keys)}),
+files AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS f, {_TERMS} AS w FROM documents),
+tokens AS MATERIALIZED (
+  SELECT f, unnest(w) AS word, unnest(range(len(w))) AS p FROM files),
+holds AS (SELECT word, count(DISTINCT f) AS n FROM tokens
+          WHERE word IN (SELECT word FROM t_words) GROUP BY word),
+rare AS (
+  SELECT t, word FROM (
+    SELECT t, word, base, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), word) AS place
+    FROM (SELECT DISTINCT t, word FROM t_words) JOIN template USING (t) LEFT JOIN holds USING (word))
+  WHERE place <= CASE WHEN base THEN 1 ELSE {RARE} END),
+origins AS MATERIALIZED (
+  SELECT f, t, o FROM (
+    SELECT DISTINCT f, t, p - j AS o, word FROM tokens JOIN rare USING (word) JOIN t_words USING (t, word))
+  JOIN template USING (t) GROUP BY f, t, o, base
+  HAVING count(*) >= CASE WHEN base THEN 1 ELSE {AGREE} END),
+stands AS (
+  SELECT origins.f, t, o, phrase FROM origins JOIN t_keys USING (t)
+  JOIN tokens x ON x.f = origins.f AND x.p = o + q + k AND x.word = t_keys.word
+  GROUP BY origins.f, t, o, phrase, q, size HAVING count(*) = size),
+labelled AS (SELECT f, t FROM stands JOIN template USING (t) GROUP BY f, t, phrases
+             HAVING count(DISTINCT phrase) = phrases),
+shares AS (
+  SELECT f, max(n / m) AS score FROM (
+    SELECT origins.f, t, o, m, base, CAST(count(*) AS DOUBLE) AS n FROM origins JOIN template USING (t)
+    JOIN t_words USING (t) JOIN tokens x ON x.f = origins.f AND x.p = o + j AND x.word = t_words.word
+    GROUP BY origins.f, t, o, m, base)
+  WHERE n = m OR NOT base GROUP BY f),
+found AS (SELECT f, count(*) AS n, min(o) AS lo, max(o) AS hi
+          FROM stands JOIN template USING (t) WHERE base GROUP BY f),
+named AS (
+  SELECT f, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels
+  FROM labelled JOIN template USING (t) GROUP BY f)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word,
+       hi AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0) AS score
+FROM files LEFT JOIN found USING (f) LEFT JOIN named USING (f) LEFT JOIN shares USING (f)
+"""
+
+
+OP13 = _op13()
+
 ORACLE = {
     "op1_substring_dedup": OP1,
     "op5_near_dup": OP5,
@@ -239,4 +300,5 @@ ORACLE = {
     "op8_suffix_dedup": OP8,
     "op11_lexical_search": OP11,
     "op12_merkle": OP12,
+    "op13_license_scan": OP13,
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from knowspark.llm import (
-    chat_format, decontaminate, lexical_search, merkle, mixing, near_dup, quality, quality_rules,
-    sharding, substring_dedup, suffix_dedup, toxicity)
+    chat_format, decontaminate, lexical_search, license_scan, merkle, mixing, near_dup, quality,
+    quality_rules, sharding, substring_dedup, suffix_dedup, toxicity)
 from knowspark.llm.oracle import ORACLE
 
 
@@ -71,9 +71,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_mixing, op3_quality, op4_toxicity, op5_near_dup, op6_quality_rules,
     op7_chat_format, op8_suffix_dedup, op9_decontaminate, op10_sharding, op11_lexical_search,
-    op12_merkle)}
+    op12_merkle, op13_license_scan)}
 
 __all__ = ["ORACLE", "QUERIES", "table"]
