@@ -80,28 +80,27 @@ def _siblings(levels: list, upper: list) -> list:
     return out
 
 
-def _swap(parts: DataFrame, tree: Column, index: str, level: int) -> DataFrame:
+def _swap(parts: DataFrame, tree: Column, index: str, width: Column, level: int) -> DataFrame:
     """One round: nodes of this level swap their digests and become their parent.
 
-    ``parts(q, sid, part, subroot, digest, proof)``; the node of a part is (``tree``,
-    ``index`` div FANOUT**level). Parts whose tree has one node left stay as they are.
+    ``parts(q, sid, part, parts, subroot, digest, proof)``; the node of a part is
+    (``tree``, ``index`` div FANOUT**level), and ``width`` the number of the tree's first
+    nodes. Parts whose tree has one node left stay as they are.
     """
-    width = FANOUT ** level
-    node = F.expr(f"{index} div {width}L")
-    group = F.expr(f"{index} div {width * FANOUT}L")
+    below = FANOUT ** level
+    node, group = F.expr(f"{index} div {below}L"), F.expr(f"{index} div {below * FANOUT}L")
+    here = parts.filter(width > below).withColumns({"t0": tree, "node0": node, "g0": group})
     # The parts of a node are neighbours in q. Few rows: one for each node.
-    nodes = parts.groupBy(tree.alias("t"), node.alias("node")).agg(
+    nodes = here.groupBy(F.col("t0").alias("t"), F.col("node0").alias("node"),
+                         F.col("g0").alias("g")).agg(
         F.min("q").alias("low"), F.count(F.lit(1)).alias("members"))
-    last = nodes.groupBy(F.col("t").alias("t2")).agg(F.max("node").alias("last"))
-    lanes = nodes.groupBy(F.col("t").alias("t3"), F.expr(f"node div {FANOUT}").alias("g3")).agg(
+    lanes = nodes.groupBy(F.col("t").alias("t2"), F.col("g").alias("g2")).agg(
         F.max("members").alias("lanes"))
-    known = nodes.join(last, F.col("t") == F.col("t2")).filter("last > 0").join(
-        lanes, (F.col("t") == F.col("t3")) & (F.expr(f"node div {FANOUT}") == F.col("g3"))) \
+    nodes = nodes.join(lanes, (F.col("t") == F.col("t2")) & (F.col("g") == F.col("g2"))) \
         .select("t", "node", "low", "members", "lanes")
-    here = parts.withColumns({"t0": tree, "node0": node, "g0": group}).join(
-        known, (F.col("t0") == F.col("t")) & (F.col("node0") == F.col("node")), "left")
+    here = here.join(nodes, (F.col("t0") == F.col("t")) & (F.col("node0") == F.col("node")))
     place = F.col("q") - F.col("low")
-    sent = here.filter("lanes IS NOT NULL").withColumn("lane", F.explode(F.sequence(
+    sent = here.withColumn("lane", F.explode(F.sequence(
         place, F.col("lanes") - 1, F.col("members"))))
     meeting = Window.partitionBy("t0", "g0", "lane")
     met = sent.withColumn("run", F.array_sort(F.collect_list(
@@ -113,17 +112,15 @@ def _swap(parts: DataFrame, tree: Column, index: str, level: int) -> DataFrame:
     step = F.concat(text(lambda x: x["node0"] < F.col("node0")), F.lit(","),
                     text(lambda x: x["node0"] > F.col("node0")))
     climbed = met.select(
-        "q", "sid", "part", "subroot", F.sha2(text(lambda x: F.lit(True)), 256).alias("digest"),
+        "q", "sid", "part", "parts", "subroot", F.sha2(text(lambda x: F.lit(True)), 256).alias("digest"),
         F.concat("proof", F.array(step)).alias("proof"))
-    stays = here.filter("lanes IS NULL").select(*parts.columns)
-    return written(climbed.unionByName(stays), "merkle-round")
+    return written(climbed.unionByName(parts.filter(width <= below)), "merkle-round")
 
 
-def _rounds(parts: DataFrame, tree: Column, index: str) -> DataFrame:
-    most = parts.agg(F.coalesce(F.max(index), F.lit(0))).first()[0]
+def _rounds(parts: DataFrame, tree: Column, index: str, width: Column, most: int) -> DataFrame:
     level = 0
-    while most >= FANOUT ** level:
-        parts = _swap(parts, tree, index, level)
+    while most > FANOUT ** level:
+        parts = _swap(parts, tree, index, width, level)
         level += 1
     return parts
 
@@ -154,15 +151,18 @@ def manifest(documents: DataFrame, also: dict[str, Column] | None = None,
         first, leaves = own.iloc[0], own.sort_values("i")["leaf"].tolist()
         levels = subtree(leaves, len(leaves) == first["n"], height)
         return pd.DataFrame({"sid": [first["sid"]], "part": [first["part"]],
-                             "digest": levels[-1]})
+                             "parts": [-(-first["n"] // FANOUT ** height)], "digest": levels[-1]})
 
     roots = rows.select("sid", "part", "i", "n", "leaf").groupBy("sid", "part") \
-        .applyInPandas(part_root, "sid long, part long, digest string")
+        .applyInPandas(part_root, "sid long, part long, parts long, digest string")
     parts = numbered(roots, "sid", "part", out="q").select(
-        "q", "sid", "part", F.lit(None).cast("string").alias("subroot"), "digest",
+        "q", "sid", "part", "parts", F.lit(None).cast("string").alias("subroot"), "digest",
         F.array().cast("array<string>").alias("proof"))
-    parts = _rounds(parts, F.col("sid"), "part").withColumn("subroot", F.col("digest"))
-    parts = _rounds(parts, F.lit(0), "sid")
+    most, last = parts.agg(F.coalesce(F.max("parts"), F.lit(0)), F.coalesce(F.max("sid"), F.lit(0))) \
+        .first()
+    parts = _rounds(parts, F.col("sid"), "part", F.col("parts"), most)
+    parts = _rounds(parts.withColumn("subroot", F.col("digest")), F.lit(0), "sid", F.lit(last + 1),
+                    last + 1)
     ways = parts.select("sid", "part", "subroot", F.col("digest").alias("root"),
                         F.array_join("proof", ";").alias("proof"))
 
