@@ -17,7 +17,7 @@ streams over the sorted rows and holds one name at a time. Before, a task
 settles what it can by itself, some megabytes of text at a time, and sends one
 representative per unit (or one row that announces a name with more than
 ``LOCAL`` units), so a passage in a third of all documents costs a few rows per
-``ROUND_BYTES`` of text, not one per document.
+``ROUND_BYTES`` of text, or per ``ROUND_WINDOWS`` open windows, not one per document.
 
 Names group, and a second 64-bit fingerprint decides within a name.
 
@@ -49,8 +49,9 @@ FIRST_SHIFT = COUNT_BITS + KIND_BITS
 PLAIN, SEVERAL, REPEATED, OPEN = 0, 1, 2, 3
 #: Units of a name that one batch sends, and that are compared as a group.
 LOCAL, FEW = 16, 4096
-#: Bytes of text that a task settles by itself at a time.
+#: Bytes of text, and open windows, that a task settles by itself at a time.
 ROUND_BYTES = 8 << 20
+ROUND_WINDOWS = 500_000
 NULL_ID = -(1 << 63)
 
 
@@ -259,7 +260,6 @@ def _windows(parser: Parser, docs: DataFrame, open_units: DataFrame) -> DataFram
             ends = lists.offsets.to_numpy()
             flat, names = (lists.values.field(c).to_numpy() for c in ("at", "key"))
             for first_row, end_row, data, offsets in T.pieces(batch["text"]):
-                held += len(data)
                 bounds, a, b = parser.elements(data, offsets)
                 pa_, pb = T.Prefix(a, T.BASE_A), T.Prefix(b, T.BASE_B)
                 here = slice(ends[first_row], ends[end_row])
@@ -274,15 +274,18 @@ def _windows(parser: Parser, docs: DataFrame, open_units: DataFrame) -> DataFram
                         prints[first_row + row[few]], at[few],
                         parser.carry(data, offsets, bounds, a, start[few], count[few])))
                 count, start, row = (x[~few] for x in (count, start, row))
-                start = np.repeat(start, count) + steps(count)
-                row = np.repeat(row, count)
-                parts.append((T.signed(pa_.of(start, start + parser.width)),
-                              T.signed(pb.of(start, start + parser.width)),
-                              ids[first_row + row], prints[first_row + row],
-                              pack(start - bounds[row], 1 << KIND_BITS, OPEN)))
-                if held >= ROUND_BYTES:
-                    yield from _window_round(parser, *map(np.concatenate, zip(*parts)))
-                    parts, held = [], 0
+                for some in _by_sum(count, ROUND_WINDOWS):
+                    each = count[some]
+                    own = np.repeat(row[some], each)
+                    begin = np.repeat(start[some], each) + steps(each)
+                    parts.append((T.signed(pa_.of(begin, begin + parser.width)),
+                                  T.signed(pb.of(begin, begin + parser.width)),
+                                  ids[first_row + own], prints[first_row + own],
+                                  pack(begin - bounds[own], 1 << KIND_BITS, OPEN)))
+                    held += len(begin)
+                    if held >= ROUND_WINDOWS:
+                        yield from _window_round(parser, *map(np.concatenate, zip(*parts)))
+                        parts, held = [], 0
             if parts:
                 yield from _window_round(parser, *map(np.concatenate, zip(*parts)))
 
@@ -312,6 +315,16 @@ def _window_round(parser: Parser, key, u, d, t, at) -> Iterator[pa.RecordBatch]:
             t[repeated], out, none(len(out))))
 
 
+def _by_sum(count: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of units that have about ``most`` windows at a time."""
+    reach = np.concatenate(([0], np.cumsum(count)))
+    first = 0
+    while first < len(count):
+        end = max(int(np.searchsorted(reach, reach[first] + most, "right")) - 1, first + 1)
+        yield slice(first, end)
+        first = end
+
+
 def steps(count: np.ndarray) -> np.ndarray:
     """0, 1, .. count - 1 for each entry."""
     ends = np.cumsum(count)
