@@ -42,15 +42,15 @@ def parse_vector(text) -> Column:
     return F.from_json(_c(text), T.ArrayType(T.FloatType()))
 
 
-def matrix_of(vectors: pa.Array, dims: int) -> np.ndarray:
-    """Rows of a non-null list array as a float64 matrix."""
+def matrix_of(vectors: pa.Array, dims: int, kind=np.float64) -> np.ndarray:
+    """Rows of a non-null list array as a matrix."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if flat.size != len(vectors) * dims or not np.all(
             np.asarray(vectors.value_lengths()) == dims):
         raise ValueError(f"expected vectors of {dims} dimensions")
-    return flat.reshape(len(vectors), dims).astype(np.float64)
+    return flat.reshape(len(vectors), dims).astype(kind)
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:

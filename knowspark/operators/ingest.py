@@ -180,7 +180,8 @@ def embedding_of(column, make_embedder: Callable[[], Embedder] = HashEmbedder) -
     """Embedding of a text column; NULL text gives NULL.
 
     An iterator Arrow UDF: the model loads once per task, texts go to it in
-    batches, and only the text column leaves the JVM.
+    batches, and only the text column leaves the JVM. Marked as not deterministic, or
+    Catalyst would run the model a second time below a filter on the vector.
     """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
@@ -196,7 +197,7 @@ def embedding_of(column, make_embedder: Callable[[], Embedder] = HashEmbedder) -
                 raise ValueError(f"the model must return {model.dimensions} dimensions")
             yield pa.array(rows, pa.list_(pa.float32()))
 
-    return embed_all(F.col(column) if isinstance(column, str) else column)
+    return embed_all.asNondeterministic()(F.col(column) if isinstance(column, str) else column)
 
 
 def embed(df: DataFrame, text_column: str,

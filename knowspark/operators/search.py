@@ -1,20 +1,18 @@
-"""Cosine search: one vector, many vectors, tag suggestions, approximate."""
+"""Cosine search: one vector, many vectors, tag suggestions."""
 
 import math
 from dataclasses import dataclass
-from hashlib import md5
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from knowspark.functions.vectors import (
     RANK_DECIMALS, matrix_of, similarity_to, unit_rows)
 from knowspark.operators.items import COLUMNS, parents, top, unified_items
 from knowspark.operators.tags import tag_centroid, tag_centroids
+from knowspark.schema import EMBEDDING_DIMS
 from knowspark.session import new_work_path
 from knowspark.sources.store import Store
 
@@ -90,56 +88,115 @@ def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
     return row[place < k], col[place < k]
 
 
+#: Bytes of vectors a part holds on average, and rows of it multiplied at a time.
+HELD_BYTES = 64 << 20
+HELD_ROWS = 8192
+
+
 class _Part:
-    """The items of one part, held while all its queries stream past."""
+    """The items of one part, held while all its queries stream past.
 
-    def __init__(self, number: int):
-        self.number, self.blocks, self.ids, self.tagged = number, [], [], {}
-        self.items = self.names = None
+    Vectors stay as stored, 4 bytes a number; products are of 8 bytes, a block of
+    items at a time. With a ``differ``, only pairs whose sketches differ in at most
+    so many bits are multiplied.
+    """
+
+    def __init__(self, number: int, differ: int = None):
+        self.number, self.differ = number, differ
+        self.blocks, self.ids, self.sketches, self.tagged = [], [], [], {}
+        self.items = None
 
     def hold(self, batch) -> None:
         dims = len(batch.column("embedding")[0])
         first = sum(map(len, self.ids))
-        self.blocks.append(unit_rows(matrix_of(batch.column("embedding"), dims)))
+        self.blocks.append(matrix_of(batch.column("embedding"), dims, np.float32))
         self.ids.append(batch.column("id").to_numpy(zero_copy_only=False))
+        if self.differ is not None:
+            self.sketches.append(_bits_of(batch.column("sketch")))
         for row, tags in enumerate(batch.column("tags").to_pylist(), first):
             for tag in tags or ():
                 self.tagged.setdefault(tag, []).append(row)
 
+    def _close(self) -> None:
+        self.items, self.names = np.concatenate(self.blocks), np.concatenate(self.ids).astype(str)
+        self.blocks, self.ids = [], [self.names]
+        if self.differ is not None:
+            self.sketch = np.concatenate(self.sketches)
+        self.tagged = {tag: np.array(rows) for tag, rows in self.tagged.items()}
+
+    def _scores(self, rows: slice, block: np.ndarray, units: np.ndarray, bits) -> np.ndarray:
+        """Cosines of a block of unit rows with some unit queries; NaN where not probed."""
+        if self.differ is None:
+            return np.round(block @ units.T, RANK_DECIMALS)
+        apart = np.zeros((len(block), len(units)), dtype=np.uint16)
+        for word in range(bits.shape[1]):
+            apart += np.bitwise_count(self.sketch[rows, word][:, None] ^ bits[:, word][None, :])
+        scores = np.full(apart.shape, np.nan)
+        for col in range(len(units)):
+            near = np.flatnonzero(apart[:, col] <= self.differ)
+            scores[near, col] = np.round(block[near] @ units[col], RANK_DECIMALS)
+        return scores
+
     def find(self, batch, k: int):
         if not self.ids:
             return
         if self.items is None:
-            self.items, self.names = np.concatenate(self.blocks), np.concatenate(self.ids)
-        step = max(1, SCORE_CELLS // len(self.items))
-        for start in range(0, batch.num_rows, step):
-            some = batch.slice(start, step)
-            units = unit_rows(matrix_of(some.column("vector"), self.items.shape[1]))
-            queries = some.column("id").to_pylist()
-            scores = np.round(self.items @ units.T, RANK_DECIMALS)
-            for col, query in enumerate(queries):
-                scores[self.tagged.get(query, []), col] = np.nan
-            row, col = _best_of(self.names.astype(str), scores, k)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([queries[c] for c in col], pa.string()),
-                pa.array(list(self.names[row]), pa.string()),
-                pa.array(scores[row, col], pa.float64())], ["query_id", "id", "similarity"])
-
-
-def _nearest(items: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFrame:
+            self._close()
+        units = unit_rows(matrix_of(batch.column("vector"), self.items.shape[1]))
+        bits = None if self.differ is None else _bits_of(batch.column("sketch"))
+        queries = batch.column("id").to_pylist()
+        row, col, score = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64))
+        for first in range(0, len(self.items), HELD_ROWS):
+            rows = slice(first, min(first + HELD_ROWS, len(self.items)))
+            block = unit_rows(self.items[rows].astype(np.float64))
+            step = max(1, SCORE_CELLS // len(block))
+            found = [(row, col, score)]
+            for start in range(0, len(queries), step):
+                some = slice(start, start + step)
+                scores = self._scores(rows, block, units[some], None if bits is None else bits[some])
+                for c, query in enumerate(queries[some]):
+                    own = self.tagged.get(query)
+                    if own is not None:
+                        scores[own[(own >= rows.start) & (own < rows.stop)] - first, c] = np.nan
+                r, c = _best_of(self.names[rows], scores, k)
+                found.append((r + first, c + start, scores[r, c]))
+            row, col, score = map(np.concatenate, zip(*found))
+            if first:  # what earlier blocks kept competes
+                order = np.lexsort((self.names[row], -score, col))
+                row, col, score = row[order], col[order], score[order]
+                best = np.arange(len(col)) - np.searchsorted(col, col, side="left") < k
+                row, col, score = row[best], col[best], score[best]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([queries[c] for c in col], pa.string()),
+            pa.array(list(self.names[row]), pa.string()),
+            pa.array(score, pa.float64())], ["query_id", "id", "similarity"])
+
+
+def _bits_of(sketches: pa.Array) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    if isinstance(sketches, pa.ChunkedArray):
+        sketches = sketches.combine_chunks()
+    return sketches.flatten().to_numpy(zero_copy_only=False).reshape(len(sketches), -1) \
+        .astype(np.int64).view(np.uint64)
+
+
+def nearest_in_parts(items: DataFrame, queries: DataFrame, k: int, parts: int,
+                     differ: int = None) -> DataFrame:
     """Per part and query the k nearest items.
 
     ``items(part, id, embedding, tags)`` and ``queries(part, id, vector)`` meet in
     their part, items first. A task holds one part's items and multiplies them
     with the queries batch by batch; no row is joined to another. An item never
-    matches a query whose id is one of its ``tags``.
+    matches a query whose id is one of its ``tags``. With ``differ`` both sides
+    also have a ``sketch``, and pairs that differ in more bits are not multiplied.
     """
+    bits = [] if differ is None else ["sketch"]
     left = items.select("part", F.lit(False).alias("query"), "id", "embedding",
-                        F.lit(None).cast("array<double>").alias("vector"), "tags")
+                        F.lit(None).cast("array<double>").alias("vector"), "tags", *bits)
     right = queries.select("part", F.lit(True).alias("query"), "id",
                            F.lit(None).cast("array<float>").alias("embedding"),
                            F.col("vector").cast("array<double>").alias("vector"),
-                           F.lit(None).cast("array<string>").alias("tags"))
+                           F.lit(None).cast("array<string>").alias("tags"), *bits)
 
     def run(batches):
         held = None
@@ -152,7 +209,7 @@ def _nearest(items: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFr
                 if start == end:
                     continue
                 if held is None or held.number != number[start]:
-                    held = _Part(number[start])
+                    held = _Part(number[start], differ)
                 if side[start]:
                     yield from held.find(batch.slice(start, end - start), k)
                 else:
@@ -163,31 +220,69 @@ def _nearest(items: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFr
         .mapInArrow(run, "query_id string, id string, similarity double")
 
 
-def _top_per_query(hits: DataFrame, k: int) -> DataFrame:
+def top_per_query(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _all_parts(items: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFrame:
-    """Every query against every item: items dealt over the parts by id, queries
-    copied to each part."""
-    if parts is None:
-        parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    copied = queries.withColumn("part", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    return _top_per_query(_nearest(dealt, copied, k, parts), k)
+@dataclass(frozen=True)
+class Grid:
+    """Items dealt over ``rows``, queries over ``cols``: each of the rows x cols parts
+    gets one share of either, so an item is copied ``cols`` times and a query
+    ``rows`` times."""
+
+    rows: int
+    cols: int
+
+
+def grid_for(items: int, queries: int, parallel: int, bytes_per_item: int) -> Grid:
+    """The grid that copies least: items x cols + queries x rows, with a share of the
+    items within ``HELD_BYTES`` and at least ``parallel`` parts."""
+    fewest = max(1, -(-items * bytes_per_item // HELD_BYTES))
+    parts = max(parallel, fewest)
+    cols = round(math.sqrt(max(queries, 1) * parts / max(items, 1)))
+    cols = min(max(cols, 1), parallel)
+    return Grid(max(fewest, -(-parts // cols)), cols)
+
+
+def nearest_on_grid(items: DataFrame, queries: DataFrame, k: int, grid: Grid,
+                    differ: int = None) -> DataFrame:
+    """Every query against every item; no side is copied to all parts."""
+    def other(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def share(n):
+        return F.pmod(F.xxhash64("id"), F.lit(n))
+
+    dealt = items.withColumn("c", other(grid.cols)).withColumn(
+        "part", share(grid.rows) * grid.cols + F.col("c"))
+    asked = queries.withColumn("r", other(grid.rows)).withColumn(
+        "part", F.col("r") * grid.cols + share(grid.cols))
+    return top_per_query(
+        nearest_in_parts(dealt, asked, k, grid.rows * grid.cols, differ), k)
+
+
+def _parallel(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _sized(store: Store, queries: int, grid: Grid) -> Grid:
+    """The given grid, or one for the number of items; vectors are not read for it."""
+    if grid is not None:
+        return grid
+    items = unified_items(store).count()
+    return grid_for(items, queries, _parallel(store.tasks.sparkSession), 4 * EMBEDDING_DIMS)
 
 
 def search_batch(
         store: Store, queries: DataFrame, k: int = 10, key: str = "query_id",
-        vector: str = "vector", content_type: str = None, parts: int = None) -> DataFrame:
+        vector: str = "vector", content_type: str = None, grid: Grid = None) -> DataFrame:
     """Exact nearest items of every query vector: ``(query_id, id, similarity, rank)``.
 
-    Query ids are unique; queries without a vector find nothing. Items are
-    shuffled once into ``parts`` (the session's shuffle partitions, if not given)
-    that a task holds in memory: 100,000 items of 384 dimensions are about 300 MB.
-    Queries of any number stream past; each part passes on k rows per query.
+    Query ids are unique; queries without a vector find nothing. Items and queries
+    are dealt over a :class:`Grid` (counted first, if not given); a task holds its
+    share of the items, queries of any number stream past, and each part passes on
+    k rows per query.
     """
     asked = queries.filter(F.col(vector).isNotNull()).select(
         F.col(key).cast("string").alias("id"), F.col(vector).alias("vector"))
@@ -195,7 +290,8 @@ def search_batch(
     if content_type is not None:
         items = items.filter(F.col("content_type") == content_type)
     items = items.select("id", "embedding", F.lit(None).cast("array<string>").alias("tags"))
-    return _all_parts(items, asked, k, parts)
+    grid = grid or _sized(store, queries.count(), grid)
+    return nearest_on_grid(items, asked, k, grid)
 
 
 def with_items(hits: DataFrame, store: Store) -> DataFrame:
@@ -211,7 +307,7 @@ def with_items(hits: DataFrame, store: Store) -> DataFrame:
 
 
 def suggest_all(store: Store, k: int = 8, tags: DataFrame = None,
-                parts: int = None) -> DataFrame:
+                grid: Grid = None) -> DataFrame:
     """:func:`suggested_connections` of every tag, or of the tags in the first
     column of ``tags``: ``(tag, id, similarity, rank)``."""
     items = (
@@ -226,109 +322,8 @@ def suggest_all(store: Store, k: int = 8, tags: DataFrame = None,
         centroids = centroids.join(
             tags.select(F.col(tags.columns[0]).alias("tag")), "tag", "left_semi")
     asked = centroids.select(F.col("tag").alias("id"), F.col("centroid").alias("vector"))
-    return _all_parts(items, asked, k, parts).withColumnRenamed("query_id", "tag")
-
-
-# Approximate ----------------------------------------------------------------
-
-#: Items per cell that the number of planes aims at.
-PER_CELL = 1000
-#: Most planes: four million cells.
-MOST_PLANES = 22
-#: Shares that a cell's items are dealt over, so a cell of very many copies of one
-#: vector is no single task.
-SHARES = 8
-
-
-def planes_for(items: int, per_cell: int = PER_CELL) -> int:
-    """Planes for a number of embedded items: each halves the cells."""
-    return max(1, min(MOST_PLANES, round(math.log2(max(items, 1) / per_cell))))
-
-
-def planes(count: int, dims: int) -> np.ndarray:
-    """Fixed hyperplanes: entry ``(p, d)`` is +1 where the md5 of ``p:d`` (``d`` from
-    1) begins with a digit below 8, else -1."""
-    return np.array([[1.0 if md5(f"{p}:{d}".encode()).hexdigest()[0] < "8" else -1.0
-                      for d in range(1, dims + 1)] for p in range(count)])
-
-
-def cell_of(vector, count: int) -> Column:
-    """The cell of a vector: bit ``p`` says on which side of plane ``p`` it lies."""
-
-    @F.arrow_udf(LongType())
-    def cell(vectors: pa.Array) -> pa.Array:
-        out = np.zeros(len(vectors), dtype=np.int64)
-        present = np.asarray(vectors.is_valid())
-        if present.any():
-            known = vectors.drop_null()
-            rows = matrix_of(known, len(known[0]))
-            sides = rows @ planes(count, rows.shape[1]).T >= 0
-            out[present] = sides @ (1 << np.arange(count, dtype=np.int64))
-        return pa.array(out, mask=~present)
-
-    return cell(vector)
-
-
-@dataclass(frozen=True)
-class VectorIndex:
-    """Embedded items with their cells, in files sorted by cell."""
-
-    path: str
-    planes: int
-
-    def items(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/items")
-
-
-def build_index(store: Store, path: str, count: int = None,
-                per_cell: int = PER_CELL) -> VectorIndex:
-    """Assign every embedded item to its cell and write them by cell.
-
-    Nothing is fitted: cells come from fixed planes, as many as :func:`planes_for`
-    says for the number of items, if not given. Rows are range-partitioned by cell
-    and id, so a cell that holds very many items is split over files.
-    """
-    items = unified_items(store, embedding=True).filter(
-        F.col("embedding").isNotNull() & F.exists("embedding", lambda v: v != 0)) \
-        .select("id", "embedding")
-    if count is None:
-        count = planes_for(items.count(), per_cell)
-    items.withColumn("cell", cell_of(F.col("embedding"), count)) \
-        .repartitionByRange("cell", "id").sortWithinPartitions("cell") \
-        .write.mode("errorifexists").parquet(f"{path}/items")
-    spark = items.sparkSession
-    spark.range(1).select(F.lit(count).alias("planes")).write.parquet(f"{path}/planes")
-    return VectorIndex(path, count)
-
-
-def open_index(spark: SparkSession, path: str) -> VectorIndex:
-    return VectorIndex(path, spark.read.parquet(f"{path}/planes").first()[0])
-
-
-def search_approx(
-        spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int = 10,
-        differ: int = 1, key: str = "query_id", vector: str = "vector",
-        shares: int = SHARES, parts: int = None) -> DataFrame:
-    """Nearest items among the cells that differ from the query's own in up to
-    ``differ`` planes.
-
-    A query is sent to those cells only, and a cell's items are multiplied with
-    the queries sent to it only. Similarities are exact; with ``differ`` as many as
-    there are planes the result is exact.
-    """
-    if parts is None:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flips = [sum(1 << p for p in chosen) for r in range(min(differ, index.planes) + 1)
-             for chosen in combinations(range(index.planes), r)]
-    asked = queries.filter(F.col(vector).isNotNull()).select(
-        F.col(key).cast("string").alias("id"), F.col(vector).alias("vector")) \
-        .withColumn("cell", cell_of(F.col("vector"), index.planes)) \
-        .withColumn("cell", F.explode(F.transform(
-            F.array(*[F.lit(f).cast("long") for f in flips]),
-            lambda f: F.col("cell").bitwiseXOR(f)))) \
-        .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    part = lambda share: F.col("cell") * shares + share
-    items = index.items(spark).withColumn("tags", F.lit(None).cast("array<string>")).withColumn(
-        "part", part(F.pmod(F.xxhash64("id"), F.lit(shares))))
-    return _top_per_query(_nearest(
-        items, asked.withColumn("part", part(F.col("share"))), k, parts), k)
+    if grid is None:
+        asking = unified_items(store).select(F.explode("tags").alias("tag"))
+        found = asking.agg(F.approx_count_distinct("tag")).first()[0]
+        grid = _sized(store, found, grid)
+    return nearest_on_grid(items, asked, k, grid).withColumnRenamed("query_id", "tag")

@@ -6,6 +6,8 @@ pairs and windows are joins and window functions here.
 
 import re
 
+from knowspark.operators.vector_index import BITS, differing
+
 _VIEWS = {
     "thoughts": r"""
 SELECT 'd'||doc_id AS id, replace(text, chr(10), chr(10)||chr(10)) AS content, e.embedding,
@@ -315,8 +317,8 @@ GROUP BY w, facet, value"""
 _INTEGERS = {
     **dict.fromkeys(("recent", "recent_events", "by_any_tag", "by_date_range", "related_tags",
                      "related_all", "review_top_tags", "search", "search_tasks",
-                     "search_thoughts", "search_pct", "suggested", "search_batch", "search_batch_items",
-                     "suggest_all", "search_approx", "search_wide",
+                     "search_thoughts", "search_pct", "suggested", "search_batch", "search_pruned",
+                     "search_batch_items", "suggest_all", "search_approx", "search_wide",
                      "search_batch_wide", "suggest_wide", "tag_page"),
                     ("rank",)),
     **dict.fromkeys(("chunk_all", "chunk_notes", "chunk_sliding", "chunk_windows"),
@@ -686,6 +688,7 @@ def _build() -> dict:
         "FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS "
         "rank FROM (SELECT query_id, id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS "
         "similarity FROM items, query_vectors WHERE embedding IS NOT NULL)) WHERE rank <= 10")
+    q["search_pruned"] = q["search_batch"]
     q["search_batch_items"] = _with(
         f"SELECT CAST(query_id AS VARCHAR) AS query_id, rank, id, content, title, content_type, "
         f"{tag_text()}, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER "
@@ -727,21 +730,21 @@ def _build() -> dict:
     q["reembed_interactions"] = reembedded("contacts", f"""
         SELECT l.id, {joined.format('c.name', 'l.notes')} FROM logged l JOIN contacts c USING (id)
         WHERE l.id IN (SELECT contact_id FROM interactions)""")
-    q["search_approx"] = _with("""
-        WITH planes_used AS (
-          SELECT CAST(greatest(1, least(22, round(log2(count(*) / 8.0)))) AS INTEGER) AS n
-          FROM items WHERE embedding IS NOT NULL),
-        planes AS (
+    q["search_approx"] = _with(f"""
+        WITH planes AS (
           SELECT p, list(CASE WHEN substr(md5(p||':'||d), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0 END
                          ORDER BY d) AS v
-          FROM (SELECT unnest(range(0, (SELECT n FROM planes_used))) AS p),
-               (SELECT unnest(range(1, 65)) AS d) GROUP BY p),
-        item_sides AS (SELECT id, p, list_inner_product(CAST(embedding AS DOUBLE[]), v) >= 0 AS side
-                       FROM items, planes WHERE embedding IS NOT NULL),
-        query_sides AS (SELECT query_id, p, list_inner_product(q, v) >= 0 AS side
-                        FROM query_vectors, planes),
-        probed AS (SELECT query_id, id FROM query_sides a JOIN item_sides b USING (p)
-                   GROUP BY query_id, id HAVING count(*) FILTER (a.side <> b.side) <= 1)
+          FROM (SELECT unnest(range(0, {BITS})) AS p), (SELECT unnest(range(1, 65)) AS d) GROUP BY p),
+        item_bits AS (
+          SELECT id, CAST(string_agg(CASE WHEN list_inner_product(CAST(embedding AS DOUBLE[]), v) >= 0
+                                     THEN '1' ELSE '0' END, '' ORDER BY p) AS BIT) AS bits
+          FROM items, planes WHERE embedding IS NOT NULL GROUP BY id),
+        query_bits AS (
+          SELECT query_id, CAST(string_agg(CASE WHEN list_inner_product(q, v) >= 0
+                                           THEN '1' ELSE '0' END, '' ORDER BY p) AS BIT) AS bits
+          FROM query_vectors, planes GROUP BY query_id),
+        probed AS (SELECT query_id, id FROM query_bits a JOIN item_bits b
+                   ON bit_count(xor(a.bits, b.bits)) <= {differing()})
         SELECT CAST(query_id AS VARCHAR) AS query_id, rank, id, round(similarity, 6) AS similarity
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank
               FROM (SELECT query_id, id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS

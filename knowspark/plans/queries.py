@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from knowspark.functions import labels, text, times, vectors
 from knowspark.operators import (
-    agenda, changes, ingest, items, notes, review, search, tags)
+    agenda, changes, ingest, items, notes, review, search, tags, vector_index)
 from knowspark.plans import reports
 from knowspark.session import new_work_path
 from knowspark.sources import tables
@@ -963,14 +963,25 @@ def search_batch_wide(spark, sf_dir):
 
 @query
 def suggest_wide(spark, sf_dir):
-    return search.suggest_all(wide_store(spark, sf_dir), 3).select("tag", "rank", "id", sim())
+    """Items are asked for twice, for the centroids and to be found: embedded once."""
+    root, wide = new_work_path(spark, "wide-store"), wide_store(spark, sf_dir)
+    for name in Store.table_names():
+        write_store(wide.table(name), root, name)
+    return search.suggest_all(read_store(spark, root), 3).select("tag", "rank", "id", sim())
 
 
 @query
 def search_approx(spark, sf_dir):
     store = tables.load(spark, sf_dir)
-    index = search.build_index(store, new_work_path(spark, "vector-index"), per_cell=8)
-    hits = search.search_approx(spark, index, all_queries(spark, sf_dir), 10)
+    index = vector_index.build_index(store, new_work_path(spark, "vector-index"))
+    hits = vector_index.search_approx(spark, index, all_queries(spark, sf_dir), 10)
+    return hits.select("query_id", "rank", "id", sim())
+
+
+@query
+def search_pruned(spark, sf_dir):
+    hits = vector_index.search_pruned(
+        tables.load(spark, sf_dir), all_queries(spark, sf_dir), 10)
     return hits.select("query_id", "rank", "id", sim())
 
 

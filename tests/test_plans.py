@@ -11,7 +11,7 @@ QUERIES = {k: entry.queries()[k] for k in CORE}
 #: Queries that run a model or multiply vectors in Python workers.
 PYTHON = {"hash_embed", "refine_identity", "search", "search_tasks", "search_thoughts",
           "search_pct", "suggested", "search_batch", "suggest_all",
-          "search_approx", "search_wide", "search_batch_wide", "suggest_wide", "tag_page", "update_thoughts", "reembed_tasks", "reembed_contacts", "reembed_home",
+          "search_approx", "search_pruned", "search_wide", "search_batch_wide", "suggest_wide", "tag_page", "update_thoughts", "reembed_tasks", "reembed_contacts", "reembed_home",
           "reembed_interactions"}
 #: Small limited reports, numbered after their limit.
 RANKED = {"recent", "recent_events", "by_any_tag", "by_date_range", "related_tags",
@@ -64,6 +64,13 @@ def test_only_touched_rows_pass_the_model(spark, sf_dir):
         assert "ArrowEvalPython" in plan.split("Union")[1].split(":- ")[1]
 
 
+@pytest.mark.parametrize("name, most", [("search_wide", 4), ("search_batch_wide", 5)])
+def test_texts_are_embedded_once(spark, sf_dir, name, most):
+    """One model call per table (and one for the queries), none again below a filter."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [embed_all") == most
+
+
 def test_pairs_and_windows_combine_before_the_shuffle(spark, sf_dir):
     plan = QUERIES["related_all"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "partial_count(1)" in plan

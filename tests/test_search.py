@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from knowspark.operators import search, tags
+from knowspark.functions.vectors import unit_rows
+from knowspark.operators import search, tags, vector_index
+from knowspark.operators.search import Grid
 from knowspark.session import new_work_path
 
 DIMS = 16
@@ -72,9 +74,9 @@ def batch(spark, vectors):
         + [("none", None), ("zero", [0.0] * DIMS)], "query_id string, vector array<float>")
 
 
-@pytest.mark.parametrize("parts", [1, 4, 15])
-def test_batch_is_many_searches(spark, made, vectors, parts):
-    hits = search.search_batch(made, batch(spark, vectors), 6, parts=parts).collect()
+@pytest.mark.parametrize("grid", [None, Grid(1, 1), Grid(4, 1), Grid(3, 5)])
+def test_batch_is_many_searches(spark, made, vectors, grid):
+    hits = search.search_batch(made, batch(spark, vectors), 6, grid=grid).collect()
     for i in range(0, 120, 3):
         if vectors[i].any():
             mine = sorted((r["rank"], r["id"], round(r["similarity"], 9))
@@ -104,14 +106,64 @@ def test_best_are_exact_with_ties():
         assert [(-scores[r, q], names[r]) for r in row[col == q]] == want
 
 
+def test_held_blocks(spark, made, vectors, monkeypatch):
+    """Items are multiplied a block at a time; the best of all blocks stay."""
+    part = search._Part(0)
+    held = made.thoughts.filter("embedding IS NOT NULL").select("id", "embedding", "tags").toArrow()
+    asked = batch(spark, vectors).filter("vector IS NOT NULL").select(
+        F.col("query_id").alias("id"), F.col("vector").cast("array<double>")).toArrow()
+
+    def found():
+        part = search._Part(0)
+        part.hold(held.combine_chunks().to_batches()[0])
+        return [b.to_pydict() for b in part.find(asked.combine_chunks().to_batches()[0], 5)]
+
+    whole = found()
+    monkeypatch.setattr(search, "HELD_ROWS", 7)
+    monkeypatch.setattr(search, "SCORE_CELLS", 50)
+    assert found() == whole and whole[0]["id"] and not part.blocks
+
+
+def test_grid_follows_both_sizes():
+    """A part's share of the items is bounded; the smaller side is copied more often."""
+    assert search.grid_for(1000, 10**6, 16, 1536) == Grid(1, 16)
+    assert search.grid_for(10**6, 10, 16, 1536).cols == 1
+    even = search.grid_for(10**4, 10**4, 64, 1536)
+    assert even == Grid(8, 8)
+    huge = search.grid_for(10**9, 10**5, 200, 1536)
+    assert 10**9 * 1536 / huge.rows <= search.HELD_BYTES
+    for items, queries in ((0, 0), (1, 0), (0, 5), (10**9, 10**9)):
+        grid = search.grid_for(items, queries, 8, 1536)
+        assert grid.rows >= 1 and 1 <= grid.cols <= 8
+
+
+def test_no_side_reaches_all_parts(spark, made, vectors, monkeypatch):
+    """Of 3 x 4 parts an item reaches 4 and a query 3; every pair meets once."""
+    dealt, real = [], search.nearest_in_parts
+
+    def seen(items, queries, *more):
+        dealt.append((items.select("id", "part").toPandas(), queries.select("id", "part").toPandas()))
+        return real(items, queries, *more)
+
+    monkeypatch.setattr(search, "nearest_in_parts", seen)
+    search.search_batch(made, batch(spark, vectors), 3, grid=Grid(3, 4))
+    items, queries = dealt[0]
+    assert set(items.groupby("id").part.nunique()) == {4} and items.part.nunique() == 12
+    assert set(queries.groupby("id").part.nunique()) == {3}
+    met = items.merge(queries, on="part")
+    assert not met.duplicated(["id_x", "id_y"]).any()
+    assert len(met) == items.id.nunique() * queries.id.nunique()
+
+
 def test_batches_start_no_job(spark, made, vectors):
-    """Query vectors never pass the driver: nothing runs before the result is read."""
+    """Query vectors never pass the driver: on a given grid nothing runs before the
+    result is read."""
     queries = batch(spark, vectors)
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("lazy", "lazy")
     try:
-        search.search_batch(made, queries, 3)
-        search.suggest_all(made, 3)
+        search.search_batch(made, queries, 3, grid=Grid(2, 2))
+        search.suggest_all(made, 3, grid=Grid(2, 2))
         assert tracker.getJobIdsForGroup("lazy") == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
@@ -171,34 +223,107 @@ def test_suggestions_of_some_tags(spark, made):
     assert {r["tag"] for r in search.suggest_all(made, 3, wanted).collect()} == {"z"}
 
 
+def ids_of(hits):
+    return {(r["query_id"], r["id"]) for r in hits.collect()}
+
+
 def test_approximate_search(spark, made, vectors):
-    index = search.build_index(made, new_work_path(spark, "index"), 4)
+    index = vector_index.build_index(made, new_work_path(spark, "index"))
     queries = batch(spark, vectors)
+    exact = ids_of(search.search_batch(made, queries, 10))
+    assert ids_of(vector_index.search_approx(spark, index, queries, 10, similarity=-1)) == exact
+    again = vector_index.open_index(spark, index.path)
+    some = ids_of(vector_index.search_approx(spark, again, queries, 10))
+    assert len(some & exact) / len(exact) > 0.9
+    assert ids_of(vector_index.search_approx(spark, index, queries, 10, grid=Grid(3, 2))) == some
+    assert index.items(spark).count() == 235  # 5 have no vector or a zero vector
 
-    def found(hits):
-        return {(r["query_id"], r["id"]) for r in hits.collect()}
 
-    exact = {(r["query_id"], r["id"])
-             for r in search.search_batch(made, queries, 10).collect()}
-    assert found(search.search_approx(spark, index, queries, 10, differ=4)) == exact
-    some = found(search.search_approx(spark, search.open_index(spark, index.path), queries, 10, 1))
-    assert len(some & exact) / len(exact) > 0.6
-    assert found(search.search_approx(spark, index, queries, 10, 1, shares=1)) == some
-    assert index.items(spark).count() == 235  # 5 have no vector or a zero vector
+def apart(vectors, others):
+    """Planes in which unit vectors differ."""
+    drawn = vector_index.planes(vector_index.BITS, vectors.shape[1])
+    a, b = (unit_rows(x) @ drawn.T >= 0 for x in (vectors, others))
+    return (a[:, None, :] != b[None, :, :]).sum(axis=2)
 
 
 def test_only_probed_pairs_are_scored(spark, made, vectors):
-    """Rows that reach a part: a query comes to its probed cells, an item to its own."""
-    index = search.build_index(made, new_work_path(spark, "index"), 4)
-    unit = np.array(vectors[0], dtype=float)
-    side = search.planes(4, DIMS) @ unit >= 0
-    cell = int(sum(1 << p for p in range(4) if side[p]))
+    index = vector_index.build_index(made, new_work_path(spark, "index"))
     one = batch(spark, vectors).filter("query_id = 'q0'")
-    mine = {r["id"] for r in index.items(spark).filter(F.col("cell") == cell).collect()}
-    hits = search.search_approx(spark, index, one, 1000, differ=0)
-    assert {r["id"] for r in hits.collect()} == mine
+    kept = [i for i in range(240) if i % 50 != 49 and vectors[i].any()]
+    far = apart(vectors[:1].astype(float), vectors[kept].astype(float))[0]
+    for similarity in (0.9, 0.25):
+        differ = vector_index.differing(similarity=similarity)
+        want = {("q0", f"i{i:03d}") for i, n in zip(kept, far) if n <= differ}
+        assert ids_of(vector_index.search_approx(spark, index, one, 1000, similarity)) == want
 
 
-def test_planes_follow_the_number_of_items():
-    assert [search.planes_for(n) for n in (0, 1, 1000, 64_000, 10**9)] == [1, 1, 1, 6, 20]
-    assert search.planes_for(10**12) == search.MOST_PLANES
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(sf):
+    """The registered parameters, by numpy: recall of the top 10 and pairs multiplied."""
+    import pyarrow.parquet as pq
+    rows = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet")["embedding"]
+    found = unit_rows(np.array(rows.to_pylist(), dtype=float))
+    best = np.argsort(-np.round(found @ found.T, 12), axis=1, kind="stable")[:, :10]
+    probed = np.concatenate([apart(found[i:i + 100], found) for i in range(0, len(found), 100)]) \
+        <= vector_index.differing()
+    assert np.take_along_axis(probed, best, 1).mean() >= 0.9
+    assert probed.mean() < 1 / 3
+
+
+def test_registered_search_has_recall(spark, sf_dir):
+    from knowspark.plans.queries import QUERIES
+    exact = ids_of(QUERIES["search_batch"](spark, sf_dir))
+    assert len(ids_of(QUERIES["search_approx"](spark, sf_dir)) & exact) / len(exact) >= 0.9
+
+
+def test_differing_planes():
+    assert vector_index.differing(256, 1.0) == 0 and vector_index.differing(64, -1.0) == 64
+    assert vector_index.differing(256, 0.9) < vector_index.differing(256, 0.5) < 128
+
+
+# Pivots ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("k", [1, 6, 300])
+def test_pruned_search_is_exact(spark, made, vectors, k):
+    queries = batch(spark, vectors)
+
+    def all_of(hits):
+        return sorted((r["query_id"], r["rank"], r["id"], round(r["similarity"], 9))
+                      for r in hits.collect())
+
+    assert all_of(vector_index.search_pruned(made, queries, k)) == all_of(
+        search.search_batch(made, queries, k))
+
+
+def test_pruned_search_of_one_type_and_none(spark, make_store, made, vectors):
+    queries = batch(spark, vectors)
+    assert ids_of(vector_index.search_pruned(made, queries, 3, content_type="task")) == ids_of(
+        search.search_batch(made, queries, 3, content_type="task"))
+    assert vector_index.search_pruned(make_store(), queries, 3).count() == 0
+    assert vector_index.search_pruned(made, queries.limit(0), 3).count() == 0
+
+
+def test_pruned_search_multiplies_few_pairs(spark, make_store, monkeypatch):
+    """Forty clusters: of all pairs less than an eighth is multiplied."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, DIMS))
+    made = np.repeat(centres, 50, axis=0) + 0.05 * rng.standard_normal((2000, DIMS))
+    store = make_store(tasks=[dict(id=f"v{i}", title="t", embedding=[float(x) for x in v])
+                              for i, v in enumerate(made)])
+    queries = spark.createDataFrame(
+        [(f"q{i}", [float(x) for x in made[i]]) for i in range(0, 2000, 20)],
+        "query_id string, vector array<float>")
+    multiplied = []
+    real = vector_index.nearest_in_parts
+
+    def counted(items, asked, k, parts, differ=None):
+        sizes = items.groupBy("part").count().withColumnRenamed("count", "items")
+        pairs = asked.join(sizes, "part").agg(F.sum("items")).first()[0]
+        multiplied.append(pairs or 0)
+        return real(items, asked, k, parts, differ)
+
+    monkeypatch.setattr(vector_index, "nearest_in_parts", counted)
+    got = ids_of(vector_index.search_pruned(store, queries, 10))
+    assert got == ids_of(search.search_batch(store, queries, 10))
+    assert len(multiplied) == 2 and sum(multiplied) < 2000 * 100 / 8
