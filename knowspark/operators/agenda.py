@@ -1,7 +1,8 @@
 """Due, overdue and stale lists, and the dashboard.
 
 All take ``as_of`` as the present. A filter that is ``None`` is left out, so
-the others still reach the scan.
+the others still reach the scan. The lists are sorted, or with ``rank`` carry
+their order as a column, which a writer or a join does not lose.
 """
 
 import datetime as dt
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from knowspark.functions import labels
 from knowspark.functions.times import days_since, instant, instant_for, to_iso
+from knowspark.operators.ranks import in_order
 from knowspark.sources.store import Store
 
 # --- Fixed values: day windows of the dashboard ---
@@ -29,7 +31,7 @@ def _view(df: DataFrame) -> DataFrame:
 
 def list_tasks(
         store: Store, as_of, status: str = None, category: str = None,
-        due_soon_days: int = None) -> DataFrame:
+        due_soon_days: int = None, rank: bool = False) -> DataFrame:
     """Tasks by priority, due date, newest; the due window has no lower bound."""
     df = _view(store.tasks)
     if status is not None:
@@ -39,24 +41,27 @@ def list_tasks(
     if due_soon_days is not None:
         limit = instant_for(df, "due_date", _plus(as_of, due_soon_days))
         df = df.filter(F.col("due_date") <= limit)
-    return df.orderBy(
-        labels.priority_rank("priority"), F.asc_nulls_last("due_date"), F.desc("created_at"), "id")
+    return in_order(
+        df, labels.priority_rank("priority"), F.asc_nulls_last("due_date"), F.desc("created_at"), "id",
+        rank=rank)
 
 
-def list_contacts(store: Store, as_of, reach_out_days: int = None) -> DataFrame:
+def list_contacts(
+        store: Store, as_of, reach_out_days: int = None, rank: bool = False) -> DataFrame:
     """Contacts, never contacted first, then longest ago."""
     df = _view(store.contacts)
     if reach_out_days is not None:
         df = df.filter(_not_since(df, as_of, reach_out_days))
-    return df.orderBy(F.asc_nulls_first("last_contact_at"), "name", "id")
+    return in_order(df, F.asc_nulls_first("last_contact_at"), "name", "id", rank=rank)
 
 
-def list_home_items(store: Store, as_of, due_soon_days: int = None) -> DataFrame:
+def list_home_items(
+        store: Store, as_of, due_soon_days: int = None, rank: bool = False) -> DataFrame:
     df = _view(store.home_items)
     if due_soon_days is not None:
         df = df.filter(
             F.col("next_due_at") <= instant_for(df, "next_due_at", _plus(as_of, due_soon_days)))
-    return df.orderBy(F.asc_nulls_last("next_due_at"), "name", "id")
+    return in_order(df, F.asc_nulls_last("next_due_at"), "name", "id", rank=rank)
 
 
 def _not_since(contacts: DataFrame, as_of, days: int):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knowspark import schema
 from knowspark.functions.text import item_content
+from knowspark.operators.ranks import in_order
 from knowspark.sources.store import Store
 
 COLUMNS = ("id", "content", "title", "tags", "content_type", "created_at")
@@ -43,12 +44,10 @@ def unified_items(store: Store, embedding: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
-def items_by_tag(store: Store, tag: str) -> DataFrame:
+def items_by_tag(store: Store, tag: str, rank: bool = False) -> DataFrame:
     """Every item that carries the tag, newest first."""
-    return (
-        unified_items(store).filter(F.array_contains("tags", tag))
-        .orderBy(F.desc("created_at"), "id")
-    )
+    return in_order(unified_items(store).filter(F.array_contains("tags", tag)),
+                    F.desc("created_at"), "id", rank=rank)
 
 
 def items_by_type(items: DataFrame) -> DataFrame:

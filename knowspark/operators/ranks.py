@@ -49,3 +49,8 @@ def numbered(df: DataFrame, *order, out: str = "position") -> DataFrame:
 def ranked(df: DataFrame, *order, out: str = "rank") -> DataFrame:
     """``df`` with ranks from 1; the order should end in a unique column."""
     return numbered(df, *order, out=out).withColumn(out, F.col(out) + 1)
+
+
+def in_order(df: DataFrame, *order, rank: bool = False) -> DataFrame:
+    """``df`` sorted, or, with ``rank``, with its place in the order as a column."""
+    return ranked(df, *order) if rank else df.orderBy(*order)

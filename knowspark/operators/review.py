@@ -2,11 +2,12 @@
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowspark.functions.times import instant, instant_for, micros
 from knowspark.operators.items import COLUMNS, parents, top
+from knowspark.operators.ranks import in_order
 from knowspark.sources.store import Store
 
 
@@ -59,8 +60,9 @@ def review_rows(store: Store, as_of, days: int = 7) -> DataFrame:
     return df.filter(F.col("created_at") >= since)
 
 
-def review_entries(store: Store, as_of, days: int = 7) -> DataFrame:
-    return review_rows(store, as_of, days).select(*COLUMNS).orderBy(F.desc("created_at"), "id")
+def review_entries(store: Store, as_of, days: int = 7, rank: bool = False) -> DataFrame:
+    return in_order(review_rows(store, as_of, days).select(*COLUMNS),
+                    F.desc("created_at"), "id", rank=rank)
 
 
 def review_total(store: Store, as_of, days: int = 7) -> DataFrame:
@@ -72,10 +74,28 @@ def review_by_type(store: Store, as_of, days: int = 7) -> DataFrame:
 
 
 def review_top_tags(store: Store, as_of, days: int = 7, k: int = 10) -> DataFrame:
-    """Most frequent tags; equal counts keep the order in which the tags first
-    appear when the entries are read newest first."""
+    """``rank, tag, count`` of the most frequent tags; equal counts keep the order in
+    which the tags first appear when the entries are read newest first.
+
+    Counts and newest times are numbers, so all tags are aggregated by hash. The
+    k best by these come first; only where tags tie in both does the entry's id
+    and the place in it decide, and only those entries are looked at again.
+    """
     seen = review_rows(store, as_of, days).select(
         (-micros("created_at")).alias("age"), "id", F.posexplode("tags").alias("pos", "tag"))
-    counted = seen.groupBy("tag").agg(
-        F.count("*").alias("count"), F.min(F.struct("age", "id", "pos")).alias("first_seen"))
-    return top(counted, k, F.desc("count"), "first_seen")
+    counted = seen.groupBy("tag").agg(F.count("*").alias("count"), F.min("age").alias("age"))
+    best = top(counted, k + 1, F.desc("count"), "age").collect()  # k + 1 rows at most
+    ties = len(best) > k and best[k][1:] == best[k - 1][1:]
+    best = best[:k]
+    if ties:
+        last = best[-1]
+        chosen = counted.filter((F.col("count") > last[1]) | (
+            (F.col("count") == last[1]) & (F.col("age") <= last.age)))
+    else:
+        chosen = seen.sparkSession.createDataFrame(best, "tag string, count long, age long")
+    first = Window.partitionBy("tag").orderBy("id", "pos")
+    found = seen.filter(F.col("age").isin([r.age for r in best]) if not ties else F.lit(True)) \
+        .join(chosen, ["tag", "age"]).withColumn("n", F.row_number().over(first)).filter("n = 1")
+    order = F.desc("count"), "age", "id", "pos"
+    return top(found, k, *order).withColumn(
+        "rank", F.row_number().over(Window.orderBy(*order))).select("rank", "tag", "count")

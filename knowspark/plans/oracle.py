@@ -459,6 +459,22 @@ def _build() -> dict:
     q["display_text"] = _with(
         "SELECT id, CASE WHEN title <> '' THEN title ELSE coalesce(content, '') END AS text FROM items")
     q["list_tasks"] = _with(f"SELECT {_TASK} FROM tasks")
+    numbered = "row_number() OVER (ORDER BY {}) AS rank"
+    q["list_tasks_ranked"] = _with(
+        "SELECT id, priority, CAST(due_date AS VARCHAR) AS due_date, " + numbered.format(
+            "CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, due_date NULLS LAST, "
+            "created_at DESC, id") + " FROM tasks")
+    q["list_contacts_ranked"] = _with(
+        f"SELECT id, {iso('last_contact_at')}, " + numbered.format(
+            "last_contact_at NULLS FIRST, name, id") + " FROM contacts")
+    q["list_home_ranked"] = _with(
+        f"SELECT id, {iso('next_due_at')}, " + numbered.format("next_due_at NULLS LAST, name, id")
+        + " FROM home_items")
+    q["items_by_tag_ranked"] = _with(
+        f"SELECT {_ITEM}, " + numbered.format("items.created_at DESC, id")
+        + " FROM items WHERE list_contains(tags, 'topic-3')")
+    q["review_entries_ranked"] = _with(
+        f"SELECT {_ITEM}, " + numbered.format("thoughts.created_at DESC, id") + f" {_REVIEW}")
     q["list_tasks_due"] = _with(
         f"SELECT {_TASK} FROM tasks WHERE status = 'open' AND category = 'work' "
         f"AND due_date <= {_D} + 7")
@@ -537,6 +553,7 @@ def _build() -> dict:
         f"SELECT p.id, {whole} ON r.id = p.id OR r.parent_id = p.id {group}")
     q["log_interactions"] = _with(
         f"SELECT id, notes, {iso('last_contact_at')}, {iso('updated_at')} FROM logged")
+    q["stream_interactions"] = q["log_interactions"]
     q["parse_notes"] = _with("""
         SELECT l.id, coalesce(p.profile, '') AS profile, CAST(coalesce(h.n, 0) AS INTEGER) AS n,
                coalesce(h.interactions, '') AS interactions

@@ -19,6 +19,7 @@ from knowspark.sources.notes import read_entries_json, read_text_notes
 from knowspark.sources.store import (
     Store, latest_rows, merge_changes, read_store, write_store)
 from knowspark.streaming import jobs
+from knowspark.streaming.versions import VersionedTable
 
 #: The present for tasks, contacts and home items, and for thoughts.
 AS_OF = "2001-07-20"
@@ -343,6 +344,12 @@ def items_by_tag(store):
         "id", "content", "title", tag_text(), "content_type", iso("created_at"))
 
 
+@on_store
+def items_by_tag_ranked(store):
+    return items.items_by_tag(store, TAG, rank=True).select(
+        "rank", "id", "content", "title", tag_text(), "content_type", iso("created_at"))
+
+
 @on_store
 def items_by_type(store):
     return items.items_by_type(items.items_by_tag(store, TAG))
@@ -370,6 +377,23 @@ def list_tasks_due(store):
     return _task_rows(agenda.list_tasks(store, AS_OF, "open", "work", 7))
 
 
+@on_store
+def list_tasks_ranked(store):
+    """All tasks with their place; every tenth has no due date."""
+    return agenda.list_tasks(store, AS_OF, rank=True).select(
+        "rank", "id", "priority", day("due_date"))
+
+
+@on_store
+def list_contacts_ranked(store):
+    return agenda.list_contacts(store, AS_OF, rank=True).select("rank", "id", iso("last_contact_at"))
+
+
+@on_store
+def list_home_ranked(store):
+    return agenda.list_home_items(store, AS_OF, rank=True).select("rank", "id", iso("next_due_at"))
+
+
 def _contact_rows(df):
     return df.select("id", "name", "email", "phone", "company", iso("last_contact_at"), "notes",
                      tag_text(), iso("created_at"))
@@ -510,6 +534,12 @@ def review_entries(store):
         "id", "content", "title", tag_text(), "content_type", iso("created_at"))
 
 
+@on_store
+def review_entries_ranked(store):
+    return review.review_entries(store, THOUGHTS_AS_OF, rank=True).select(
+        "rank", "id", "content", "title", tag_text(), "content_type", iso("created_at"))
+
+
 @on_store
 def review_total(store):
     return review.review_total(store, THOUGHTS_AS_OF)
@@ -522,8 +552,7 @@ def review_by_type(store):
 
 @on_store
 def review_top_tags(store):
-    top = review.review_top_tags(store, THOUGHTS_AS_OF)
-    return ranked(top, F.desc("count"), "first_seen").select("rank", "tag", "count")
+    return review.review_top_tags(store, THOUGHTS_AS_OF)
 
 
 # Notes and interactions --------------------------------------------------------
@@ -1062,6 +1091,24 @@ def stream_contacts(spark, sf_dir):
         "id", "name", iso("last_contact_at"), iso("updated_at"))
 
 
+@query
+def stream_interactions(spark, sf_dir):
+    """Contacts whose notes a stream keeps, week by week; the last batch runs twice."""
+    root = new_work_path(spark, "stream-interactions")
+    events = tables.interactions(spark, sf_dir)
+    weeks = [f"2024-01-{d:02d}" for d in (1, 9, 17, 25)] + ["2025-01-01"]
+    for since, until in zip(weeks[:-1], weeks[1:]):
+        events.filter(f"ts >= timestamp_ntz'{since}' AND ts < timestamp_ntz'{until}'") \
+            .coalesce(1).write.mode("append").parquet(f"{root}/in")
+    contacts = VersionedTable(f"{root}/contacts", ("id",), fold=3)
+    contacts.create(tables.contacts(spark, sf_dir))
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1) \
+        .parquet(f"{root}/in")
+    _finish(jobs.stream_interactions(source, contacts, f"{root}/checkpoint", available_now=True))
+    jobs.apply_interactions(contacts, events, contacts.applied(spark))
+    return contacts.read(spark).select("id", "notes", iso("last_contact_at"), iso("updated_at"))
+
+
 @query
 def activity_daily(spark, sf_dir):
     """The same counts over a table with chunk rows, by day."""

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from knowspark.operators.changes import log_interactions
 from knowspark.operators.ingest import check, ingest, split_valid
 from knowspark.operators.items import parents
-from knowspark.sources.store import latest_rows
+from knowspark.streaming.versions import VersionedTable
 
 
 def _started(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -52,25 +53,55 @@ def stream_last_contact(interactions: DataFrame, path: str, checkpoint: str,
     """Latest interaction and count per contact, kept up to date. An event
     delivered again within ``delay`` of its arrival counts once; no event is too late.
 
-    Every batch writes the contacts it changed to a folder of its own. A batch
-    that runs again after a failure replaces that folder, so the result of
-    :func:`read_last_contact` does not depend on retries.
+    Every batch commits the contacts it changed to a :class:`VersionedTable`, so
+    the result of :func:`read_last_contact` does not depend on retries, and what a
+    reader opens does not grow with the number of batches.
     """
-    once = interactions.withColumn("_seen", F.current_timestamp()) \
-        .withWatermark("_seen", delay).dropDuplicatesWithinWatermark(["event_id"])
-    running = once.groupBy("contact_id").agg(
+    running = _once(interactions, delay).groupBy("contact_id").agg(
         F.max("ts").alias("last_contact_at"), F.count("*").alias("interactions"))
+    writer = running.writeStream.outputMode("update").foreachBatch(_last_contacts(path).apply)
+    return _started(writer, checkpoint, available_now)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    writer = running.writeStream.outputMode("update").foreachBatch(write)
-    return _started(writer, checkpoint, available_now)
+def _once(interactions: DataFrame, delay: str) -> DataFrame:
+    """Each event once, if it comes again within ``delay`` of its arrival."""
+    return interactions.withColumn("_seen", F.current_timestamp()) \
+        .withWatermark("_seen", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def _last_contacts(path: str) -> VersionedTable:
+    return VersionedTable(path, ("contact_id",))
 
 
 def read_last_contact(spark, path: str) -> DataFrame:
     """The current state: the newest row of each contact."""
-    return latest_rows(spark.read.parquet(path), "batch_id", "contact_id").drop("batch_id")
+    return _last_contacts(path).read(spark)
+
+
+def apply_interactions(contacts: VersionedTable, batch: DataFrame, batch_id: int,
+                       make_embedder: Callable = None) -> bool:
+    """One batch of interactions applied to a table of contacts, once: the contacts
+    it names get its lines, their last contact and, with a model, a new vector."""
+    spark = batch.sparkSession
+    if batch_id <= contacts.applied(spark):
+        return False
+    events = contacts.staged(batch.select("event_id", "contact_id", "ts", "note"), batch_id)
+    named = events.select(F.col("contact_id").alias("id")).distinct()
+    touched = contacts.read(spark).join(named, "id", "left_semi")
+    return contacts.apply(log_interactions(touched, events, make_embedder), batch_id)
+
+
+def stream_interactions(interactions: DataFrame, contacts: VersionedTable, checkpoint: str,
+                        make_embedder: Callable = None, available_now: bool = False,
+                        delay: str = "1 day") -> StreamingQuery:
+    """Keeps the notes, last contact and vectors of a table of contacts up to date
+    with a stream of interactions. Lines of one batch are in order of time, batches in
+    order of arrival; an event delivered again within ``delay`` counts once."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        apply_interactions(contacts, batch, batch_id, make_embedder)
+
+    writer = _once(interactions, delay).writeStream.outputMode("append").foreachBatch(write)
+    return _started(writer, checkpoint, available_now)
 
 
 def activity(thoughts: DataFrame, time: str, length: str, slide: str = None) -> DataFrame:
@@ -107,21 +138,20 @@ def stream_rejected(entries: DataFrame, path: str, checkpoint: str,
 def stream_activity_now(thoughts: DataFrame, path: str, checkpoint: str, time: str = "created_at",
                         length: str = "7 days", slide: str = "1 day", delay: str = "1 day",
                         available_now: bool = False) -> StreamingQuery:
-    """Counts of all windows, open ones too, kept up to date. Every batch writes
+    """Counts of all windows, open ones too, kept up to date. Every batch commits
     the windows it changed; :func:`read_activity` gives the newest counts."""
     counted = activity(thoughts.withWatermark(time, delay), time, length, slide)
+    writer = counted.writeStream.outputMode("update").foreachBatch(_activity(path).apply)
+    return _started(writer, checkpoint, available_now)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _started(counted.writeStream.outputMode("update").foreachBatch(write), checkpoint,
-                    available_now)
+def _activity(path: str) -> VersionedTable:
+    return VersionedTable(path, ("start", "end", "facet", "value"))
 
 
 def read_activity(spark, path: str) -> DataFrame:
     """The newest counts of each window and value."""
-    key = ["start", "end", "facet", "value"]
-    return spark.read.parquet(path).groupBy(*key).agg(F.max_by("n", "batch_id").alias("n"))
+    return _activity(path).read(spark)
 
 
 def stream_activity(thoughts: DataFrame, path: str, checkpoint: str, time: str = "created_at",

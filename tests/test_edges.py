@@ -58,11 +58,16 @@ def test_due_windows(make_store):
                     due_date=day + dt.timedelta(days=n)) for k, n in due.items()]
         + [dict(id="none", title="n", status="open", priority="high", category="work"),
            dict(id="done", title="n", status="done", priority="low", category="home",
-                due_date=day - dt.timedelta(days=3))])
+                due_date=day - dt.timedelta(days=3)),
+           dict(id="undated", title="n", status="cancelled", priority="low", category="x")])
     assert ids(agenda.overdue_tasks(store, NOW)) == ["late"]
     assert ids(agenda.due_soon_tasks(store, NOW)) == ["today", "week"]
     assert ids(agenda.list_tasks(store, NOW, "open", None, 7)) == ["late", "today", "week"]
-    assert ids(agenda.list_tasks(store, NOW)) == ["none", "done", "late", "today", "week", "later"]
+    assert ids(agenda.list_tasks(store, NOW)) == [
+        "none", "done", "late", "today", "week", "later", "undated"]
+    ranks = {r["id"]: r["rank"] for r in agenda.list_tasks(store, NOW, rank=True).collect()}
+    assert sorted(ranks, key=ranks.get) == ids(agenda.list_tasks(store, NOW))
+    assert sorted(ranks.values()) == list(range(1, 8))
     assert ids(agenda.list_tasks(store, NOW, category="home")) == ["done"]
     assert ids(agenda.list_tasks(store, NOW, "open", None, 0)) == ["late", "today"]
 

@@ -46,8 +46,18 @@ def _single_partitions(plan):
             yield line, below
 
 
+RANKED_LISTS = ["list_tasks_ranked", "list_contacts_ranked", "list_home_ranked",
+                "items_by_tag_ranked", "review_entries_ranked"]
+
+
+@pytest.mark.parametrize("name", RANKED_LISTS)
+def test_ranks_need_no_single_task(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
 HASHED = ["update_tasks", "updated_tasks", "update_contacts", "update_home", "update_thoughts",
-          "needs_reembed", "latest_rows", "merge_task_changes", "last_contacts"]
+          "needs_reembed", "latest_rows", "merge_task_changes", "last_contacts", "review_top_tags"]
 
 
 @pytest.mark.parametrize("name", HASHED)

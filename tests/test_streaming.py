@@ -9,6 +9,7 @@ from knowspark import schema
 from knowspark.operators import changes, ingest
 from knowspark.session import new_work_path
 from knowspark.streaming import jobs
+from knowspark.streaming.versions import VersionedTable
 
 ENTRY_FIELDS = "entry_id, content, content_type, title, tags, source, metadata"
 
@@ -98,3 +99,84 @@ def test_activity_counts(make_store):
     daily = jobs.activity(store.thoughts, "created_at", "1 day")
     assert {(r["facet"], r["value"], r["n"]) for r in daily.collect()} == {
         ("type", "note", 1), ("tag", "x", 2)}
+
+
+# Versioned tables ---------------------------------------------------------------
+
+
+def changed(spark, batch, keys):
+    return spark.createDataFrame([(k, batch) for k in keys], "key string, value long")
+
+
+def values(table, spark):
+    return {r["key"]: r["value"] for r in table.read(spark).collect()}
+
+
+def test_versions_read_a_bounded_number_of_files(spark):
+    """Twenty batches: always the newest value of each key, never more folders."""
+    table = VersionedTable(new_work_path(spark, "versions"), ("key",), fold=3, generations=2)
+    with pytest.raises(ValueError, match="nothing is committed"):
+        table.read(spark)
+    want, opened = {}, []
+    for batch in range(20):
+        keys = [f"k{batch % 4}", f"k{batch % 7}", None] if batch % 5 else []
+        want.update({k: batch for k in keys})
+        assert table.apply(changed(spark, batch, set(keys)), batch)
+        assert values(table, spark) == want
+        opened.append(len({f.rsplit("/", 1)[0] for f in table.read(spark).inputFiles()}))
+    assert max(opened) <= 3 and table.applied(spark) == 19
+
+
+def test_a_batch_counts_once(spark):
+    table = VersionedTable(new_work_path(spark, "versions"), ("key",), fold=2)
+    table.create(changed(spark, -1, ["a", "b"]))
+    table.create(changed(spark, -9, ["z"]))  # there already
+    assert table.apply(changed(spark, 0, ["a"]), 0)
+    assert not table.apply(changed(spark, 7, ["a", "c"]), 0)
+    assert values(table, spark) == {"a": 0, "b": -1}
+
+
+@pytest.mark.parametrize("fails_at", ["delta", "fold", "commit"])
+def test_a_batch_that_failed_runs_again(spark, monkeypatch, fails_at):
+    """Whatever step the first run dies before, readers see all of a batch or nothing."""
+    table = VersionedTable(new_work_path(spark, "versions"), ("key",), fold=2)
+    table.apply(changed(spark, 0, ["a", "b"]), 0)
+
+    def die(*_):
+        raise OSError("lost")
+
+    step = {"delta": "_folder", "fold": "_rows", "commit": "_commit"}[fails_at]
+    monkeypatch.setattr(table, step, die)
+    with pytest.raises(OSError):
+        table.apply(changed(spark, 1, ["b", "c"]), 1)
+    monkeypatch.undo()
+    assert values(table, spark) == {"a": 0, "b": 0}
+    assert table.apply(changed(spark, 1, ["b", "c"]), 1)
+    assert values(table, spark) == {"a": 0, "b": 1, "c": 1}
+
+
+def test_a_reader_overlaps_later_batches(spark):
+    table = VersionedTable(new_work_path(spark, "versions"), ("key",), fold=2, generations=3)
+    for batch in range(3):
+        table.apply(changed(spark, batch, ["a", f"b{batch}"]), batch)
+    early = table.read(spark)
+    for batch in range(3, 6):
+        table.apply(changed(spark, batch, ["a"]), batch)
+    assert {r["key"]: r["value"] for r in early.collect()} == {"a": 2, "b0": 0, "b1": 1, "b2": 2}
+
+
+def test_interactions_stream_into_contacts(spark, sf_dir):
+    """Restarted after more files arrived, with batches delivered again."""
+    from knowspark.sources import tables
+    root = new_work_path(spark, "stream")
+    events, contacts = tables.interactions(spark, sf_dir), tables.contacts(spark, sf_dir)
+    table = VersionedTable(f"{root}/contacts", ("id",), fold=2)
+    table.create(contacts)
+    cut = "ts < timestamp_ntz'2024-01-15'"
+    for part in (cut, f"NOT ({cut})"):
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        jobs.stream_interactions(source, table, f"{root}/check", available_now=True) \
+            .awaitTermination()
+    assert not jobs.apply_interactions(table, events, table.applied(spark))
+    assert rows(table.read(spark)) == rows(changes.log_interactions(contacts, events))
