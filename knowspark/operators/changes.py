@@ -16,6 +16,7 @@ from knowspark.functions.text import embed_text, stable_uuid
 from knowspark.functions.times import instant_for
 from knowspark.operators.ingest import embedding_of
 from knowspark.operators.notes import ordered_concat
+from knowspark.operators.ranks import numbered
 
 
 def _any(conditions: list) -> Column:
@@ -199,21 +200,30 @@ def complete_home(home_items: DataFrame, events: DataFrame) -> DataFrame:
         "updated_at": F.coalesce("_ts", "updated_at")}).select(*home_items.columns)
 
 
+#: Lines of one contact that are joined in one place at first.
+PART_LINES = 256
+
+
+def numbered_lines(events: DataFrame) -> DataFrame:
+    """The line of each interaction, with its place among those of all contacts."""
+    lines = events.select(
+        F.col("contact_id").alias("id"), "ts", "event_id",
+        labels.interaction_line("ts", "note").alias("_lines")).distinct()
+    return numbered(lines, "id", "ts", "event_id", "_lines", out="_place")
+
+
 def log_interactions(contacts: DataFrame, events: DataFrame,
                      make_embedder: Callable = None) -> DataFrame:
     """Contacts after interactions ``(event_id, contact_id, ts, note)``.
 
     Each becomes a line of the notes in order of time, after a blank line unless
     the notes were empty; the latest is the last contact. An event delivered again
-    counts once. Lines are joined per hour first, so a contact with very many
-    events is spread over tasks.
+    counts once. Lines are joined in parts of ``PART_LINES`` first, counted and not
+    timed, so a contact with very many events, in whatever time, is spread over tasks.
     """
-    lines = events.select(
-        F.col("contact_id").alias("id"), "ts", "event_id",
-        labels.interaction_line("ts", "note").alias("_lines"))
     logged = ordered_concat(
-        lines, "id", F.date_trunc("HOUR", F.col("ts").cast("timestamp")), ["ts", "event_id"],
-        "_lines", "\n\n", repeats=False, _last=(F.max, "ts"))
+        numbered_lines(events), "id", F.floor(F.col("_place") / PART_LINES), ["_place"],
+        "_lines", "\n\n", _last=(F.max, "ts"))
     joined = contacts.join(logged, "id", "left")
     hit = F.col("_last").isNotNull()
     notes = F.when(hit, F.concat_ws(

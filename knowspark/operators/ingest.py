@@ -265,7 +265,7 @@ class IdentityRefiner:
         return raw, None, []
 
 
-_REFINED = T.StructType([
+REFINED = T.StructType([
     T.StructField("content", T.StringType()),
     T.StructField("title", T.StringType()),
     T.StructField("tags", T.ArrayType(T.StringType())),
@@ -279,7 +279,7 @@ def refine(df: DataFrame, make_refiner: Callable[[], Refiner] = IdentityRefiner)
     A failure of the backend becomes ``refine_error`` of that row; the job goes on.
     """
 
-    @F.pandas_udf(_REFINED)
+    @F.pandas_udf(REFINED)
     def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         backend = make_refiner()
         for raws, kinds in batches:
@@ -290,7 +290,7 @@ def refine(df: DataFrame, make_refiner: Callable[[], Refiner] = IdentityRefiner)
                     rows.append((content, title, list(tags or []), None))
                 except Exception as error:  # any backend failure concerns its row only
                     rows.append((None, None, None, f"the refiner failed: {error}"))
-            yield pd.DataFrame(rows, columns=_REFINED.names)
+            yield pd.DataFrame(rows, columns=REFINED.names)
 
     answered = df.withColumn("_r", call("content", "content_type"))
     return refine_postprocess(

@@ -10,28 +10,26 @@ from knowspark.functions import text
 PART_CHUNKS = 256
 
 
-def _joined(order: list, value: str, separator: str, collect=F.collect_list) -> Column:
-    rows = F.array_sort(collect(F.struct(*order, F.col(value).alias("_v"))))
+def _joined(order: list, value: str, separator: str) -> Column:
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
     return F.array_join(F.transform(rows, lambda r: r["_v"]), separator)
 
 
 def ordered_concat(df: DataFrame, key: str, part: Column, order: list, value: str,
-                   separator: str, repeats: bool = True, **aggregates) -> DataFrame:
+                   separator: str, **aggregates) -> DataFrame:
     """Per key the values joined in order, in two steps.
 
-    ``part`` must not decrease along ``order``. Rows are first joined per key and
-    part, so the rows of a hot key are collected by many tasks; the second step
-    handles one text per part. The result is one text per key by meaning, a note
+    ``part`` must not decrease along ``order``, and counts rows: parts are bounded.
+    Rows are first joined per key and part, so the rows of a hot key are collected by
+    many tasks; the second step handles one text per part. The result is one text per key by meaning, a note
     or a notes field; lines without such a bound belong in rows, as chunk rows
     and interaction rows are.
 
-    Without ``repeats`` equal rows count once, which needs no shuffle of its own.
     ``aggregates`` are ``name=(function, column)`` with functions that may be
     applied in two steps, such as sum, min and max.
     """
     first = df.withColumn("_part", part).groupBy(key, "_part").agg(
-        _joined(order, value, separator, F.collect_list if repeats else F.collect_set)
-        .alias("_text"),
+        _joined(order, value, separator).alias("_text"),
         *[f(c).alias(name) for name, (f, c) in aggregates.items()])
     return first.groupBy(key).agg(
         _joined(["_part"], "_text", separator).alias(value),

@@ -441,6 +441,16 @@ def _build() -> dict:
         CASE WHEN trim(content, {py}) = '' THEN 'the refiner gave no content' END
         AS refine_error FROM entries""")
 
+    q["refine_batches"] = _with("""
+        SELECT entry_id, CASE WHEN known THEN text END AS content,
+               CASE WHEN known THEN nullif(trim(substr(split_part(text, chr(10), 1), 1, 60), {py}), '') END
+                 AS title,
+               CASE WHEN known THEN content_type ELSE '' END AS tags,
+               CASE WHEN NOT known THEN 'the refiner failed: unknown type'
+                    WHEN text = '' THEN 'the refiner gave no content' END AS refine_error
+        FROM (SELECT entry_id, trim(content, {py}) AS text, content_type,
+                     content_type IN ('thought', 'note', 'event') AS known FROM entries)""")
+
     # filters and lists
     newest = "created_at DESC, id"
     q["recent"] = _with(_top(_THOUGHT, "thoughts", newest, 10))

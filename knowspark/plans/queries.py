@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from knowspark.functions import labels, text, times, vectors
 from knowspark.operators import (
-    agenda, changes, ingest, items, notes, review, search, tags, vector_index)
+    agenda, changes, ingest, items, notes, refining, review, search, tags,
+    vector_index)
 from knowspark.plans import reports
 from knowspark.session import new_work_path
 from knowspark.sources import tables
@@ -302,6 +303,14 @@ def refine_identity(spark, sf_dir):
     return ingest.refine(docs).select("entry_id", "content", "title", tag_text(), "refine_error")
 
 
+@query
+def refine_batches(spark, sf_dir):
+    """Documents through a backend that takes batches and refuses some types."""
+    docs = tables.entries(spark, sf_dir, PARTITIONS).select("entry_id", "content", "content_type")
+    return refining.refine_batches(docs, retries=0).select(
+        "entry_id", "content", "title", tag_text(), "refine_error")
+
+
 # Filters and lists -------------------------------------------------------------
 
 

@@ -1,12 +1,15 @@
 """Sources of entries to ingest: text files and JSON batches."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knowspark import schema
 from knowspark.functions import text
 
+#: Equal lines that one task makes again.
+NUMBERED = 4096
+
 
 def read_text_notes(spark: SparkSession, path: str) -> DataFrame:
     """Each ``.txt`` file becomes one note; its path is its entry id."""
@@ -42,7 +45,18 @@ def read_entries_json(spark: SparkSession, path: str) -> DataFrame:
     named = raw.filter(F.col("entry_id").isNotNull())
     own = F.md5(F.concat_ws(":", "_file", F.to_json(F.struct(*struct.names))))
     nameless = raw.filter(F.col("entry_id").isNull()).withColumn("_own", own)
-    number = F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))
-    nameless = nameless.withColumn(
-        "entry_id", F.md5(F.concat_ws(":", "_own", number.cast("string"))))
-    return named.select(*struct.names).unionByName(nameless.select(*struct.names))
+    return named.select(*struct.names).unionByName(
+        _occurrences(nameless, struct.names).withColumn(
+            "entry_id", F.md5(F.concat_ws(":", "_own", F.col("_number").cast("string"))))
+        .select(*struct.names))
+
+
+def _occurrences(lines: DataFrame, columns: list) -> DataFrame:
+    """Lines with a number (from 1) among equal ones, by counting: equal lines differ in
+    nothing else, so each is counted before the shuffle, and that many are made again,
+    ``NUMBERED`` at a time and dealt over tasks."""
+    counted = lines.groupBy("_own", *columns).agg(F.count(F.lit(1)).alias("_n"))
+    many = counted.withColumn("_from", F.explode(F.expr(f"sequence(1L, _n, {NUMBERED}L)"))) \
+        .repartition("_own", "_from")
+    return many.withColumn("_number", F.explode(F.expr(
+        f"sequence(_from, least(_n, _from + {NUMBERED - 1}L))")))

@@ -192,3 +192,22 @@ def test_one_contact_with_most_interactions(spark, make_store):
         F.timestamp_seconds(F.col("id") * 977).alias("ts"), F.col("id").cast("string").alias("note"))
     notes = by_id(changes.log_interactions(contacts, events))["hot"]["notes"].split("\n\n")
     assert [n.rsplit(": ", 1)[1] for n in notes] == [str(i) for i in range(5000)]
+
+
+def test_lines_of_a_hot_contact_are_joined_in_bounded_parts(spark, make_store, monkeypatch):
+    """A third of all events of one contact within a second: counted parts."""
+    monkeypatch.setattr(changes, "PART_LINES", 16)
+    instant = dt.datetime(2024, 1, 1)
+    rows = [(i, "hot" if i % 3 == 0 else f"c{i % 40}", instant if i % 3 == 0 else
+             instant + dt.timedelta(minutes=i), f"n{i}") for i in range(900)]
+    events = spark.createDataFrame(rows + rows[:50], "event_id long, contact_id string, ts timestamp, "
+                                                     "note string").repartition(5)
+    placed = changes.numbered_lines(events)
+    parts = placed.groupBy("id", F.floor(F.col("_place") / 16)).count().collect()
+    assert max(r["count"] for r in parts) <= 16 and sum(r["count"] for r in parts) == 900
+    store = make_store(contacts=[dict(id="hot", name="h", notes="first"), dict(id="none", name="n")])
+    got = {r["id"]: r for r in changes.log_interactions(store.contacts, events).collect()}
+    lines = got["hot"]["notes"].split("\n\n")
+    assert lines[0] == "first" and [x.rsplit(" ", 1)[1] for x in lines[1:]] == [
+        f"n{i}" for i in range(0, 900, 3)]
+    assert got["none"]["notes"] is None

@@ -4,11 +4,12 @@ import json
 
 import numpy as np
 import pytest
-from backends import Shouter, WrongDimensions
+from backends import Batches, Shouter, WrongDimensions
 from pyspark.sql import functions as F
 
 from knowspark import schema
-from knowspark.operators import ingest
+from knowspark.operators import ingest, refining
+from knowspark.sources import notes as sources
 from knowspark.sources.notes import read_entries_json, read_text_notes
 
 ENTRY = schema.ENTRIES
@@ -116,6 +117,52 @@ def test_embedding_dimensions_are_checked(spark):
         ingest.embed(df, "content", WrongDimensions).collect()
 
 
+@pytest.mark.parametrize("size, concurrency", [(1, 1), (3, 2), (100, 4)])
+def test_refine_in_batches(spark, size, concurrency):
+    """A failing text costs its own row only, whatever batch it is in."""
+    texts = ["fine", "boom", "flaky", "refuse", "short", "  ", "last"] + [f"t{i}" for i in range(20)]
+    df = spark.createDataFrame([(t, t, None if i % 2 else "note") for i, t in enumerate(texts)],
+                               "entry_id string, content string, content_type string").coalesce(1)
+    rows = refining.refine_batches(df, Batches, size, concurrency, retries=2, wait=0.001).collect()
+    assert [r["entry_id"] for r in rows] == texts
+    got = {r["entry_id"]: r for r in rows}
+    assert got["boom"]["refine_error"] == "the refiner failed: offline"
+    assert got["boom"]["content"] is None and got["boom"]["tags"] == []
+    assert got["refuse"]["refine_error"] == "the refiner failed: refused"
+    assert got["  "]["refine_error"] == "the refiner gave no content"
+    for t in ("fine", "short", "last", "t19"):
+        assert got[t]["refine_error"] is None and got[t]["content"] == t.upper()
+        assert got[t]["tags"] == ["work"]
+    assert got["fine"]["title"] == "note" and got["t0"]["title"] == "thought"
+    if size == 1:
+        assert got["flaky"]["refine_error"] is None  # came through on the third call
+
+
+def test_calls_of_a_task_are_bounded():
+    """Never more calls under way than asked for."""
+    import threading
+    import time
+
+    class Slow:
+        now = most = 0
+        lock = threading.Lock()
+
+        def refine_batch(self, raws, kinds):
+            with self.lock:
+                Slow.now += 1
+                Slow.most = max(Slow.most, Slow.now)
+            time.sleep(0.01)
+            with self.lock:
+                Slow.now -= 1
+            return [(r, None, []) for r in raws]
+
+    from concurrent.futures import ThreadPoolExecutor
+    backend = Slow()
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: refining._answers(backend, ["x"], ["note"], 0, 0), range(30)))
+    assert 1 < Slow.most <= 3
+
+
 def test_refine(spark):
     df = entries(spark, *[{"entry_id": k, "content": k} for k in ("fine", "boom", "blank")])
     got = {r["entry_id"]: r for r in ingest.refine(df, Shouter).collect()}
@@ -151,3 +198,28 @@ def test_entries_json(spark, tmp_path):
     assert len(bad) == 1 and bad[0]["_corrupt_record"] == "{broken"
     assert "not valid JSON" in bad[0]["reject_reasons"]
     assert ingest.ingest(ok, "2024-01-01").filter(F.col("id").isNull()).count() == 0
+
+
+def test_equal_nameless_lines_are_numbered_by_count(spark, tmp_path, monkeypatch):
+    """A line that is a third of a file: ids of its own, dealt over tasks, and the
+    same ids however the file is split."""
+    monkeypatch.setattr(sources, "NUMBERED", 50)
+    same = json.dumps({"content": "again", "content_type": "note"})
+    lines = [same if i % 3 == 0 else json.dumps({"content": f"c{i}", "content_type": "note"})
+             for i in range(3000)]
+    (tmp_path / "in.json").write_text("\n".join(lines))
+
+    def ids():
+        rows = read_entries_json(spark, str(tmp_path / "in.json"))
+        return rows, sorted((r["content"], r["entry_id"]) for r in rows.collect())
+
+    rows, whole = ids()
+    assert len(whole) == len(set(whole)) == 3000
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    tasks = rows.filter("content = 'again'").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.set(merge, "true")
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 1000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    assert ids()[1] == whole
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
