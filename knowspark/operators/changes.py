@@ -17,6 +17,7 @@ from knowspark.functions.times import instant_for
 from knowspark.operators.ingest import embedding_of
 from knowspark.operators.notes import ordered_concat
 from knowspark.operators.ranks import numbered
+from knowspark.operators.reduced import anti_join
 
 
 def _any(conditions: list) -> Column:
@@ -138,17 +139,24 @@ def update_thoughts(thoughts: DataFrame, changes: DataFrame, as_of, version: str
     return apply_updates(thoughts, changes, "thoughts", as_of, version, make_embedder)
 
 
-def delete_rows(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """The table without the ids in the first column of ``ids``, repeats allowed."""
-    gone = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
-    return table.join(gone, "id", "left_anti")
+def delete_rows(table: DataFrame, ids: DataFrame, reduce: bool = False) -> DataFrame:
+    """The table without the ids in the first column of ``ids``, repeats allowed.
+
+    With ``reduce`` a bitmap of the ids keeps nearly all other rows out of the shuffle.
+    """
+    return _without(table, ids.select(F.col(ids.columns[0]).alias("id")), "id", reduce)
+
+
+def _without(table: DataFrame, gone: DataFrame, key: str, reduce: bool) -> DataFrame:
+    return anti_join(table, gone, key) if reduce else table.join(gone.distinct(), key, "left_anti")
 
 
-def delete_thoughts(thoughts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Deletes parents with all their chunks; the id of a chunk deletes nothing."""
-    gone = ids.select(F.col(ids.columns[0]).alias("_root")).distinct()
+def delete_thoughts(thoughts: DataFrame, ids: DataFrame, reduce: bool = False) -> DataFrame:
+    """Deletes parents with all their chunks; the id of a chunk deletes nothing.
+    ``reduce`` as in :func:`delete_rows`."""
+    gone = ids.select(F.col(ids.columns[0]).alias("_root"))
     keyed = thoughts.withColumn("_root", F.coalesce("parent_id", "id"))
-    return keyed.join(gone, "_root", "left_anti").select(*thoughts.columns)
+    return _without(keyed, gone, "_root", reduce).select(*thoughts.columns)
 
 
 def next_tasks(tasks: DataFrame, events: DataFrame, as_of) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from knowspark import schema
 from knowspark.functions.text import item_content
 from knowspark.operators.ranks import in_order
+from knowspark.operators.reduced import semi_join
 from knowspark.sources.store import Store
 
 COLUMNS = ("id", "content", "title", "tags", "content_type", "created_at")
@@ -67,14 +68,18 @@ def get_rows(table: DataFrame, ids: list, key: str = "id") -> DataFrame:
     return table.filter(F.col(key).isin(list(ids)))
 
 
-def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+def lookup(table: DataFrame, ids: DataFrame, key: str = "id", reduce: bool = False) -> DataFrame:
     """Rows of a table whose id occurs in the first column of ``ids``.
 
     Repeats of an id are combined before the shuffle; a sort-merge join reuses
-    that shuffle, and AQE broadcasts a small side.
+    that shuffle, and AQE broadcasts a small side. ``reduce`` is for ids that are too
+    many to broadcast, but few against the table: a bitmap of them cuts the table
+    down before it is shuffled.
     """
-    asked = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
-    return table.join(asked, key, "left_semi")
+    asked = ids.select(F.col(ids.columns[0]).alias(key))
+    if reduce:
+        return semi_join(table, asked, key)
+    return table.join(asked.distinct(), key, "left_semi")
 
 
 def write_tag_index(store: Store, path: str) -> None:

@@ -517,6 +517,10 @@ def _build() -> dict:
     q["lookup"] = _with(f"SELECT {_TASK} FROM tasks WHERE id IN (SELECT 't'||l_orderkey FROM "
                         f"lineitem WHERE l_returnflag = 'R')")
 
+    q["lookup_reduced"] = _with(
+        f"SELECT {_TASK} FROM tasks WHERE id IN (SELECT 't'||l_orderkey FROM lineitem "
+        f"WHERE l_returnflag = 'R' AND l_quantity > 45)")
+
     # tags
     q["tag_counts"] = _with(counts)
     q["tags_matching"] = _with(f"SELECT * FROM ({counts}) WHERE contains(tag, 'topic-1')")
@@ -672,6 +676,8 @@ def _build() -> dict:
     q["delete_thoughts"] = _with(
         f"SELECT id, parent_id, chunk_index FROM chunk_rows WHERE id NOT IN ({gone}) "
         f"AND (parent_id IS NULL OR parent_id NOT IN ({gone}))")
+    q["delete_tasks_reduced"] = q["delete_tasks"]
+    q["delete_thoughts_reduced"] = q["delete_thoughts"]
     q["complete_tasks"] = _with(f"""
         SELECT id, title, notes, CASE WHEN hit THEN 'done' ELSE status END AS status, priority,
                CAST(due_date AS VARCHAR) AS due_date, category, {tag_text()}, {bumped('hit')}

@@ -471,6 +471,15 @@ def lookup(spark, sf_dir):
     return _task_rows(items.lookup(tables.tasks(spark, sf_dir), returned))
 
 
+@query
+def lookup_reduced(spark, sf_dir):
+    """Tasks of all orders with a large returned line, by a bitmap of their ids."""
+    returned = tables.read_table(spark, sf_dir, "lineitem") \
+        .filter("l_returnflag = 'R' AND l_quantity > 45") \
+        .select(F.concat(F.lit("t"), F.col("l_orderkey")).alias("id"))
+    return _task_rows(items.lookup(tables.tasks(spark, sf_dir), returned, reduce=True))
+
+
 @on_store
 def get_rows(store):
     return _task_rows(items.get_rows(store.tasks, ["t1", "t7", "t32", "none"]))
@@ -825,6 +834,21 @@ def delete_tasks(spark, sf_dir):
     return changes.delete_rows(tables.tasks(spark, sf_dir), gone).select("id", "title", "status")
 
 
+@query
+def delete_tasks_reduced(spark, sf_dir):
+    gone = _lines(spark, sf_dir).filter("l_returnflag = 'R'").select(
+        F.concat(F.lit("t"), F.col("l_orderkey")).alias("id"))
+    return changes.delete_rows(tables.tasks(spark, sf_dir), gone, reduce=True).select(
+        "id", "title", "status")
+
+
+@query
+def delete_thoughts_reduced(spark, sf_dir):
+    rows = tables.chunk_rows(spark, sf_dir)
+    gone = rows.filter(F.length("content") > 150).select("id")
+    return changes.delete_thoughts(rows, gone, reduce=True).select("id", "parent_id", "chunk_index")
+
+
 @query
 def delete_thoughts(spark, sf_dir):
     """Conversations whose first turn is long go with all turns; long later
