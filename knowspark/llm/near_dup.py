@@ -429,17 +429,27 @@ def _in_blocks(members: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """Links confirmed so far, and the components they make."""
+    """The components that the links confirmed so far make."""
 
     def __init__(self, spark):
-        self.links = spark.createDataFrame([], "a long, b long")
         self.comps = spark.createDataFrame([], "c long, comp long")
 
     def add(self, found: DataFrame) -> None:
-        found = written(found, "near-links")
-        if not found.isEmpty():
-            self.links = self.links.unionByName(found.distinct())
-            self.comps = components(self.links)
+        """Links become links between components, so each is looked at once."""
+        own = lambda k: self.comps.select(F.col("c").alias(k), F.col("comp").alias(f"comp_{k}"))
+        joins = written(
+            found.join(own("a"), "a", "left").join(own("b"), "b", "left").select(
+                F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+            .filter("a <> b").distinct(), "near-links")
+        if joins.isEmpty():
+            return
+        merged = components(joins)
+        # A component is named by one of its classes, so what is new names itself.
+        old = self.comps.join(merged.select(F.col("c").alias("was"), F.col("comp").alias("now")),
+                              F.col("comp") == F.col("was"), "left") \
+            .select("c", F.coalesce("now", "comp").alias("comp"))
+        self.comps = written(old.unionByName(merged.join(self.comps.select("c"), "c", "left_anti")),
+                             "near-labels")
 
 
 def near_duplicates(documents: DataFrame, trees: int = TREES) -> DataFrame:
