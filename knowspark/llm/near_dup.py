@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from knowspark.llm import text as T
 from knowspark.llm.components import components
-from knowspark.llm.repeats import NULL_ID, binaries, contents, steps, with_id
+from knowspark.llm.repeats import NULL_ID, binaries, contents, identified, steps
 from knowspark.llm.scratch import forget_shuffles, fresh, written
 
 SHINGLE = 5
@@ -116,13 +116,12 @@ def _signed(docs: DataFrame) -> DataFrame:
                 k1, k2 = set_keys(values, bounds)
                 sig = signatures(values, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(first, end - first), batch["d"].slice(first, end - first),
-                     pa.array(k1), pa.array(k2), pa.array(np.diff(bounds)),
+                    [*(batch[c].slice(first, end - first) for c in ("doc_id", "d", "t")), pa.array(k1), pa.array(k2), pa.array(np.diff(bounds)),
                      binaries(sig.view(np.uint8).reshape(-1),
                               np.full(end - first, COORDINATES * 4))],
-                    names=["doc_id", "d", "k1", "k2", "n", "sig"])
+                    names=["doc_id", "d", "t", "k1", "k2", "n", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, d long, k1 long, k2 long, n long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, d long, t long, k1 long, k2 long, n long, sig binary")
 
 
 def _sig_rows(column: pa.Array) -> np.ndarray:
@@ -380,8 +379,9 @@ def _cross(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
-    """``c, n, items``: the full sets of the needed classes."""
-    wanted = classes.join(needed, "c", "left_semi").select("c", "d", "k1", "k2")
+    """``c, n, items``: the full sets of the needed classes. Texts are known by id and
+    fingerprint, so very many texts under one id, or none, do not meet each other."""
+    wanted = classes.join(needed, "c", "left_semi").select("c", "d", "t", "k1", "k2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,7 +395,7 @@ def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
                     [here["c"], pa.array(np.diff(bounds)), items],
                     names=["c", "n", "items"]).filter(pa.array(mine))
 
-    return docs.select("d", "text").join(wanted, "d").select("c", "k1", "k2", "text") \
+    return docs.select("d", "t", "text").join(wanted, ["d", "t"]).select("c", "k1", "k2", "text") \
         .mapInArrow(run, "c long, n long, items binary").dropDuplicates(["c"])
 
 
@@ -455,12 +455,12 @@ class _Links:
 def near_duplicates(documents: DataFrame, trees: int = TREES) -> DataFrame:
     """Every document with its set size, component and whether it is kept."""
     spark = documents.sparkSession
-    docs = with_id(documents)
+    docs = identified(documents)
     signed = written(_signed(docs).withColumn("i", F.monotonically_increasing_id()), "near-signed")
     groups = written(signed.filter("n > 0").groupBy("k1", "k2").agg(
         F.min("i").alias("c"), F.min("d").alias("low")), "near-groups")
     classes = written(signed.join(groups.select(F.col("c").alias("i")), "i")
-                      .select(F.col("i").alias("c"), "d", "k1", "k2", "n", "sig"), "near-classes")
+                      .select(F.col("i").alias("c"), "d", "t", "k1", "k2", "n", "sig"), "near-classes")
     sketches = written(_sketches(classes), "near-sketches")
     state, sets = _Links(spark), None
     level, members = 1, written(_first_level(classes, trees), "near-nodes")

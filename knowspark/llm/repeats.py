@@ -217,7 +217,7 @@ def with_id(documents: DataFrame) -> DataFrame:
                             F.col("text").cast("string").alias("text"))
 
 
-def _identified(documents: DataFrame) -> DataFrame:
+def identified(documents: DataFrame) -> DataFrame:
     """As :func:`with_id`, with the text's fingerprint ``t``."""
     return with_id(documents).withColumn("t", F.xxhash64("text"))
 
@@ -371,7 +371,7 @@ def _again(parser: Parser, d: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 def repeated_ranges(parser: Parser, documents: DataFrame) -> DataFrame:
     """``d, t, at``: ranges of windows of a document that are repeated."""
-    docs = _identified(documents)
+    docs = identified(documents)
     settled = written(
         _occurrences(parser, docs).repartition("key").sortWithinPartitions("key", "u", "d")
         .mapInArrow(lambda b: _names_at_a_time(b, lambda x: _settle(parser, x)),
@@ -392,7 +392,7 @@ def apply_ranges(parser: Parser, documents: DataFrame, ranges: DataFrame, emit:
     """Every document with what its ranges cover: ``emit(ids, null ids, bytes,
     offsets, bounds, covered)`` gives the result columns of a piece."""
     listed = ranges.groupBy("d", "t").agg(F.collect_set("at").alias("ats"))
-    joined = _identified(documents).join(listed, ["d", "t"], "left") \
+    joined = identified(documents).join(listed, ["d", "t"], "left") \
         .select("doc_id", "text", F.coalesce("ats", F.array().cast("array<bigint>")).alias("ats"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

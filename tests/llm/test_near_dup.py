@@ -93,3 +93,13 @@ def test_paths_of_a_pair_do_not_die_out():
                 shared, np.full(len(shared), i), values, bounds)[1] for i in (0, 1)))[:400]
         lost += not len(shared)
     assert lost <= 1
+
+
+def test_texts_without_ids_do_not_meet_each_other(spark, docs_of):
+    """Hundreds of texts under no id: told apart, and joined one to one."""
+    rows = [(None, " ".join(f"w{i * 3 // 4 * 40 + k}" for k in range(40 - i % 2)))
+            for i in range(300)] + [(None, None)] * 3
+    got = near_dup.near_duplicates(docs_of(rows))
+    assert brute.rows(got.collect()) == brute.near_components(rows)
+    classes = near_dup.identified(docs_of(rows)).select("d", "t", "text").distinct()
+    assert classes.groupBy("d", "t").count().filter("count > 1").isEmpty()
