@@ -127,21 +127,24 @@ base AS (
 rated AS (
   SELECT *, n_symbols / greatest(word_chars, 1) AS r1, n_dup_lines / greatest(n_words, 1) AS r2,
     n_repeat_words / greatest(n_words, 1) AS r3 FROM base),
-groups AS (
-  SELECT lang, source, count(*) AS n,
-    greatest(0.05, quantile_disc(r1, 0.5) + 3 * (quantile_disc(r1, 0.95) - quantile_disc(r1, 0.5))) AS l1,
-    greatest(0.05, quantile_disc(r2, 0.5) + 3 * (quantile_disc(r2, 0.95) - quantile_disc(r2, 0.5))) AS l2,
-    greatest(0.10, quantile_disc(r3, 0.5) + 3 * (quantile_disc(r3, 0.95) - quantile_disc(r3, 0.5))) AS l3
-  FROM rated GROUP BY GROUPING SETS ((lang, source), ()) HAVING grouping(lang) = 1 OR count(*) >= 200),
-whole AS (SELECT * FROM groups WHERE n = (SELECT count(*) FROM rated))
+sketches AS (
+  SELECT lang, source, grouping(lang) = 0 AS by_lang, grouping(source) = 0 AS by_source, count(*) AS n,
+    least(0.5, greatest(0.05, quantile_disc(r1, 0.5) + 3 * (quantile_disc(r1, 0.75) - quantile_disc(r1, 0.25)))) AS l1,
+    least(0.5, greatest(0.05, quantile_disc(r2, 0.5) + 3 * (quantile_disc(r2, 0.75) - quantile_disc(r2, 0.25)))) AS l2,
+    least(0.5, greatest(0.25, quantile_disc(r3, 0.5) + 3 * (quantile_disc(r3, 0.75) - quantile_disc(r3, 0.25)))) AS l3
+  FROM rated GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+by_lang AS (
+  SELECT l.lang, (l.n * l.l1 + 200 * w.l1) / (l.n + 200) AS l1, (l.n * l.l2 + 200 * w.l2) / (l.n + 200) AS l2,
+    (l.n * l.l3 + 200 * w.l3) / (l.n + 200) AS l3
+  FROM sketches l CROSS JOIN (SELECT * FROM sketches WHERE NOT by_lang) w WHERE l.by_lang AND NOT l.by_source),
+limits AS (
+  SELECT g.lang, g.source, (g.n * g.l1 + 200 * b.l1) / (g.n + 200) AS l1,
+    (g.n * g.l2 + 200 * b.l2) / (g.n + 200) AS l2, (g.n * g.l3 + 200 * b.l3) / (g.n + 200) AS l3
+  FROM sketches g JOIN by_lang b ON b.lang IS NOT DISTINCT FROM g.lang WHERE g.by_source)
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
-    AND r1 <= coalesce(g.l1, h.l1) AND r2 <= coalesce(g.l2, h.l2) AND r3 <= coalesce(g.l3, h.l3)
-    AS kept
-FROM rated r CROSS JOIN (SELECT * FROM whole LIMIT 1) h
-LEFT JOIN groups g ON g.lang IS NOT DISTINCT FROM r.lang AND g.source IS NOT DISTINCT FROM r.source
-  AND g.n < (SELECT count(*) FROM rated)
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND r1 <= l1 AND r2 <= l2 AND r3 <= l3 AS kept
+FROM rated r JOIN limits g ON g.lang IS NOT DISTINCT FROM r.lang AND g.source IS NOT DISTINCT FROM r.source
 """
 
 _TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "

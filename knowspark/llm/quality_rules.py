@@ -1,15 +1,19 @@
 """Quality rules with thresholds that adapt to language and source.
 
 In DataFrame operations only. Four numbers are taken of every whole text. For
-each (language, source) a mergeable quantile sketch of a metric's rate gives its
-usual upper end; a document fails where it lies far beyond that. The sketches
-combine before the shuffle, so a source with a third of all rows sends one
-sketch per task.
+each (language, source), each language and all documents a mergeable quantile
+sketch of a metric's rate gives its quartiles; a document fails where it lies far
+beyond them. The sketches combine before the shuffle, so a source with a third of
+all rows sends one sketch per task.
 
 A document is kept unless the base rule fails it (``n_words < 20`` or
-``100 * n_repeat_words > 30 * n_words``) or a rate exceeds the group's limit:
-``limit = max(floor, median + SPREADS * (upper - median))``. Groups of fewer than
-``MIN_GROUP`` documents use the sketches of all documents instead.
+``100 * n_repeat_words > 30 * n_words``) or a rate exceeds the group's limit. A
+sketch's own limit is ``median + SPREADS * (upper - lower quartile)``, within
+``floor`` and ``HIGHEST``; junk of up to a quarter of a group moves neither quartile
+far, so it does not raise its own limit. Limits blend by the number of documents:
+a group's own counts as its n documents against ``BLEND`` of its language's, and
+a language's against ``BLEND`` of all. So no group size switches the rule; one
+document more changes a limit by one part in n + ``BLEND``.
 
 NULL texts count as empty (no words, so not kept). NULL languages and sources
 form groups of their own. Repeated rows are judged one by one and count each in
@@ -27,15 +31,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 #: Relative rank error of a sketch is one over this.
 ACCURACY = 10_000
-MIN_GROUP = 200
-#: Median and upper end that a sketch is asked for.
-QUANTILES = (0.5, 0.95)
+#: Documents that the wider group counts as in a group's limits.
+BLEND = 200
+#: Quartiles that a sketch is asked for.
+QUANTILES = (0.25, 0.5, 0.75)
 SPREADS = 3.0
+#: Rates are 1 at most; no limit is above this.
+HIGHEST = 0.5
 #: rate: (numerator, denominator, least limit)
 RATES = {
     "symbol_rate": ("n_symbols", "word_chars", 0.05),
     "dup_line_rate": ("n_dup_lines", "n_words", 0.05),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.10),
+    "repeat_rate": ("n_repeat_words", "n_words", 0.25),
 }
 
 
@@ -77,39 +84,45 @@ def metrics(documents: DataFrame) -> DataFrame:
         _repeat_words(F.col("words"), n).alias("n_repeat_words"))
 
 
-def thresholds(measured: DataFrame) -> DataFrame:
-    """Per language and source, and for all documents together (``whole``), the
-    number of documents and the limit of each rate."""
-    ends = lambda c: F.percentile_approx(c, list(QUANTILES), ACCURACY)
-    asked = [F.count(F.lit(1)).alias("n"), *[ends(_rate(r)).alias(r) for r in RATES]]
-    grouped = measured.groupBy("lang", "source").agg(*asked)
-    limits = [F.greatest(F.lit(floor), F.col(r)[0] + SPREADS * (F.col(r)[1] - F.col(r)[0]))
-              .alias(f"{r}_limit") for r, (_, _, floor) in RATES.items()]
-    whole = measured.agg(*asked).select(F.lit(True).alias("whole"), F.lit(None).cast("string")
-                                        .alias("lang"), F.lit(None).cast("string").alias("source"),
-                                        "n", *limits)
-    return grouped.select(F.lit(False).alias("whole"), "lang", "source", "n", *limits) \
-        .unionByName(whole)
-
-
 def _rate(name: str) -> Column:
     above, below, _ = RATES[name]
     return F.col(above) / F.greatest(F.col(below), F.lit(1))
 
 
-def apply_rules(documents: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Every document with its numbers, limits and verdict."""
+def _own_limit(name: str) -> Column:
+    low, middle, high = (F.col(name)[i] for i in range(3))
+    return F.least(F.lit(HIGHEST), F.greatest(
+        F.lit(RATES[name][2]), middle + SPREADS * (high - low))).alias(name)
+
+
+def _blended(name: str, wider: Column) -> Column:
+    return ((F.col("n") * F.col(name) + BLEND * wider) / (F.col("n") + BLEND)).alias(name)
+
+
+def thresholds(measured: DataFrame) -> DataFrame:
+    """``lang, source, n`` and the limit of each rate, one row per language and source."""
+    quartiles = [F.percentile_approx(_rate(r), list(QUANTILES), ACCURACY).alias(r) for r in RATES]
+    sketches = measured.rollup("lang", "source").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *quartiles) \
+        .select("level", "lang", "source", "n", *map(_own_limit, RATES))
+    sketches = written(sketches, "quality-limits")
+    whole = sketches.filter("level = 3").first()  # one row, none without documents
+    all_of = {r: F.lit(whole[r] if whole else HIGHEST) for r in RATES}
+    language = sketches.filter("level = 1").select(
+        F.col("lang").alias("l"), *[_blended(r, all_of[r]).alias(f"wider_{r}") for r in RATES])
+    return sketches.filter("level = 0").join(language, F.col("lang").eqNullSafe(F.col("l"))).select(
+        "lang", "source", "n", *[_blended(r, F.col(f"wider_{r}")) for r in RATES])
+
+
+def apply_rules(documents: DataFrame) -> DataFrame:
+    """Every document with its numbers and verdict."""
     measured = written(metrics(documents), "quality-metrics")
-    limits = thresholds(measured)
-    whole = limits.filter("whole").first()  # one row
-    group = limits.filter(f"NOT whole AND n >= {int(min_group)}") \
-        .select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-                *[f"{r}_limit" for r in RATES])
-    joined = measured.join(group, F.col("lang").eqNullSafe(F.col("g_lang"))
-                           & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    limit = {r: F.coalesce(F.col(f"{r}_limit"), F.lit(whole[f"{r}_limit"]), F.lit(0.0))
-             for r in RATES}
-    over = [_rate(r) > limit[r] for r in RATES]
+    limits = thresholds(measured).select(
+        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
+        *[F.col(r).alias(f"{r}_limit") for r in RATES])
+    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("g_lang"))
+                           & F.col("source").eqNullSafe(F.col("g_source")))
+    over = [_rate(r) > F.col(f"{r}_limit") for r in RATES]
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -82,6 +82,49 @@ def test_thresholds_follow_language_and_source(spark):
     assert all(kept[i] for i in range(600)) and not kept[600] and kept[601]
 
 
+def kept_of(spark, groups):
+    """``groups``: per source the numbers of plain and of junk documents; the ids of
+    the kept ones, by source and kind."""
+    rows = []
+    for source, (plain, junk) in groups.items():
+        for i in range(plain + junk):
+            marks = "##|" if i >= plain else ""
+            rows.append((len(rows), " ".join(f"w{i}x{k}{marks}" for k in range(40)), "en", source,
+                         i >= plain))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    verdicts = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs.drop("junk")).collect()}
+    out = Counter()
+    for i, _, _, source, junk in rows:
+        out[source, junk] += verdicts[i]
+    return out
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2])
+def test_junk_does_not_raise_its_own_limit(spark, share):
+    n = int(400 * share)
+    kept = kept_of(spark, {"a": (400 - n, n), "b": (100, 0)})
+    assert kept["a", True] == 0 and kept["a", False] == 400 - n and kept["b", False] == 100
+
+
+def test_no_group_size_switches_the_rule(spark):
+    """Groups of 20, 199 and 200 documents with an eighth of junk lose it alike."""
+    for n in (20, 199, 200):
+        kept = kept_of(spark, {"a": (n - n // 8, n // 8), "b": (300, 0)})
+        assert kept["a", True] == 0 and kept["a", False] == n - n // 8
+
+
+def test_limits_blend_by_size(spark):
+    """One document more moves a limit by little, and none is above the highest."""
+    rows = [("en", "a", 5 * i, 100, 0, 0, 50) for i in range(40)] + [("en", "b", 0, 100, 0, 0, 50)] * 60
+    names = "lang string, source string, n_symbols long, word_chars long, n_dup_lines long, " \
+            "n_repeat_words long, n_words long"
+    limit = lambda rows: {r.source: r.symbol_rate for r in quality_rules.thresholds(
+        spark.createDataFrame(rows, names)).collect()}
+    one, more = limit(rows), limit(rows + rows[:1])
+    assert 0.05 <= one["b"] < one["a"] <= quality_rules.HIGHEST
+    assert abs(one["a"] - more["a"]) < 0.02
+
+
 def test_rules_of_an_empty_table(docs_of):
     assert quality_rules.apply_rules(docs_of([(1, "a")]).filter("doc_id = 2")).collect() == []
 
