@@ -7,13 +7,18 @@ one Aho-Corasick pass over a text finds all exact piece hits of all items. Hits
 of an item that lie on neighbouring diagonals make one stretch of text, and
 Myers' bit-parallel distance, one column per character, verifies it.
 
-A NULL or empty text has no leaks. Items that are NULL or shorter than
-``MIN_CHARS`` characters are left out. Items with equal texts or ids are reported
-each. Equal documents are each judged. All columns of the documents are kept; the
-name of the added one is a parameter. Empty tables give no leaks.
+Every stretch that verifies is reported. Items of fewer than ``SHORT`` characters
+have no edits to spare and would stand inside longer words: they must occur exactly,
+with no letter or digit on either side.
+
+A NULL or empty text has no leaks. Items that are NULL or hold nothing but white
+space are left out. Items with equal texts or ids are reported each. Equal documents
+are each judged, texts of any length as a whole. All columns of the documents are
+kept; the name of the added one is a parameter. Empty tables give no leaks.
 
 The items go to the tasks in blocks of at most ``BLOCK_CHARS`` characters; a
-larger benchmark takes several passes over the documents, one after the other.
+larger benchmark takes several passes over the documents, each written before the
+next begins, so the driver and a task hold one block at a time.
 """
 
 from __future__ import annotations
@@ -24,11 +29,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from knowspark.llm.scratch import fresh
+from knowspark.llm.scratch import fresh, written
 
 #: Edits allowed per character of an item.
 RATE = 0.08
-MIN_CHARS = 20
+#: Items below are found exactly, on word borders.
+SHORT = 20
 BLOCK_CHARS = 16_000_000
 LEAKS = "array<struct<item_id:long,distance:int,budget:int,start:int,end:int>>"
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -87,7 +93,7 @@ class Matcher:
         self.items, self.automaton = [], ahocorasick.Automaton()
         found: dict = {}
         for item_id, text in items:
-            budget = int(RATE * len(text))
+            budget = int(RATE * len(text)) if len(text) >= SHORT else 0
             n = len(self.items)
             self.items.append((item_id, len(text), budget, peq(text), peq(text[::-1])))
             for a, b in piece_bounds(len(text), budget):
@@ -103,31 +109,37 @@ class Matcher:
         diagonals: dict = {}
         for last, places in self.automaton.iter(text):
             for n, a, size in places:
-                diagonals.setdefault(n, []).append(last + 1 - size - a)
-        out = []
-        for n in sorted(diagonals):
-            item_id, size, budget, bits, back = self.items[n]
-            stretches = []
-            for d in sorted(set(diagonals[n])):
-                a, b = max(d - budget, 0), min(d + size + budget, len(text))
-                if stretches and a <= stretches[-1][1] - size + budget:
-                    stretches[-1][1] = max(b, stretches[-1][1])
-                else:
-                    stretches.append([a, b])
-            best = None
-            for a, b in stretches:
-                limit = budget if best is None else best[0] - 1
-                hit = best_end(bits, size, text[a:b], limit) if limit >= 0 else None
-                if hit:
-                    best = (hit[0], a, a + hit[1])
-            if best:
-                distance, a, end = best
+                diagonals.setdefault(n, set()).add(last + 1 - size - a)
+        return [leak for n in sorted(diagonals) for leak in (
+            self._exact(n, diagonals[n], text) if self.items[n][1] < SHORT
+            else self._edited(n, diagonals[n], text))]
+
+    def _exact(self, n: int, starts: set, text: str) -> Iterator[dict]:
+        """Occurrences of a short item that no letter or digit continues."""
+        item_id, size = self.items[n][:2]
+        for a in sorted(starts):
+            if not (text[a - 1:a].isalnum() or text[a + size:a + size + 1].isalnum()):
+                yield {"item_id": item_id, "distance": 0, "budget": 0, "start": a, "end": a + size}
+
+    def _edited(self, n: int, diagonals: set, text: str) -> Iterator[dict]:
+        """Stretches around neighbouring diagonals that come within the budget."""
+        item_id, size, budget, bits, back = self.items[n]
+        stretches: list = []
+        for d in sorted(diagonals):
+            a, b = max(d - budget, 0), min(d + size + budget, len(text))
+            if stretches and a <= stretches[-1][1] - size + budget:
+                stretches[-1][1] = max(b, stretches[-1][1])
+            else:
+                stretches.append([a, b])
+        for a, b in stretches:
+            hit = best_end(bits, size, text[a:b], budget)
+            if hit:
+                distance, end = hit[0], a + hit[1]
                 length = best_end(back, size, text[a:end][::-1], distance)
                 # The reversed pattern must start at the end found: take the
                 # shortest stretch that reaches the distance.
-                out.append({"item_id": item_id, "distance": distance, "budget": budget,
-                            "start": end - length[1] if length else a, "end": end})
-        return out
+                yield {"item_id": item_id, "distance": distance, "budget": budget,
+                       "start": end - length[1] if length else a, "end": end}
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple]]:
@@ -141,7 +153,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple]]:
         part = items if blocks == 1 else items.filter(
             F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         texts = sorted(((r.item_id, normal(r.text)) for r in part.collect()), key=repr)
-        yield [(i, t) for i, t in texts if len(t) >= MIN_CHARS]
+        yield [(i, t) for i, t in texts if t]
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, column: str = "leaks",
@@ -150,10 +162,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, column: str = "leaks"
     item, distance, budget and the place in the compared form of the text."""
     if column.lower() in (c.lower() for c in documents.columns):
         raise ValueError(f"the documents have a column {column!r}")
-    out = documents.withColumn(column, F.array().cast(LEAKS))
+    out, begun = documents.withColumn(column, F.array().cast(LEAKS)), False
     for items in _blocks(benchmark, block_chars):
         if items:
-            out = _pass(out, items, column)
+            out = _pass(written(out, "leaks") if begun else out, items, column)
+            begun = True
     return out
 
 
@@ -178,7 +191,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and item found in it."""
+    """One row per document and stretch of it that matches an item."""
     return find_leaks(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
                       benchmark).select("doc_id", F.explode("leaks").alias("leak")) \
         .select("doc_id", "leak.*")
