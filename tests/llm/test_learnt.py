@@ -4,7 +4,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
-from knowspark.llm import quality, text as T, toxicity
+from knowspark.llm import labelled, quality, text as T, toxicity
 
 CLASSIFIERS = [(quality, "quality"), (toxicity, "toxic")]
 
@@ -104,3 +104,14 @@ def test_words_are_those_of_the_pattern():
         found = [[raw[a:b].decode() for a, b in zip(starts[i:j], ends[i:j])]
                  for i, j in zip(bounds[:-1], bounds[1:])]
         assert found == [brute.words(t) for t in texts]
+
+
+def test_a_sample_is_bounded_by_documents(spark):
+    """Thousands of texts under one labelled id: no more than asked for, equal ones once."""
+    rows = [(1, f"text {i % 1500}") for i in range(3000)] + [(i, "other") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(i, 1) for i in range(1, 30)], "doc_id long, quality int")
+    got = labelled.sample(docs, marks, "quality", 10).collect()
+    assert len(got) == 10 == len({(r.doc_id, r.text) for r in got})
+    assert labelled.sample(docs, marks, "quality", 10 ** 6).count() == 1500 + sum(
+        crc32(str(i).encode()) % 5 != 0 for i in range(2, 30))
