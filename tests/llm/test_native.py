@@ -164,6 +164,22 @@ def test_projection_stops_at_zero(spark):
     assert error(seen[-1]) < error(seen[0])
 
 
+def test_drawn_copies_come_near_the_targets(spark, docs_of):
+    rows, labels = labelled(spark, docs_of, 1000)
+    got = mixing.mix(docs_of(rows), labels, {"good": 0.9, "low": 0.1}).collect()
+    tokens = [(r.doc_id >= 1000, len(r.text.split())) for r in got]
+    low = sum(n for is_low, n in tokens if is_low) / sum(n for _, n in tokens)
+    assert abs(low - 0.1) < 0.02
+
+
+def test_targets_out_of_reach_are_told(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    measured = spark.createDataFrame([(10, [0.9, 0.1])] * 50 + [(10, [0.2, 0.8])] * 50,
+                                     "n_tokens long, membership array<double>")
+    with pytest.warns(UserWarning, match="targets not met"):
+        mixing.solve(measured, [1.0, 0.0], 700.0)
+
+
 def test_mix_keeps_columns(spark, docs_of):
     rows, labels = labelled(spark, docs_of)
     docs = docs_of(rows).withColumnRenamed("key", "n_tokens").withColumnRenamed("name", "membership")

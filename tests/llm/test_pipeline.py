@@ -68,3 +68,38 @@ def test_run(spark, folder):
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def odd_folder(spark, tmp_path, docs, labels=(), items=()):
+    for name, rows, schema in (
+            ("documents", docs, "doc_id long, text string, lang string, source string, n_chars long, "
+                                "leaks string, membership int, expected double, c long, shard string"),
+            ("labels", list(labels), "doc_id long, quality int, toxic int"),
+            ("benchmark", list(items), "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_empty_tables(spark, tmp_path):
+    path = odd_folder(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, path).collect() == []
+
+
+def test_odd_rows_and_clashing_names(spark, tmp_path):
+    """Repeated rows, texts that share an id, no id, a very long text; no labels."""
+    rest = ("en", "s", 1, "l", 2, 3.0, 4, "x")
+    long = " ".join(f"w{i * i % 9973}" for i in range(60_000))
+    rows = [(1, "one text of its own here", *rest)] * 3 + [(2, "first text under two", *rest),
+            (2, "second text under two", *rest), (None, None, *rest), (None, "no id at all", *rest),
+            (3, long, *rest), (4, "", *rest)]
+    path = odd_folder(spark, tmp_path, rows, [], [(1, "no id at all"), (2, None)])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path).cache()
+        seen[name] = Counter(r.doc_id for r in docs.collect())
+        assert name == "sharding" or docs.columns == columns
+    assert seen["toxicity"] == Counter(r[0] for r in rows)
+    assert seen["near_duplicates"] == Counter({1: 1, 2: 2, None: 2, 3: 1, 4: 1})
+    assert seen["decontamination"] == Counter({1: 1, 2: 2, None: 1, 3: 1, 4: 1})
+    assert set(seen["sharding"]) <= {1, 2, None, 3, 4}
