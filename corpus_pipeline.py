@@ -2,6 +2,15 @@
 
 Each stage takes what its predecessor kept, and all but the last return the
 columns of the documents.
+
+Every stage judges whole texts of any length. NULL and empty texts are neither toxic
+nor near duplicates nor leaks; mixing gives them the posteriors of the prior, and they
+are put into shards with size 1. Rows with a NULL doc_id count as the smallest. Of rows
+equal in doc_id and text one is left after the second stage; texts that share a doc_id
+are judged each by itself for toxicity and leaks, and stand or fall together as near
+duplicates. Extra columns stay, whatever their names, up to the last stage, which
+returns columns of its own. Empty tables go through empty; without labels nothing is
+toxic and all domains are alike, without a benchmark nothing leaks.
 """
 
 from __future__ import annotations
