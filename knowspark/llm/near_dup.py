@@ -306,13 +306,13 @@ def connected(sets: list[np.ndarray]) -> np.ndarray:
     codes = (np.cumsum(times > 1) - 1)[codes]
     order = np.argsort(codes, kind="stable")
     row, codes = row[order], codes[order]
-    both = np.zeros((n, n), dtype=np.float32)
+    both = np.zeros((n, n), dtype=np.int32)
     for start in range(0, int(codes[-1]) + 1 if len(codes) else 0, COLUMNS):
         here = slice(*np.searchsorted(codes, (start, start + COLUMNS)))
         holds = np.zeros((n, COLUMNS), dtype=np.float32)
         holds[row[here], codes[here] - start] = 1
-        both += holds @ holds.T
-    linked = 100 * both >= SIMILAR * (sizes[:, None] + sizes[None, :] - both)
+        both += (holds @ holds.T).astype(np.int32)  # at most COLUMNS each: exact
+    linked = both * np.int64(100) >= SIMILAR * (sizes[:, None] + sizes[None, :] - both)
     label = np.arange(n)
     while True:
         lower = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))

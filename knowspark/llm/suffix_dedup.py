@@ -1,11 +1,13 @@
-"""Suffix-array deduplication: distributed prefix doubling over sparse positions.
+"""Suffix-array deduplication: ranks by prefix doubling, sorted at sampled positions.
 
-Sorting every byte position at offsets 1, 2, 4, .. moves the corpus's positions
-(16 bytes each and more) through a shuffle per round. Most of them are alone from
-the first rounds on, and neighbours rank alike, so the sort is kept sparse:
+The dense form sorts every byte position by rank pairs at offsets 1, 2, 4, .. and
+reranks after each; measured at sf0.01 its six rounds shuffle 283 times the input
+(164 bytes per byte of text). Here ranks are fingerprints of what they cover, so
+equal stretches have equal ranks without a sort, and only sampled positions are
+sorted. This is not the method round by round: there is no loop of Spark sorts.
 
-* The first four rounds (offsets 1, 2, 4, 8) need no exchange: the rank of 16
-  bytes is their fingerprint, and doubling adds up fingerprints within the text.
+* Ranks of 16 bytes, where four rounds of doubling (offsets 1, 2, 4, 8) would come
+  to, are made inside the text.
 * Positions are sampled by content: of the 35 positions at which 16 bytes of a
   50-byte string can start, the one of least rank is its *anchor*. Equal strings
   have equal anchors, so all strings at neighbouring starts with one anchor are
