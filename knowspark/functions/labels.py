@@ -5,9 +5,18 @@ from pyspark.sql import functions as F
 
 from knowspark.functions.times import DAY_MICROS, age_micros, days_since, instant
 
-# --- Fixed values: day limits of the pages ---
+# --- Fixed values: day limits and texts of the pages ---
 STALE_DAYS = 14
 DUE_SOON_DAYS = 7
+JUST_NOW = "just now"
+MINUTES, HOURS, DAYS, MONTHS = "m", "h", "d", "mo"
+DAYS_AGO, DAYS_OVERDUE = "d ago", "d overdue"
+TODAY, TOMORROW, IN = "today", "tomorrow", "in "
+DUE_TODAY, DUE_IN, NO_DUE = "due today", "due in ", "—"
+NEVER_CONTACTED = "never contacted"
+CLASS_OVERDUE, CLASS_DUE_SOON = "overdue", "due-soon"
+DETAIL_SEPARATOR = " · "
+LINE_TIME, LINE_SEPARATOR = "yyyy-MM-dd HH:mm 'UTC'", ": "
 # --- end of fixed values ---
 
 
@@ -25,15 +34,15 @@ def rel_time(ts, as_of, months: bool = False) -> Column:
     hours = F.floor(minutes / F.lit(60))
     days = F.floor(hours / F.lit(24))
     label = (
-        F.when(minutes < 1, "just now")
-        .when(minutes < 60, F.concat(_text(minutes), F.lit("m")))
-        .when(hours < 24, F.concat(_text(hours), F.lit("h")))
+        F.when(minutes < 1, JUST_NOW)
+        .when(minutes < 60, F.concat(_text(minutes), F.lit(MINUTES)))
+        .when(hours < 24, F.concat(_text(hours), F.lit(HOURS)))
     )
     if months:
-        label = label.when(days < 30, F.concat(_text(days), F.lit("d"))).when(
-            days >= 30, F.concat(_text(F.floor(days / F.lit(30))), F.lit("mo")))
+        label = label.when(days < 30, F.concat(_text(days), F.lit(DAYS))).when(
+            days >= 30, F.concat(_text(F.floor(days / F.lit(30))), F.lit(MONTHS)))
     else:
-        label = label.when(days >= 1, F.concat(_text(days), F.lit("d")))
+        label = label.when(days >= 1, F.concat(_text(days), F.lit(DAYS)))
     return label
 
 
@@ -43,10 +52,10 @@ def task_due_label(due_date, as_of) -> Column:
     diff = F.datediff(_c(due_date), today)
     return (
         F.when(diff.isNull(), "")
-        .when(diff < 0, F.concat(_text(F.abs(diff)), F.lit("d overdue")))
-        .when(diff == 0, "today")
-        .when(diff == 1, "tomorrow")
-        .otherwise(F.concat(F.lit("in "), _text(diff), F.lit("d")))
+        .when(diff < 0, F.concat(_text(F.abs(diff)), F.lit(DAYS_OVERDUE)))
+        .when(diff == 0, TODAY)
+        .when(diff == 1, TOMORROW)
+        .otherwise(F.concat(F.lit(IN), _text(diff), F.lit(DAYS)))
     )
 
 
@@ -62,18 +71,18 @@ def _days_until(ts, as_of) -> Column:
 def home_due_label(next_due_at, as_of) -> Column:
     days = _days_until(next_due_at, as_of)
     return (
-        F.when(days.isNull(), "—")
-        .when(days < 0, F.concat(_text(F.abs(days)), F.lit("d overdue")))
-        .when(days == 0, "due today")
-        .otherwise(F.concat(F.lit("due in "), _text(days), F.lit("d")))
+        F.when(days.isNull(), NO_DUE)
+        .when(days < 0, F.concat(_text(F.abs(days)), F.lit(DAYS_OVERDUE)))
+        .when(days == 0, DUE_TODAY)
+        .otherwise(F.concat(F.lit(DUE_IN), _text(days), F.lit(DAYS)))
     )
 
 
 def home_due_class(next_due_at, as_of) -> Column:
     days = _days_until(next_due_at, as_of)
     return (
-        F.when(days < 0, "overdue")
-        .when(days <= DUE_SOON_DAYS, "due-soon")
+        F.when(days < 0, CLASS_OVERDUE)
+        .when(days <= DUE_SOON_DAYS, CLASS_DUE_SOON)
         .otherwise("")
     )
 
@@ -81,9 +90,9 @@ def home_due_class(next_due_at, as_of) -> Column:
 def last_contact_label(ts, as_of) -> Column:
     days = days_since(ts, as_of)
     return (
-        F.when(days.isNull(), "never contacted")
-        .when(days == 0, "today")
-        .otherwise(F.concat(_text(days), F.lit("d ago")))
+        F.when(days.isNull(), NEVER_CONTACTED)
+        .when(days == 0, TODAY)
+        .otherwise(F.concat(_text(days), F.lit(DAYS_AGO)))
     )
 
 
@@ -97,7 +106,7 @@ def initials(name) -> Column:
     return F.upper(F.array_join(heads, ""))
 
 
-def contact_details(email, phone, company, separator: str = " · ") -> Column:
+def contact_details(email, phone, company, separator: str = DETAIL_SEPARATOR) -> Column:
     parts = F.array(_c(email), _c(phone), _c(company))
     return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), separator)
 
@@ -116,4 +125,4 @@ def priority_rank(priority) -> Column:
 
 
 def interaction_line(ts, note) -> Column:
-    return F.concat(F.date_format(_c(ts), "yyyy-MM-dd HH:mm 'UTC'"), F.lit(": "), _c(note))
+    return F.concat(F.date_format(_c(ts), LINE_TIME), F.lit(LINE_SEPARATOR), _c(note))

@@ -1,6 +1,6 @@
 """Instants given as parameters, and differences between instants.
 
-No operator reads the clock: the caller passes ``as_of``.
+The caller passes ``as_of``. Only ``ingest`` without one, and the streams, read the clock.
 """
 
 import datetime as dt

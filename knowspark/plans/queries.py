@@ -884,10 +884,18 @@ def complete_home(spark, sf_dir):
     return _home_rows(changes.complete_home(tables.home_items(spark, sf_dir), events))
 
 
-def latest_task_rows(spark, sf_dir):
-    """Tasks as an append-only table: the rows as loaded and the changed rows."""
+def _changed_tasks(spark, sf_dir):
+    """Tasks, and the rows that change, written: both sides of a join read them."""
     base = tables.tasks(spark, sf_dir)
     newer = changes.updated_rows(base, task_changes(spark, sf_dir), "tasks", AS_OF)
+    path = new_work_path(spark, "changed-tasks")
+    newer.write.parquet(path)
+    return base, spark.read.schema(newer.schema).parquet(path)
+
+
+def latest_task_rows(spark, sf_dir):
+    """Tasks as an append-only table: the rows as loaded and the changed rows."""
+    base, newer = _changed_tasks(spark, sf_dir)
     versions = base.withColumn("version", F.lit(0)).unionByName(
         newer.withColumn("version", F.lit(1)))
     return _task_state(latest_rows(versions))
@@ -899,11 +907,7 @@ QUERIES["latest_rows"] = latest_task_rows
 @query
 def merge_task_changes(spark, sf_dir):
     """Tasks with their changed rows kept in a second table."""
-    base = tables.tasks(spark, sf_dir)
-    newer = changes.updated_rows(base, task_changes(spark, sf_dir), "tasks", AS_OF)
-    path = new_work_path(spark, "changed-tasks")
-    newer.write.parquet(path)
-    return _task_state(merge_changes(base, spark.read.schema(newer.schema).parquet(path)))
+    return _task_state(merge_changes(*_changed_tasks(spark, sf_dir)))
 
 
 # Vector search -----------------------------------------------------------------
