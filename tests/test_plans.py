@@ -9,7 +9,7 @@ from knowspark.plans.queries import QUERIES as CORE
 
 QUERIES = {k: entry.queries()[k] for k in CORE}
 #: Queries that run a model or multiply vectors in Python workers.
-PYTHON = {"hash_embed", "refine_identity", "search", "search_tasks", "search_thoughts",
+PYTHON = {"hash_embed", "refine_identity", "refine_batches", "search", "search_tasks", "search_thoughts",
           "search_pct", "suggested", "search_batch", "suggest_all",
           "search_approx", "search_pruned", "search_wide", "search_batch_wide", "suggest_wide", "tag_page", "update_thoughts", "reembed_tasks", "reembed_contacts", "reembed_home",
           "reembed_interactions"}
