@@ -266,12 +266,10 @@ def _parallel(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _sized(store: Store, queries: int, grid: Grid) -> Grid:
-    """The given grid, or one for the number of items; vectors are not read for it."""
-    if grid is not None:
-        return grid
-    items = unified_items(store).count()
-    return grid_for(items, queries, _parallel(store.tasks.sparkSession), 4 * EMBEDDING_DIMS)
+def _grid_of(store: Store, queries: int) -> Grid:
+    """The grid for the number of items; vectors are not read for it."""
+    return grid_for(unified_items(store).count(), queries, _parallel(store.tasks.sparkSession),
+                    4 * EMBEDDING_DIMS)
 
 
 def search_batch(
@@ -290,8 +288,7 @@ def search_batch(
     if content_type is not None:
         items = items.filter(F.col("content_type") == content_type)
     items = items.select("id", "embedding", F.lit(None).cast("array<string>").alias("tags"))
-    grid = grid or _sized(store, queries.count(), grid)
-    return nearest_on_grid(items, asked, k, grid)
+    return nearest_on_grid(items, asked, k, grid or _grid_of(store, queries.count()))
 
 
 def with_items(hits: DataFrame, store: Store) -> DataFrame:
@@ -324,6 +321,5 @@ def suggest_all(store: Store, k: int = 8, tags: DataFrame = None,
     asked = centroids.select(F.col("tag").alias("id"), F.col("centroid").alias("vector"))
     if grid is None:
         asking = unified_items(store).select(F.explode("tags").alias("tag"))
-        found = asking.agg(F.approx_count_distinct("tag")).first()[0]
-        grid = _sized(store, found, grid)
+        grid = _grid_of(store, asking.agg(F.approx_count_distinct("tag")).first()[0])
     return nearest_on_grid(items, asked, k, grid).withColumnRenamed("query_id", "tag")

@@ -14,6 +14,7 @@ from knowspark.operators import (
     agenda, changes, ingest, items, notes, refining, review, search, tags,
     vector_index)
 from knowspark.plans import reports
+from knowspark.schema import EMBEDDING_DIMS
 from knowspark.session import new_work_path
 from knowspark.sources import tables
 from knowspark.sources.notes import read_entries_json, read_text_notes
@@ -981,9 +982,17 @@ def all_queries(spark, sf_dir):
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def vector_grid(spark, sf_dir):
+    """The grid for as many items as queries: every stored vector is one of either."""
+    stored = tables.read_table(spark, sf_dir, "embeddings").count()
+    return search.grid_for(stored, stored, int(spark.conf.get("spark.sql.shuffle.partitions")),
+                           4 * EMBEDDING_DIMS)
+
+
 @query
 def search_batch(spark, sf_dir):
-    hits = search.search_batch(tables.load(spark, sf_dir), all_queries(spark, sf_dir), 10)
+    hits = search.search_batch(tables.load(spark, sf_dir), all_queries(spark, sf_dir), 10,
+                               grid=vector_grid(spark, sf_dir))
     return hits.select("query_id", "rank", "id", sim())
 
 
@@ -991,14 +1000,16 @@ def search_batch(spark, sf_dir):
 def search_batch_items(spark, sf_dir):
     """Hits of every stored vector among the contacts, with their attributes."""
     store = tables.load(spark, sf_dir)
-    hits = search.search_batch(store, all_queries(spark, sf_dir), 5, content_type="contact")
+    hits = search.search_batch(store, all_queries(spark, sf_dir), 5, content_type="contact",
+                               grid=vector_grid(spark, sf_dir))
     return search.with_items(hits, store).select(
         "query_id", "rank", "id", "content", "title", "content_type", tag_text(), sim())
 
 
-@on_store
-def suggest_all(store):
-    return search.suggest_all(store).select("tag", "rank", "id", sim())
+@query
+def suggest_all(spark, sf_dir):
+    return search.suggest_all(tables.load(spark, sf_dir), grid=vector_grid(spark, sf_dir)).select(
+        "tag", "rank", "id", sim())
 
 
 def wide_store(spark, sf_dir):
