@@ -1066,8 +1066,9 @@ def search_pruned(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name):
-    return spark.readStream.schema(tables.SCHEMAS[name]) \
-        .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A given table as a stream, be it one file or a folder of files. A pattern, as a
+    stream that is given a plain file takes it for a folder."""
+    return spark.readStream.schema(tables.SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _finish(started):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from knowspark import schema
 from knowspark.operators import changes, ingest
 from knowspark.session import new_work_path
+from knowspark.sources import tables
 from knowspark.streaming import jobs
 from knowspark.streaming.versions import VersionedTable
 
@@ -180,3 +181,36 @@ def test_interactions_stream_into_contacts(spark, sf_dir):
             .awaitTermination()
     assert not jobs.apply_interactions(table, events, table.applied(spark))
     assert rows(table.read(spark)) == rows(changes.log_interactions(contacts, events))
+
+
+# Registered streams -------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name, count", [
+    ("stream_ingest", 534), ("stream_rejected", 66), ("stream_activity", None),
+    ("stream_activity_all", None), ("stream_last_contact", 4), ("stream_contacts", 4)])
+def test_streams_read_tables_of_several_files(spark, tmp_path_factory, name, count):
+    """A table may be a folder of files."""
+    from knowspark.plans.queries import QUERIES
+    day, root = dt.datetime(2024, 1, 1), tmp_path_factory.mktemp("tables")
+    made = {
+        "documents": [(i, f"text {i}", "en", "web", 6) for i in range(600)],
+        "conversations": [(i // 3, i % 3, "user", f"turn {i}") for i in range(30)],
+        "events": [(i, day + dt.timedelta(hours=i), i % 4, "click", 1.5, "{}") for i in range(40)],
+        "orders": [(1, 2, "O", 1.0, day, "1-URGENT")],
+        "customer": [(i, f"name {i}", 1, 0.0, "BUILDING") for i in range(4)],
+        "embeddings": [(2, [1.0, 0.0], 0)],
+    }
+    for table, values in made.items():
+        spark.createDataFrame(values, tables.SCHEMAS[table]).repartition(3).write.parquet(
+            f"{root}/{table}.parquet")
+    if count is None:  # windows of the whole tables; those of stream_activity are closed
+        thoughts = tables.thoughts(spark, str(root)).select(
+            "created_at", "content_type", "tags", "parent_id")
+        closed = "end <= timestamp'2024-01-15 09:23:00'"  # a day before document 599
+        if name == "stream_activity_all":
+            thoughts, closed = thoughts.unionByName(
+                tables.chunk_rows(spark, str(root)).select(*thoughts.columns)), "true"
+        count = jobs.activity(thoughts.withColumn("created_at", F.col("created_at").cast("timestamp")),
+                              "created_at", "7 days", "1 day").filter(closed).count()
+    assert QUERIES[name](spark, str(root)).count() == count > 0
