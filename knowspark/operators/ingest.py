@@ -5,8 +5,8 @@ from itertools import chain
 from typing import Callable, Iterator, Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -273,24 +273,50 @@ REFINED = T.StructType([
 ])
 
 
+#: Bytes of text that are sent through a backend before their answers are passed on.
+REFINED_BYTES = 2 << 20
+
+
+def text_runs(texts: pa.Array, least: int = 1) -> Iterator[slice]:
+    """An Arrow batch of texts in runs of about ``REFINED_BYTES``: what a task holds does
+    not grow with the batch. All but the last run have a multiple of ``least`` rows."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+    start = held = 0
+    for end in range(least, len(texts), least):
+        held += int(sizes[end - least:end].sum())
+        if held >= REFINED_BYTES:
+            yield slice(start, end)
+            start, held = end, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def answers_of(rows: list) -> pa.Array:
+    """Answers as an Arrow column of ``REFINED``."""
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+    return pa.StructArray.from_arrays(
+        [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], REFINED.names)
+
+
 def refine(df: DataFrame, make_refiner: Callable[[], Refiner] = IdentityRefiner) -> DataFrame:
     """Sends ``content`` through a backend and post-processes the answer.
 
     A failure of the backend becomes ``refine_error`` of that row; the job goes on.
     """
 
-    @F.pandas_udf(REFINED)
-    def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(REFINED)
+    def call(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         backend = make_refiner()
-        for raws, kinds in batches:
-            rows = []
-            for raw, kind in zip(raws, kinds):
-                try:
-                    content, title, tags = backend.refine(raw, kind or "thought")
-                    rows.append((content, title, list(tags or []), None))
-                except Exception as error:  # any backend failure concerns its row only
-                    rows.append((None, None, None, f"the refiner failed: {error}"))
-            yield pd.DataFrame(rows, columns=REFINED.names)
+        for texts, types in batches:
+            for run in text_runs(texts):
+                rows = []
+                for raw, kind in zip(texts[run].to_pylist(), types[run].to_pylist()):
+                    try:
+                        content, title, tags = backend.refine(raw, kind or "thought")
+                        rows.append((content, title, list(tags or []), None))
+                    except Exception as error:  # any backend failure concerns its row only
+                        rows.append((None, None, None, f"the refiner failed: {error}"))
+                yield answers_of(rows)
 
     answered = df.withColumn("_r", call("content", "content_type"))
     return refine_postprocess(
