@@ -4,11 +4,11 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Iterator, Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowspark.operators.ingest import REFINED, refine_postprocess
+from knowspark.operators.ingest import REFINED, answers_of, refine_postprocess, text_runs
 
 
 class BatchRefiner(Protocol):
@@ -67,16 +67,18 @@ def refine_batches(df: DataFrame, make_refiner: Callable[[], BatchRefiner] = Fir
     if size < 1 or concurrency < 1 or retries < 0:
         raise ValueError("size and concurrency must be positive, retries not negative")
 
-    @F.pandas_udf(REFINED)
-    def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(REFINED)
+    def call(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         backend = make_refiner()
         with ThreadPoolExecutor(concurrency) as pool:
-            for raws, kinds in batches:
-                raws, kinds = raws.tolist(), kinds.fillna("thought").tolist()
-                parts = pool.map(
-                    lambda i: _answers(backend, raws[i:i + size], kinds[i:i + size], retries, wait),
-                    range(0, len(raws), size))
-                yield pd.DataFrame([r for part in parts for r in part], columns=REFINED.names)
+            for texts, types in batches:
+                for run in text_runs(texts, size * concurrency):
+                    raws = texts[run].to_pylist()
+                    kinds = ["thought" if kind is None else kind for kind in types[run].to_pylist()]
+                    parts = pool.map(
+                        lambda i: _answers(backend, raws[i:i + size], kinds[i:i + size], retries, wait),
+                        range(0, len(raws), size))
+                    yield answers_of([r for part in parts for r in part])
 
     # Not deterministic: a backend is asked once per row.
     answered = df.withColumn("_r", call.asNondeterministic()("content", "content_type"))

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from backends import Batches, Shouter, WrongDimensions
 from pyspark.sql import functions as F
@@ -223,3 +224,24 @@ def test_equal_nameless_lines_are_numbered_by_count(spark, tmp_path, monkeypatch
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
     assert ids()[1] == whole
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_texts_are_refined_in_runs_of_bounded_size():
+    """All rows in order, whatever the size of the Arrow batch; whole calls but the last."""
+    texts = pa.array([None if i % 7 == 0 else "x" * 50_000 for i in range(500)])
+    for least in (1, 32, 128, 1000):
+        runs = list(ingest.text_runs(texts, least))
+        assert [r.start for r in runs] == [0] + [r.stop for r in runs[:-1]] and runs[-1].stop == 500
+        assert all((r.stop - r.start) % least == 0 for r in runs[:-1])
+        most = max((r.stop - r.start) for r in runs) * 50_000
+        assert most <= 1.5 * ingest.REFINED_BYTES + least * 50_000
+    assert list(ingest.text_runs(texts[:0])) == []
+
+
+@pytest.mark.parametrize("refine", [ingest.refine, refining.refine_batches])
+def test_refining_passes_answers_on_in_runs(spark, refine):
+    """Answers of 30 MB of text come in one Arrow batch each way: rows stay with theirs."""
+    df = spark.range(300, numPartitions=1).selectExpr(
+        "id", "concat(id, repeat('y', 100000)) AS content", "'note' AS content_type")
+    got = refine(df).selectExpr("id", "content = concat(id, repeat('y', 100000)) AS same", "refine_error")
+    assert got.filter("same AND refine_error IS NULL").count() == 300
