@@ -17,7 +17,7 @@ from knowspark.session import new_work_path
 from knowspark.sources.store import Store
 
 #: Scores a task holds at once.
-SCORE_CELLS = 2_000_000
+SCORE_CELLS = 4_000_000
 
 
 # One query vector -----------------------------------------------------------
@@ -88,17 +88,30 @@ def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
     return row[place < k], col[place < k]
 
 
-#: Bytes of vectors a part holds on average, and rows of it multiplied at a time.
-HELD_BYTES = 64 << 20
-HELD_ROWS = 8192
+def _best_pairs(row: np.ndarray, col: np.ndarray, score: np.ndarray, k: int) -> tuple:
+    """The k best of each column, in order, with their place; equal scores go by row."""
+    order = np.lexsort((row, -score, col))
+    row, col, score = row[order], col[order], score[order]
+    place = np.arange(len(col)) - np.searchsorted(col, col, side="left")
+    best = place < k
+    return row[best], col[best], score[best], place[best]
+
+
+#: Bytes of vectors a part holds on average, and rows of it multiplied at a time; the
+#: first rows are fewer, as what they give bounds the others.
+HELD_BYTES = 16 << 20
+HELD_ROWS, FIRST_ROWS = 8192, 512
+#: Numbers that are gathered at once to score single pairs.
+GATHERED = 1 << 21
 
 
 class _Part:
     """The items of one part, held while all its queries stream past.
 
-    Vectors stay as stored, 4 bytes a number; products are of 8 bytes, a block of
-    items at a time. With a ``differ``, only pairs whose sketches differ in at most
-    so many bits are multiplied.
+    Vectors stay as stored, 4 bytes a number, by id. A block of items is multiplied
+    with some queries in 4-byte numbers; only pairs that may, within the rounding of
+    those, be among the k best of their query so far are scored in 8 bytes. With a
+    ``differ``, only pairs whose sketches differ in at most so many bits count.
     """
 
     def __init__(self, number: int, differ: int = None):
@@ -118,24 +131,74 @@ class _Part:
                 self.tagged.setdefault(tag, []).append(row)
 
     def _close(self) -> None:
-        self.items, self.names = np.concatenate(self.blocks), np.concatenate(self.ids).astype(str)
+        names = np.concatenate(self.ids).astype(str)
+        order = np.argsort(names, kind="stable")
+        self.names, self.items = names[order], np.concatenate(self.blocks)[order]
         self.blocks, self.ids = [], [self.names]
         if self.differ is not None:
-            self.sketch = np.concatenate(self.sketches)
-        self.tagged = {tag: np.array(rows) for tag, rows in self.tagged.items()}
-
-    def _scores(self, rows: slice, block: np.ndarray, units: np.ndarray, bits) -> np.ndarray:
-        """Cosines of a block of unit rows with some unit queries; NaN where not probed."""
-        if self.differ is None:
-            return np.round(block @ units.T, RANK_DECIMALS)
-        apart = np.zeros((len(block), len(units)), dtype=np.uint16)
+            self.sketch, self.sketches = np.concatenate(self.sketches)[order], []
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.tagged = {tag: place[rows] for tag, rows in self.tagged.items()}
+
+    def _blocks(self, k: int):
+        first, size = 0, min(max(FIRST_ROWS, 4 * k), HELD_ROWS)
+        while first < len(self.items):
+            yield slice(first, min(first + size, len(self.items)))
+            first, size = first + size, min(2 * size, HELD_ROWS)
+
+    def _near(self, row: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Whether the sketches of single pairs differ in few enough bits."""
+        apart = np.zeros(len(row), dtype=np.uint16)
+        for word in range(bits.shape[1]):
+            apart += np.bitwise_count(self.sketch[row, word] ^ bits[:, word])
+        return apart <= self.differ
+
+    def _drop_far(self, rows: slice, rough: np.ndarray, some: np.ndarray, bits) -> None:
+        """Takes the pairs whose sketches differ too much out of whole rows of scores."""
+        apart = np.zeros((len(some), rows.stop - rows.start), dtype=np.uint16)
         for word in range(bits.shape[1]):
-            apart += np.bitwise_count(self.sketch[rows, word][:, None] ^ bits[:, word][None, :])
-        scores = np.full(apart.shape, np.nan)
-        for col in range(len(units)):
-            near = np.flatnonzero(apart[:, col] <= self.differ)
-            scores[near, col] = np.round(block[near] @ units[col], RANK_DECIMALS)
-        return scores
+            apart += np.bitwise_count(bits[some, word][:, None] ^ self.sketch[rows, word][None, :])
+        rough[some] = np.where(apart <= self.differ, rough[some], np.nan)
+
+    def _better(self, rows: slice, block: np.ndarray, units: np.ndarray, bits, queries: list,
+                kept: tuple, floor: np.ndarray, k: int) -> tuple:
+        """What was kept for some queries, with the better of a block of unit rows."""
+        rough = units.astype(np.float32) @ block.astype(np.float32).T
+        slack = (block.shape[1] + 4) * 2.0 ** -22
+        for c, query in enumerate(queries if self.tagged else ()):
+            own = self.tagged.get(query)
+            if own is not None:
+                rough[c, own[(own >= rows.start) & (own < rows.stop)] - rows.start] = np.nan
+        least = floor - slack
+        new = np.flatnonzero(floor == -np.inf)
+        if len(new):
+            if self.differ is not None:
+                self._drop_far(rows, rough, new, bits)
+            if len(block) > k:
+                known = np.where(np.isnan(rough[new]), -np.inf, rough[new])
+                least[new] = np.partition(known, len(block) - k, axis=1)[:, len(block) - k] - 2 * slack
+        col, row = np.nonzero(rough >= least.astype(np.float32)[:, None])
+        if self.differ is not None:
+            near = self._near(row + rows.start, bits[col])
+            row, col = row[near], col[near]
+        if 8 * len(row) > rough.size:  # too many to gather
+            scores = np.full((len(block), len(units)), np.nan)
+            scores[row, col] = np.round(block @ units.T, RANK_DECIMALS)[row, col]
+            row, col = _best_of(self.names[rows], scores, k)
+            score = scores[row, col]
+        else:
+            step = max(1, GATHERED // block.shape[1])
+            score = np.round(np.concatenate([np.zeros(0)] + [
+                np.einsum("ij,ij->i", units[col[i:i + step]], block[row[i:i + step]])
+                for i in range(0, len(row), step)]), RANK_DECIMALS)
+        good = score > floor[col]  # an equal score has the smaller id already; NaN never counts
+        row, col, score, place = _best_pairs(
+            np.concatenate([kept[0], row[good] + rows.start]), np.concatenate([kept[1], col[good]]),
+            np.concatenate([kept[2], score[good]]), k)
+        floor = np.full(len(units), -np.inf)
+        floor[col[place == k - 1]] = score[place == k - 1]
+        return (row, col, score), floor
 
     def find(self, batch, k: int):
         if not self.ids:
@@ -145,27 +208,19 @@ class _Part:
         units = unit_rows(matrix_of(batch.column("vector"), self.items.shape[1]))
         bits = None if self.differ is None else _bits_of(batch.column("sketch"))
         queries = batch.column("id").to_pylist()
-        row, col, score = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64))
-        for first in range(0, len(self.items), HELD_ROWS):
-            rows = slice(first, min(first + HELD_ROWS, len(self.items)))
+        step = max(1, SCORE_CELLS // HELD_ROWS)
+        state = {
+            start: ((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)),
+                    np.full(len(queries[start:start + step]), -np.inf))
+            for start in range(0, len(queries), step)}
+        for rows in self._blocks(k):
             block = unit_rows(self.items[rows].astype(np.float64))
-            step = max(1, SCORE_CELLS // len(block))
-            found = [(row, col, score)]
-            for start in range(0, len(queries), step):
+            for start, (kept, floor) in state.items():
                 some = slice(start, start + step)
-                scores = self._scores(rows, block, units[some], None if bits is None else bits[some])
-                for c, query in enumerate(queries[some]):
-                    own = self.tagged.get(query)
-                    if own is not None:
-                        scores[own[(own >= rows.start) & (own < rows.stop)] - first, c] = np.nan
-                r, c = _best_of(self.names[rows], scores, k)
-                found.append((r + first, c + start, scores[r, c]))
-            row, col, score = map(np.concatenate, zip(*found))
-            if first:  # what earlier blocks kept competes
-                order = np.lexsort((self.names[row], -score, col))
-                row, col, score = row[order], col[order], score[order]
-                best = np.arange(len(col)) - np.searchsorted(col, col, side="left") < k
-                row, col, score = row[best], col[best], score[best]
+                state[start] = self._better(rows, block, units[some], None if bits is None else bits[some],
+                                            queries[some], kept, floor, k)
+        row, col, score = map(np.concatenate, zip(*(
+            (row, col + start, score) for start, ((row, col, score), _) in state.items())))
         yield pa.RecordBatch.from_arrays([
             pa.array([queries[c] for c in col], pa.string()),
             pa.array(list(self.names[row]), pa.string()),
@@ -215,7 +270,8 @@ def nearest_in_parts(items: DataFrame, queries: DataFrame, k: int, parts: int,
                 else:
                     held.hold(batch.slice(start, end - start))
 
-    return left.unionByName(right).repartition(parts, "part") \
+    # by number, not by hash: a task holds one part
+    return left.unionByName(right).repartitionById(parts, F.col("part").cast("int")) \
         .sortWithinPartitions("part", "query") \
         .mapInArrow(run, "query_id string, id string, similarity double")
 
@@ -245,6 +301,12 @@ def grid_for(items: int, queries: int, parallel: int, bytes_per_item: int) -> Gr
     return Grid(max(fewest, -(-parts // cols)), cols)
 
 
+def vector_bytes(items: DataFrame, column: str = "embedding") -> int:
+    """Bytes of one stored vector, all being of one width."""
+    some = items.filter(F.col(column).isNotNull()).select(F.size(column)).first()
+    return 4 * (some[0] if some else EMBEDDING_DIMS)
+
+
 def nearest_on_grid(items: DataFrame, queries: DataFrame, k: int, grid: Grid,
                     differ: int = None) -> DataFrame:
     """Every query against every item; no side is copied to all parts."""

@@ -15,8 +15,7 @@ from pyspark.sql.types import ArrayType, LongType
 from knowspark.functions.vectors import matrix_of, unit_rows
 from knowspark.operators.items import unified_items
 from knowspark.operators.search import (
-    Grid, grid_for, nearest_in_parts, nearest_on_grid, top_per_query)
-from knowspark.schema import EMBEDDING_DIMS
+    Grid, grid_for, nearest_in_parts, nearest_on_grid, top_per_query, vector_bytes)
 from knowspark.session import new_work_path
 from knowspark.sources.store import Store
 
@@ -102,9 +101,10 @@ def search_approx(
     """Nearest items among those whose sketch differs from the query's in at most
     :func:`differing` planes.
 
-    Sketches are compared as words (256 bits are 32 bytes, a vector of 384 numbers
-    1,536), vectors are multiplied only for the pairs that pass. Similarities are
-    exact. With ``similarity=-1`` all pairs pass and the result is exact.
+    Which pairs pass is up to the sketches alone (words of 64 bits; 256 bits are 32
+    bytes, a vector of 384 numbers 1,536). They are compared for a part's first items,
+    then only for pairs that a product in 4-byte numbers leaves among the k best.
+    Similarities are exact. With ``similarity=-1`` all pairs pass and the result is exact.
     """
     differ = index.bits if similarity <= -1 else differing(index.bits, similarity, sure)
     items = index.items(spark).withColumn("tags", F.lit(None).cast("array<string>"))
@@ -113,7 +113,7 @@ def search_approx(
         .withColumn("sketch", sketch_of(F.col("vector"), index.bits))
     if grid is None:
         grid = grid_for(items.count(), queries.count(),
-                        int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * EMBEDDING_DIMS)
+                        int(spark.conf.get("spark.sql.shuffle.partitions")), vector_bytes(items))
     return nearest_on_grid(items, asked, k, grid, differ)
 
 
@@ -125,6 +125,8 @@ MOST_PIVOTS = 4096
 PART_ITEMS = 40_000
 #: What rounding may do to an angle.
 SLACK = 1e-5
+#: Angles, and rows of output, that a task holds at once.
+ANGLES, VISITS = 1_000_000, 4096
 
 
 def pivots_for(items: int) -> int:
@@ -138,23 +140,40 @@ def _angles(vectors: pa.Array, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1, 1))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], pivots: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has at most ``ANGLES`` angles."""
+    step = max(1, ANGLES // pivots)
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def _cells(items: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``items`` with their cell (nearest pivot) and the angle to it."""
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                angles = _angles(batch.column("embedding"), pivots)
-                keep = ~np.isnan(angles[:, 0])
-                cell = np.argmin(np.where(keep[:, None], angles, 0), axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("id", "embedding")),
-                     pa.array(cell), pa.array(angles[np.arange(len(cell)), cell])],
-                    names=["id", "embedding", "cell", "angle"]).filter(pa.array(keep))
+        for batch in _slices(batches, len(pivots)):
+            angles = _angles(batch.column("embedding"), pivots)
+            keep = ~np.isnan(angles[:, 0])
+            cell = np.argmin(np.where(keep[:, None], angles, 0), axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "embedding")),
+                 pa.array(cell), pa.array(angles[np.arange(len(cell)), cell])],
+                names=["id", "embedding", "cell", "angle"]).filter(pa.array(keep))
 
     return items.select("id", "embedding").mapInArrow(
         run, "id string, embedding array<float>, cell long, angle double")
 
 
+def _groups(pivots: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
+    """The cells in ``rows`` groups of about equal items, near ones together."""
+    lead = np.argmax(pivots @ pivots[:rows].T, axis=1)
+    order = np.lexsort((np.arange(len(lead)), lead))
+    before = np.cumsum(size[order]) - size[order]
+    group = np.empty(len(lead), dtype=np.int64)
+    group[order] = before * rows // max(int(size.sum()), 1)
+    return group
+
+
 def search_pruned(
         store: Store, queries: DataFrame, k: int = 10, key: str = "query_id",
         vector: str = "vector", content_type: str = None) -> DataFrame:
@@ -167,6 +186,10 @@ def search_pruned(
     within the bound are visited then. How much that saves depends on the vectors:
     clusters save most, directions without any structure nothing.
 
+    The visits are counted before they are made. Where they would copy more vectors
+    than a :class:`Grid`, cells are put together in the grid's rows, near ones
+    together, and a query goes once to each row that has a cell within its bound.
+
     Pivots are the items with the smallest hashes, ``MOST_PIVOTS`` at most. The driver
     holds them and one row per cell.
     """
@@ -199,36 +222,54 @@ def search_pruned(
         (F.col("first") + F.pmod(F.xxhash64("id"), F.col("shares"))).alias("part"), "id", "embedding",
         F.lit(None).cast("array<string>").alias("tags"))
 
+    def reached(batch, again: bool) -> np.ndarray:
+        """Which cells each query of a batch visits; ``again``: those the bound leaves."""
+        away = _angles(batch.column("vector"), pivots[number])
+        near = np.argsort(away, axis=1, kind="stable")
+        held = np.cumsum(size[near], axis=1)
+        first = np.zeros(away.shape, dtype=bool)  # the nearest cells until k items
+        np.put_along_axis(first, near, held - size[near] < k, axis=1)
+        if again:
+            bound = batch.column("bound").to_numpy(zero_copy_only=False)[:, None] + SLACK
+            first = ~first & (np.maximum(away - high, low - away) <= bound)
+        return first & ~np.isnan(away[:, :1])
+
+    def sent(batch, row: np.ndarray, part: np.ndarray):
+        """Queries, by row, with the part they go to, some at a time."""
+        for i in range(0, len(row), VISITS):
+            some = pa.array(row[i:i + VISITS])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[i:i + VISITS]), batch.column("id").take(some),
+                 batch.column("vector").take(some)], names=["part", "id", "vector"])
+
     def visits(frame: DataFrame, again: bool) -> DataFrame:
-        """Queries with the parts they visit; ``again``: those the bound leaves."""
+        """Queries with the parts they visit."""
         def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                away = _angles(batch.column("vector"), pivots[number])
-                near = np.argsort(away, axis=1, kind="stable")
-                held = np.cumsum(size[near], axis=1)
-                start = (held - size[near] < k)  # the nearest cells until k items
-                first = np.zeros_like(start)
-                np.put_along_axis(first, near, start, axis=1)
-                if again:
-                    bound = batch.column("bound").to_numpy(zero_copy_only=False)[:, None] + SLACK
-                    reach = np.maximum(away - high, low - away) <= bound
-                    go = ~first & reach
-                else:
-                    go = first
-                go &= ~np.isnan(away[:, :1])
-                row, cell = np.nonzero(go)
+            for batch in _slices(batches, len(number)):
+                row, cell = np.nonzero(reached(batch, again))
                 each = shares[cell]
                 part = np.repeat(offset[cell], each) + np.arange(each.sum()) - np.repeat(
                     np.cumsum(each) - each, each)
-                row = pa.array(np.repeat(row, each))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), batch.column("id").take(row), batch.column("vector").take(row)],
-                    names=["part", "id", "vector"])
+                yield from sent(batch, np.repeat(row, each), part)
 
         return frame.mapInArrow(run, "part long, id string, vector array<double>")
 
+    def visits_of_groups(frame: DataFrame, group: np.ndarray) -> DataFrame:
+        """Queries with the groups that hold a cell they visit, the first ones too."""
+        def run(batches):
+            for batch in _slices(batches, len(number)):
+                go = reached(batch, True) | reached(batch, False)
+                row, cell = np.nonzero(go)
+                pairs = np.unique(row * (group.max() + 1) + group[cell])
+                yield from sent(batch, pairs // (group.max() + 1), pairs % (group.max() + 1))
+
+        return frame.mapInArrow(run, "part long, id string, vector array<double>")
+
+    def copies(batches):
+        for batch in _slices(batches, len(number)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int((reached(batch, True) * shares).sum())])], names=["n"])
+
     parts = int(offset[-1])
     hits = new_work_path(spark, "first-hits")
     top_per_query(nearest_in_parts(dealt, visits(asked, False), k, parts), k).write.parquet(hits)
@@ -238,5 +279,19 @@ def search_pruned(
     bounded = asked.join(bound, asked["id"] == bound["query_id"], "left").select(
         "id", "vector",
         F.when(F.col("n") == k, F.col("angle")).otherwise(F.lit(math.pi)).alias("bound"))
-    more = nearest_in_parts(dealt, visits(bounded, True), k, parts)
-    return top_per_query(near.drop("rank").unionByName(more), k)
+    held, asking = int(size.sum()), asked.count()
+    grid = grid_for(held, asking, int(spark.conf.get("spark.sql.shuffle.partitions")),
+                    4 * pivots.shape[1])
+    sent_on = bounded.mapInArrow(copies, "n long").agg(F.sum("n")).first()[0] or 0
+    if sent_on <= asking * grid.rows + held * grid.cols:
+        more = nearest_in_parts(dealt, visits(bounded, True), k, parts)
+        return top_per_query(near.drop("rank").unionByName(more), k)
+    group = _groups(pivots[number], size, grid.rows)
+    in_groups = spark.createDataFrame(pd.DataFrame({"cell": number, "group": group}))
+    columns = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.cols - 1).cast("long")))
+    spread = cells.join(F.broadcast(in_groups), "cell").withColumn("c", columns).select(
+        (F.col("group") * grid.cols + F.col("c")).alias("part"), "id", "embedding",
+        F.lit(None).cast("array<string>").alias("tags"))
+    sought = visits_of_groups(bounded, group).withColumn(
+        "part", F.col("part") * grid.cols + F.pmod(F.xxhash64("id"), F.lit(grid.cols)))
+    return top_per_query(nearest_in_parts(spread, sought, k, (int(group.max()) + 1) * grid.cols), k)

@@ -14,7 +14,6 @@ from knowspark.operators import (
     agenda, changes, ingest, items, notes, refining, review, search, tags,
     vector_index)
 from knowspark.plans import reports
-from knowspark.schema import EMBEDDING_DIMS
 from knowspark.session import new_work_path
 from knowspark.sources import tables
 from knowspark.sources.notes import read_entries_json, read_text_notes
@@ -984,9 +983,10 @@ def all_queries(spark, sf_dir):
 
 def vector_grid(spark, sf_dir):
     """The grid for as many items as queries: every stored vector is one of either."""
-    stored = tables.read_table(spark, sf_dir, "embeddings").count()
-    return search.grid_for(stored, stored, int(spark.conf.get("spark.sql.shuffle.partitions")),
-                           4 * EMBEDDING_DIMS)
+    stored = tables.read_table(spark, sf_dir, "embeddings")
+    items = stored.count()
+    return search.grid_for(items, items, int(spark.conf.get("spark.sql.shuffle.partitions")),
+                           search.vector_bytes(stored))
 
 
 @query

@@ -327,3 +327,73 @@ def test_pruned_search_multiplies_few_pairs(spark, make_store, monkeypatch):
     got = ids_of(vector_index.search_pruned(store, queries, 10))
     assert got == ids_of(search.search_batch(store, queries, 10))
     assert len(multiplied) == 2 and sum(multiplied) < 2000 * 100 / 8
+
+
+def test_pruned_search_of_directions_without_structure(spark, make_store, monkeypatch):
+    """Cells that all have to be visited are visited in groups: a query is copied no
+    more often than on a grid, in batches of bounded size, and the result is exact."""
+    rng = np.random.default_rng(6)
+    made = rng.standard_normal((1500, DIMS))
+    store = make_store(tasks=[dict(id=f"v{i}", title="t", embedding=[float(x) for x in v])
+                              for i, v in enumerate(made)])
+    queries = spark.createDataFrame(
+        [(f"q{i}", [float(x) for x in v]) for i, v in enumerate(made)],
+        "query_id string, vector array<float>")
+    sent = []
+    real = vector_index.nearest_in_parts
+
+    def counted(items, asked, k, parts, differ=None):
+        sent.append((asked.count(), parts))
+        return real(items, asked, k, parts, differ)
+
+    monkeypatch.setattr(vector_index, "nearest_in_parts", counted)
+    got = vector_index.search_pruned(store, queries, 10)
+    assert sent[-1][0] <= 1500 * sent[-1][1] and sent[-1][1] <= 4 and len(sent) == 2
+
+    def all_of(hits):
+        return sorted((r["query_id"], r["rank"], r["id"], round(r["similarity"], 9))
+                      for r in hits.collect())
+
+    assert all_of(got) == all_of(search.search_batch(store, queries, 10))
+
+
+def test_visits_are_cut_to_bounded_batches():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["id"])
+    cut = list(vector_index._slices(iter([batch]), 4096))
+    assert sum(b.num_rows for b in cut) == 10_000
+    assert max(b.num_rows for b in cut) * 4096 <= vector_index.ANGLES
+
+
+@pytest.mark.parametrize("differ", [None, 120])
+def test_parts_keep_the_best_of_all_pairs(differ):
+    """Blocks after the first are held against what was found: same rows as all pairs,
+    with many equal vectors, zero vectors and an item's own tags."""
+    import pyarrow as pa
+    rng = np.random.default_rng(7)
+    vecs = rng.standard_normal((3000, 16)).astype(np.float32)
+    vecs[rng.integers(0, 3000, 900)] = vecs[0]
+    vecs[5] = 0
+    ids = [f"i{i}" for i in rng.permutation(3000)]
+    words = rng.integers(0, 2, (3000, 256)).astype(np.uint64)
+    sketch = (words.reshape(3000, 4, 64) << np.arange(64, dtype=np.uint64)).sum(
+        axis=2, dtype=np.uint64).view(np.int64)
+    part = search._Part(0, differ)
+    part.hold(pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(list(vecs), pa.list_(pa.float32())),
+         pa.array([["q3"] if i % 2 else None for i in range(3000)], pa.list_(pa.string())),
+         pa.array(list(sketch), pa.list_(pa.int64()))], ["id", "embedding", "tags", "sketch"]))
+    asked = [f"q{i}" for i in range(60)]
+    found = pa.Table.from_batches(part.find(pa.RecordBatch.from_arrays(
+        [pa.array(asked), pa.array(list(vecs[:60].astype(float)), pa.list_(pa.float64())),
+         pa.array(list(sketch[:60]), pa.list_(pa.int64()))], ["id", "vector", "sketch"]), 7)).to_pylist()
+    units = unit_rows(vecs.astype(float))
+    scores = np.round(units[:60] @ units.T, 12)
+    scores[3, 1::2] = np.nan
+    if differ is not None:
+        scores[(words[:60, None, :] != words[None, :, :]).sum(axis=2) > differ] = np.nan
+    for c, query in enumerate(asked):
+        want = sorted((-s, i) for s, i in zip(scores[c], ids) if not np.isnan(s))[:7]
+        got = [(r["id"], r["similarity"]) for r in found if r["query_id"] == query]
+        assert [i for i, _ in got] == [i for _, i in want]
+        assert np.allclose([s for _, s in got], [-s for s, _ in want])
