@@ -1012,12 +1012,24 @@ def suggest_all(spark, sf_dir):
         "tag", "rank", "id", sim())
 
 
+#: Rows of a table that one task embeds on average: 77 MB of vectors, and the tables that are
+#: much narrower than their vectors, with the given table that has their rows.
+WIDE_ROWS = 50_000
+NARROW = {"tasks": "orders", "contacts": "customer", "home_items": "part"}
+
+
 def wide_store(spark, sf_dir):
-    """The store with a vector of full width on every item."""
-    loaded = tables.load(spark, sf_dir)
-    return Store(**{
-        name: ingest.embed_rows(loaded.table(name).drop("embedding"), name)
-        for name in Store.table_names()})
+    """The store with a vector of full width on every item. Narrow rows are dealt over
+    tasks first: a vector is many times the row it comes from, so a scan has too few
+    splits to embed in, and to sort what is embedded."""
+    loaded, wide = tables.load(spark, sf_dir), {}
+    for name in Store.table_names():
+        rows = loaded.table(name).drop("embedding")
+        if name in NARROW:
+            held = tables.read_table(spark, sf_dir, NARROW[name]).count()
+            rows = rows.repartition(max(1, -(-held // WIDE_ROWS)), "id")
+        wide[name] = ingest.embed_rows(rows, name)
+    return Store(**wide)
 
 
 def wide_queries(spark, sf_dir):

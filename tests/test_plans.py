@@ -94,3 +94,33 @@ def test_texts_are_cut_once(spark, sf_dir):
     """The generator adds no filter that would cut every text a second time."""
     plan = QUERIES["chunk_sliding"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Filter (size(" not in plan
+
+
+def test_wide_vectors_are_made_in_many_tasks(spark, sf_dir, monkeypatch):
+    """Narrow rows are dealt anew below the model, by their number and not by file splits."""
+    from knowspark.plans import queries
+    from knowspark.sources import tables
+    monkeypatch.setattr(queries, "WIDE_ROWS", 40)
+    store = queries.wide_store(spark, sf_dir)
+    for name, source in queries.NARROW.items():
+        plan = store.table(name)._jdf.queryExecution().executedPlan().toString()
+        want = -(-tables.read_table(spark, sf_dir, source).count() // 40)
+        assert "Exchange hashpartitioning(id" in plan.split("ArrowEvalPython [embed_all")[1]
+        assert store.table(name).rdd.getNumPartitions() == want > 1
+
+
+def test_a_task_holds_one_part(spark, sf_dir):
+    """Parts go to tasks by number: no two meet in one, as hashes of numbers do."""
+    from pyspark.sql import functions as F
+    from knowspark.operators import search
+    parts = 40
+    items = spark.range(400).select(
+        (F.col("id") % parts).alias("part"), F.concat(F.lit("i"), "id").alias("id"),
+        F.array(F.lit(1.0), F.col("id")).cast("array<float>").alias("embedding"),
+        F.lit(None).cast("array<string>").alias("tags"))
+    asked = spark.range(parts).select(
+        F.col("id").alias("part"), F.concat(F.lit("q"), "id").alias("id"),
+        F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    hits = search.nearest_in_parts(items, asked, 1, parts).withColumn("task", F.spark_partition_id())
+    found = hits.select("task", "query_id").collect()
+    assert len(found) == parts and len({r["task"] for r in found}) == parts
