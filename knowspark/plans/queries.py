@@ -1027,7 +1027,7 @@ def wide_store(spark, sf_dir):
         rows = loaded.table(name).drop("embedding")
         if name in NARROW:
             held = tables.read_table(spark, sf_dir, NARROW[name]).count()
-            rows = rows.repartition(max(1, -(-held // WIDE_ROWS)), "id")
+            rows = rows.repartition(max(2, -(-held // WIDE_ROWS)), "id")
         wide[name] = ingest.embed_rows(rows, name)
     return Store(**wide)
 
